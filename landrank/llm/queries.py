@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import quality_rules, vector_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op4_quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules}
+def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack_documents(_table(spark, sf_dir, "documents"), vector_packing.default_tokenizer())
+
+
+QUERIES = {"op10_vector_packing": op10_vector_packing, "op4_quality_rules": op4_quality_rules}
 ORACLE_SQL = {"op4_quality_rules": quality_rules.ORACLE}
