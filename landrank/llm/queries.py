@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, vector_packing
+from . import cube_mixing, quality_rules, vector_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,9 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack_documents(_table(spark, sf_dir, "documents"), vector_packing.default_tokenizer())
 
 
-QUERIES = {"op10_vector_packing": op10_vector_packing, "op4_quality_rules": op4_quality_rules}
+def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube_mixing.mix_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_cube_mixing": op6_cube_mixing, "op10_vector_packing": op10_vector_packing, "op4_quality_rules": op4_quality_rules}
 ORACLE_SQL = {"op4_quality_rules": quality_rules.ORACLE}
