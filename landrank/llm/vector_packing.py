@@ -32,14 +32,62 @@ END_ID = 0
 #: Words of these letters and one run of plain marks behind them tokenize as the letters and the marks do alone.
 _PLAIN = regex.compile(r"([a-zß-öø-ÿ]+)([.,;:!?|%&$*#]+)")
 _ONE = regex.compile(r"[a-zß-öø-ÿ]+|[.,;:!?|%&$*#]+")
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 2_000_000
+_RECENT = 200_000
 _SHARD_BYTES = 8 << 20
-_BATCH_BYTES = 4 << 20
+_BATCH_BYTES = 1 << 20
 _workers: dict[str, WordCache] = {}
 
 
+class _Store:
+    """Ids by word hash in sorted arrays: about 25 bytes a word and lookups for a whole batch at a time.
+
+    New words go to a small recent level, merged into the large one when it is full; a full store starts again.
+    """
+
+    def __init__(self):
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))] * 2
+        self.flat, self.end = np.zeros(1 << 20, np.uint32), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hit, begin, size = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for known, start, length in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                here = known[at] == keys
+                hit |= here
+                begin[here], size[here] = start[at[here]], length[at[here]]
+        return hit, begin, size
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        new = np.frombuffer(b"".join(ids), "<u4")
+        while self.end + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.end : self.end + len(new)] = new
+        begin = self.end + np.cumsum(size) - size
+        self.end += len(new)
+        self.levels[1] = self._merged(self.levels[1], (keys, begin.astype(np.int64), size))
+        if len(self.levels[1][0]) > _RECENT:
+            self.levels = [self._merged(*self.levels), (keys[:0], begin[:0].astype(np.int64), size[:0])]
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
+
+    def __len__(self) -> int:
+        return sum(len(k) for k, _, _ in self.levels)
+
+
+def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[begin : begin + size] in a row, and where each of them ends."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
 class WordCache:
-    """Ids of words as little-endian bytes, for one tokenizer file in one Python worker."""
+    """Ids of words, for one tokenizer file in one Python worker."""
 
     def __init__(self, path: str):
         import os
@@ -48,29 +96,43 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[int, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: list[str]) -> list[bytes]:
-        """Ids of words; those of plain letters and marks are put together from parts met before."""
+        self.store = _Store()
+
+    def _tokenize(self, parts: list[str]) -> list[bytes]:
+        one = [_ONE.fullmatch(p) is not None for p in parts]
+        # Each of these is one pre-token, so the tokenizer's word numbers tell them apart in a text of them all.
+        joined = self.tokenizer.encode(" ".join(p for p, o in zip(parts, one, strict=True) if o), add_special_tokens=False)
+        raw, word = np.array(joined.ids, "<u4").tobytes(), np.array(joined.word_ids, np.int64)
+        cut = (4 * np.searchsorted(word, np.arange(sum(one) + 1))).tolist()
+        easy = iter([raw[i:j] for i, j in zip(cut, cut[1:], strict=False)])
+        hard = iter(self.tokenizer.encode_batch([p for p, o in zip(parts, one, strict=True) if not o], add_special_tokens=False))
+        return [next(easy) if o else np.array(next(hard).ids, "<u4").tobytes() for o in one]
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words; those of plain letters and marks are put together from parts, most of them met before."""
         split: list[tuple[str, str]] = []
-        for word in words:
-            low = word.lower() if word.isascii() else word
-            m = _PLAIN.fullmatch(low)
-            split.append((m[1], m[2]) if m is not None else (low, ""))
-        new = list({p for pair in split for p in pair}.difference(self.parts))
-        one = [p for p in new if _ONE.fullmatch(p)]
-        if one:
-            # Each of these is one pre-token, so the tokenizer's word numbers tell them apart in a text of them all.
-            encoded = self.tokenizer.encode(" ".join(one), add_special_tokens=False)
-            ids, word = np.array(encoded.ids, "<u4"), np.array(encoded.word_ids, np.int64)
-            cut = (4 * np.searchsorted(word, np.arange(len(one) + 1))).tolist()
-            raw = ids.tobytes()
-            self.parts.update((p, raw[i:j]) for p, i, j in zip(one, cut, cut[1:], strict=False))
-        rest = [p for p in new if p not in self.parts]
-        for part, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(found.ids, "<u4").tobytes()
-        return [self.parts[a] + self.parts[b] for a, b in split]
+        for raw in words:
+            word = (raw.lower() if raw.isascii() else raw).decode()
+            m = _PLAIN.fullmatch(word)
+            split.append((m[1], m[2]) if m is not None else (word, ""))
+        parts = list(dict.fromkeys(p for pair in split for p in pair if p))
+        text = np.frombuffer("\n".join(parts).encode(), np.uint8)
+        first, last = word_spans(text, NOT_SPACE)
+        keys = span_hash(prefix(byte_symbols(text)), first, last)
+        hit, begin, size = self.store.find(keys)
+        ids, ends = _gather(self.store.flat, begin, size)
+        raw, cut = ids.tobytes(), (4 * ends).tolist()
+        known = {"": b""}
+        new = []
+        for p, h, i, j in zip(parts, hit.tolist(), cut, cut[1:], strict=False):
+            if h:
+                known[p] = raw[i:j]
+            else:
+                new.append(p)
+        found = self._tokenize(new)
+        known.update(zip(new, found, strict=True))
+        self.store.add(keys[~hit], found)
+        return [known[a] + known[b] for a, b in split]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian 32-bit numbers.
@@ -79,25 +141,22 @@ class WordCache:
         """
         raw = np.frombuffer(b"\n".join(texts), np.uint8)
         first, last = word_spans(raw, NOT_SPACE)
-        if len(self.ids) > _WORDS_KEPT:
-            self.ids.clear()
-            self.parts = {"": b""}
+        if len(self.store) > _WORDS_KEPT:
+            self.store = _Store()
         keys, at, inverse = np.unique(span_hash(prefix(byte_symbols(raw)), first, last), return_index=True, return_inverse=True)
-        known = keys.tolist()
-        new = [i for i, k in enumerate(known) if k not in self.ids]
-        if new:
-            words = [bytes(raw[first[j] : last[j]]).decode() for j in at[new].tolist()]
-            for i, ids in zip(new, self.learn(words), strict=True):
-                self.ids[known[i]] = ids
-        found = [self.ids[k] for k in known]
-        flat = np.frombuffer(b"".join(found), "<u4")
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begin = np.cumsum(size) - size
-        many = size[inverse]
-        ends = np.concatenate([[0], np.cumsum(many)])
-        ids = flat[np.repeat(begin[inverse] - ends[:-1], many) + np.arange(ends[-1])].tobytes()
-        cuts = ends[np.searchsorted(first, np.cumsum([0] + [len(t) + 1 for t in texts]))].tolist()
-        return [ids[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        missed = np.flatnonzero(~self.store.find(keys)[0])
+        if len(missed):
+            where = at[missed]
+            words = [raw[i:j].tobytes() for i, j in zip(first[where].tolist(), last[where].tolist(), strict=True)]
+            ids = self.learn(words)
+            # A word that is itself one of the parts is in the store by now.
+            new = np.flatnonzero(~self.store.find(keys[missed])[0])
+            self.store.add(keys[missed[new]], [ids[i] for i in new.tolist()])
+        _, begin, size = self.store.find(keys)
+        ids, ends = _gather(self.store.flat, begin[inverse], size[inverse])
+        raw_ids = ids.tobytes()
+        cuts = (4 * ends[np.searchsorted(first, np.cumsum([0] + [len(t) + 1 for t in texts]))]).tolist()
+        return [raw_ids[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 def encoder(path: str) -> WordCache:
