@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import column_bwt, cube_mixing, phrase_automata, quality_rules, vector_packing
+from . import column_bwt, cube_mixing, phrase_automata, prefix_join, quality_rules, vector_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +31,16 @@ def op8_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_bwt.suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_phrase_automata": op5_phrase_automata,
     "op6_cube_mixing": op6_cube_mixing,
     "op8_column_bwt": op8_column_bwt,
+    "op9_prefix_join": op9_prefix_join,
     "op10_vector_packing": op10_vector_packing,
 }
 ORACLE_SQL = {"op4_quality_rules": quality_rules.ORACLE}
