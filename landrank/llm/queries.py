@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import column_bwt, cube_mixing, phrase_automata, prefix_join, quality_rules, vector_packing
+from . import column_bwt, cube_mixing, factorisation, itq_neighbours, license_scan, phrase_automata, prefix_join, pu_toxicity, quality_rules, vector_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,30 @@ def op9_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op3_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorisation.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_itq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_neighbours.embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_itq_neighbours": op2_itq_neighbours,
+    "op3_factorisation": op3_factorisation,
     "op4_quality_rules": op4_quality_rules,
     "op5_phrase_automata": op5_phrase_automata,
     "op6_cube_mixing": op6_cube_mixing,
+    "op7_pu_toxicity": op7_pu_toxicity,
     "op8_column_bwt": op8_column_bwt,
     "op9_prefix_join": op9_prefix_join,
     "op10_vector_packing": op10_vector_packing,
