@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import ORACLE_SQL, QUERIES, relational, scoring, terrain, vectors
+
+__all__ = ["ORACLE_SQL", "QUERIES", "relational", "scoring", "terrain", "vectors"]
