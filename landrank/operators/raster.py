@@ -77,6 +77,25 @@ def flow_direction(cells: DataFrame, value: str, rows: int, cols: int) -> DataFr
     return best.select("row_i", "col_i", F.when(F.col("b.drop") > 0, -F.col("b.w")).alias("dir"))
 
 
+def flow_accumulation(cells: DataFrame, value: str, rows: int, cols: int) -> DataFrame:
+    """(row_i, col_i, cells): cells that drain through each cell, itself included.
+
+    Drops walk downhill together, a round a step of the longest path; each round adds up the drops that meet in a cell, so it
+    never has more rows than there are cells.
+    """
+    ways = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    step = F.element_at(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ways]), F.col("dir").cast("int") + 1)
+    down = flow_direction(cells, value, rows, cols).filter("dir is not null").withColumn("s", step)
+    down = durable(down.select("row_i", "col_i", (F.col("row_i") + F.col("s.r")).alias("r2"), (F.col("col_i") + F.col("s.c")).alias("c2")))
+    moving = cells.select("row_i", "col_i", F.lit(1).cast("long").alias("n"))
+    total = moving
+    while True:
+        moving = durable(moving.join(down, ["row_i", "col_i"]).groupBy(F.col("r2").alias("row_i"), F.col("c2").alias("col_i")).agg(F.sum("n").alias("n")))
+        if moving.isEmpty():
+            return total.groupBy("row_i", "col_i").agg(F.sum("n").alias("cells"))
+        total = total.unionByName(moving)
+
+
 def components(cells: DataFrame, tile: int = 256) -> DataFrame:
     """(row_i, col_i, zone): 4-connected components of the given cells, zone being the smallest row-major key in each.
 

@@ -82,6 +82,24 @@ def test_openness_of_plane_and_numpy(spark):
             assert got[r, c] == pytest.approx(90 - np.mean([math.degrees(math.atan(s)) for s in worst.values()]), abs=1e-4)
 
 
+def test_flow_accumulation(spark):
+    z = np.random.default_rng(5).permutation(56).reshape(7, 8).astype(float)
+    got = {(r.row_i, r.col_i): r.cells for r in raster.flow_accumulation(grid(spark, z), "z", 7, 8).collect()}
+    ways = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    want = {}
+    for start in np.ndindex(7, 8):
+        at = start
+        while at is not None:
+            want[at] = want.get(at, 0) + 1
+            best, to = 0.0, None
+            for dr, dc in ways:
+                r, c = at[0] + dr, at[1] + dc
+                if 0 <= r < 7 and 0 <= c < 8 and round((z[at] - z[r, c]) / math.hypot(dr, dc), 6) > best:
+                    best, to = round((z[at] - z[r, c]) / math.hypot(dr, dc), 6), (r, c)
+            at = to
+    assert got == want
+
+
 def flood(mask):
     label = {}
     for start in sorted(zip(*np.nonzero(mask))):
