@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,7 +156,7 @@ class Candidates:
     def __init__(self, chunk: Chunk, told: pa.Table, spec: Spec, buckets: int):
         self.symbols = Symbols(chunk, spec.words)
         self.segments = Segments(chunk, self.symbols, spec)
-        told = told.filter(pa.compute.is_valid(told.column("bucket")))
+        told = told.filter(pc.is_valid(told.column("bucket")))
         bucket = told.column("bucket").to_pylist()
         light, heavy = (np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.uint64(b << 32) | x.astype(np.uint64) for b, x in zip(bucket, _numbers(told, name), strict=True)]])) for name in ("light", "heavy"))
         marks = self.segments.marks(buckets)
