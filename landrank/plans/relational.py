@@ -18,29 +18,27 @@ def intake_transforms(spark, sf_dir):
     return intake.apply(table(spark, sf_dir, "part"), steps)
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name || ' (renamed)' ELSE s_name END AS s_name, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal + 100.0 ELSE s_acctbal END AS s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_name, s_acctbal FROM supplier WHERE s_suppkey % 10 = 1")
+@query("SELECT coalesce(c_custkey, s_suppkey) AS id, coalesce(c_name, s_name) AS name, coalesce(c_acctbal, s_acctbal) AS balance FROM supplier FULL JOIN customer ON c_custkey = s_suppkey")
 def upsert_latest_wins(spark, sf_dir):
-    old = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    changed = old.filter("s_suppkey % 3 = 0").select("s_suppkey", F.concat("s_name", F.lit(" (renamed)")).alias("s_name"), (F.col("s_acctbal") + 100.0).alias("s_acctbal"))
-    added = old.filter("s_suppkey % 10 = 1").withColumn("s_suppkey", F.col("s_suppkey") + 1000000)
-    return intake.upsert(old, changed.unionByName(added), ["s_suppkey"])
+    """Customers loaded over suppliers by key: known keys are replaced, new ones added, others stay."""
+    old = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    new = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    return intake.upsert(old, new, ["id"])
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 1 AND s_suppkey >= 1000000 THEN 'inserted' ELSE 'updated' END AS action FROM (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey + 1000000 - (s_suppkey + 1000000) % 10 + 1 FROM supplier WHERE s_suppkey % 10 = 1)")
+@query("SELECT c_custkey AS id, CASE WHEN s_suppkey IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
 def upsert_actions(spark, sf_dir):
     """What an upsert does with each incoming row."""
-    old = table(spark, sf_dir, "supplier").select("s_suppkey")
-    new = old.filter("s_suppkey % 3 = 0").unionByName(old.filter("s_suppkey % 10 = 1").select((F.col("s_suppkey") + 1000000).alias("s_suppkey")))
-    known = old.withColumn("known", F.lit(True))
-    return new.join(known, "s_suppkey", "left").select("s_suppkey", F.when(F.col("known"), "updated").otherwise("inserted").alias("action"))
+    known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(True).alias("known"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(known, "id", "left").select("id", F.when(F.col("known"), "updated").otherwise("inserted").alias("action"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'excluded restricted' WHEN rn > 1 THEN 'excluded duplicate' WHEN c_custkey % 4 = 0 THEN 'skipped' ELSE 'inserted' END AS action
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'excluded restricted' WHEN rn > 1 THEN 'excluded duplicate' WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'skipped' ELSE 'inserted' END AS action
 FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal / 100) ORDER BY c_custkey) AS rn FROM customer)""")
 def seed_insert_if_absent_report(spark, sf_dir):
     """Insert by natural key with the reason for every row: restricted, duplicate in the input, already there, inserted."""
     rows = table(spark, sf_dir, "customer").withColumn("rn", F.row_number().over(Window.partitionBy("c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 100)).orderBy("c_custkey")))
-    there = table(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").select("c_custkey", F.lit(True).alias("there"))
+    there = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("there")).distinct()
     action = F.when(F.col("c_acctbal") < 0, "excluded restricted").when(F.col("rn") > 1, "excluded duplicate").when(F.col("there"), "skipped").otherwise("inserted")
     return rows.join(there, "c_custkey", "left").select("c_custkey", action.alias("action"))
 
@@ -50,10 +48,10 @@ def latest_run_per_operation(spark, sf_dir):
     return ranking.latest(table(spark, sf_dir, "events"), ["event_type", "user_id"], [F.desc("ts"), F.desc("event_id")]).select("event_type", "user_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
-@query("SELECT run, max(seq) AS seq, CASE WHEN count(*) FILTER (seq = 1) = 0 THEN 'running' WHEN bool_or(value < 20) FILTER (seq = 1) THEN 'failed' ELSE 'ok' END AS status FROM (SELECT event_id // 2 AS run, event_id % 2 AS seq, value FROM events WHERE NOT (event_id % 14 = 1)) GROUP BY run")
+@query("SELECT run, max(seq) AS seq, CASE WHEN count(*) FILTER (seq = 1) = 0 THEN 'running' WHEN bool_or(value < 20) FILTER (seq = 1) THEN 'failed' ELSE 'ok' END AS status FROM (SELECT event_id // 2 AS run, event_id % 2 AS seq, value FROM events WHERE event_id % 2 = 0 OR value >= 10) GROUP BY run")
 def ledger_latest_state(spark, sf_dir):
     """State of each run from its opening row and, where one was written, its closing row."""
-    e = table(spark, sf_dir, "events").filter("not (event_id % 14 = 1)").select(F.expr("event_id div 2").alias("run"), (F.col("event_id") % 2).alias("seq"), "value")
+    e = table(spark, sf_dir, "events").filter("event_id % 2 = 0 or value >= 10").select(F.expr("event_id div 2").alias("run"), (F.col("event_id") % 2).alias("seq"), "value")
     last = ranking.latest(e, ["run"], [F.desc("seq")])
     return last.select("run", "seq", F.when(F.col("seq") == 0, "running").when(F.col("value") < 20, "failed").otherwise("ok").alias("status"))
 

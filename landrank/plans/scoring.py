@@ -84,14 +84,14 @@ def in_areas(cells: DataFrame, spark, sf_dir, *columns: str) -> DataFrame:
 
 
 @query(SCORED + f""", m AS (SELECT avg(CASE WHEN score >= p95 THEN 1.0 ELSE 0.0 END) AS g, any_value(p95) AS p95 FROM scr, (SELECT quantile_cont(score, 0.95) AS p95 FROM scr))
-SELECT aoi_id, count(*) AS n, round(avg(score_pct), 6) AS pct_mean, round(avg(CASE WHEN score >= (SELECT p95 FROM m) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / 0.05::DOUBLE, 6) AS enrichment,
+SELECT aoi_id, count(*) AS n, round(avg(score_pct) + 1e-9::DOUBLE, 6) AS pct_mean, round(avg(CASE WHEN score >= (SELECT p95 FROM m) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / 0.05::DOUBLE, 6) AS enrichment,
 round(avg(CASE WHEN hand_m < 15 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS lowland FROM pct JOIN fx_aoi ON {BOX} GROUP BY aoi_id""")
 def cells_in_footprint(spark, sf_dir):
     cells = scored(spark, sf_dir)
     cut = cells.agg(stats.quantile("score", 0.95).alias("p95"))
     return (
         in_areas(cells, spark, sf_dir).crossJoin(F.broadcast(cut)).groupBy("aoi_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score_pct"), 6).alias("pct_mean"), F.round(stats.share(F.col("score") >= F.col("p95")) / 0.05, 6).alias("enrichment"), F.round(stats.share(F.col("hand_m") < 15.0), 6).alias("lowland"))
+        .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score_pct") + 1e-9, 6).alias("pct_mean"), F.round(stats.share(F.col("score") >= F.col("p95")) / 0.05, 6).alias("enrichment"), F.round(stats.share(F.col("hand_m") < 15.0), 6).alias("lowland"))
     )
 
 
@@ -139,7 +139,7 @@ def evidence_stack(spark, sf_dir):
     )
 
 
-CONTROL = "aoi_id % 4 = 0"
+CONTROL = "role = 'control_positive'"
 
 
 @query(SCORED + f""", c AS (SELECT DISTINCT cell_id FROM nrm JOIN fx_aoi ON {BOX} WHERE {CONTROL}), e AS (SELECT nrm.*, c.cell_id IS NOT NULL AS control FROM nrm LEFT JOIN c USING (cell_id)),
@@ -173,9 +173,9 @@ def draws(spark, sf_dir, cells: DataFrame) -> DataFrame:
     return spatial.points_in_boxes(points, boxes).groupBy("draw").agg(F.count(F.lit(1)).alias("n"), F.avg("score_pct").alias("pct_mean"), stats.share(F.col("hand_m") < 15.0).alias("lowland"))
 
 
-@query(DRAW_SQL + " SELECT draw, n, round(pct_mean, 4) AS pct_mean, round(lowland, 6) AS lowland FROM x")
+@query(DRAW_SQL + " SELECT draw, n, round(pct_mean + 1e-9::DOUBLE, 6) AS pct_mean, round(lowland, 6) AS lowland FROM x")
 def permutation_null(spark, sf_dir):
-    return draws(spark, sf_dir, scored(spark, sf_dir)).select("draw", "n", F.round("pct_mean", 4).alias("pct_mean"), F.round("lowland", 6).alias("lowland"))
+    return draws(spark, sf_dir, scored(spark, sf_dir)).select("draw", "n", F.round(F.col("pct_mean") + 1e-9, 6).alias("pct_mean"), F.round("lowland", 6).alias("lowland"))
 
 
 @query(DRAW_SQL + f""", o AS (SELECT avg(score_pct) AS observed FROM pct JOIN fx_aoi ON {BOX} WHERE aoi_id = 0),
@@ -199,13 +199,13 @@ def _without(name: str) -> str:
 
 @query(SCORED + ", a AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, cell_id, easting, northing, round(0.0::DOUBLE + {_without(n)}, 9) AS s FROM nrm" for n in (*NAMES, "none")) + f"""),
 k AS (SELECT *, (rank() OVER (PARTITION BY feature ORDER BY s) + (count(*) OVER (PARTITION BY feature, s) - 1) / 2.0::DOUBLE) * 100.0::DOUBLE / count(*) OVER (PARTITION BY feature) AS pct FROM a)
-SELECT feature, round(avg(pct), 4) AS control_pct FROM k JOIN fx_aoi ON {BOX} WHERE {CONTROL} GROUP BY feature""")
+SELECT feature, round(avg(pct) + 1e-9::DOUBLE, 4) AS control_pct FROM k JOIN fx_aoi ON {BOX} WHERE {CONTROL} GROUP BY feature""")
 def ablation(spark, sf_dir):
     """Mean control percentile with each feature held out."""
     out = None
     for held in (*NAMES, "none"):
         cells = ranking.weighted_overlay(fixtures.cells(spark, sf_dir), {k: v for k, v in WEIGHTS.items() if k != held})
-        one = in_areas(cells, spark, sf_dir).filter(CONTROL).agg(F.round(F.avg("score_pct"), 4).alias("control_pct")).select(F.lit(held).alias("feature"), "control_pct")
+        one = in_areas(cells, spark, sf_dir).filter(CONTROL).agg(F.round(F.avg("score_pct") + 1e-9, 4).alias("control_pct")).select(F.lit(held).alias("feature"), "control_pct")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import curves, stats
@@ -91,13 +91,13 @@ def cells_in_polygon(spark, sf_dir):
 
 
 @query(SCORED + SEG.format(points="(SELECT cell_id, easting AS x, northing AS y FROM fx_cell)", key="cell_id") + """, b AS (SELECT dist, score_pct, cell_id FROM pct JOIN nn USING (cell_id))
-SELECT round(quantile_cont(dist, 0.5) FILTER (score_pct >= 95), 6) AS top_median, round(quantile_cont(dist, 0.25) FILTER (score_pct >= 95), 6) AS top_q1, round(quantile_cont(dist, 0.5) FILTER ((cell_id * 7919) % 10 < 3), 6) AS background_median,
-round((quantile_cont(dist, 0.5) FILTER (score_pct >= 95)) / (quantile_cont(dist, 0.5) FILTER ((cell_id * 7919) % 10 < 3)), 6) AS ratio FROM b""")
+SELECT round(quantile_cont(dist, 0.5) FILTER (score_pct >= 95), 6) AS top_median, round(quantile_cont(dist, 0.25) FILTER (score_pct >= 95), 6) AS top_q1, round(quantile_cont(dist, 0.5), 6) AS background_median,
+round((quantile_cont(dist, 0.5) FILTER (score_pct >= 95)) / (quantile_cont(dist, 0.5)), 6) AS ratio FROM b""")
 def access_bias(spark, sf_dir):
-    """How near the best cells lie to access lines, against a background chosen by a formula of the cell."""
+    """How near the best cells lie to access lines, against all cells."""
     near = spatial.nearest_segment(_cells(spark, sf_dir), fixtures.flowlines(spark, sf_dir), "cell_id", REACH, "stream_order").filter("dist is not null")
     both = near.join(scored(spark, sf_dir).select("cell_id", "score_pct"), "cell_id")
-    top, back = F.when(F.col("score_pct") >= 95.0, F.col("dist")), F.when((F.col("cell_id") * 7919) % 10 < 3, F.col("dist"))
+    top, back = F.when(F.col("score_pct") >= 95.0, F.col("dist")), F.col("dist")
     out = both.agg(stats.quantile(top, 0.5).alias("t"), stats.quantile(top, 0.25).alias("q"), stats.quantile(back, 0.5).alias("b"))
     return out.select(F.round("t", 6).alias("top_median"), F.round("q", 6).alias("top_q1"), F.round("b", 6).alias("background_median"), F.round(F.try_divide(F.col("t"), F.col("b")), 6).alias("ratio"))
 
@@ -153,15 +153,15 @@ def nmas_confidence(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "nation").select(k.alias("sheet_id"), sheet.alias("sheet_m"), F.greatest(sheet, (35 + k).cast("double")).alias("point_m"))
 
 
-@query(""", h AS (SELECT site_id, class_id, x, y, mode_rank FROM (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY site_id) AS mode_rank FROM fx_site WHERE review_status = 'confirmed') WHERE mode_rank <= 20),
+@query(""", h AS (SELECT site_id, class_id, x, y FROM fx_site WHERE review_status = 'confirmed'),
 w AS (SELECT site_id, elev_m, sqrt((easting - x) ** 2 + (northing - y) ** 2) AS d FROM h JOIN fx_cell ON easting BETWEEN x - 60 AND x + 60 AND northing BETWEEN y - 60 AND y + 60),
-t AS (SELECT site_id, count(*) FILTER (d > 30 AND d <= 60) AS n_ring, count(*) FILTER (d <= 30) AS n_disc, quantile_cont(elev_m, 0.9) FILTER (d > 30 AND d <= 60) AS cut FROM w GROUP BY site_id)
+t AS (SELECT site_id, count(*) FILTER (d > 30 AND d <= 60) AS n_ring, count(*) FILTER (d <= 30) AS n_disc, quantile_cont(elev_m, 0.9) FILTER (d > 30 AND d <= 60) AS cut FROM w GROUP BY site_id),
+u AS (SELECT site_id, count(*) AS hits FROM w JOIN t USING (site_id) WHERE d <= 30 AND elev_m >= cut GROUP BY site_id)
 SELECT h.site_id, coalesce(n_ring, 0) AS n_ring, coalesce(n_disc, 0) AS n_disc, coalesce(n_ring, 0) >= 40 AND coalesce(n_disc, 0) >= 4 AS evaluable,
-CASE WHEN n_ring >= 40 AND n_disc >= 4 THEN (SELECT count(*) FROM w WHERE w.site_id = h.site_id AND d <= 30 AND elev_m >= cut) >= 4 END AS fired FROM h LEFT JOIN t USING (site_id)""")
+CASE WHEN n_ring >= 40 AND n_disc >= 4 THEN coalesce(hits, 0) >= 4 END AS fired FROM h LEFT JOIN t USING (site_id) LEFT JOIN u USING (site_id)""")
 def firing_rule_at_sites(spark, sf_dir):
     """Whether at least 4 cells of a site's disc rise above the 90th percentile of the ring around it; too few cells are a gap."""
-    first = Window.partitionBy("class_id").orderBy("site_id")
-    sites = fixtures.sites(spark, sf_dir).filter("review_status = 'confirmed'").withColumn("k", F.row_number().over(first)).filter("k <= 20").select("site_id", "x", "y")
+    sites = fixtures.sites(spark, sf_dir).filter("review_status = 'confirmed'").select("site_id", "x", "y")
     boxes = sites.select("site_id", F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("x") - 60).alias("xmin"), (F.col("x") + 60).alias("xmax"), (F.col("y") - 60).alias("ymin"), (F.col("y") + 60).alias("ymax"))
     cells = fixtures.cells(spark, sf_dir).select("elev_m", F.col("easting").alias("x"), F.col("northing").alias("y"))
     d = F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2)
