@@ -72,7 +72,7 @@ def high_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(HIGH + SCORED + """, g AS (SELECT zone, count(*) AS cells, count(*) * 100.0::DOUBLE AS area_m2, round(avg(score), 6) AS score_mean, round(max(score), 6) AS score_max, round(avg(score_pct) + 1e-9::DOUBLE, 6) AS pct_mean, round(avg(hand_m), 6) AS hand_mean
-FROM zc JOIN pct USING (cell_id) GROUP BY zone HAVING count(*) >= 5) SELECT zone, cells, area_m2, score_mean, score_max, pct_mean, hand_mean, row_number() OVER (ORDER BY pct_mean DESC, area_m2 DESC, zone) AS rank FROM g""")
+FROM zc JOIN pct USING (cell_id) GROUP BY zone HAVING count(*) >= 5) SELECT zone, cells, area_m2, score_mean, score_max, pct_mean, hand_mean, (row_number() OVER (ORDER BY pct_mean DESC, area_m2 DESC, zone))::INT AS rank FROM g""")
 def zones_ranked(spark, sf_dir):
     zones = high_zones(spark, sf_dir).select("cell_id", "zone").join(scored(spark, sf_dir), "cell_id")
     out = zones.groupBy("zone").agg(
