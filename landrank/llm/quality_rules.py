@@ -150,7 +150,9 @@ def op4_quality_rules(docs: DataFrame, policy: Policy = POLICIES["v2"]) -> DataF
 def keep_good(docs: DataFrame, policy: Policy = POLICIES["v2"]) -> DataFrame:
     """docs without the documents that the policy rejects, all columns kept; narrow, so nothing is joined or shuffled."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return apply_policy(ledger(docs.select("doc_id", "text", row.alias("row")), carry=("row",)), policy).filter("kept").select("row.*")
+    judged = apply_policy(ledger(docs.select("doc_id", "text", row.alias("row")), carry=("row",)), policy)
+    # A filter would be pushed below the measurements, with each of them written out wherever the condition names it.
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
 
 
 ORACLE = r"""
