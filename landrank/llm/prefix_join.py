@@ -7,8 +7,8 @@ shingle form group pairs, these expand into members, and members are verified on
 Shingles are ordered by a table of 2 ** 18 counters over the corpus, then by hash: any order is right, a rare-first one
 leaves few candidates. Prefix shingles that only one group has are found in hash buckets and never become rows.
 
-Links only matter up to connection, so candidates come in two steps. Neighbours (by size) under a shared shingle are verified
-first and joined into components; then all other pairs that share one and are still in different components. A large group
+Links only matter up to connection, so candidates come in two steps. Each group is verified against the first holder of each
+of its shingles and joined into components; then all other pairs that share one and are still in different components. A large group
 of near copies so costs about its size, and no link between components can be missed. Signatures of 512 bits, whose
 difference never exceeds that of the sets, spare most verifications and can't reject a link.
 
@@ -36,6 +36,9 @@ _SLOTS = 1 << 18
 _PARTS = 16
 _BUCKET_BYTES = 16 << 20
 _SIGNATURE_WORDS = 8
+#: Sets above _WIDE_FROM shingles also have a signature of 4096 bits: 512 say nothing about thousands of shingles.
+_WIDE_WORDS = 64
+_WIDE_FROM = 256
 
 
 @dataclass(frozen=True)
@@ -74,12 +77,15 @@ class Sets:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
         return total[self.start[1:]] - total[self.start[:-1]]
 
-    def signatures(self) -> np.ndarray:
-        """512 bits a document, each the parity of the shingles that hash to it."""
-        bit = (mix(self.values ^ np.uint64(0x51ED270B)) % np.uint64(64 * _SIGNATURE_WORDS)).astype(np.int64)
-        out = np.zeros((len(self.size), 64 * _SIGNATURE_WORDS), np.uint8)
-        np.bitwise_xor.at(out, (self.doc, bit), 1)
-        return np.packbits(out, axis=1, bitorder="little").view(np.int64)
+    def signatures(self, words: int = _SIGNATURE_WORDS, above: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, 64 * words bits each), each bit the parity of the shingles that hash to it; of sets larger than `above`."""
+        chosen = np.flatnonzero(self.size >= above)
+        place = np.full(len(self.size), -1)
+        place[chosen] = np.arange(len(chosen))
+        at = place[self.doc]
+        bit = (mix(self.values[at >= 0] ^ np.uint64(0x51ED270B)) % np.uint64(64 * words)).astype(np.int64)
+        count = np.bincount(at[at >= 0] * (64 * words) + bit, minlength=len(chosen) * 64 * words)
+        return chosen, np.packbits((count & 1).astype(np.uint8).reshape(len(chosen), 64 * words), axis=1, bitorder="little").view(np.int64)
 
 
 class Prefixes:
@@ -166,22 +172,29 @@ def profiles(chunks: DataFrame, spec: JoinSpec) -> DataFrame:
             known = np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.uint64(b << 32) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(right.column("bucket").to_pylist(), right.column("marks").to_pylist(), strict=True)]]))
             hit = in_sorted(found.marks(buckets), known)
             cut = np.searchsorted(found.doc[hit], np.arange(len(chunk) + 1)).astype(np.int32)
-            signature = pa.ListArray.from_arrays(np.arange(len(chunk) + 1, dtype=np.int32) * _SIGNATURE_WORDS, pa.array(sets.signatures().ravel()))
+            signature = pa.ListArray.from_arrays(np.arange(len(chunk) + 1, dtype=np.int32) * _SIGNATURE_WORDS, pa.array(sets.signatures()[1].ravel()))
+            large, bits = sets.signatures(_WIDE_WORDS, _WIDE_FROM)
+            wide = pa.array([None] * len(chunk), pa.list_(pa.int64()))
+            if len(large):
+                lists = pa.ListArray.from_arrays(np.arange(len(large) + 1, dtype=np.int32) * _WIDE_WORDS, pa.array(bits.ravel()))
+                seat = np.full(len(chunk), -1)
+                seat[large] = np.arange(len(large))
+                wide = lists.take(pa.array(seat, mask=seat < 0))
             as_long = lambda x: pa.array(x.view(np.int64))
             out.append(
                 pa.table(
                     [
                         pa.array([chunk.chunk] * len(chunk), pa.int64()), pa.array(range(len(chunk)), pa.int32()), pa.array(chunk.ids, mask=~chunk.known), pa.array(sets.size),
                         as_long(sets.sums(mix(sets.values))), as_long(sets.sums(mix(sets.values ^ np.uint64(0x2545F491)))), as_long(found.group),
-                        pa.ListArray.from_arrays(cut, as_long(found.token[hit])), signature,
+                        pa.ListArray.from_arrays(cut, as_long(found.token[hit])), signature, wide,
                     ],
-                    ["chunk", "row", "doc_id", "n", "key1", "key2", "group", "tokens", "signature"],
+                    ["chunk", "row", "doc_id", "n", "key1", "key2", "group", "tokens", "signature", "wide"],
                 )
             )
         return pa.concat_tables(out)
 
     told = chunks.mapInArrow(send, "bucket int, chunk long, marks binary, groups binary").groupBy("bucket").applyInArrow(tell, "chunk long, bucket int, marks binary")
-    schema = "chunk long, row int, doc_id long, n long, key1 long, key2 long, group long, tokens array<long>, signature array<long>"
+    schema = "chunk long, row int, doc_id long, n long, key1 long, key2 long, group long, tokens array<long>, signature array<long>, wide array<long>"
     return save(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(close, schema), "profiles")
 
 
@@ -190,11 +203,16 @@ def _needed(na: str, nb: str, spec: JoinSpec):
     return F.ceil(F.lit(spec.percent) * (F.col(na) + F.col(nb)) / F.lit(100 + spec.percent))
 
 
+def _sizes(spec: JoinSpec):
+    return 100 * F.least("na", "nb") >= spec.percent * F.greatest("na", "nb")
+
+
 def _possible(spec: JoinSpec):
     """What sizes and signatures (a and b's) allow: the sets can't differ in fewer shingles than the signatures in bits."""
     apart = sum((F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))) for k in range(_SIGNATURE_WORDS)), F.lit(0))
-    sizes = (100 * F.least("na", "nb") >= spec.percent * F.greatest("na", "nb"))
-    return sizes & (apart <= F.col("na") + F.col("nb") - 2 * _needed("na", "nb", spec))
+    allowed = F.col("na") + F.col("nb") - 2 * _needed("na", "nb", spec)
+    far = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    return _sizes(spec) & (apart <= allowed) & F.coalesce(far <= allowed, F.lit(True))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -225,16 +243,19 @@ def classes(docs_profiles: DataFrame) -> DataFrame:
 
 def link(chunks: DataFrame, nodes: DataFrame, spec: JoinSpec) -> DataFrame:
     """(node, component) of every class that links with another."""
-    groups = nodes.groupBy("group").agg(F.min("node").alias("gid"), F.first("n").alias("n"), F.count(F.lit(1)).alias("members"), F.first("tokens").alias("tokens"))
-    groups = save(groups.filter((F.size("tokens") > 0) | (F.col("members") > 1)), "groups")
-    members = save(nodes.join(groups.select("group", "gid"), "group").select("gid", "node", "n", "signature", "chunk", "row"), "members")
-    tokens = groups.select(F.explode("tokens").alias("token"), "gid", "n")
-    side = lambda s: members.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("signature").alias(f"s{s}"))
-
-    # First step: neighbours under a shared shingle, and neighbours within a group.
-    previous = lambda key, *order: F.lag(order[-1]).over(_by(key, *order))
-    chain = tokens.select(F.col("gid").alias("a"), previous("token", "n", "gid").alias("b")).unionByName(members.select(F.col("node").alias("a"), previous("gid", "node").alias("b")))
-    near = chain.filter("b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    groups = nodes.groupBy("group").agg(
+        F.min("node").alias("gid"), F.first("n").alias("n"), F.count(F.lit(1)).alias("members"), F.first("tokens").alias("tokens"), F.first("signature").alias("signature"), F.first("wide").alias("wide")
+    )
+    groups = groups.filter((F.size("tokens") > 0) | (F.col("members") > 1)).withColumns({c: F.when(F.col("members") == 1, F.col(c)) for c in ("signature", "wide")})
+    groups = save(groups, "groups")
+    members = save(nodes.join(groups.select("group", "gid"), "group").select("gid", "node", "n", "signature", "wide", "chunk", "row"), "members")
+    tokens = groups.select(F.explode("tokens").alias("token"), "gid")
+    side = lambda s: members.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("signature").alias(f"s{s}"), F.col("wide").alias(f"w{s}"))
+
+    # First step: each group with the first holder of each of its shingles, and members with the first one of their group.
+    first_holder = tokens.groupBy("token").agg(F.min("gid").alias("b"))
+    star = tokens.join(first_holder, "token").select(F.col("gid").alias("a"), "b").unionByName(members.select(F.col("node").alias("a"), F.col("gid").alias("b")))
+    near = star.filter("a <> b").distinct()
     first = save(near.join(side("a"), "a").join(side("b"), "b").filter(_possible(spec)).select("a", "b"), "near")
 
     def fetch(key, left, right):
@@ -259,15 +280,16 @@ def link(chunks: DataFrame, nodes: DataFrame, spec: JoinSpec) -> DataFrame:
     placed = members.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     placed = save(placed, "placed")
     spread = placed.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    rows = tokens.join(spread, "gid")
-    mixed = rows.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("token")
-    rows = save(rows.join(mixed, "token"), "open")
-    x, y = (rows.select("token", *[F.col(c).alias(c + s) for c in ("gid", "n", "lo", "hi")]) for s in "xy")
-    apart = (F.col("lox") != F.col("hix")) | (F.col("loy") != F.col("hiy")) | (F.col("lox") != F.col("loy"))
-    fits = 100 * F.least("nx", "ny") >= spec.percent * F.greatest("nx", "ny")
-    pairs = x.join(y, "token").filter((F.col("gidx") < F.col("gidy")) & apart & fits).select("gidx", "gidy").distinct()
+    held = tokens.join(spread, "gid")
+    mixed = held.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("token")
+    rows = save(held.join(mixed, "token").join(groups.select("gid", "n", "signature"), "gid"), "open")
+    x, y = (rows.select("token", *[F.col(c).alias(k + s) for c, k in (("gid", "gid"), ("n", "n"), ("lo", "lo"), ("hi", "hi"), ("signature", "s"))], F.lit(None).cast("array<bigint>").alias("w" + s)) for s in "ab")
+    apart = (F.col("loa") != F.col("hia")) | (F.col("lob") != F.col("hib")) | (F.col("loa") != F.col("lob"))
+    # A group of one member is judged by its signature here, others after they are expanded.
+    pairs = x.join(y, (x.token == y.token) & (F.col("gida") < F.col("gidb")) & apart & F.coalesce(_possible(spec), F.lit(True)) & _sizes(spec))
+    pairs = pairs.select(F.col("gida").alias("gidx"), F.col("gidb").alias("gidy")).distinct()
     inner = spread.filter("lo <> hi").select(F.col("gid").alias("gidx"), F.col("gid").alias("gidy"))
-    p, q = (placed.select(F.col("gid").alias("gid" + g), F.col("node").alias(s), F.col("n").alias("n" + s), F.col("signature").alias("s" + s), F.col("c").alias("c" + s)) for g, s in (("x", "a"), ("y", "b")))
+    p, q = (placed.select(F.col("gid").alias("gid" + g), F.col("node").alias(s), F.col("n").alias("n" + s), F.col("signature").alias("s" + s), F.col("wide").alias("w" + s), F.col("c").alias("c" + s)) for g, s in (("x", "a"), ("y", "b")))
     expanded = pairs.unionByName(inner).join(p, "gidx").join(q, "gidy").filter((F.col("ca") != F.col("cb")) & _possible(spec))
     expanded = expanded.filter((F.col("gidx") != F.col("gidy")) | (F.col("a") < F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = save(expanded.join(first, ["a", "b"], "left_anti"), "rest")
@@ -277,12 +299,6 @@ def link(chunks: DataFrame, nodes: DataFrame, spec: JoinSpec) -> DataFrame:
     return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
-def _by(key: str, *order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(*order)
-
-
 def resolve(docs: DataFrame, spec: JoinSpec, carry: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The chunk table and (chunk, row, doc_id, n_shingles, node, component_id) of every row of docs."""
     chunks = chunk_table(docs, carry)
