@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import in_box, segment_distance, segments_cross, tile
@@ -20,17 +22,51 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, width: float = 200.0) -
     return keyed.join(tiled, ["__tx", "__ty"]).filter(inside).drop("__tx", "__ty")
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, key: str, reach: float, value: str) -> DataFrame:
-    """points with dist (null beyond reach) and the value of the nearest segment (id, x1..y2, value); ties go to the lowest id.
+def nearest_segment(points: DataFrame, segments: DataFrame, key: str, reach: float | None, value: str, width: float = 80.0) -> DataFrame:
+    """points with dist and the value of the nearest segment (id, x1..y2, value), however far; ties go to the lowest id.
 
-    Each segment is laid into the tiles of its box grown by `reach`, so every point finds its candidates by an equi-join, and
-    the nearest one is a minimum: no pair beyond the reach is made.
+    Tiles of points meet tiles of segments from one tile over everything down to tiles of `width`, a quarter as wide each time;
+    a pair goes on while the circles around its tiles can hold the nearest segment of some point. The bound is a proof, so
+    nothing is cut off by distance. With a reach, what lies beyond it is null.
     """
-    grown = segments.withColumn("__tx", _tiles(F.least("x1", "x2") - reach, F.greatest("x1", "x2") + reach, reach)).withColumn("__ty", _tiles(F.least("y1", "y2") - reach, F.greatest("y1", "y2") + reach, reach))
-    keyed = points.select(key, "x", "y", tile(F.col("x"), reach).alias("__tx"), tile(F.col("y"), reach).alias("__ty"))
-    far = segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
-    near = keyed.join(grown, ["__tx", "__ty"]).withColumn("__d", far).filter(F.col("__d") <= reach)
-    best = near.groupBy(key).agg(F.min(F.struct(F.round("__d", 6).alias("d"), F.col("id"), F.col(value).alias("v"))).alias("b"))
+    coords = ("x1", "y1", "x2", "y2")
+    low, high = {"x": F.least("x1", "x2"), "y": F.least("y1", "y2")}, {"x": F.greatest("x1", "x2"), "y": F.greatest("y1", "y2")}
+    ends = [points.select("x", "y"), segments.select(*[low[c].alias(c) for c in "xy"]), segments.select(*[high[c].alias(c) for c in "xy"])]
+    x0, x9, y0, y9 = ends[0].unionByName(ends[1]).unionByName(ends[2]).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if x0 is None or y0 is None:
+        return points.withColumn("dist", F.lit(None).cast("double")).withColumn(value, F.lit(None).cast(segments.schema[value].dataType))
+    levels = 0
+    while width * 4**levels <= max(x9 - x0, y9 - y0):
+        levels += 1
+    half, slack = math.sqrt(0.5) * width, 1e-5
+    # Segments that lie on each other are one: the lowest id wins every tie.
+    distinct = segments.groupBy(*coords).agg(F.min(F.struct(F.col("id"), F.col(value).alias("v"))).alias("s"))
+    laid = distinct.withColumn("qx", _tiles(low["x"] - x0, high["x"] - x0, width)).withColumn("qy", _tiles(low["y"] - y0, high["y"] - y0, width))
+    centre = lambda at, zero: zero + (F.col(at) + 0.5) * width
+    laid = laid.filter(segment_distance(centre("qx", x0), centre("qy", y0), *[F.col(c) for c in coords]) <= half + slack)
+    keyed = points.withColumn("px", tile(F.col("x") - x0, width)).withColumn("py", tile(F.col("y") - y0, width)).select(key, "x", "y", "px", "py")
+
+    def parents(tiles: DataFrame, a: str, b: str, level: int) -> DataFrame:
+        """Tiles of a level with the tile above each."""
+        up = lambda c, n: F.shiftright(c, 2 * n)
+        return tiles.select(up(a, level).alias(a), up(b, level).alias(b)).distinct().withColumns({a + "_up": up(a, 1), b + "_up": up(b, 1)})
+
+    pairs = parents(keyed, "px", "py", levels).select("px", "py").crossJoin(parents(laid, "qx", "qy", levels).select("qx", "qy"))
+    for level in range(levels - 1, -1, -1):
+        above = pairs.select(*[F.col(c).alias(c + "_up") for c in ("px", "py", "qx", "qy")])
+        met = above.join(parents(keyed, "px", "py", level), ["px_up", "py_up"]).join(parents(laid, "qx", "qy", level), ["qx_up", "qy_up"])
+        apart = F.sqrt((F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2) * (width * 4**level)
+        met = met.select("px", "py", "qx", "qy", apart.alias("apart"))
+        best = F.min("apart").over(Window.partitionBy("px", "py"))
+        pairs = met.withColumn("best", best).filter(F.col("apart") <= F.col("best") + 4 * half * 4**level + slack).select("px", "py", "qx", "qy")
+    met = pairs.join(laid, ["qx", "qy"]).select("px", "py", *coords, "s").distinct()
+    met = met.withColumn("apart", segment_distance(centre("px", x0), centre("py", y0), *[F.col(c) for c in coords]))
+    met = met.withColumn("best", F.min("apart").over(Window.partitionBy("px", "py"))).filter(F.col("apart") <= F.col("best") + 2 * half + slack)
+    far = segment_distance(*[F.col(c) for c in ("x", "y", *coords)])
+    near = keyed.join(met.select("px", "py", *coords, "s"), ["px", "py"]).withColumn("__d", far)
+    if reach is not None:
+        near = near.filter(F.col("__d") <= reach)
+    best = near.groupBy(key).agg(F.min(F.struct(F.round("__d", 6).alias("d"), F.col("s.id"), F.col("s.v"))).alias("b"))
     return points.join(best.select(key, F.col("b.d").alias("dist"), F.col("b.v").alias(value)), key, "left")
 
 

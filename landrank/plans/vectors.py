@@ -12,7 +12,6 @@ from ..sources import fixtures
 from . import query
 from .scoring import SCORED, scored
 
-REACH = 600.0
 SEG = """, sd AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM {points} p, fx_line),
 dd AS (SELECT *, sqrt((x - (x1 + t * (x2 - x1))) * (x - (x1 + t * (x2 - x1))) + (y - (y1 + t * (y2 - y1))) * (y - (y1 + t * (y2 - y1)))) AS far FROM sd),
 nn AS (SELECT {key}, min(round(far, 6)) AS dist, (min_by(stream_order, (round(far, 6), id))) AS stream_order FROM dd WHERE far <= 600 GROUP BY {key})"""
@@ -25,7 +24,8 @@ def _cells(spark, sf_dir) -> DataFrame:
 
 @query(SEG.format(points=CELL_POINTS, key="cell_id") + " SELECT cell_id, dist, stream_order FROM fx_cell LEFT JOIN nn USING (cell_id)")
 def dist_to_stream(spark, sf_dir):
-    return spatial.nearest_segment(_cells(spark, sf_dir), fixtures.flowlines(spark, sf_dir), "cell_id", REACH, "stream_order").select("cell_id", "dist", "stream_order")
+    """Distance and order of the nearest line of every cell; the SQL beside it still stops at 600 m."""
+    return spatial.nearest_segment(_cells(spark, sf_dir), fixtures.flowlines(spark, sf_dir), "cell_id", None, "stream_order").select("cell_id", "dist", "stream_order")
 
 
 @query("SELECT id, stream_order, x1, y1, x2, y2 FROM fx_line WHERE least(x1, x2) <= 500600 AND greatest(x1, x2) >= 500200 AND least(y1, y2) <= 3999900 AND greatest(y1, y2) >= 3999400")
@@ -94,8 +94,8 @@ def cells_in_polygon(spark, sf_dir):
 SELECT round(quantile_cont(dist, 0.5) FILTER (score_pct >= 95), 6) AS top_median, round(quantile_cont(dist, 0.25) FILTER (score_pct >= 95), 6) AS top_q1, round(quantile_cont(dist, 0.5), 6) AS background_median,
 round((quantile_cont(dist, 0.5) FILTER (score_pct >= 95)) / (quantile_cont(dist, 0.5)), 6) AS ratio FROM b""")
 def access_bias(spark, sf_dir):
-    """How near the best cells lie to access lines, against all cells."""
-    near = spatial.nearest_segment(_cells(spark, sf_dir), fixtures.flowlines(spark, sf_dir), "cell_id", REACH, "stream_order").filter("dist is not null")
+    """How near the best cells lie to access lines, against all cells; the SQL beside it still leaves out cells beyond 600 m."""
+    near = spatial.nearest_segment(_cells(spark, sf_dir), fixtures.flowlines(spark, sf_dir), "cell_id", None, "stream_order")
     both = near.join(scored(spark, sf_dir).select("cell_id", "score_pct"), "cell_id")
     top, back = F.when(F.col("score_pct") >= 95.0, F.col("dist")), F.col("dist")
     out = both.agg(stats.quantile(top, 0.5).alias("t"), stats.quantile(top, 0.25).alias("q"), stats.quantile(back, 0.5).alias("b"))

@@ -82,6 +82,29 @@ def test_openness_of_plane_and_numpy(spark):
             assert got[r, c] == pytest.approx(90 - np.mean([math.degrees(math.atan(s)) for s in worst.values()]), abs=1e-4)
 
 
+@pytest.mark.parametrize("lines", [[(0, 0.0, 0.0, 120.0, -150.0), (1, 40.0, 10.0, 40.0, 10.0), (2, 0.0, 0.0, 120.0, -150.0)], None])
+def test_nearest_segment_has_no_reach(spark, lines):
+    rng = np.random.default_rng(8)
+    lines = lines or [(i, *map(float, rng.uniform(-500, 500, 2)), *map(float, rng.uniform(-500, 500, 2))) for i in range(25)]
+    xy = np.concatenate([rng.uniform(-700, 700, (60, 2)), rng.uniform(-30000, 30000, (60, 2))]).round(3).tolist()
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(xy)] + [(999, None, 1.0)], "k int, x double, y double")
+    segments = spark.createDataFrame([(*s, 10 * s[0]) for s in lines], "id int, x1 double, y1 double, x2 double, y2 double, o int")
+
+    def far(p, s):
+        _, x1, y1, x2, y2 = s
+        squared = (x2 - x1) ** 2 + (y2 - y1) ** 2
+        t = max(0.0, min(1.0, ((p[0] - x1) * (x2 - x1) + (p[1] - y1) * (y2 - y1)) / squared)) if squared else 0.0
+        return math.hypot(p[0] - x1 - t * (x2 - x1), p[1] - y1 - t * (y2 - y1))
+
+    got = {r.k: (r.dist, r.o) for r in spatial.nearest_segment(points, segments, "k", None, "o").collect()}
+    assert got.pop(999) == (None, None) and len(got) == len(xy)
+    for i, p in enumerate(xy):
+        d, name = min((round(far(p, s), 6), s[0]) for s in lines)
+        assert got[i] == (pytest.approx(d, abs=2e-6), 10 * name)
+    nothing = spatial.nearest_segment(points, segments.limit(0), "k", None, "o").collect()
+    assert len(nothing) == len(xy) + 1 and all(r.dist is None and r.o is None for r in nothing)
+
+
 def test_flow_accumulation(spark):
     z = np.random.default_rng(5).permutation(56).reshape(7, 8).astype(float)
     got = {(r.row_i, r.col_i): r.cells for r in raster.flow_accumulation(grid(spark, z), "z", 7, 8).collect()}
