@@ -3,7 +3,8 @@
 Every text is a run of word k-gram hashes. Spark joins them all to the k-grams of license templates; a hit of text word i
 on template word j votes for the diagonal i - j. Votes are added up by diagonal, diagonals within `drift` of each other are
 merged (a dropped or added word moves a match to the next one), and a merged span counts when it covers enough of the
-template's words. Base labels are phrases whose words stand consecutively, as in the phrase list.
+template's words and, where the template names a licence, touches that name and version word for word: words that notices of
+other licences share don't tell which one it is. Base labels are phrases whose words stand consecutively, as in the phrase list.
 
 score is the largest share of a template's words that one span covers, and at least 0.5 where a base phrase stands.
 
@@ -38,6 +39,16 @@ TEMPLATES = {
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
     "cc-by-4.0": "this work is licensed under a creative commons attribution 4 0 international license",
 }
+#: Names and versions that tell a template's licence from others, in the spellings that count; templates without one name none.
+TELLS = {
+    "mit-release": ("the mit license",),
+    "apache-2.0": ("apache license version 2", "apache license 2 0", "apache license v2"),
+    "apache-2.0-notice": ("apache license version 2", "apache license 2 0", "apache license v2"),
+    "gpl-3.0": ("gnu general public license version 3", "gnu general public license v3"),
+    "gpl-notice": ("gnu general public license",),
+    "cc-by-nc-4.0": ("cc by nc 4 0",),
+    "cc-by-4.0": ("creative commons attribution 4 0",),
+}
 K = 3
 DRIFT = 2
 COVER = 0.6
@@ -53,13 +64,14 @@ def _phrase_hashes(text: str) -> np.ndarray:
     return _word_hashes(np.frombuffer(text.encode(), np.uint8))[0]
 
 
-def template_grams(spark, templates: dict[str, str] = TEMPLATES, k: int = K) -> DataFrame:
-    """(gram, template, at, n_template): the template side of the join, a fixed list of some hundred rows."""
+def template_grams(spark, templates: dict[str, str] = TEMPLATES, k: int = K, tells: dict[str, tuple[str, ...]] = TELLS) -> DataFrame:
+    """(gram, template, tell, at, n_template): the template side of the join, a fixed list of some hundred rows; tell is -1 for the template itself."""
     rows = []
     for name, text in templates.items():
-        grams = window_hash(_phrase_hashes(text), k).view(np.int64).tolist()
-        rows += [(g, name, j, len(text.split())) for j, g in enumerate(grams)]
-    return spark.createDataFrame(rows, "gram long, template string, at int, n_template int")
+        for tell, phrase in enumerate((text, *tells.get(name, ())), -1):
+            grams = window_hash(_phrase_hashes(phrase), k).view(np.int64).tolist()
+            rows += [(g, name, tell, j, len(phrase.split())) for j, g in enumerate(grams)]
+    return spark.createDataFrame(rows, "gram long, template string, tell int, at int, n_template int")
 
 
 def text_grams(docs: DataFrame, k: int = K) -> DataFrame:
@@ -128,22 +140,29 @@ def base_places(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(scan, "doc_id long, text_key long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>")
 
 
-def diagonal_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K, drift: int = DRIFT, cover: float = COVER) -> DataFrame:
+def diagonal_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K, drift: int = DRIFT, cover: float = COVER, tells: dict[str, tuple[str, ...]] = TELLS) -> DataFrame:
     """(doc_id, text_key, template, start, end, covered, share): verified spans of words [start, end).
 
     The join's template side is a fixed list, so it is broadcast; only hits shuffle, by document and template.
     """
-    hits = text_grams(docs, k).join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "gram").select("doc_id", "text_key", "i", "template", "at", "n_template").distinct()
-    doc = ["doc_id", "text_key", "template", "n_template"]
+    grams = template_grams(docs.sparkSession, templates, k, tells)
+    hits = text_grams(docs, k).join(F.broadcast(grams), "gram").select("doc_id", "text_key", "i", "template", "tell", "at", "n_template").distinct()
+    doc = ["doc_id", "text_key", "template", "tell", "n_template"]
     votes = hits.groupBy(*doc, (F.col("i") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.collect_set("at").alias("ats"), F.min("i").alias("lo"), F.max("i").alias("hi"))
     along = Window.partitionBy(*doc).orderBy("diagonal")
-    new = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= drift, 0).otherwise(1)
+    # Names and versions stand on one diagonal: theirs are not merged.
+    new = F.when((F.col("tell") < 0) & (F.col("diagonal") - F.lag("diagonal").over(along) <= drift), 0).otherwise(1)
     runs = votes.withColumn("new", new).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     # Verification: template words under the run's k-grams, each counted once.
     words = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("ats")), lambda a: F.sequence(a, a + (k - 1))))))
     spans = runs.groupBy(*doc, "run").agg(F.min("lo").alias("start"), (F.max("hi") + k).alias("end"), words.alias("covered"))
     share = F.col("covered") / F.col("n_template")
-    return spans.filter(share >= cover).select("doc_id", "text_key", "template", "start", "end", "covered", share.alias("share"))
+    spans = spans.filter(share >= F.when(F.col("tell") < 0, cover).otherwise(1.0))
+    told = F.collect_list(F.when(F.col("tell") >= 0, F.struct("start", "end"))).over(Window.partitionBy("doc_id", "text_key", "template"))
+    touches = F.exists("told", lambda t: (t["start"] < F.col("end")) & (t["end"] > F.col("start")))
+    named = F.col("template").isin([name for name in templates if tells.get(name)])
+    spans = spans.withColumn("told", told).filter((F.col("tell") < 0) & (~named | touches))
+    return spans.select("doc_id", "text_key", "template", "start", "end", "covered", share.alias("share"))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -161,4 +180,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["PHRASES", "TEMPLATES", "base_places", "diagonal_spans", "scan_licenses", "template_grams", "text_grams"]
+__all__ = ["PHRASES", "TELLS", "TEMPLATES", "base_places", "diagonal_spans", "scan_licenses", "template_grams", "text_grams"]
