@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import curves, stats
 from ..operators import ranking, spatial
 from ..sources import fixtures
+from ..storage import durable
 from . import query
 
 DRAINAGE = {"well_drained": 1.0, "moderately_well_drained": 0.7, "somewhat_poorly_drained": 0.3}
@@ -164,7 +165,7 @@ x AS (SELECT draw, count(*) AS n, avg(score_pct) AS pct_mean, avg(CASE WHEN hand
 
 
 def draws(spark, sf_dir, cells: DataFrame) -> DataFrame:
-    """Statistics of footprints moved by a formula of the draw number, all draws in one tile join."""
+    """Statistics of footprints moved by a formula of the draw number, all draws in one tile join; they lie in the lowest 1400 m, see matched_draws for the whole frame."""
     floor = fixtures.cells(spark, sf_dir).agg(F.min("northing").alias("low"))
     k = F.col("id")
     boxes = spark.range(DRAWS).crossJoin(F.broadcast(floor)).select(k.alias("draw"), (500000.0 + (k * 7919 + 104729) % 850).alias("xmin"), (F.col("low") + (k * 6151 + 7) % 1200).alias("ymin"))
@@ -191,6 +192,62 @@ def permutation_summary(spark, sf_dir):
     )
 
 
+LOWLAND_TOL, TRIES = 0.15, 60
+
+
+def _uniform(salt: int):
+    """A number in [0, 1) by area and try."""
+    return F.pmod(F.xxhash64(F.lit(salt), "aoi_id", "try"), F.lit(1 << 53)) / float(1 << 53)
+
+
+def matched_draws(cells: DataFrame, areas: DataFrame, keep: int = DRAWS) -> DataFrame:
+    """(aoi_id, observed columns, try, n, pct_mean, lowland): the first `keep` null footprints of each area, of at most 60 times as many tries.
+
+    A footprint is the area's own, turned by right angles, anywhere in the frame of all cells; it counts with 0.9 of the area's
+    cells, 10 at least, and a lowland share within LOWLAND_TOL of the area's. Tries go on in rounds for areas that lack some.
+    """
+    points = cells.select("score_pct", "hand_m", F.col("easting").alias("x"), F.col("northing").alias("y"))
+    measured = lambda boxes, *key: spatial.points_in_boxes(points, boxes).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg("score_pct").alias("pct_mean"), stats.share(F.col("hand_m") < 15.0).alias("lowland"))
+    own = measured(areas, "aoi_id", "xmin", "ymin", "xmax", "ymax").select(
+        "aoi_id", F.col("n").alias("own_n"), F.col("pct_mean").alias("observed"), F.col("lowland").alias("own_lowland"), (F.col("xmax") - F.col("xmin")).alias("w"), (F.col("ymax") - F.col("ymin")).alias("h")
+    )
+    frame = points.agg(F.min("x").alias("x0"), F.max("x").alias("x9"), F.min("y").alias("y0"), F.max("y").alias("y9"))
+    own = durable(own.crossJoin(F.broadcast(frame)))
+    kept, lacking, seen, step = None, own, 0, 2 * keep
+    while seen < TRIES * keep:
+        upto = min(seen + step, TRIES * keep)
+        turned = _uniform(0) < 0.5
+        boxes = lacking.crossJoin(own.sparkSession.range(seen, upto).withColumnRenamed("id", "try"))
+        boxes = boxes.select("aoi_id", "try", F.when(turned, F.col("h")).otherwise(F.col("w")).alias("bw"), F.when(turned, F.col("w")).otherwise(F.col("h")).alias("bh"), "x0", "x9", "y0", "y9")
+        boxes = boxes.filter((F.col("x9") - F.col("x0") > F.col("bw")) & (F.col("y9") - F.col("y0") > F.col("bh")))
+        boxes = boxes.withColumn("xmin", F.col("x0") + _uniform(1) * (F.col("x9") - F.col("x0") - F.col("bw"))).withColumn("ymin", F.col("y0") + _uniform(2) * (F.col("y9") - F.col("y0") - F.col("bh")))
+        boxes = boxes.select("aoi_id", "try", "xmin", "ymin", (F.col("xmin") + F.col("bw")).alias("xmax"), (F.col("ymin") + F.col("bh")).alias("ymax"))
+        alike = F.coalesce(F.abs(F.col("lowland") - F.col("own_lowland")) <= LOWLAND_TOL, F.lit(True))
+        good = measured(boxes, "aoi_id", "try", "xmin", "ymin", "xmax", "ymax").join(own, "aoi_id").filter((F.col("n") >= F.greatest(F.lit(10), F.floor(F.col("own_n") * 0.9))) & alike)
+        good = good.select("aoi_id", "own_n", "observed", "own_lowland", "try", "xmin", "ymin", "xmax", "ymax", "n", "pct_mean", "lowland")
+        kept = durable(good if kept is None else kept.unionByName(good))
+        done = kept.groupBy("aoi_id").agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") >= keep)
+        lacking = durable(own.join(done.select("aoi_id"), "aoi_id", "left_anti"))
+        if lacking.isEmpty():
+            break
+        seen, step = upto, 2 * step
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("aoi_id").orderBy("try"))).filter(F.col("rank") <= keep).drop("rank")
+
+
+@query()
+def permutation_matched(spark, sf_dir):
+    """Each positive control against null footprints of its own size and lowland share from the whole frame; no row for an area without cells."""
+    areas = fixtures.areas(spark, sf_dir).filter(CONTROL)
+    cells = scored(spark, sf_dir)
+    null = matched_draws(cells, areas)
+    own = in_areas(cells, spark, sf_dir).filter(CONTROL).groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n"), F.avg("score_pct").alias("observed"))
+    by = null.withColumn("s", F.round("pct_mean", 9)).groupBy("aoi_id").agg(
+        F.count(F.lit(1)).alias("draws"), F.round(F.avg("s"), 6).alias("null_mean"), F.round(F.stddev_pop("s"), 6).alias("null_sd"), F.round(stats.quantile("s", 0.05), 6).alias("q05"),
+        F.round(stats.quantile("s", 0.95), 6).alias("q95"), F.round(stats.empirical_p(F.col("s"), F.round("observed", 9)), 6).alias("p"),
+    )
+    return own.join(by, "aoi_id", "left").select("aoi_id", "n", F.round("observed", 6).alias("observed"), F.coalesce("draws", F.lit(0)).alias("draws"), "null_mean", "null_sd", "q05", "q95", "p")
+
+
 def _without(name: str) -> str:
     rest = {"hand": 3.0, "slope": 2.0, "drainage": 2.0, "twi": 1.0}
     rest.pop(name, None)
