@@ -1,4 +1,4 @@
-"""Chunk tables: documents in rows of a few megabytes, written once, so that later passes can name a chunk.
+"""Chunk tables: documents in rows of about a megabyte, written once, so that later passes can name a chunk.
 
 A pass over the corpus that needs an answer from elsewhere (which fingerprints recur, which passages to cut) sends small
 arrays to hash buckets and gets small arrays back, keyed by chunk. What a chunk sends about one fingerprint is one entry,
@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import doc_texts, save, slices, string_parts
+from ._shared import batchwise, doc_texts, save, slices, string_parts
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def chunk_table(docs: DataFrame, carry: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -51,7 +51,7 @@ def chunk_table(docs: DataFrame, carry: str | None = None, chunk_bytes: int = CH
                 seq += 1
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return save(rows.mapInArrow(build, schema), "chunks")
+    return save(rows.mapInArrow(batchwise(build), schema), "chunks")
 
 
 def corpus_bytes(chunks: DataFrame) -> int:

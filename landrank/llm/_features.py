@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import ALNUM, NOT_SPACE, byte_symbols, lower, mix, prefix, span_hash, word_spans
-from ._shared import doc_texts, slices, string_parts
+from ._shared import batchwise, doc_texts, slices, string_parts
 
 _BATCH_BYTES = 1 << 20
 _UPPER = np.zeros(256, bool)
@@ -78,7 +78,7 @@ def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray
             for i, j in slices(where, _BATCH_BYTES):
                 yield pa.RecordBatch.from_arrays([whole.column("doc_id").slice(i, j - i), pa.array(score(raw, where[i : j + 1]).astype(float))], ["doc_id", "score"])
 
-    rows = doc_texts(docs).mapInArrow(run, "doc_id long, score double")
+    rows = doc_texts(docs).mapInArrow(batchwise(run), "doc_id long, score double")
     return rows.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -93,7 +93,7 @@ def sample_features(docs: DataFrame, chosen: DataFrame, extract: Callable, label
                 yield pa.RecordBatch.from_arrays([whole.column("doc_id").slice(i, j - i), whole.column("label").slice(i, j - i), pa.array(found, pa.binary())], ["doc_id", "label", "features"])
 
     texts = doc_texts(docs).join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label") if label else F.lit(0).alias("label"))), "doc_id")
-    rows = texts.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, features binary").dropDuplicates(["doc_id"]).toArrow()
+    rows = texts.select("doc_id", "text", "label").mapInArrow(batchwise(run), "doc_id long, label int, features binary").dropDuplicates(["doc_id"]).toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     features = rows.column("features").to_pylist()
     return [np.frombuffer(features[i], np.int32) for i in order.tolist()], rows.column("label").to_numpy()[order]

@@ -20,17 +20,35 @@ _LOWER[65:91] += 32
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[97:123] = True
 _ALNUM[128:] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers of a slice; those of later slices are these times one number a slice, so tables do not grow with texts.
+_SLICE = 1 << 16
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
-        for k, r in enumerate((_R, _R_INV)):
-            steps = np.full(size, r, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def _slice_powers(r: np.uint64) -> np.ndarray:
+    steps = np.full(_SLICE, r, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+_POWER, _INVERSE = _slice_powers(_R), _slice_powers(_R_INV)
+
+
+def _slice_steps(r: np.uint64, n: int) -> np.ndarray:
+    """r ** (_SLICE * i) for the slices that n symbols take."""
+    steps = np.full(n // _SLICE + 1, pow(int(r), _SLICE, 2**64), np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+def _scaled(x: np.ndarray, powers: np.ndarray, r: np.uint64) -> np.ndarray:
+    """x[i] * r**i, slice by slice."""
+    out = np.empty(len(x), np.uint64)
+    for i, step in zip(range(0, len(x), _SLICE), _slice_steps(r, len(x)), strict=False):
+        part = x[i : i + _SLICE]
+        np.multiply(part, powers[: len(part)], out=out[i : i + len(part)])
+        if i:
+            out[i : i + len(part)] *= step
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,15 +60,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def prefix(symbols: np.ndarray) -> np.ndarray:
     """Prefix sums S with S[0] = 0 for span_hash."""
-    power, _ = _tables(len(symbols) + 1)
     out = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(symbols * power[: len(symbols)], out=out[1:])
+    np.cumsum(_scaled(symbols, _POWER, _R), out=out[1:])
     return out
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, inverse = _tables(len(sums))
-    return mix((sums[end] - sums[start]) * inverse[start])
+    value = (sums[end] - sums[start]) * _INVERSE[start & (_SLICE - 1)]
+    if len(sums) > _SLICE:
+        value *= _slice_steps(_R_INV, len(sums))[start // _SLICE]
+    return mix(value)
 
 
 def window_hash(symbols: np.ndarray, n: int) -> np.ndarray:
@@ -58,9 +77,7 @@ def window_hash(symbols: np.ndarray, n: int) -> np.ndarray:
     if len(symbols) < n:
         return np.zeros(0, np.uint64)
     sums = prefix(symbols)
-    _, inverse = _tables(len(sums))
-    m = len(symbols) - n + 1
-    return mix((sums[n:] - sums[:m]) * inverse[:m])
+    return mix(_scaled(sums[n:] - sums[: len(symbols) - n + 1], _INVERSE, _R_INV))
 
 
 def byte_symbols(raw: np.ndarray) -> np.ndarray:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +16,15 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 
 
+_open_scratch: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and all tasks run here."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="landrank-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -27,9 +35,80 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _open_scratch:
+        _open_scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], None]]:
+    """Own the tables that are saved inside: at the end all go but those of the frames handed to the function it gives."""
+    kept: set[str] = set()
+    _open_scratch.append([])
+
+    def keep(df: DataFrame) -> None:
+        kept.update(f.rsplit("/", 1)[0] for f in df.inputFiles())
+
+    try:
+        yield keep
+    finally:
+        names = {k.rsplit("/", 1)[-1] for k in kept}
+        mine = _open_scratch.pop()
+        discard(spark, [p for p in mine if p.rsplit("/", 1)[-1] not in names])
+        if _open_scratch:
+            _open_scratch[-1] += [p for p in mine if p.rsplit("/", 1)[-1] in names]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker stays alive between tasks, beside the JVM and its siblings."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def batchwise(work: Callable) -> Callable:
+    """work for mapInArrow, giving memory back at its end."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def groupwise(work: Callable) -> Callable:
+    """work for applyInArrow of a group, giving memory back after each."""
+
+    def run(key, table):
+        try:
+            return work(key, table)
+        finally:
+            give_back()
+
+    return run
+
+
+def pairwise(work: Callable) -> Callable:
+    """work for applyInArrow of a cogroup, giving memory back after each."""
+
+    def run(key, left, right):
+        try:
+            return work(key, left, right)
+        finally:
+            give_back()
+
+    return run
+
+
 def doc_texts(docs: DataFrame, *carry: str) -> DataFrame:
     """(carry, doc_id long, text string, null text as empty); other columns, whatever their names, are left behind."""
     return docs.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -6,8 +6,9 @@ flight phase moves all probabilities of a block through the null space of two co
 at most two of a block are still between 0 and 1. These few of all blocks meet in blocks of the next level, and only
 the last level of a source lands: its at most two documents are settled so that the words miss the target least.
 
-Blocks have bounded size and the hot source has many, so no task sees a source whole. Randomness comes from hashes of
-doc_ids and block numbers: reruns agree, whatever the partitioning.
+Blocks have bounded size and the hot source has many, so no task sees a source whole; they hold sizes, never texts.
+Randomness comes from hashes of doc_ids, texts and block numbers: reruns agree, whatever the partitioning (for `mix`, rows
+without an id are told apart by their place in the table that it writes).
 
 Defined results: null texts have size 0 and are never taken; a null source is a source and comes last; null doc_ids and
 repeated rows are units of their own; an empty table gives none; other columns are carried in a struct and clash with
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import SPACE, save
+from ._shared import SPACE, groupwise, save
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
@@ -112,8 +113,8 @@ def land(prob: list[float], size: list[float]) -> list[float]:
 def _fly(schema: str, last: bool):
     def solve(key, table):
         rank, block = key[0].as_py(), key[1].as_py()
-        frame = pd.DataFrame({c: table.column(c).to_numpy(zero_copy_only=False) for c in ("order", "size", "prob")})
-        at = frame.sort_values(["order", "size"], kind="stable").index.to_numpy()
+        frame = pd.DataFrame({c: table.column(c).to_numpy(zero_copy_only=False) for c in ("order", "size", "row", "prob")})
+        at = frame.sort_values(["order", "size", "row"], kind="stable").index.to_numpy()
         size, prob = frame["size"].to_numpy(float)[at].tolist(), frame["prob"].to_numpy(float)[at].tolist()
         got = flight(prob, size, random.Random(rank * 1_000_003 + block * 2 + last))
         if last:
@@ -125,21 +126,35 @@ def _fly(schema: str, last: bool):
     return solve
 
 
+def _unit_columns(docs: DataFrame) -> list:
+    """What tells units apart: id, source and size, and the text by its hash, so that rows without an id differ too."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest")]
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """mix_sized over rows that carry all columns of docs."""
+    """mix_sized over rows that carry all columns of docs.
+
+    Rows are written once with a number; only numbers and sizes take part in the method, and texts are joined back on them.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return mix_sized(docs.select(row.alias("row"), "doc_id", "source", n_words("text").alias("size")), weights, cap, "row")
+    rows = save(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("at"), *_unit_columns(docs)), "rows")
+    units = rows.select("at", "doc_id", "source", "size", "digest", F.when(F.col("doc_id").isNull(), F.col("at")).otherwise(0).alias("number"))
+    got = mix_sized(units, weights, cap, "at").withColumnRenamed("row", "at")
+    return rows.select("at", "row").join(got, "at").select("row", "size", "source_size", "target", "copies")
 
 
-def mix_sized(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, carry: str = "doc_id") -> DataFrame:
-    """(row, the carried column, size, source_size, target, copies long): how often each row goes into the mix."""
-    sized = docs.select(F.col(carry).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "size")
-    plan = source_targets(sized.select("source", "size"), weights, cap).withColumnRenamed("source", "plan_source")
+def mix_sized(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, carry: str = "doc_id") -> DataFrame:
+    """(row, the carried column, size, source_size, target, copies long): how often each unit goes into the mix.
+
+    units: doc_id, source, size, digest, number and the carried column; the hash of doc_id, digest and number places a unit,
+    so that neither rows without an id nor repeats of one meet in one block.
+    """
+    plan = source_targets(units.select("source", "size"), weights, cap).withColumnRenamed("source", "plan_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    key = F.xxhash64("doc_id", F.lit(17))
+    key = F.xxhash64("doc_id", "digest", "number", F.lit(17))
     blocks = F.ceil(F.col("n_docs") / BLOCK).cast("int")
-    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select(
-        "row", "size", "source_size", "target", "rank", F.floor(rate).cast("long").alias("whole"), (rate - F.floor(rate)).alias("prob"),
+    rows = units.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select(
+        F.col(carry).alias("row"), "size", "source_size", "target", "rank", F.floor(rate).cast("long").alias("whole"), (rate - F.floor(rate)).alias("prob"),
         key.alias("order"), F.pmod(F.shiftrightunsigned(key, 7), blocks).cast("int").alias("block"),
     )
     rows = rows.withColumn("prob", F.when(F.col("size") > 0, F.col("prob")).otherwise(0.0))
@@ -149,7 +164,7 @@ def mix_sized(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
     settled: list[DataFrame] = []
     while True:
         last = n_blocks == 1
-        rows = save(rows.groupBy("rank", "block").applyInArrow(_fly(schema, last), schema), "cube")
+        rows = save(rows.groupBy("rank", "block").applyInArrow(groupwise(_fly(schema, last)), schema), "cube")
         open_ = (F.col("prob") > 0) & (F.col("prob") < 1)
         settled.append(rows if last else rows.filter(~open_))
         if last:
@@ -161,9 +176,13 @@ def mix_sized(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """op6: words that the mix takes of every document."""
-    sized = docs.select("doc_id", "source", n_words("text").alias("size"))
-    got = mix_sized(sized)
+    """op6: words that the mix takes of every document.
+
+    Rows alike in id, source and text are counted first and numbered from their count, so that a rerun numbers them alike.
+    """
+    alike = docs.select(*_unit_columns(docs)).groupBy("doc_id", "source", "size", "digest").agg(F.count(F.lit(1)).alias("n"))
+    units = save(alike.select("doc_id", "source", "size", "digest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("number")), "units")
+    got = mix_sized(units)
     return got.select(F.col("row").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

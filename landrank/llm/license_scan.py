@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._hashing import ALNUM, byte_symbols, lower, prefix, span_hash, window_hash, word_spans
-from ._shared import doc_texts, slices, string_parts
+from ._shared import batchwise, doc_texts, slices, string_parts
 
 #: Phrases and labels of the contract: fixed values.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -92,7 +92,7 @@ def text_grams(docs: DataFrame, k: int = K) -> DataFrame:
                     ["doc_id", "text_key", "i", "gram"],
                 )
 
-    return _keyed(docs).mapInArrow(roll, "doc_id long, text_key long, i int, gram long")
+    return _keyed(docs).mapInArrow(batchwise(roll), "doc_id long, text_key long, i int, gram long")
 
 
 def _words(raw: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def base_places(docs: DataFrame) -> DataFrame:
                     ["doc_id", "text_key", "n_words", "n_base", "first_word", "last_word", "base_labels"],
                 )
 
-    return _keyed(docs).mapInArrow(scan, "doc_id long, text_key long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>")
+    return _keyed(docs).mapInArrow(batchwise(scan), "doc_id long, text_key long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>")
 
 
 def diagonal_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K, drift: int = DRIFT, cover: float = COVER, tells: dict[str, tuple[str, ...]] = TELLS) -> DataFrame:

@@ -19,6 +19,7 @@ texts below k words have their whole sequence as one shingle; rows with a null d
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from ._chunks import Chunk, by_bucket, chunk_table, corpus_bytes, in_sorted, opened
 from ._components import components
 from ._hashing import NOT_SPACE, byte_symbols, lower, mix, prefix, span_hash, window_hash, word_spans
-from ._shared import save
+from ._shared import batchwise, groupwise, pairwise, save, scratch
 
 _SLOTS = 1 << 18
 _PARTS = 16
@@ -39,6 +40,8 @@ _SIGNATURE_WORDS = 8
 #: Sets above _WIDE_FROM shingles also have a signature of 4096 bits: 512 say nothing about thousands of shingles.
 _WIDE_WORDS = 64
 _WIDE_FROM = 256
+#: Groups of one shingle and size class that one task compares with all others.
+PART = 4096
 
 
 @dataclass(frozen=True)
@@ -121,7 +124,7 @@ def shingle_counts(chunks: DataFrame, spec: JoinSpec) -> np.ndarray:
         total = np.sum([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()], axis=0)
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
 
-    rows = chunks.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    rows = chunks.mapInArrow(batchwise(count), "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
     out = np.zeros((_PARTS, _SLOTS // _PARTS), np.int64)
     for r in rows:
         out[r.part] = np.frombuffer(r.counts, np.int64)
@@ -193,9 +196,9 @@ def profiles(chunks: DataFrame, spec: JoinSpec) -> DataFrame:
             )
         return pa.concat_tables(out)
 
-    told = chunks.mapInArrow(send, "bucket int, chunk long, marks binary, groups binary").groupBy("bucket").applyInArrow(tell, "chunk long, bucket int, marks binary")
+    told = chunks.mapInArrow(batchwise(send), "bucket int, chunk long, marks binary, groups binary").groupBy("bucket").applyInArrow(groupwise(tell), "chunk long, bucket int, marks binary")
     schema = "chunk long, row int, doc_id long, n long, key1 long, key2 long, group long, tokens array<long>, signature array<long>, wide array<long>"
-    return save(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(close, schema), "profiles")
+    return save(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(pairwise(close), schema), "profiles")
 
 
 def _needed(na: str, nb: str, spec: JoinSpec):
@@ -230,7 +233,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("xa"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("xb"))
-    return save(pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(check, "a long, b long"), "links")
+    return save(pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(batchwise(check), "a long, b long"), "links")
 
 
 def classes(docs_profiles: DataFrame) -> DataFrame:
@@ -242,7 +245,14 @@ def classes(docs_profiles: DataFrame) -> DataFrame:
 
 
 def link(chunks: DataFrame, nodes: DataFrame, spec: JoinSpec) -> DataFrame:
-    """(node, component) of every class that links with another."""
+    """(node, component) of every class that links with another; tables on the way are deleted."""
+    with scratch(chunks.sparkSession) as keep:
+        labels = _link(chunks, nodes, spec)
+        keep(labels)
+    return labels
+
+
+def _link(chunks: DataFrame, nodes: DataFrame, spec: JoinSpec) -> DataFrame:
     groups = nodes.groupBy("group").agg(
         F.min("node").alias("gid"), F.first("n").alias("n"), F.count(F.lit(1)).alias("members"), F.first("tokens").alias("tokens"), F.first("signature").alias("signature"), F.first("wide").alias("wide")
     )
@@ -270,7 +280,7 @@ def link(chunks: DataFrame, nodes: DataFrame, spec: JoinSpec) -> DataFrame:
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(members.select("node", "chunk", "row"), "node")
-        got = chunks.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(fetch, "node long, set binary")
+        got = chunks.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(pairwise(fetch), "node long, set binary")
         return save(got, "sets")
 
     links = _verify(first, sets_of(first), spec)
@@ -283,10 +293,23 @@ def link(chunks: DataFrame, nodes: DataFrame, spec: JoinSpec) -> DataFrame:
     held = tokens.join(spread, "gid")
     mixed = held.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("token")
     rows = save(held.join(mixed, "token").join(groups.select("gid", "n", "signature"), "gid"), "open")
-    x, y = (rows.select("token", *[F.col(c).alias(k + s) for c, k in (("gid", "gid"), ("n", "n"), ("lo", "lo"), ("hi", "hi"), ("signature", "s"))], F.lit(None).cast("array<bigint>").alias("w" + s)) for s in "ab")
+    # Pairs go by size, the smaller set first: sets that can link are of one size class or of neighbouring ones. A shingle is so
+    # split by size, and where a class has more than PART groups, its smaller sides are dealt to parts that each meet all larger.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / spec.percent)).cast("int")
+    rows = rows.withColumn("band", band)
+    heat = rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > PART).select("token", "band", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    heat = save(heat, "heat")
+
+    def side_of(s: str, band_of, part_of) -> DataFrame:
+        named = rows.withColumn("band", band_of).join(heat, ["token", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        return named.select("token", "band", part_of.alias("part"), *[F.col(c).alias(k + s) for c, k in (("gid", "gid"), ("n", "n"), ("lo", "lo"), ("hi", "hi"), ("signature", "s"))], F.lit(None).cast("array<bigint>").alias("w" + s))
+
+    x = side_of("a", F.col("band"), F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int"))
+    y = side_of("b", F.explode(F.array(F.col("band"), F.col("band") - 1)), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     apart = (F.col("loa") != F.col("hia")) | (F.col("lob") != F.col("hib")) | (F.col("loa") != F.col("lob"))
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("gida") < F.col("gidb")))
     # A group of one member is judged by its signature here, others after they are expanded.
-    pairs = x.join(y, (x.token == y.token) & (F.col("gida") < F.col("gidb")) & apart & F.coalesce(_possible(spec), F.lit(True)) & _sizes(spec))
+    pairs = x.join(y, ["token", "band", "part"]).filter(ordered & apart & F.coalesce(_possible(spec), F.lit(True)) & _sizes(spec))
     pairs = pairs.select(F.col("gida").alias("gidx"), F.col("gidb").alias("gidy")).distinct()
     inner = spread.filter("lo <> hi").select(F.col("gid").alias("gidx"), F.col("gid").alias("gidy"))
     p, q = (placed.select(F.col("gid").alias("gid" + g), F.col("node").alias(s), F.col("n").alias("n" + s), F.col("signature").alias("s" + s), F.col("wide").alias("w" + s), F.col("c").alias("c" + s)) for g, s in (("x", "a"), ("y", "b")))
@@ -336,4 +359,4 @@ def drop_near_copies(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
         carried = [left.column("carried")[0][r].as_py() for r in rows] if rows else []
         return pa.Table.from_pylist(carried, schema=arrow)
 
-    return chunks.select("chunk", "carried").groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInArrow(pick, schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return chunks.select("chunk", "carried").groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInArrow(pairwise(pick), schema).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,15 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import NOT_SPACE, byte_symbols, prefix, span_hash, word_spans
-from ._shared import doc_texts, slices, string_parts, text_bytes
+from ._shared import batchwise, doc_texts, groupwise, slices, string_parts, text_bytes
 
 CAPACITY = 2048
 END_ID = 0
 #: Words of these letters and one run of plain marks behind them tokenize as the letters and the marks do alone.
 _PLAIN = regex.compile(r"([a-zß-öø-ÿ]+)([.,;:!?|%&$*#]+)")
 _ONE = regex.compile(r"[a-zß-öø-ÿ]+|[.,;:!?|%&$*#]+")
-_WORDS_KEPT = 2_000_000
-_RECENT = 200_000
+#: Words that a worker keeps, some 40 bytes each; beyond that it starts again.
+_WORDS_KEPT = 500_000
+_RECENT = 50_000
 _SHARD_BYTES = 8 << 20
 _BATCH_BYTES = 1 << 20
 _workers: dict[str, WordCache] = {}
@@ -190,7 +191,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
 
-    return doc_texts(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return doc_texts(docs).mapInArrow(batchwise(cut), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def best_fit(demand: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -256,23 +257,26 @@ def pack(found: DataFrame, shards: int, capacity: int = CAPACITY, max_docs: int
         return table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     shard = F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)).cast("int")
-    return found.withColumn("__shard", shard).groupBy("__shard").applyInArrow(fill, schema)
+    return found.withColumn("__shard", shard).groupBy("__shard").applyInArrow(groupwise(fill), schema)
 
 
 def shards_for(docs: DataFrame) -> int:
     return max(1, text_bytes(docs) // _SHARD_BYTES)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """op10: one row a piece, ids as their checksum; pieces travel to their shard as numbers, not as ids."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, max_docs: int | None = None, max_attention: float | None = None) -> DataFrame:
+    """op10: one row a piece, ids as their checksum; pieces travel to their shard as numbers, not as ids.
+
+    op10 asks for as few sequences as the tokens allow, so it sets no other limit; `max_docs` and `max_attention` bind where given.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             crc = pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:4], crc], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    found = pieces(docs, tokenizer_path, capacity).mapInArrow(digest, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    return pack(found, shards_for(docs), capacity)
+    found = pieces(docs, tokenizer_path, capacity).mapInArrow(batchwise(digest), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return pack(found, shards_for(docs), capacity, max_docs, max_attention)
 
 
 def default_tokenizer() -> str:
