@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from landrank.llm import column_bwt, cube_mixing, prefix_join, quality_rules, vector_packing
-from landrank.llm._shared import save
+from landrank.llm._shared import save, scratch
+
+#: Limits of a packed sequence beside its 2048 tokens: pieces, and the sum of their squared lengths (that of one full piece).
+MAX_DOCS = 32
+MAX_ATTENTION = 2048.0**2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +33,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place in it."""
-    return vector_packing.pack_documents(docs, vector_packing.default_tokenizer())
+    """Token pieces with their sequence and place in it; a sequence holds at most MAX_DOCS pieces and MAX_ATTENTION of cost."""
+    return vector_packing.pack_documents(docs, vector_packing.default_tokenizer(), max_docs=MAX_DOCS, max_attention=MAX_ATTENTION)
 
 
 STAGES = [
@@ -46,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`. Each stage's kept documents are a table; what it wrote on the way is deleted behind it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            docs = save(stage(spark, docs, sf_dir), name)
+            keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df checkpointed to spark.checkpoint.dir, which all executors share; to a folder of our own only where it is unset."""
+    """df checkpointed to spark.checkpoint.dir, which all executors share; to a folder of our own only where it is unset and all
+    tasks run here."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="landrank-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="landrank-"))
     return df.checkpoint()
