@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from ._chunks import Chunk, by_bucket, corpus_bytes, in_sorted, opened
 from ._hashing import NOT_SPACE, byte_symbols, mix, prefix, sliding_min, span_hash, window_hash, word_spans
-from ._shared import save
+from ._shared import batchwise, groupwise, pairwise, save
 
 _LATE = np.iinfo(np.int64).max
 _BUCKET_BYTES = 16 << 20
 _SHARD_BYTES = 4 << 20
+#: Recurring windows that a string has on average, for the size of batches only.
+_WINDOWS_A_STRING = 8
 #: An anchor in more chunks than this is split over shards by window content.
 HEAVY_CHUNKS = 4096
 
@@ -146,8 +148,8 @@ def recurring_marks(chunks: DataFrame, spec: Spec, buckets: int, heavy: int) ->
         rows = [i for i, (a, b) in enumerate(zip(light_out, heavy_out, strict=True)) if a or b]
         return pa.table([table.column("chunk").take(pa.array(rows, pa.int64())), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([light_out[i] for i in rows], pa.binary()), pa.array([heavy_out[i] for i in rows], pa.binary())], ["chunk", "bucket", "light", "heavy"])
 
-    sent = chunks.mapInArrow(send, "bucket int, chunk long, marks binary")
-    return save(sent.groupBy("bucket").applyInArrow(tell, "chunk long, bucket int, light binary, heavy binary"), "marks")
+    sent = chunks.mapInArrow(batchwise(send), "bucket int, chunk long, marks binary")
+    return save(sent.groupBy("bucket").applyInArrow(groupwise(tell), "chunk long, bucket int, light binary, heavy binary"), "marks")
 
 
 class Candidates:
@@ -183,6 +185,47 @@ class Candidates:
         np.maximum.at(self.high, self.which, ids)
 
 
+@dataclass
+class Meeting:
+    """Windows that may stand in strings of different `low`: the strings that hold them, and one place of each window."""
+
+    strings: np.ndarray
+    owner: np.ndarray
+    start: np.ndarray
+
+
+def meeting(hashes: np.ndarray, size: np.ndarray, window: int, low: np.ndarray, anchors: np.ndarray, batch: int) -> Iterator[Meeting]:
+    """Groups of windows with equal hashes in strings with different `low`, in batches of about `batch` strings or windows.
+
+    hashes: of all windows of the strings' symbols one after another; size: symbols of each string. Groups are never parted
+    and go by their anchor, so that a string is in few batches; an anchor of any number of strings is cut between windows.
+    """
+    n = len(size)
+    where = np.cumsum(size) - size
+    owner = np.repeat(np.arange(n), np.maximum(0, size - window + 1))
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(np.maximum(0, size - window + 1)) - np.maximum(0, size - window + 1), np.maximum(0, size - window + 1))
+    values = hashes[where[owner] + inner] if len(owner) else np.zeros(0, np.uint64)
+    order = np.argsort(values, kind="stable")
+    if not len(order):
+        return
+    sorted_ = values[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    count = np.diff(np.append(first, len(order)))
+    of = low[owner[order]]
+    mixed = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
+    first, count = first[mixed], count[mixed]
+    by = np.argsort(anchors[owner[order[first]]], kind="stable")
+    first, count = first[by], count[by]
+    total = np.cumsum(count)
+    at = 0
+    while at < len(first):
+        # Strings of a batch: at most its windows; a batch ends before it has too many, but has one window's at least.
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + batch * _WINDOWS_A_STRING, "right")))
+        rows = order[np.repeat(first[at:stop] - np.cumsum(count[at:stop]) + count[at:stop], count[at:stop]) + np.arange(count[at:stop].sum())]
+        yield Meeting(np.unique(owner[rows]), owner[order[first[at:stop]]], inner[order[first[at:stop]]])
+        at = stop
+
+
 Solver = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -244,8 +287,8 @@ def solve_shards(chunks: DataFrame, told: DataFrame, spec: Spec, buckets: int, s
         rows = [i for i, x in enumerate(out) if x]
         return pa.table([table.column("chunk").take(pa.array(rows, pa.int64())), pa.array([out[i] for i in rows], pa.binary())], ["chunk", "answers"])
 
-    sent = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(send, "shard int, chunk long, blob binary")
-    return save(sent.groupBy("shard").applyInArrow(answer, "chunk long, answers binary"), "answers")
+    sent = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(pairwise(send), "shard int, chunk long, blob binary")
+    return save(sent.groupBy("shard").applyInArrow(groupwise(answer), "chunk long, answers binary"), "answers")
 
 
 Finish = Callable[[Chunk, Symbols, np.ndarray, dict], pa.Table]
@@ -285,4 +328,4 @@ def earlier_windows(chunks: DataFrame, spec: Spec, solver: Solver, finish: Finis
             out.append(finish(chunk, found.symbols, np.cumsum(turn)[:-1] > 0, row))
         return pa.concat_tables(out) if out else None
 
-    return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(close, schema)
+    return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(pairwise(close), schema)

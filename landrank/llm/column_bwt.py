@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,71 +28,148 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._chunks import Chunk, chunk_table
-from ._repeats import HEAVY_CHUNKS, Spec, Symbols, earlier_windows
-from .phrase_automata import by_anchor, kept_runs
+from ._hashing import byte_symbols, window_hash
+from ._repeats import HEAVY_CHUNKS, Spec, Symbols, earlier_windows, meeting
+from .phrase_automata import kept_runs
 
 WINDOW = 50
 SPEC = Spec(words=False, window=WINDOW, anchor=20)
 _BATCH = 16_000
+#: Entries that a round reads and writes at a time.
+_BLOCK = 1 << 16
 #: Stands in the transform where a string begins; no UTF-8 text has this byte.
 _END = 255
 
 
+class _External:
+    """The transform and its common prefixes as pairs of bytes in two files: each round reads one and writes the other."""
+
+    def __init__(self, folder: str):
+        self.paths = [os.path.join(folder, name) for name in ("even", "odd")]
+        for path in self.paths:
+            open(path, "wb").close()
+        self.now = 0
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        """The current file from front to back, `_BLOCK` entries (symbol, common prefix) at a time."""
+        with open(self.paths[self.now], "rb") as f:
+            while data := f.read(2 * _BLOCK):
+                yield np.frombuffer(data, np.uint8).reshape(-1, 2)
+
+    def rewrite(self, blocks: Iterator[np.ndarray]) -> None:
+        """Write the other file from front to back, over what it held (it only grows), and turn to it."""
+        with open(self.paths[1 - self.now], "r+b") as f:
+            for block in blocks:
+                f.write(block.tobytes())
+        self.now = 1 - self.now
+
+
+class _Neighbours:
+    """One scan over the transform: for entries asked about, in order, how many equal symbols stand before, and the smallest
+    common prefix between an entry and the nearest equal symbols before and after it (-1 where there is none)."""
+
+    def __init__(self, n: int):
+        self.occ, self.before, self.after = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        self.count = np.zeros(256, np.int64)
+        #: Smallest prefix since the last entry with a symbol; who waits for the next one.
+        self.since = np.full(256, -1, np.int64)
+        self.waits = np.full(256, -1, np.int64)
+
+    def scan(self, block: np.ndarray, rows: np.ndarray, at: np.ndarray) -> None:
+        """block: next entries; rows: numbers of those asked about, at: their places in the block."""
+        bwt, lcp = np.ascontiguousarray(block[:, 0]), np.ascontiguousarray(block[:, 1])
+        order = np.argsort(bwt, kind="stable")
+        counts = np.bincount(bwt, minlength=256)
+        start = np.cumsum(counts) - counts
+        kinds = np.flatnonzero(counts)
+        first, last = order[start[kinds]], order[start[kinds] + counts[kinds] - 1]
+        # The first entry of each symbol in the block ends what was open before it.
+        head = np.minimum.accumulate(lcp)
+        opened = np.full(256, -1, np.int64)
+        opened[kinds] = np.where(self.since[kinds] >= 0, np.minimum(self.since[kinds], head[first]), -1)
+        met = kinds[self.waits[kinds] >= 0]
+        self.after[self.waits[met]] = opened[met]
+        self.waits[kinds] = -1
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        seat, symbol = place[at].astype(np.int64), bwt[at]
+        self.occ[rows] = self.count[symbol] + seat - start[symbol]
+        inner = seat > start[symbol]
+        self.before[rows] = opened[symbol]
+        self.before[rows[inner]] = _range_min(lcp, order[seat[inner] - 1], at[inner])
+        inner = seat < start[symbol] + counts[symbol] - 1
+        self.after[rows[inner]] = _range_min(lcp, at[inner], order[seat[inner] + 1])
+        self.waits[symbol[~inner]] = rows[~inner]
+        # What follows the last entry of each symbol, to the end of the block.
+        tail = np.append(np.minimum.accumulate(lcp[::-1])[::-1].astype(np.int64), 255)
+        seen = self.since >= 0
+        self.since[seen] = np.minimum(self.since[seen], tail[0])
+        self.since[kinds] = tail[last + 1]
+        self.count += counts
+
+
 def build(texts: list[bytes], folder: str) -> tuple[np.ndarray, np.ndarray]:
     """(transform, common prefix with the entry before) of all suffixes of all strings, in order; strings' ends come first.
 
-    Strings must be shorter than 255 bytes.
+    Strings must be shorter than 255 bytes. A round scans the file twice in blocks: once to rank the symbols to insert, once
+    to merge them in; what stays in memory is one number a string and 256 counters.
     """
     n = len(texts)
     size = np.fromiter(map(len, texts), np.int64, n)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     end = np.cumsum(size)
-    bwt_file, lcp_file = os.path.join(folder, "bwt"), os.path.join(folder, "lcp")
-    np.where(size > 0, raw[end - 1], _END).astype(np.uint8).tofile(bwt_file)
-    np.zeros(n, np.uint8).tofile(lcp_file)
+    files = _External(folder)
+    ends = np.where(size > 0, raw[np.maximum(end - 1, 0)], _END).astype(np.uint8) if len(raw) else np.full(n, _END, np.uint8)
+    files.rewrite(iter([np.stack([ends, np.zeros(n, np.uint8)], 1)]))
+    counts = np.bincount(ends, minlength=256)
     place, live = np.arange(n), np.flatnonzero(size > 0)
     for j in range(1, int(size.max(initial=0)) + 1):
         live = live[size[live] >= j]
-        bwt, lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        live = live[np.argsort(place[live], kind="stable")]
         at = place[live]
-        r = rank[at]
-        symbol = bwt[at]
-        new = n + r
-        total = len(bwt) + len(live)
-        fresh = np.zeros(total, bool)
-        fresh[new] = True
-        bwt_out, lcp_out = np.empty(total, np.uint8), np.empty(total, np.uint8)
-        bwt_out[~fresh], lcp_out[~fresh] = bwt, lcp
-        bwt_out[new] = np.where(size[live] > j, raw[np.maximum(end[live] - j - 1, 0)], _END)
-        # Neighbours in the new order come from the nearest equal symbols before and after in the old one.
-        left = order[np.maximum(r - 1, 0)]
-        has_left = (r > 0) & (bwt[left] == symbol)
-        lcp_out[new] = np.where(has_left, 1 + _range_min(lcp, np.where(has_left, left, at), at), 0)
-        right = order[np.minimum(r + 1, len(order) - 1)]
-        has_right = (r + 1 < len(order)) & (bwt[right] == symbol)
-        after = 1 + _range_min(lcp, at, np.where(has_right, right, at))
-        follows = new + 1 < total
-        lcp_out[(new + 1)[follows]] = np.where(has_right, after, 0)[follows]
-        bwt_out.tofile(bwt_file)
-        lcp_out.tofile(lcp_file)
+        found = _Neighbours(len(live))
+        base = 0
+        for block in files.blocks():
+            rows = np.arange(*np.searchsorted(at, [base, base + len(block)]))
+            found.scan(block, rows, at[rows] - base)
+            base += len(block)
+        symbol = raw[end[live] - j]
+        new = n + (np.cumsum(counts) - counts)[symbol] + found.occ
+        fresh = np.where(size[live] > j, raw[np.maximum(end[live] - j - 1, 0)], _END).astype(np.uint8)
+        by = np.argsort(new, kind="stable")
+        entry = np.stack([fresh, found.before + 1], 1).astype(np.uint8)[by]
+        files.rewrite(_merged(files.blocks(), new[by], entry, (found.after + 1)[by].astype(np.uint8), base))
+        counts += np.bincount(fresh, minlength=256)
         place[live] = new
-    return np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
+    out = np.concatenate([np.zeros((0, 2), np.uint8), *files.blocks()])
+    return out[:, 0].copy(), out[:, 1].copy()
+
+
+def _merged(blocks: Iterator[np.ndarray], new: np.ndarray, entry: np.ndarray, after: np.ndarray, total: int) -> Iterator[np.ndarray]:
+    """Blocks with entries put in at places `new` of the result; what stands behind an entry shares `after` with it."""
+    before = new - np.arange(len(new))
+    base = 0
+    for block in blocks:
+        stop = base + len(block)
+        a, b = np.searchsorted(before, base), np.searchsorted(before, stop) if stop < total else len(before)
+        out = block.copy()
+        # Of entries in one gap the last one stands before the old entry.
+        gap = before[a:b] - base
+        old = gap < len(block)
+        out[gap[old], 1] = after[a:b][old]
+        pairs = lambda x: np.ascontiguousarray(x).view(np.uint16).ravel()
+        yield np.insert(pairs(out), gap, pairs(entry[a:b])).view(np.uint8).reshape(-1, 2)
+        base = stop
 
 
 def _range_min(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minimum of values[a + 1 .. b] for each pair; anything where a == b. One pass: pairs go by their end."""
+    """Minimum of values[a + 1 .. b] for pairs a < b. One pass: pairs go by their end."""
     if not len(a):
         return np.zeros(0, np.int64)
     padded = np.append(values, 0)
-    by_end = np.argsort(b, kind="stable")
     pairs = np.empty(2 * len(a), np.int64)
-    pairs[0::2], pairs[1::2] = np.minimum(a + 1, b)[by_end], b[by_end] + 1
-    out = np.empty(len(a), np.int64)
-    out[by_end] = np.minimum.reduceat(padded, pairs)[0::2]
-    return out
+    pairs[0::2], pairs[1::2] = a + 1, b + 1
+    return np.minimum.reduceat(padded, pairs)[0::2].astype(np.int64)
 
 
 def earliest(texts: list[bytes], low: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -121,9 +199,12 @@ def earliest(texts: list[bytes], low: np.ndarray, window: int = WINDOW) -> np.nd
 
 
 def solver(texts: list[bytes], low: np.ndarray, high: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Bits as `earliest` gives them. Strings that no other one with another `low` can share a window with, by the windows'
+    hashes, stay out of the collections; equal hashes always meet in one, so nothing is lost."""
     bits = np.zeros(len(texts), np.uint64)
-    for rows in by_anchor(anchors, _BATCH):
-        bits[rows] = earliest([texts[i] for i in rows.tolist()], low[rows])
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    for rows in meeting(window_hash(byte_symbols(raw), WINDOW), np.fromiter(map(len, texts), np.int64, len(texts)), WINDOW, low, anchors, _BATCH):
+        bits[rows.strings] |= earliest([texts[i] for i in rows.strings.tolist()], low[rows.strings])
     return bits
 
 
