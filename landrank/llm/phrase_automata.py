@@ -1,9 +1,9 @@
 """Substring dedup by repeated-phrase automata.
 
-Recurring passages are confirmed window by window inside shards (see _repeats: every window that two documents share meets
-in one shard), compiled into Aho-Corasick automata over words as letters, and all segments of all documents that can hold
-one stream through the automaton of their shard, which locates every occurrence. Words covered by a passage that also
-starts in a document with a smaller id are removed.
+Recurring passages are confirmed by hash inside shards (see _repeats: every window that two documents share meets in one
+shard), compiled into Aho-Corasick automata over words as numbers, and all segments of all documents that can hold one
+stream through the automaton of their shard. Its finds are every occurrence, and they alone say which document is the first
+one. Words covered by a passage that also starts in a document with a smaller id are removed.
 
 Defined results: null and empty texts have no words; documents with a null id neither lose words nor cause losses; rows
 that repeat an id do not remove each other's words; documents below one window stay whole; an empty table gives none.
@@ -19,78 +19,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._chunks import Chunk, chunk_table
-from ._repeats import HEAVY_CHUNKS, Spec, Symbols, earlier_windows
+from ._hashing import NOT_SPACE, byte_symbols, prefix, span_hash, window_hash, word_spans
+from ._repeats import HEAVY_CHUNKS, Spec, Symbols, earlier_windows, meeting
 
 WINDOW = 13
 SPEC = Spec(words=True, window=WINDOW, anchor=4)
-#: Segments of one automaton; segments of one anchor are never parted.
+#: About how many segments stream through one automaton.
 _BATCH = 20_000
 
 
-def _letters(texts: list[bytes]) -> list[str]:
-    """Texts with every distinct word written as one character, surrogates left out."""
-    code: dict[bytes, str] = {}
-    out = []
-    for text in texts:
-        word = text.split(b" ")
-        for w in word:
-            if w not in code:
-                k = len(code) + 256
-                code[w] = chr(k if k < 0xD800 else k + 0x800)
-        out.append("".join(map(code.__getitem__, word)))
-    return out
+def compile_phrases(phrases: list[list[bytes]]) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
+    """Automaton over words as numbers, any number of distinct ones, and the numbers; 0 stands for all other words."""
+    code: dict[bytes, int] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for k, phrase in enumerate(phrases):
+        automaton.add_word(tuple([code.setdefault(w, len(code) + 1) for w in phrase]), k)
+    automaton.make_automaton()
+    return automaton, code
 
 
-def locate(texts: list[bytes], low: np.ndarray, high: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def locate(texts: list[bytes], low: np.ndarray, high: np.ndarray, window: int = WINDOW, anchors: np.ndarray | None = None, batch: int = _BATCH) -> np.ndarray:
     """Bits of the windows of each text that occur in a text with a smaller `low`.
 
-    low and high: smallest and largest id of the documents with this text. Windows of two documents are confirmed first;
-    the automaton of the confirmed ones then finds them, with the smallest id, wherever they occur.
+    low and high: smallest and largest id of the documents with this text; callers judge by `high` whole texts that recur.
+
+    Phrases that recur under different ids are confirmed by their hashes and compiled; the texts that can hold one stream
+    through the automaton. Where it finds a phrase says in which documents it stands, and so which of them is the first.
     """
-    lines = _letters(texts)
-    first: dict[str, int] = {}
-    shared: set[str] = set()
-    for line, a, b in zip(lines, low.tolist(), high.tolist(), strict=True):
-        for t in range(len(line) - window + 1):
-            phrase = line[t : t + window]
-            known = first.setdefault(phrase, a)
-            if known != a or a != b:
-                shared.add(phrase)
-                if a < known:
-                    first[phrase] = a
-    bits = np.zeros(len(lines), np.uint64)
-    if not shared:
-        return bits
-    automaton = ahocorasick.Automaton()
-    for phrase in shared:
-        automaton.add_word(phrase, first[phrase])
-    automaton.make_automaton()
-    for i, (line, own) in enumerate(zip(lines, low.tolist(), strict=True)):
-        found = 0
-        for end, earliest in automaton.iter(line):
-            if earliest < own:
-                found |= 1 << (end - window + 1)
-        bits[i] = found
+    bits = np.zeros(len(texts), np.uint64)
+    raw = np.frombuffer(b"\n".join(texts), np.uint8)
+    first, last = word_spans(raw, NOT_SPACE)
+    hashes = window_hash(span_hash(prefix(byte_symbols(raw)), first, last), window)
+    edge = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    size = np.diff(np.searchsorted(first, edge))
+    for group in meeting(hashes, size, window, low, np.zeros(len(texts), np.uint64) if anchors is None else anchors, batch):
+        phrases = [texts[i].split(b" ")[t : t + window] for i, t in zip(group.owner.tolist(), group.start.tolist(), strict=True)]
+        automaton, code = compile_phrases(phrases)
+        owner, phrase, start = [], [], []
+        for i in group.strings.tolist():
+            for end, k in automaton.iter(tuple([code.get(w, 0) for w in texts[i].split(b" ")])):
+                owner.append(i)
+                phrase.append(k)
+                start.append(end - window + 1)
+        at, k = np.array(owner, np.int64), np.array(phrase, np.int64)
+        earliest = np.full(len(phrases), np.iinfo(np.int64).max)
+        np.minimum.at(earliest, k, low[at])
+        later = earliest[k] < low[at]
+        np.bitwise_or.at(bits, at[later], np.uint64(1) << np.array(start, np.uint64)[later])
     return bits
 
 
-def by_anchor(anchors: np.ndarray, batch: int):
-    """Rows in batches of about `batch`, cut only between anchors."""
-    order = np.argsort(anchors, kind="stable")
-    edges = np.flatnonzero(np.diff(anchors[order])) + 1
-    at = 0
-    while at < len(order):
-        k = np.searchsorted(edges, at + batch)
-        end = int(edges[k]) if k < len(edges) else len(order)
-        yield order[at:end]
-        at = end
-
-
 def solver(texts: list[bytes], low: np.ndarray, high: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    bits = np.zeros(len(texts), np.uint64)
-    for rows in by_anchor(anchors, _BATCH):
-        bits[rows] = locate([texts[i] for i in rows.tolist()], low[rows], high[rows])
-    return bits
+    return locate(texts, low, high, anchors=anchors)
 
 
 def kept_runs(mask: np.ndarray) -> list[tuple[int, int]]:

@@ -94,3 +94,48 @@ def test_texts_and_other_columns(spark):
 def test_locate_small():
     texts = [b"a b c", b"x a b c", b"b c d"]
     assert phrase_automata.locate(texts, np.array([5, 7, 1]), np.array([5, 7, 1]), 2).tolist() == [2, 6, 0]
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_blocks_of_the_external_files(monkeypatch, block):
+    rng = random.Random(block)
+    texts = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 24))) for _ in range(40)] + [b"abcabcabc"] * 3
+    with tempfile.TemporaryDirectory() as folder:
+        whole = column_bwt.build(texts, folder)
+    monkeypatch.setattr(column_bwt, "_BLOCK", block)
+    with tempfile.TemporaryDirectory() as folder:
+        parts = column_bwt.build(texts, folder)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+@pytest.mark.parametrize("method", ["bwt", "automata"])
+def test_batches_lose_nothing(monkeypatch, method):
+    rng = random.Random(3)
+    vocab = [b"abc", b"de", b"fgh", b"ij"]
+    texts = list({b" ".join(rng.choice(vocab) for _ in range(rng.randint(5, 9))) for _ in range(400)})
+    low = np.array([rng.randint(0, 50) for _ in texts])
+    first = {}
+    units = [t.split(b" ") if method == "automata" else t for t in texts]
+    window = 5 if method == "automata" else 20
+    for u, a in zip(units, low.tolist()):
+        for i in range(len(u) - window + 1):
+            k = tuple(u[i : i + window])
+            first[k] = min(first.get(k, a), a)
+    want = [sum(1 << i for i in range(len(u) - window + 1) if first[tuple(u[i : i + window])] < a) for u, a in zip(units, low.tolist())]
+    anchors = np.zeros(len(texts), np.uint64)
+    if method == "automata":
+        assert phrase_automata.locate(texts, low, low, 5, anchors, 3).tolist() == want
+    else:
+        monkeypatch.setattr(column_bwt, "WINDOW", 20)
+        monkeypatch.setattr(column_bwt, "_BATCH", 5)
+        monkeypatch.setattr(column_bwt.earliest, "__defaults__", (20,))
+        assert column_bwt.solver(texts, low, low, anchors).tolist() == want
+
+
+def test_many_segments_of_one_anchor_and_many_words():
+    # More distinct words than there are code points, and 70,000 segments that one anchor would bring together.
+    texts = [b" ".join(b"%d" % (20 * i + k) for k in range(20)) for i in range(69_000)]
+    texts += [b" ".join([b"x", *t.split(b" ")[3:18]]) for t in texts[:1000]]
+    low = np.arange(len(texts)) + 5
+    bits = phrase_automata.locate(texts, low, low)
+    assert not bits[:69_000].any() and (bits[69_000:] == 0b1110).all()
