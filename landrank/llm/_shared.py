@@ -120,6 +120,18 @@ def text_bytes(docs: DataFrame) -> int:
     return int(row["n"] or 0)
 
 
+def spread_sample(rows: DataFrame, key: str, n: int, total: int, seed: int = 42) -> DataFrame:
+    """The n distinct rows whose `key` has the smallest hashes: the same ones each run, spread over the table.
+
+    Of more than that, rows above a bound of the hash (some 4 * n are below) go before they are ordered, so that what meets
+    in one task does not grow with the table.
+    """
+    order = F.xxhash64(key, F.lit(seed))
+    if total > 8 * n:
+        rows = rows.filter(order < F.lit(-(2**63) + int(2**64 * 4 * n / total)))
+    return rows.distinct().orderBy(order, key).limit(n)
+
+
 def string_parts(column: pa.Array | pa.ChunkedArray):
     """(offsets, bytes) of an Arrow string column as numpy views, without copying."""
     import numpy as np

@@ -7,11 +7,12 @@ chunks that differ in fewer than m bits always meet. All rows are indexed. Withi
 decide, by cosine in double precision, and a pair counts in the first table where it meets.
 
 Equal vectors of one label are one row first. Buckets are worked on in blocks inside a task, and give sums and a spanning
-forest per bucket instead of pairs, so a large group of near copies costs rows in proportion to its size. A bucket with
-more rows than `PART` is split into parts and every two of them meet in a task of their own.
+forest per bucket instead of pairs. A bucket with more rows than `PART` is split into parts and every two of them meet in a task
+of their own: links are counted exactly, so n near copies take n * n comparisons, and their rows are sent n / PART times.
 
-Chunk width grows with the number of rows, and the number of rotations with it, so that buckets stay small and the chance
-to meet at the threshold stays about 0.99.
+Chunk width grows with the number of rows so that buckets stay small; the number of tables follows from how often vectors of the
+sample, moved to the threshold, keep a chunk (see `plan`), so that codes of vectors with a common direction find their pairs
+too.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, those without a label, and rows with a
 null vec_id link with nothing (component_id is their vec_id); vectors of different length do not link; repeated rows count
@@ -29,12 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import save
+from ._shared import batchwise, save, spread_sample
 
 THRESHOLD = 0.98
 #: Bound of the sample that rotations are fitted on, in rows.
 SAMPLE = 4096
-PART = 4096
+PART = 16384
+#: Share of pairs at the threshold that must meet, by the sample.
+RECALL = 0.995
+_TABLES = 48
 _ROUNDS = 20
 _BLOCK = 1024
 
@@ -56,14 +60,41 @@ def learn(sample: np.ndarray, rotations: int, seed: int = 1) -> tuple[np.ndarray
     return mean, np.concatenate(out, 1)
 
 
-def plan(rows: int, dims: int) -> tuple[int, int]:
-    """(bits of a chunk, number of tables) for this many rows.
+def bits_for(rows: int, dims: int) -> int:
+    """Bits of a chunk: buckets of about 64 rows where codes are balanced."""
+    return min(dims, max(4, min(24, round(math.log2(max(2, rows) / 64)))))
 
-    At a cosine of 0.98 a bit differs with probability acos(0.98) / pi, 0.064; tables are as many as 0.99 needs.
+
+def moved(x: np.ndarray, threshold: float = THRESHOLD, seed: int = 5) -> np.ndarray:
+    """Unit vectors at a cosine of just `threshold` to those of x, in random directions."""
+    u = np.random.default_rng(seed).normal(size=x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+    return threshold * x + math.sqrt(1 - threshold**2) * u
+
+
+def plan(sample: np.ndarray, rows: int, threshold: float = THRESHOLD) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(bits of a chunk, number of tables, mean, projection) for this many rows, from what the sample's codes do.
+
+    Every sample vector is moved to a cosine of just the threshold, and codes are compared: centring widens angles where vectors
+    share a direction, so the chance to meet is measured, not derived. Tables are as many as bring RECALL of these pairs
+    together, over the whole sample and over the quarter of it that is nearest to the mean; where that takes more than
+    `_TABLES`, chunks get narrower (at one bit, half of the bits may differ and some ten tables do).
     """
-    bits = min(dims, max(4, min(24, round(math.log2(max(2, rows) / 64)))))
-    same = (1 - math.acos(THRESHOLD) / math.pi) ** bits
-    return bits, math.ceil(math.log(0.01) / math.log(1 - same))
+    d = sample.shape[1]
+    mean = sample.mean(0)
+    near = np.argsort(np.linalg.norm(sample - mean, axis=1), kind="stable")[: max(1, len(sample) // 4)]
+    pairs = moved(sample, threshold) if d > 1 else sample
+    bits = bits_for(rows, d)
+    while True:
+        rotations = -(-_TABLES // (d // bits))
+        mean, projection = learn(sample, rotations)
+        met = np.cumsum(_chunks(sample, mean, projection, bits, _TABLES) == _chunks(pairs, mean, projection, bits, _TABLES), axis=1) > 0
+        enough = np.flatnonzero(np.minimum(met.mean(0), met[near].mean(0)) >= RECALL)
+        if len(enough) or bits == 1:
+            tables = int(enough[0]) + 1 if len(enough) else _TABLES
+            return bits, tables, mean, projection[:, : d * -(-tables // (d // bits))]
+        bits = max(1, bits - 2)
 
 
 def _chunks(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, bits: int, tables: int) -> np.ndarray:
@@ -71,7 +102,7 @@ def _chunks(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, bits: int,
     d = x.shape[1]
     per = d // bits
     signs = (x - mean) @ projection >= 0
-    out = np.zeros((len(x), tables), np.int64)
+    out = np.zeros((len(x), tables), np.int32)
     for t in range(tables):
         at = t // per * d + t % per * bits
         for b in range(bits):
@@ -96,56 +127,46 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _solve(x: np.ndarray, keys: np.ndarray, table: int, split: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of one bucket that link and have no earlier table in common, in blocks: (a, b) and both weights come later.
+def _solve(x: np.ndarray, keys: np.ndarray, table: int, split: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of one bucket that link and have no earlier table in common, a block of rows against another at a time.
 
     split: rows before it meet rows from it on only; 0 if all meet all.
     """
-    n, left, right = len(x), [], []
-    for i in range(0, n, _BLOCK):
-        for j in range(i, n, _BLOCK):
-            if split and not (i < split and j + _BLOCK > split):
-                continue
-            near = x[i : i + _BLOCK] @ x[j : j + _BLOCK].T >= threshold
-            a, b = np.nonzero(near)
+    n = len(x)
+    for i in range(0, split or n, _BLOCK):
+        for j in range(split or i, n, _BLOCK):
+            a, b = np.nonzero(x[i : min(i + _BLOCK, split or n)] @ x[j : j + _BLOCK].T >= threshold)
             a, b = a + i, b + j
-            keep = a < b
-            if split:
-                keep &= (a < split) & (b >= split)
-            a, b = a[keep], b[keep]
+            if not split:
+                keep = a < b
+                a, b = a[keep], b[keep]
             if table and len(a):
                 new = ~(keys[a, :table] == keys[b, :table]).any(1)
                 a, b = a[new], b[new]
-            left.append(a)
-            right.append(b)
-    empty = np.zeros(0, np.int64)
-    return np.concatenate(left) if left else empty, np.concatenate(right) if right else empty
+            if len(a):
+                yield a, b
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    parent = list(range(n))
-    out = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        while parent[j] != j:
-            parent[j] = parent[parent[j]]
-            j = parent[j]
-        if i != j:
-            parent[max(i, j)] = min(i, j)
-            out.append((i, j))
-    return out
+def _join(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """comp, each row's smallest row that links reach, with links a-b added."""
+    while True:
+        u, v = comp[a], comp[b]
+        apart = u != v
+        if not apart.any():
+            return comp
+        a, b, u, v = a[apart], b[apart], u[apart], v[apart]
+        np.minimum.at(comp, np.maximum(u, v), np.minimum(u, v))
+        while (comp[comp] != comp).any():
+            comp = comp[comp]
 
 
 def link(distinct: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """(rid, links) sums and (a, b) forest edges over distinct vectors of one length (rid, label, v, n)."""
     spark = distinct.sparkSession
     total = distinct.count()
-    some = distinct.orderBy(F.xxhash64("rid"), "rid").limit(sample).select("v").collect()
+    some = spread_sample(distinct, "rid", sample, total).select("v").collect()
     dims = len(some[0].v)
-    bits, tables = plan(total, dims)
-    mean, projection = learn(_unit([r.v for r in some]), -(-tables // (dims // bits)))
+    bits, tables, mean, projection = plan(_unit([r.v for r in some]), total, threshold)
     model = spark.sparkContext.broadcast((mean, projection))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +184,7 @@ def link(distinct: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE
                     ["t", "k", "label", "rid", "n", "x", "codes"],
                 )
 
-    rows = distinct.select("label", "v", "rid", "n").mapInArrow(index, "t int, k long, label string, rid long, n long, x binary, codes binary")
+    rows = distinct.select("label", "v", "rid", "n").mapInArrow(batchwise(index), "t int, k int, label string, rid long, n long, x binary, codes binary")
     # Buckets of more than `part` rows are split by a hash, and every two parts of one meet under a key of their own.
     large = save(rows.groupBy("t", "k", "label").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > part).withColumn("parts", F.ceil(F.col("size") / part).cast("int")), "large")
     mine = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
@@ -173,44 +194,46 @@ def link(distinct: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE
     dealt = rows.join(large.drop("size"), ["t", "k", "label"], "left").withColumn("mine", F.coalesce(mine, F.lit(0))).withColumn("meet", F.explode(meets))
     dealt = dealt.select("t", "k", "label", "meet.lo", "meet.hi", "mine", "rid", "n", "x", "codes")
 
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by bucket; a bucket may go over several batches.
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
         name = None
         for batch in batches:
-            for row in batch.to_pylist():
-                own = (row["t"], row["k"], row["label"], row["lo"], row["hi"])
-                if own != name:
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("t", "k", "label", "lo", "hi")), strict=True))
+            edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i < j and names[i] != name:
                     yield from _bucket(held, name, tables, dims, threshold)
-                    held, name = [], own
-                held.append(row)
+                    held, name = [], names[i]
+                if i < j:
+                    held.append(batch.slice(i, j - i))
         yield from _bucket(held, name, tables, dims, threshold)
 
-    found = dealt.repartition("t", "k", "label", "lo", "hi").sortWithinPartitions("t", "k", "label", "lo", "hi", "mine", "rid").mapInArrow(bucket, "rid long, links long, other long")
+    found = dealt.repartition("t", "k", "label", "lo", "hi").sortWithinPartitions("t", "k", "label", "lo", "hi", "mine", "rid").mapInArrow(batchwise(buckets), "rid long, links long, other long")
     found = save(found, "links")
     return found.filter("other is null").groupBy("rid").agg(F.sum("links").alias("links")), found.filter("other is not null").select(F.col("rid").alias("a"), F.col("other").alias("b"))
 
 
-def _bucket(held: list[dict], name: tuple | None, tables: int, dims: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    if len(held) < 2:
+def _bucket(held: list[pa.RecordBatch], name: tuple | None, tables: int, dims: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(held) if held else None
+    if rows is None or rows.num_rows < 2:
         return
-    x = np.frombuffer(b"".join(r["x"] for r in held)).reshape(-1, dims)
-    keys = np.frombuffer(b"".join(r["codes"] for r in held), np.int64).reshape(-1, tables)
-    split = next((i for i, r in enumerate(held) if r["mine"] == name[4]), len(held)) if name[3] != name[4] else 0
-    if name[3] != name[4] and split in (0, len(held)):
+    count = rows.num_rows
+    rid, n, mine = (rows.column(c).to_numpy() for c in ("rid", "n", "mine"))
+    split = int(np.searchsorted(mine, name[4])) if name[3] != name[4] else 0
+    if name[3] != name[4] and split in (0, count):
         return
-    a, b = _solve(x, keys, name[0], split, threshold)
-    if not len(a):
-        return
-    n, rid = np.array([r["n"] for r in held]), np.array([r["rid"] for r in held])
-    links = np.bincount(a, n[b], len(held)) + np.bincount(b, n[a], len(held))
-    some = np.flatnonzero(links)
-    edges = _forest(len(held), a, b)
-    first, other = [rid[i] for i, _ in edges], [rid[j] for _, j in edges]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([*rid[some].tolist(), *map(int, first)], pa.int64()), pa.array([*links[some].astype(np.int64).tolist(), *[0] * len(edges)], pa.int64()), pa.array([*[None] * len(some), *map(int, other)], pa.int64())],
-        ["rid", "links", "other"],
-    )
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist())).reshape(-1, dims)
+    keys = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.int32).reshape(-1, tables)
+    links, comp = np.zeros(count), np.arange(count)
+    for a, b in _solve(x, keys, name[0], split, threshold):
+        links += np.bincount(a, n[b], count) + np.bincount(b, n[a], count)
+        comp = _join(comp, a, b)
+    some, hung = np.flatnonzero(links), np.flatnonzero(comp != np.arange(count))
+    if len(some):
+        out = [np.concatenate([rid[some], rid[hung]]), np.concatenate([links[some], np.zeros(len(hung))]).astype(np.int64)]
+        other = np.concatenate([np.zeros(len(some), np.int64), rid[comp[hung]]])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(other, mask=np.arange(len(other)) < len(some))], ["rid", "links", "other"])
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

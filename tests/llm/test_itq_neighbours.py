@@ -49,7 +49,9 @@ def test_recall_against_brute_force(spark, monkeypatch, part):
     rows = corpus()
     docs = spark.createDataFrame([(a, b, c, 1) for a, b, c in rows], "vec_id long, embedding array<float>, label int, n int")
     want = sorted(brute(rows), key=str)
-    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in itq.embedding_dedup(docs).collect()), key=str)
+    found = itq.embedding_dedup(docs).collect()
+    assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in found)
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in found), key=str)
     assert [g[0] for g in got] == [w[0] for w in want]
     assert all(g[1] <= w[1] for g, w in zip(got, want))
     assert sum(g[1] for g in got) >= 0.95 * sum(w[1] for w in want)
@@ -69,3 +71,39 @@ def test_codes_are_balanced():
     assert projection.shape == (16, 32)
     share = ((x - mean) @ projection >= 0).mean(0)
     assert (np.abs(share - 0.5) < 0.1).all()
+
+
+@pytest.mark.parametrize("offset", [0, 1, 2, 4, 8])
+def test_recall_with_a_common_direction(offset):
+    # Codes as a table of 200,000 rows would have them; pairs just above the threshold.
+    rng = np.random.default_rng(offset)
+    x = rng.normal(size=(4000, 64)) + offset
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    bits, tables, mean, projection = itq.plan(x[:2000], 200_000)
+    y = itq.moved(x, 0.981, seed=9)
+    keys = [itq._chunks(z, mean, projection, bits, tables) for z in (x, y)]
+    assert (keys[0] == keys[1]).any(1).mean() >= 0.99
+
+
+def test_recall_of_tight_clusters():
+    rng = np.random.default_rng(1)
+    centres = np.repeat(rng.normal(size=(20, 48)) + 1.5, 100, 0)
+    x = centres + 0.2 * rng.normal(size=centres.shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    bits, tables, mean, projection = itq.plan(x, 1_000_000)
+    keys = itq._chunks(x, mean, projection, bits, tables)
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+    assert len(a) > 1000
+    assert (keys[a] == keys[b]).any(1).mean() >= 0.99
+
+
+def test_components_of_links():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 300, 250), rng.integers(0, 300, 250)
+    comp = itq._join(np.arange(300), a, b)
+    assert (comp[a] == comp[b]).all()
+    reach = np.eye(300, dtype=bool)
+    reach[a, b] = reach[b, a] = True
+    for _ in range(9):
+        reach = reach @ reach
+    assert (comp == reach.argmax(1)).all()
