@@ -3,10 +3,11 @@
 Every text is a run of word k-gram hashes. Spark joins them all to the k-grams of license templates; a hit of text word i
 on template word j votes for the diagonal i - j. Votes are added up by diagonal, diagonals within `drift` of each other are
 merged (a dropped or added word moves a match to the next one), and a merged span counts when it covers enough of the
-template's words and, where the template names a licence, touches that name and version word for word: words that notices of
+template's words, foreign words between them counted against it, and, where the template names a licence, touches that name and version word for word: words that notices of
 other licences share don't tell which one it is. Base labels are phrases whose words stand consecutively, as in the phrase list.
 
-score is the largest share of a template's words that one span covers, and at least 0.5 where a base phrase stands.
+score is the largest such share of one span, and at least 0.5 where a base phrase stands. Base columns come from a scan for
+their four phrases beside the join, because two words are shorter than its k-grams.
 
 Defined results: null and empty texts have no words, no labels ('' for strings) and score 0; results belong to (doc_id, text),
 so repeated rows are alike and null doc_ids are scanned too; an empty table gives none; other columns are left behind.
@@ -27,7 +28,7 @@ from ._shared import batchwise, doc_texts, slices, string_parts
 #: Phrases and labels of the contract: fixed values.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Notices as their publishers give them, the label that each one adds.
+#: Notices and headers as their publishers give them, and short statements of a licence, with the label that each one adds.
 TEMPLATES = {
     "mit-notice": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
     "mit-release": "released under the mit license",
@@ -38,6 +39,15 @@ TEMPLATES = {
     "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
     "cc-by-4.0": "this work is licensed under a creative commons attribution 4 0 international license",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl-2.0-or-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    "gpl-3.0-or-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    "agpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
 }
 #: Names and versions that tell a template's licence from others, in the spellings that count; templates without one name none.
 TELLS = {
@@ -46,6 +56,11 @@ TELLS = {
     "apache-2.0-notice": ("apache license version 2", "apache license 2 0", "apache license v2"),
     "gpl-3.0": ("gnu general public license version 3", "gnu general public license v3"),
     "gpl-notice": ("gnu general public license",),
+    "apache-2.0-header": ("apache license version 2", "apache license 2 0", "apache license v2"),
+    "gpl-2.0-or-later": ("either version 2 of the license",),
+    "gpl-3.0-or-later": ("either version 3 of the license",),
+    "agpl-notice": ("gnu affero general public license",),
+    "mpl-2.0-header": ("mozilla public license v 2 0", "mozilla public license version 2 0"),
     "cc-by-nc-4.0": ("cc by nc 4 0",),
     "cc-by-4.0": ("creative commons attribution 4 0",),
 }
@@ -148,21 +163,26 @@ def diagonal_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: in
     grams = template_grams(docs.sparkSession, templates, k, tells)
     hits = text_grams(docs, k).join(F.broadcast(grams), "gram").select("doc_id", "text_key", "i", "template", "tell", "at", "n_template").distinct()
     doc = ["doc_id", "text_key", "template", "tell", "n_template"]
-    votes = hits.groupBy(*doc, (F.col("i") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.collect_set("at").alias("ats"), F.min("i").alias("lo"), F.max("i").alias("hi"))
+    votes = hits.groupBy(*doc, (F.col("i") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.collect_set("at").alias("ats"), F.collect_set("i").alias("places"), F.min("i").alias("lo"), F.max("i").alias("hi"))
     along = Window.partitionBy(*doc).orderBy("diagonal")
     # Names and versions stand on one diagonal: theirs are not merged.
     new = F.when((F.col("tell") < 0) & (F.col("diagonal") - F.lag("diagonal").over(along) <= drift), 0).otherwise(1)
     runs = votes.withColumn("new", new).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    # Verification: template words under the run's k-grams, each counted once.
-    words = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("ats")), lambda a: F.sequence(a, a + (k - 1))))))
-    spans = runs.groupBy(*doc, "run").agg(F.min("lo").alias("start"), (F.max("hi") + k).alias("end"), words.alias("covered"))
-    share = F.col("covered") / F.col("n_template")
-    spans = spans.filter(share >= F.when(F.col("tell") < 0, cover).otherwise(1.0))
+    # Verification, of the merged run and of its diagonals alone: template words under its k-grams, each counted once, less the
+    # words of the span that no k-gram covers: 1 - (missing + foreign words) / words. A run can't drift far by foreign words.
+    runs = runs.withColumn("one", F.explode(F.array(F.lit(None).cast("int"), F.col("diagonal"))))
+    under = lambda c: F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list(c)), lambda a: F.sequence(a, a + (k - 1))))))
+    spans = runs.groupBy(*doc, "run", "one").agg(F.min("lo").alias("start"), (F.max("hi") + k).alias("end"), under("ats").alias("covered"), under("places").alias("known"))
+    share = (F.col("covered") - (F.col("end") - F.col("start") - F.col("known"))) / F.col("n_template")
+    spans = spans.withColumn("share", share).filter(F.col("share") >= F.when(F.col("tell") < 0, cover).otherwise(1.0))
+    # Diagonals speak for themselves only where their run does not.
+    merged = F.max(F.col("one").isNull()).over(Window.partitionBy(*doc, "run"))
+    spans = spans.withColumn("merged", merged).filter(F.col("one").isNull() | ~F.col("merged"))
     told = F.collect_list(F.when(F.col("tell") >= 0, F.struct("start", "end"))).over(Window.partitionBy("doc_id", "text_key", "template"))
     touches = F.exists("told", lambda t: (t["start"] < F.col("end")) & (t["end"] > F.col("start")))
     named = F.col("template").isin([name for name in templates if tells.get(name)])
     spans = spans.withColumn("told", told).filter((F.col("tell") < 0) & (~named | touches))
-    return spans.select("doc_id", "text_key", "template", "start", "end", "covered", share.alias("share"))
+    return spans.select("doc_id", "text_key", "template", "start", "end", "covered", "share")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
