@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import ALNUM, NOT_SPACE, byte_symbols, lower, mix, prefix, span_hash, word_spans
-from ._shared import batchwise, doc_texts, slices, string_parts
+from ._shared import batchwise, doc_texts, slices, spread_sample, string_parts
 
 _BATCH_BYTES = 1 << 20
 _UPPER = np.zeros(256, bool)
@@ -83,7 +83,8 @@ def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray
 
 
 def sample_features(docs: DataFrame, chosen: DataFrame, extract: Callable, label: str | None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features of the texts of a bounded set of rows, brought to the driver: arrays in order of doc_id, and labels."""
+    """Features of the texts of a bounded set of rows, brought to the driver: arrays in order of doc_id, and
+    labels. Of rows that repeat an id one counts, the same each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -93,7 +94,7 @@ def sample_features(docs: DataFrame, chosen: DataFrame, extract: Callable, label
                 yield pa.RecordBatch.from_arrays([whole.column("doc_id").slice(i, j - i), whole.column("label").slice(i, j - i), pa.array(found, pa.binary())], ["doc_id", "label", "features"])
 
     texts = doc_texts(docs).join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label") if label else F.lit(0).alias("label"))), "doc_id")
-    rows = texts.select("doc_id", "text", "label").mapInArrow(batchwise(run), "doc_id long, label int, features binary").dropDuplicates(["doc_id"]).toArrow()
+    rows = texts.select("doc_id", "text", "label").mapInArrow(batchwise(run), "doc_id long, label int, features binary").groupBy("doc_id").agg(F.min(F.struct("features", "label")).alias("row")).select("doc_id", "row.label", "row.features").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     features = rows.column("features").to_pylist()
     return [np.frombuffer(features[i], np.int32) for i in order.tolist()], rows.column("label").to_numpy()[order]
@@ -106,5 +107,5 @@ def labelled(labels: DataFrame, column: str, held_out: str) -> DataFrame:
 
 
 def first_by_hash(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """n rows by the hash of their doc_id: the same ones each run, spread over the table."""
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
+    """n rows of distinct doc_ids by their hash: the same ones each run, spread over the table."""
+    return spread_sample(rows, "doc_id", n, rows.count(), seed)

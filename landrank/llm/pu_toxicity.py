@@ -82,6 +82,22 @@ def _dense(rows: list[np.ndarray], slots: np.ndarray) -> np.ndarray:
     return out
 
 
+def risks(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk with logistic loss, of raw scores: positives as 1, and what is estimated of negatives as 0."""
+    loss = lambda z: np.logaddexp(0, -z)
+    return prior * loss(zp).mean(), (loss(-zu).mean() if len(zu) else 0.0) - prior * loss(-zp).mean()
+
+
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float, back: float) -> tuple[np.ndarray, np.ndarray]:
+    """By which the step goes down, for each raw score: the gradient of the whole risk, or where its second part is below 0 that
+    of this part alone, turned round and scaled by `back`."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    gp, gu = -prior * sigmoid(zp) / len(zp), sigmoid(zu) / max(1, len(zu))
+    if risks(zp, zu, prior)[1] < 0:
+        return -back * gp, -back * gu
+    return gp + prior * (sigmoid(zp) - 1) / len(zp), gu
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 200, rate: float = 0.05, decay: float = 3e-4, back: float = 0.05) -> Linear:
     """Adam on the non-negative risk of the whole samples with logistic loss; `back` scales the steps that undo overfitting."""
     if not positive:
@@ -90,20 +106,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     xp, xu = _dense(positive, slots), _dense(unlabelled, slots)
     w, b = np.zeros(len(slots), np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(slots) + 1), np.zeros(len(slots) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    loss = lambda z: np.logaddexp(0, -z)
     for step in range(1, steps + 1):
-        zp, zu = xp @ w + b, xu @ w + b
-        negative = (loss(-zu).mean() if len(xu) else 0.0) - prior * loss(-zp).mean()
-        # d/dz of loss(z) is sigmoid(z) - 1, of loss(-z) sigmoid(z).
-        gp, gu = prior * (sigmoid(zp) - 1) / len(xp), np.zeros(len(xu))
-        if negative >= 0:
-            gp = gp - prior * sigmoid(zp) / len(xp)
-            gu = sigmoid(zu) / max(1, len(xu))
-        else:
-            gp = gp + back * prior * sigmoid(zp) / len(xp)
-            gu = -back * sigmoid(zu) / max(1, len(xu))
-        gp, gu = gp.astype(np.float32), gu.astype(np.float32)
+        gp, gu = (g.astype(np.float32) for g in slopes(xp @ w + b, xu @ w + b, prior, back))
         g = np.append(gp @ xp + gu @ xu + decay * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -117,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: str = HELD_OUT) -> Linear:
     if not toxic:
         return train([], [], 0.5)
     confirmed = known.filter("label = 1")
-    others = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    others = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
     positive, _ = sample_features(docs, first_by_hash(confirmed, POSITIVES, 5), extract, None)
     unlabelled, _ = sample_features(docs, first_by_hash(others, UNLABELLED, 7), extract, None)
     return train(positive, unlabelled, min(0.9, toxic / n))

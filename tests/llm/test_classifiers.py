@@ -57,3 +57,39 @@ def test_empty_tables(spark):
     for run in (factorisation.score_quality, pu_toxicity.score_toxicity):
         assert run(docs.limit(0), labels).count() == 0
         assert run(docs.limit(3), labels.limit(0)).count() == 3
+
+
+@pytest.mark.parametrize("shift", [-3.0, 0.0, 3.0])
+def test_slopes_are_those_of_the_risk(shift):
+    rng = np.random.default_rng(3)
+    zp, zu, prior, back, h = rng.normal(size=7) - shift, rng.normal(size=11) + shift, 0.3, 0.05, 1e-5
+    positive, negative = pu_toxicity.risks(zp, zu, prior)
+    # The published step: down the whole risk, or up the second part alone where that is below 0.
+    goal = (lambda p, u: sum(pu_toxicity.risks(p, u, prior))) if negative >= 0 else (lambda p, u: -back * pu_toxicity.risks(p, u, prior)[1])
+    gp, gu = pu_toxicity.slopes(zp, zu, prior, back)
+    for z, g, at in ((zp, gp, 0), (zu, gu, 1)):
+        for i in range(len(z)):
+            up, down = ([x.copy() for x in (zp, zu)] for _ in range(2))
+            up[at][i] += h
+            down[at][i] -= h
+            assert g[i] == pytest.approx((goal(*up) - goal(*down)) / (2 * h), abs=1e-7)
+    assert {-3.0: True, 3.0: True}.get(shift) is None or (negative < 0) == (shift < 0)
+
+
+def test_quality_scores_from_the_text():
+    """Scores of the machine from words of the text, pair by pair, beside the batch way over hashed bytes."""
+    rng = np.random.default_rng(4)
+    m = factorisation.Machine(-0.2, rng.normal(0, 0.1, factorisation.WIDTH).astype(np.float32), rng.normal(0, 0.3, (factorisation.WIDTH, 3)).astype(np.float32))
+    texts = ["", "One two, TWO three!", "é x1 " * 40, "plain words go here and there\n" * 3]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    where = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    rows = factorisation.extract(raw, where)
+    for text, row, got in zip(texts, rows, m.raw(rows)):
+        one = np.frombuffer(text.encode(), np.uint8)
+        words = {w for w in "".join(c.lower() if c.isascii() else c for c in text).translate({ord(c): " " for c in ".,!?\n"}).split()}
+        assert len(row) - 9 == len(words)
+        assert sorted(row[:9]) == sorted(factorisation.extract(one, np.array([0, len(one)]))[0][:9])
+        x = [1.0] * 9 + [1 / np.sqrt(max(1, len(words)))] * len(words)
+        want = m.bias + sum(float(m.weight[f]) * v for f, v in zip(row, x))
+        want += sum(float(m.factor[row[i]] @ m.factor[row[j]]) * x[i] * x[j] for i in range(len(row)) for j in range(i))
+        assert got == pytest.approx(want, rel=1e-3, abs=1e-3)
