@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .plans import ORACLE_SQL, QUERIES, extras, relational, scoring, terrain, vectors
+from .plans import ORACLE_SQL, QUERIES, catalogs, extras, relational, scoring, shapes, terrain, vectors
 
-__all__ = ["ORACLE_SQL", "QUERIES", "extras", "relational", "scoring", "terrain", "vectors"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalogs", "extras", "relational", "scoring", "shapes", "terrain", "vectors"]

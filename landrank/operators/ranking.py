@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import curves
+from ..storage import durable
 
 _BUCKETS = 1024
 
@@ -66,3 +67,29 @@ def weighted_overlay(cells: DataFrame, features: dict[str, dict]) -> DataFrame:
         out = out.withColumn(f"norm_{name}", curves.normalise(v["method"], F.col(v["column"]), **v["params"]))
     score = sum((F.lit(v["weight"] / total) * F.coalesce(F.col(f"norm_{name}"), F.lit(0.0)) for name, v in used.items()), F.lit(0.0))
     return percentile_rank(out.withColumn("score", F.round(score, 9)), "score", "score_pct")
+
+
+def first_of_each(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each key in the given order; Spark keeps n a key before it shuffles."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
+
+
+def where_equal(df: DataFrame, **asked: object) -> DataFrame:
+    """Rows whose columns have the asked values; what is asked as None is not asked."""
+    for column, value in asked.items():
+        if value is not None:
+            df = df.filter(F.col(column) == value)
+    return df
+
+
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """df with its places from 1 in the given order, which must tell rows apart.
+
+    Rows go to ranges of the order, are numbered within them, and add the rows of the ranges before: one row a range.
+    """
+    ranged = durable(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__part").orderBy(*order)
+    return ranged.withColumn("__rn", F.row_number().over(within)).join(F.broadcast(before), "__part").withColumn(out, F.col("__before") + F.col("__rn")).drop("__part", "__rn", "__before")

@@ -82,7 +82,7 @@ def asset_selection(spark, sf_dir):
 
 AOI = semantic.Model("aoi", {"role": "role"}, {"n": ("count", "*"), "width": ("sum", "width"), "widest": ("max", "width")})
 FLOW = semantic.Model("flowline", {"order": "stream_order"}, {"n": ("count", "*"), "mean_x": ("mean", "x1")})
-ORDERS = semantic.Model("orders", {"status": "o_orderstatus", "priority": "o_orderpriority"}, {"n": ("count", "*"), "largest": ("max", "o_totalprice")})
+ORDERS = semantic.Model("orders", {"status": "o_orderstatus", "priority": "o_orderpriority", "total": "o_totalprice"}, {"n": ("count", "*"), "largest": ("max", "o_totalprice")})
 RUNS = semantic.Model("derivation", {"operation": "event_type"}, {"n": ("count", "*"), "top": ("max", "value")})
 SITES = semantic.Model("site", {"class_id": "class_id", "status": "review_status"}, {"n": ("count", "*"), "worst": ("max", "positional_confidence_m")})
 
@@ -95,22 +95,22 @@ def semantic_aoi(spark, sf_dir):
 
 @query("SELECT stream_order AS \"order\", count(*) AS n, round(avg(x1), 6) AS mean_x FROM fx_line WHERE stream_order >= 2 GROUP BY 1")
 def semantic_flowline(spark, sf_dir):
-    return semantic.ask(FLOW, fixtures.flowlines(spark, sf_dir), ["order"], ["n", "mean_x"], ["stream_order >= 2"]).withColumn("mean_x", F.round("mean_x", 6))
+    return semantic.ask(FLOW, fixtures.flowlines(spark, sf_dir), ["order"], ["n", "mean_x"], ["order >= 2"]).withColumn("mean_x", F.round("mean_x", 6))
 
 
 @query("SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, max(o_totalprice) AS largest FROM orders WHERE o_totalprice > 1000 GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 8")
 def semantic_orders_top(spark, sf_dir):
-    return semantic.ask(ORDERS, table(spark, sf_dir, "orders"), ["status", "priority"], ["n", "largest"], ["o_totalprice > 1000"], order_by="n", limit=8)
+    return semantic.ask(ORDERS, table(spark, sf_dir, "orders"), ["status", "priority"], ["n", "largest"], ["total > 1000"], order_by="n", descending=True, limit=8)
 
 
 @query("SELECT count(*) AS n FROM events WHERE event_type != 'view'")
 def semantic_runs(spark, sf_dir):
-    return semantic.ask(RUNS, table(spark, sf_dir, "events"), filters=["event_type != 'view'"])
+    return semantic.ask(RUNS, table(spark, sf_dir, "events"), filters=["operation != 'view'"])
 
 
 @query("SELECT class_id, review_status AS status, count(*) AS n, max(positional_confidence_m) AS worst FROM fx_site WHERE review_status = 'confirmed' GROUP BY 1, 2")
 def semantic_sites(spark, sf_dir):
-    return semantic.ask(SITES, fixtures.sites(spark, sf_dir), ["class_id", "status"], ["n", "worst"], ["review_status = 'confirmed'"])
+    return semantic.ask(SITES, fixtures.sites(spark, sf_dir), ["class_id", "status"], ["n", "worst"], ["status = 'confirmed'"])
 
 
 @query("SELECT l_orderkey, l_linenumber, least(greatest(round_even(l_extendedprice / 225.0, 0), 1.0)::DOUBLE, 1000000.0) AS probes, coalesce(list_max(list_filter([CAST(x AS INT) FOR x IN regexp_extract_all('survey_' || (1985 + l_orderkey % 40) || '_' || (1990 + l_partkey % 30), '(\\d{4})', 1)], lambda y: y BETWEEN 1991 AND 2099)), 0) AS year FROM lineitem")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -11,6 +12,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import projection
+from . import catalogs
+
 STEPS = ("reproject", "select", "rename", "filter")
 MODES = ("replace", "append", "upsert")
 
@@ -85,13 +89,19 @@ def read_parquet(spark: SparkSession, params: Mapping[str, Any], area: Mapping[s
 
 def apply(df: DataFrame, steps: Sequence[Mapping[str, Any]], check_rows: bool = False) -> DataFrame:
     """Transforms in order. A missing column is an error that names those there are; with check_rows so is a filter that
-    drops every row of a table that had some (this runs two small jobs)."""
+    drops every row of a table that had some (this runs two small jobs). `reproject` turns the columns lon and lat (degrees)
+    into x and y (metres) of a UTM zone; a reference system it does not know is an error."""
     for step in steps:
         (kind, arg), *_ = step.items()
         if kind in ("select", "rename"):
             if missing := [c for c in arg if c not in df.columns]:
                 raise ValueError(f"{kind}: no column {', '.join(missing)}; there are: {', '.join(df.columns)}")
             df = df.select(*[F.col(f"`{c}`") for c in arg]) if kind == "select" else df.withColumnsRenamed(dict(arg))
+        elif kind == "reproject":
+            if missing := [c for c in ("lon", "lat") if c not in df.columns]:
+                raise ValueError(f"reproject: no column {', '.join(missing)}; there are: {', '.join(df.columns)}")
+            x, y = projection.utm(F.col("lon"), F.col("lat"), arg)
+            df = df.withColumn("x", x).withColumn("y", y).drop("lon", "lat")
         elif kind == "filter":
             kept = df.filter(F.expr(arg))
             if check_rows and kept.isEmpty() and not df.isEmpty():
@@ -100,22 +110,79 @@ def apply(df: DataFrame, steps: Sequence[Mapping[str, Any]], check_rows: bool =
     return df
 
 
-def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """old with the rows of new in place of those of the same key; one shuffle by key. Within new, keys must be unique."""
+def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], latest: str | None = None) -> DataFrame:
+    """old with the rows of new in place of those of the same key; one shuffle by key.
+
+    Of rows of new that repeat a key the one with the largest `latest` counts; without it keys of new must be unique.
+    """
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy(F.desc("__new"))
+    w = Window.partitionBy(*key).orderBy(F.desc("__new"), *([F.desc_nulls_last(latest)] if latest else []))
     return both.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__new", "__rn")
 
 
-def run(spark: SparkSession, source: Source, target_path: str, area: Mapping[str, float] | None = None) -> DataFrame:
-    """Fetch, transform and load into a Parquet folder; returns what was written."""
-    df = apply(DRIVERS[source.driver](spark, source.params, area), source.transform, check_rows=True)
-    if source.load.mode == "append":
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _files(spark, path)
+    return fs.exists(at)
+
+
+def swap(spark: SparkSession, df: DataFrame, target: str) -> None:
+    """Put df in the place of a table that it may read: it is written beside it, then names change. A job that dies on the way
+    leaves the old table or, under a name of its own, the whole new one."""
+    mark = uuid.uuid4().hex[:8]
+    fresh, gone = f"{target}.next-{mark}", f"{target}.gone-{mark}"
+    df.write.option("compression", "zstd").parquet(fresh)
+    fs, at = _files(spark, target)
+    if fs.exists(at):
+        fs.rename(at, _files(spark, gone)[1])
+    fs.rename(_files(spark, fresh)[1], at)
+    fs.delete(_files(spark, gone)[1], True)
+
+
+def fetch(spark: SparkSession, source: Source, area: Mapping[str, float] | None = None, cache: str | None = None, refresh: bool = False) -> DataFrame:
+    """What the driver gives. With a cache folder it is written there once, under the digest of what decides the fetch, and read
+    from then on. A fetch of no rows is an error and is not kept."""
+    read = DRIVERS[source.driver]
+    if cache is None:
+        df = read(spark, source.params, area)
+    else:
+        path = f"{cache}/{source.cache_key(json.dumps(area, sort_keys=True))}"
+        if refresh or not exists(spark, path):
+            swap(spark, read(spark, source.params, area), path)
+        df = spark.read.parquet(path)
+    if df.isEmpty():
+        if cache is not None:
+            fs, at = _files(spark, path)
+            fs.delete(at, True)
+        raise ValueError(f"{source.name}: the fetch has no rows")
+    return df
+
+
+@driver("keyed")
+def read_keyed(spark: SparkSession, params: Mapping[str, Any], area: Mapping[str, float] | None) -> DataFrame:
+    """Two-step read: keys of what the area has (`index`), then rows of those keys (`path`) with attributes joined by key and an
+    extra condition. Keys meet rows in a semi join, so their number has no bound."""
+    key = params["key"]
+    rows = spark.read.parquet(params["path"]).join(read_parquet(spark, {"path": params["index"]}, area).select(key).distinct(), key, "left_semi")
+    for part in params.get("attributes", ()):
+        extra = spark.read.parquet(part["path"])
+        rows = rows.join(extra.filter(part["only"]) if "only" in part else extra, key, "left")
+    return rows
+
+
+def run(spark: SparkSession, source: Source, target_path: str, area: Mapping[str, float] | None = None, cache: str | None = None) -> DataFrame:
+    """Fetch, transform and load into a Parquet folder; returns what is there then. An upsert without a target makes it."""
+    df = apply(fetch(spark, source, area, cache), source.transform, check_rows=True)
+    mode, key = source.load.mode, source.load.upsert_key
+    if mode == "append":
         df.write.mode("append").option("compression", "zstd").parquet(target_path)
-    elif source.load.mode == "replace":
-        df.write.mode("overwrite").option("compression", "zstd").parquet(target_path)
+    elif mode == "replace":
+        swap(spark, df, target_path)
     else:
-        merged = upsert(spark.read.parquet(target_path), df, source.load.upsert_key)
-        merged.write.mode("overwrite").option("compression", "zstd").parquet(target_path + ".next")
-        return spark.read.parquet(target_path + ".next")
+        catalogs.require_unique(df, key)
+        swap(spark, upsert(spark.read.parquet(target_path), df, key) if exists(spark, target_path) else df, target_path)
     return spark.read.parquet(target_path)

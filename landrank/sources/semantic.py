@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _CLAUSE = re.compile(r"\s*(\w+)\s*(>=|<=|!=|=|>|<)\s*(.*?)\s*$", re.S)
-MOST_ROWS = 5000
+MOST_ROWS, DEFAULT_ROWS = 5000, 100
 
 
 @dataclass(frozen=True)
@@ -27,12 +27,17 @@ class Model:
         return build(F.lit(1) if column == "*" else F.col(column)).alias(name)
 
 
-def parse_filter(text: str) -> Column:
-    """`field op value`; the value is an integer, else a number, else text, with quotes taken off."""
+def parse_filter(text: str, names: Mapping[str, str] | None = None) -> Column:
+    """`field op value`; the value is an integer, else a number, else text, with quotes taken off.
+
+    names: the fields that may be asked about and their columns; None takes any column.
+    """
     m = _CLAUSE.match(text)
     if not m:
         raise ValueError(f"not a filter: {text!r}")
     name, op, raw = m.groups()
+    if names is not None and name not in names:
+        raise ValueError(f"unknown field {name} in {text!r}; known: {', '.join(names)}")
     value: object = raw.strip("'\"")
     for kind in (int, float):
         try:
@@ -40,21 +45,38 @@ def parse_filter(text: str) -> Column:
             break
         except ValueError:
             continue
-    c, v = F.col(name), F.lit(value)
+    c, v = F.col(names[name] if names is not None else name), F.lit(value)
     return {">=": c >= v, "<=": c <= v, "!=": c != v, "=": c == v, ">": c > v, "<": c < v}[op]
 
 
-def ask(model: Model, table: DataFrame, dimensions: Sequence[str] = (), measures: Sequence[str] = (), filters: Sequence[str] = (), order_by: str | None = None, descending: bool = True, limit: int | None = None) -> DataFrame:
-    """Rows of a semantic query; without measures the model's first one, without dimensions one row."""
+def load(spec: Mapping) -> Model:
+    """A model from its declaration: {"model", "dimensions": {name: {"expr"}}, "measures": {name: {"expr"}}}, where a measure
+    is count(*), or sum, mean, max or min of a column; anything else is an error."""
+    if extra := set(spec) - {"model", "table", "description", "dimensions", "measures"}:
+        raise ValueError(f"unknown keys: {', '.join(sorted(extra))}")
+    measures = {}
+    for name, m in spec["measures"].items():
+        found = re.fullmatch(r"(count|sum|mean|max|min)\((\*|\w+)\)", m["expr"])
+        if not found or (found[2] == "*" and found[1] != "count"):
+            raise ValueError(f"measure {name}: can't read {m['expr']!r}")
+        measures[name] = (found[1], found[2])
+    return Model(spec["model"], {k: v["expr"] for k, v in spec["dimensions"].items()}, measures)
+
+
+def ask(model: Model, table: DataFrame, dimensions: Sequence[str] = (), measures: Sequence[str] = (), filters: Sequence[str] = (), order_by: str | None = None, descending: bool = False, limit: int | None = DEFAULT_ROWS) -> DataFrame:
+    """Rows of a semantic query; without measures the model's first one, without dimensions one row.
+
+    Filters name dimensions; rows come in ascending order unless told otherwise, and at most DEFAULT_ROWS of them.
+    """
     for kind, asked, known in (("dimension", dimensions, model.dimensions), ("measure", measures, model.measures)):
         if unknown := [x for x in asked if x not in known]:
             raise ValueError(f"unknown {kind} {', '.join(unknown)} of {model.name}; known: {', '.join(known)}")
     if limit is not None and not 1 <= limit <= MOST_ROWS:
         raise ValueError(f"limit is from 1 to {MOST_ROWS}")
     for text in filters:
-        table = table.filter(parse_filter(text))
+        table = table.filter(parse_filter(text, model.dimensions))
     keys = [F.col(model.dimensions[d]).alias(d) for d in dimensions]
     out = table.groupBy(*keys).agg(*[model.measure(m) for m in measures or [next(iter(model.measures))]])
     if order_by:
         out = out.orderBy(F.desc(order_by) if descending else F.asc(order_by), *dimensions)
-    return out.limit(limit) if limit else out
+    return out if limit is None else out.limit(limit)

@@ -184,7 +184,7 @@ def test_intake_specs(spark, tmp_path):
 
 
 def test_semantic_layer(spark):
-    model = semantic.Model("m", {"k": "k"}, {"n": ("count", "*")})
+    model = semantic.Model("m", {"k": "k", "v": "v"}, {"n": ("count", "*")})
     df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "k string, v int")
     assert semantic.ask(model, df, ["k"], filters=["v >= 2", "k != 'b'"]).collect() == [("a", 1)]
     for call in (lambda: semantic.ask(model, df, ["x"]), lambda: semantic.ask(model, df, limit=9000), lambda: semantic.parse_filter("nonsense")):
