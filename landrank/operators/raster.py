@@ -1,99 +1,177 @@
-"""Raster operators over long cell tables (row_i, col_i, value).
-
-Neighbourhoods are joins on shifted indices: each cell is sent to the places that look at it and the places add up what
-arrives, one shuffle by cell whatever the radius. Borders mirror, so a shift never leaves the raster.
-"""
+"""Raster operators over long cell tables (row_i, col_i, value); neighbourhoods are stencils over tiles (see tiles)."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import durable
+from .tiles import TILE, seen, stencil
+
+#: The 8 ways from a cell, 0 = north and clockwise.
+WAYS = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+#: Stands for the slope of a direction in which nothing is seen: all but straight down.
+OPEN = -1000.0
 
 
-def horizon_offsets(radius: int, directions: int = 8) -> list[tuple[int, int, int, float]]:
-    """(direction, row shift, column shift, distance in cells): distinct rounded steps of a third of a cell, nearest first."""
+def horizon_offsets(radius: int, directions: int = 16) -> list[tuple[int, int, int, float]]:
+    """(direction, row shift, column shift, distance in cells): distinct rounded places every third of a cell along each direction."""
     out = []
     for k in range(directions):
         angle = 2 * math.pi * k / directions
-        seen = set()
-        for step in range(3, 3 * radius + 1):
-            dr, dc = round(-math.cos(angle) * step / 3), round(math.sin(angle) * step / 3)
-            if (dr, dc) != (0, 0) and (dr, dc) not in seen and math.hypot(dr, dc) <= radius + 0.5:
-                seen.add((dr, dc))
-                out.append((k, dr, dc, math.hypot(dr, dc)))
-    return sorted(out, key=lambda o: (o[0], o[3]))
-
-
-def _mirror(i, last):
-    """Index folded back at the edges, the edge itself repeated."""
-    i = F.when(i < 0, -i - 1).otherwise(i)
-    return F.when(i > last, 2 * last + 1 - i).otherwise(i)
+        places = {(round(math.cos(angle) * step / 3), round(math.sin(angle) * step / 3)) for step in range(3, 3 * radius + 1)}
+        out += [(k, dr, dc, math.hypot(dr, dc)) for dr, dc in places]
+    return sorted(out, key=lambda o: (o[0], o[3], o[1], o[2]))
 
 
-def shifted(cells: DataFrame, value: str, offsets: DataFrame, rows: int, cols: int) -> DataFrame:
-    """(row_i, col_i, offset columns, z): what each cell sees under each offset, mirrored at the borders.
+def openness(cells: DataFrame, value: str, rows: int, cols: int, resolution: float, radius_m: float, directions: int = 16, negative: bool = False, tile: int = TILE) -> DataFrame:
+    """(row_i, col_i, openness): mean over the directions of 90 degrees less the steepest rise within a radius in metres, two
+    cells at least; of the inverted surface if negative.
 
-    offsets is a short list by its construction (radius times directions) and is broadcast.
+    The raster is mirrored at its borders without repeating them. Missing cells rise nowhere; a direction in which there is
+    nothing else is open to straight below; a missing cell has no openness.
     """
-    looks = cells.select("row_i", "col_i").join(F.broadcast(offsets))
-    looks = looks.withColumn("__r", _mirror(F.col("row_i") + F.col("dr"), F.lit(rows - 1))).withColumn("__c", _mirror(F.col("col_i") + F.col("dc"), F.lit(cols - 1)))
-    seen = cells.select(F.col("row_i").alias("__r"), F.col("col_i").alias("__c"), F.col(value).alias("z"))
-    return looks.join(seen, ["__r", "__c"]).drop("__r", "__c")
+    radius = max(2, round(radius_m / resolution))
+    offsets, sign = horizon_offsets(radius, directions), -1.0 if negative else 1.0
 
+    def work(grid):
+        here = sign * seen(grid, radius, 0, 0)
+        steep = np.full((directions, *here.shape), OPEN)
+        for k, dr, dc, d in offsets:
+            np.fmax(steep[k], (sign * seen(grid, radius, dr, dc) - here) / (d * resolution), out=steep[k])
+        return np.where(np.isnan(here), np.nan, np.round(90.0 - np.degrees(np.arctan(steep)).mean(0), 5))
 
-def openness(cells: DataFrame, value: str, rows: int, cols: int, resolution: float, radius: int, negative: bool = False) -> DataFrame:
-    """(row_i, col_i, openness): mean over 8 directions of 90 degrees less the steepest rise; of the inverted surface if negative."""
-    spark = cells.sparkSession
-    offsets = spark.createDataFrame([(k, dr, dc, d * resolution) for k, dr, dc, d in horizon_offsets(radius)], "dir int, dr int, dc int, d double")
-    sign = -1.0 if negative else 1.0
-    here = cells.select("row_i", "col_i", (F.lit(sign) * F.col(value)).alias("__z0"))
-    seen = shifted(cells, value, offsets, rows, cols).join(here, ["row_i", "col_i"])
-    steep = seen.groupBy("row_i", "col_i", "dir").agg(F.max((F.lit(sign) * F.col("z") - F.col("__z0")) / F.col("d")).alias("s"))
-    return steep.groupBy("row_i", "col_i").agg(F.round(90.0 - F.avg(F.degrees(F.atan("s"))), 5).alias("openness"))
+    return stencil(cells, value, rows, cols, radius, work, "openness", tile=tile)
 
 
-def local_relief(cells: DataFrame, value: str, rows: int, cols: int, radius: int) -> DataFrame:
-    """(row_i, col_i, relief): value less its Gaussian mean (sigma radius / 2, cut at the radius, missing neighbours left out)."""
+def local_relief(cells: DataFrame, value: str, rows: int, cols: int, radius: int, tile: int = TILE) -> DataFrame:
+    """(row_i, col_i, relief): value less its Gaussian mean (sigma radius / 2, cut at the radius, missing neighbours left out);
+    the raster is mirrored at its borders, which are repeated."""
     sigma = radius / 2
-    weights = [(dr, dc, math.exp(-(dr * dr + dc * dc) / (2 * sigma * sigma))) for dr in range(-radius, radius + 1) for dc in range(-radius, radius + 1)]
-    seen = shifted(cells, value, cells.sparkSession.createDataFrame(weights, "dr int, dc int, w double"), rows, cols).filter("z is not null")
-    mean = seen.groupBy("row_i", "col_i").agg((F.sum(F.col("z") * F.col("w")) / F.sum("w")).alias("m"))
-    return cells.join(mean, ["row_i", "col_i"]).select("row_i", "col_i", F.round(F.col(value) - F.col("m"), 6).alias("relief"))
 
+    def work(grid):
+        total = weight = np.zeros_like(seen(grid, radius, 0, 0))
+        for dr in range(-radius, radius + 1):
+            for dc in range(-radius, radius + 1):
+                z, w = seen(grid, radius, dr, dc), math.exp(-(dr * dr + dc * dc) / (2 * sigma * sigma))
+                total, weight = total + np.where(np.isnan(z), 0.0, z * w), weight + np.where(np.isnan(z), 0.0, w)
+        with np.errstate(invalid="ignore"):
+            return np.round(seen(grid, radius, 0, 0) - total / weight, 6)
+
+    return stencil(cells, value, rows, cols, radius, work, "relief", pad="symmetric", tile=tile)
 
-def flow_direction(cells: DataFrame, value: str, rows: int, cols: int) -> DataFrame:
-    """(row_i, col_i, dir): the steepest of the 8 ways down, 0 = north and clockwise, null in a pit; equal ways go to the first."""
-    ways = [(0, -1, 0), (1, -1, 1), (2, 0, 1), (3, 1, 1), (4, 1, 0), (5, 1, -1), (6, 0, -1), (7, -1, -1)]
-    offsets = cells.sparkSession.createDataFrame([(k, r, c, math.hypot(r, c)) for k, r, c in ways], "way int, dr int, dc int, d double")
-    inside = (F.col("row_i") + F.col("dr")).between(0, rows - 1) & (F.col("col_i") + F.col("dc")).between(0, cols - 1)
-    seen = shifted(cells, value, offsets, rows, cols).filter(inside).join(cells.select("row_i", "col_i", F.col(value).alias("__z0")), ["row_i", "col_i"])
-    drop = F.round((F.col("__z0") - F.col("z")) / F.col("d"), 6)
-    best = seen.groupBy("row_i", "col_i").agg(F.max(F.struct(drop.alias("drop"), (-F.col("way")).alias("w"))).alias("b"))
-    return best.select("row_i", "col_i", F.when(F.col("b.drop") > 0, -F.col("b.w")).alias("dir"))
 
+def flow_direction(cells: DataFrame, value: str, rows: int, cols: int, tile: int = TILE) -> DataFrame:
+    """(row_i, col_i, dir): the steepest of the 8 ways down, 0 = north and clockwise, null in a pit; equal ways go to the first."""
 
-def flow_accumulation(cells: DataFrame, value: str, rows: int, cols: int) -> DataFrame:
+    def work(grid):
+        here = seen(grid, 1, 0, 0)
+        drops = np.stack([np.rint((here - seen(grid, 1, dr, dc)) / math.hypot(dr, dc) * 1e6) for dr, dc in WAYS])
+        drops = np.where(np.isnan(drops), -np.inf, drops)
+        return np.where(drops.max(0) > 0, drops.argmax(0), np.nan)
+
+    return stencil(cells, value, rows, cols, 1, work, "dir", "int", "nan", tile)
+
+
+def _tile_flow(row: np.ndarray, col: np.ndarray, way: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the cells of a tile: what drains through each from within, the last cell of its way inside, and where each flows to."""
+    r0, c0, width = row.min(), col.min(), int(col.max() - col.min()) + 1
+    place = np.full((int(row.max() - r0) + 1) * width, -1)
+    place[(row - r0) * width + (col - c0)] = np.arange(len(row))
+    step = np.array([*WAYS, (0, 0)])[way]
+    to_r, to_c = row + step[:, 0], col + step[:, 1]
+    inside = (way < len(WAYS)) & (to_r >= r0) & (to_r <= row.max()) & (to_c >= c0) & (to_c <= col.max())
+    down = np.where(inside, place[np.where(inside, (to_r - r0) * width + (to_c - c0), 0)], -1)
+    total, waits = weight.astype(np.int64), np.bincount(down[down >= 0], minlength=len(row))
+    front = np.flatnonzero(waits == 0)
+    while len(front):
+        front = front[down[front] >= 0]
+        np.add.at(total, down[front], total[front])
+        np.subtract.at(waits, down[front], 1)
+        front = np.unique(down[front])
+        front = front[waits[front] == 0]
+    last = np.where(down >= 0, down, np.arange(len(row)))
+    while (last[last] != last).any():
+        last = last[last]
+    return total, last, to_r, to_c
+
+
+def flow_accumulation(cells: DataFrame, value: str, rows: int, cols: int, tile: int = TILE) -> DataFrame:
     """(row_i, col_i, cells): cells that drain through each cell, itself included.
 
-    Drops walk downhill together, a round a step of the longest path; each round adds up the drops that meet in a cell, so it
-    never has more rows than there are cells.
+    A tile adds up its own flow in one task. What leaves tiles walks from outlet to outlet, a round a tile on the longest way,
+    as a table of outlets only; then each tile adds up once more with what comes in over its border.
     """
-    ways = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
-    step = F.element_at(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ways]), F.col("dir").cast("int") + 1)
-    down = flow_direction(cells, value, rows, cols).filter("dir is not null").withColumn("s", step)
-    down = durable(down.select("row_i", "col_i", (F.col("row_i") + F.col("s.r")).alias("r2"), (F.col("col_i") + F.col("s.c")).alias("c2")))
-    moving = cells.select("row_i", "col_i", F.lit(1).cast("long").alias("n"))
-    total = moving
+    ways = durable(flow_direction(cells, value, rows, cols, tile))
+    keyed = ways.select("row_i", "col_i", F.coalesce("dir", F.lit(len(WAYS))).alias("way"), F.expr(f"row_i div {tile}").alias("tr"), F.expr(f"col_i div {tile}").alias("tc"))
+
+    def border(key, table):
+        r, c, way = (table.column(n).to_numpy() for n in ("row_i", "col_i", "way"))
+        total, last, to_r, to_c = _tile_flow(r, c, way, np.ones(len(r), np.int64))
+        leaves = (way < len(WAYS)) & ((to_r // tile != key[0].as_py()) | (to_c // tile != key[1].as_py()))
+        edge = leaves[last] & ((r % tile == 0) | (r % tile == tile - 1) | (c % tile == 0) | (c % tile == tile - 1))
+        at = np.flatnonzero(edge)
+        out = [r[at], c[at], r[last[at]], c[last[at]], np.where(leaves[at], to_r[at], -1), np.where(leaves[at], to_c[at], -1)]
+        return pa.table([*(pa.array(x.astype(np.int32)) for x in out), pa.array(total[at])], ["row_i", "col_i", "out_r", "out_c", "to_r", "to_c", "n"])
+
+    edges = durable(keyed.groupBy("tr", "tc").applyInArrow(border, "row_i int, col_i int, out_r int, out_c int, to_r int, to_c int, n long"))
+    outlets = edges.filter("to_r >= 0").select("out_r", "out_c", "to_r", "to_c", "n")
+    following = durable(outlets.join(edges.select(F.col("row_i").alias("to_r"), F.col("col_i").alias("to_c"), F.col("out_r").alias("next_r"), F.col("out_c").alias("next_c")), ["to_r", "to_c"]).select("out_r", "out_c", "next_r", "next_c"))
+    moving = total = outlets.select("out_r", "out_c", "n")
     while True:
-        moving = durable(moving.join(down, ["row_i", "col_i"]).groupBy(F.col("r2").alias("row_i"), F.col("c2").alias("col_i")).agg(F.sum("n").alias("n")))
+        moving = durable(moving.join(following, ["out_r", "out_c"]).groupBy(F.col("next_r").alias("out_r"), F.col("next_c").alias("out_c")).agg(F.sum("n").alias("n")))
         if moving.isEmpty():
-            return total.groupBy("row_i", "col_i").agg(F.sum("n").alias("cells"))
-        total = total.unionByName(moving)
+            break
+        total = durable(total.unionByName(moving).groupBy("out_r", "out_c").agg(F.sum("n").alias("n")))
+    coming = total.join(outlets.select("out_r", "out_c", "to_r", "to_c"), ["out_r", "out_c"]).groupBy(F.col("to_r").alias("row_i"), F.col("to_c").alias("col_i")).agg(F.sum("n").alias("more"))
+
+    def add(key, table):
+        r, c, way, weight = (table.column(n).to_numpy() for n in ("row_i", "col_i", "way", "weight"))
+        return pa.table([table.column("row_i"), table.column("col_i"), pa.array(_tile_flow(r, c, way, weight)[0])], ["row_i", "col_i", "cells"])
+
+    fed = keyed.join(coming, ["row_i", "col_i"], "left").withColumn("weight", 1 + F.coalesce("more", F.lit(0)))
+    return fed.groupBy("tr", "tc").applyInArrow(add, "row_i int, col_i int, cells long")
+
+
+def hand(cells: DataFrame, value: str, rows: int, cols: int, least_cells: int, tile: int = TILE) -> DataFrame:
+    """(row_i, col_i, hand): height above the stream cell that each cell drains to, a stream being where at least `least_cells`
+    drain through; null where a way ends before one. Ways are followed by doubling: rounds grow with the logarithm of their length."""
+    z = cells.select(F.col("row_i").cast("int").alias("row_i"), F.col("col_i").cast("int").alias("col_i"), F.col(value).alias("z"))
+    step = F.element_at(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in WAYS]), F.col("dir") + 1)
+    stream = flow_accumulation(cells, value, rows, cols, tile).select("row_i", "col_i", (F.col("cells") >= least_cells).alias("stream"))
+    ways = flow_direction(cells, value, rows, cols, tile).withColumn("s", step).join(stream, ["row_i", "col_i"])
+    stays = F.col("stream") | F.col("dir").isNull()
+    way = durable(ways.select("row_i", "col_i", "stream", F.when(stays, F.col("row_i")).otherwise(F.col("row_i") + F.col("s.r")).alias("r2"), F.when(stays, F.col("col_i")).otherwise(F.col("col_i") + F.col("s.c")).alias("c2")))
+    while True:
+        further = way.select(F.col("row_i").alias("r2"), F.col("col_i").alias("c2"), F.col("r2").alias("r3"), F.col("c2").alias("c3"))
+        hop = durable(way.join(further, ["r2", "c2"]).select("row_i", "col_i", "stream", F.col("r3").alias("r2"), F.col("c3").alias("c2"), ((F.col("r2") != F.col("r3")) | (F.col("c2") != F.col("c3"))).alias("moved")))
+        way = hop.drop("moved")
+        if hop.filter("moved").isEmpty():
+            break
+    ends = z.join(way.filter("stream").select("row_i", "col_i"), ["row_i", "col_i"]).select(F.col("row_i").alias("r2"), F.col("col_i").alias("c2"), F.col("z").alias("base"))
+    return way.join(z, ["row_i", "col_i"]).join(ends, ["r2", "c2"], "left").select("row_i", "col_i", F.round(F.col("z") - F.col("base"), 6).alias("hand"))
+
+
+def slope(cells: DataFrame, value: str, rows: int, cols: int, resolution: float, tile: int = TILE) -> DataFrame:
+    """(row_i, col_i, slope_deg) by the weighted differences of all 8 neighbours; null at borders and beside missing cells."""
+
+    def work(grid):
+        at = {(r, c): seen(grid, 1, r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)}
+        dx = (at[-1, 1] + 2 * at[0, 1] + at[1, 1] - at[-1, -1] - 2 * at[0, -1] - at[1, -1]) / (8 * resolution)
+        dy = (at[1, -1] + 2 * at[1, 0] + at[1, 1] - at[-1, -1] - 2 * at[-1, 0] - at[-1, 1]) / (8 * resolution)
+        return np.round(np.degrees(np.arctan(np.hypot(dx, dy))) + 0 * at[0, 0], 6)
+
+    return stencil(cells, value, rows, cols, 1, work, "slope_deg", pad="nan", tile=tile)
+
+
+def wetness(flow: DataFrame, slopes: DataFrame, resolution: float, least_deg: float = 0.1) -> DataFrame:
+    """(row_i, col_i, twi): logarithm of the specific catchment area over the tangent of the slope, which is `least_deg` at least."""
+    area = F.col("cells") * float(resolution)
+    return flow.join(slopes, ["row_i", "col_i"]).select("row_i", "col_i", F.round(F.log(area / F.tan(F.radians(F.greatest("slope_deg", F.lit(least_deg))))), 6).alias("twi"))
 
 
 def components(cells: DataFrame, tile: int = 256) -> DataFrame:

@@ -20,25 +20,30 @@ def surface(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return cells, (cells.agg(F.max("row_i")).first()[0] or 0) + 1
 
 
+#: Search radius of openness, metres.
+RADIUS_M = 50.0
+
+
 def _openness_sql(radius: int, sign: str) -> str:
+    """Horizon angles by joins: mirrored without the border repeated, nothing seen counts as a slope of -1000."""
     steps = ", ".join(f"({k}, {r}, {c}, {d * 10.0!r}::DOUBLE)" for k, r, c, d in raster.horizon_offsets(radius))
     return f""", o(k, dr, dc, d) AS (VALUES {steps}), m AS (SELECT max(row_i) AS last FROM fx_cell),
 a AS (SELECT row_i, col_i, elev_m, k, d, row_i + dr AS r, col_i + dc AS c, last FROM fx_cell, o, m),
-b AS (SELECT *, CASE WHEN r < 0 THEN -r - 1 WHEN r > last THEN 2 * last + 1 - r ELSE r END AS rr, CASE WHEN c < 0 THEN -c - 1 WHEN c > 99 THEN 199 - c ELSE c END AS cc FROM a),
-s AS (SELECT b.row_i, b.col_i, k, max({sign}(z.elev_m - b.elev_m) / d) AS s FROM b JOIN fx_cell z ON z.row_i = rr AND z.col_i = cc GROUP BY ALL)
-SELECT row_i, col_i, round(90.0::DOUBLE - avg(degrees(atan(s))), 5) AS openness FROM s GROUP BY ALL"""
+b AS (SELECT *, CASE WHEN r < 0 THEN -r WHEN r > last THEN 2 * last - r ELSE r END AS rr, CASE WHEN c < 0 THEN -c WHEN c > 99 THEN 198 - c ELSE c END AS cc FROM a),
+s AS (SELECT b.row_i, b.col_i, k, greatest(-1000.0::DOUBLE, coalesce(max({sign}(z.elev_m - b.elev_m) / d), -1000.0::DOUBLE)) AS s FROM b LEFT JOIN fx_cell z ON z.row_i = rr AND z.col_i = cc GROUP BY b.row_i, b.col_i, k)
+SELECT row_i, col_i, round(90.0::DOUBLE - avg(degrees(atan(s))), 5) AS openness FROM s GROUP BY row_i, col_i"""
 
 
-@query(_openness_sql(2, ""))
+@query(_openness_sql(5, ""))
 def openness_pos(spark, sf_dir):
     cells, rows = surface(spark, sf_dir)
-    return raster.openness(cells, "elev_m", rows, COLS, 10.0, 2)
+    return raster.openness(cells, "elev_m", rows, COLS, 10.0, RADIUS_M)
 
 
-@query(_openness_sql(2, "-"))
+@query(_openness_sql(5, "-"))
 def openness_neg(spark, sf_dir):
     cells, rows = surface(spark, sf_dir)
-    return raster.openness(cells, "elev_m", rows, COLS, 10.0, 2, negative=True)
+    return raster.openness(cells, "elev_m", rows, COLS, 10.0, RADIUS_M, negative=True)
 
 
 @query(""", o AS (SELECT x.range AS dr, y.range AS dc, exp(-(x.range * x.range + y.range * y.range) / 2.0::DOUBLE) AS w FROM range(-2, 3) x, range(-2, 3) y), m AS (SELECT max(row_i) AS last FROM fx_cell),

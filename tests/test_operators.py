@@ -68,18 +68,40 @@ def grid(spark, z):
 
 
 def test_openness_of_plane_and_numpy(spark):
-    flat = raster.openness(grid(spark, np.full((6, 7), 3.0)), "z", 6, 7, 10.0, 2).toPandas()
+    flat = raster.openness(grid(spark, np.full((6, 7), 3.0)), "z", 6, 7, 10.0, 20.0).toPandas()
     assert (flat.openness == 90).all()
     z = np.random.default_rng(2).normal(size=(8, 9)).round(3)
-    got = raster.openness(grid(spark, z), "z", 8, 9, 10.0, 3, negative=True).toPandas().set_index(["row_i", "col_i"]).openness
-    fold = lambda i, n: -i - 1 if i < 0 else 2 * n - 1 - i if i >= n else i
-    for r in range(8):
-        for c in range(9):
-            worst = {}
-            for k, dr, dc, d in raster.horizon_offsets(3):
-                s = (z[r, c] - z[fold(r + dr, 8), fold(c + dc, 9)]) / (d * 10)
-                worst[k] = max(worst.get(k, -1e9), s)
-            assert got[r, c] == pytest.approx(90 - np.mean([math.degrees(math.atan(s)) for s in worst.values()]), abs=1e-4)
+    z[3, 4] = z[0, 0] = np.nan
+    padded = np.pad(z, 3, mode="reflect")
+    for negative, tile in ((True, 512), (False, 4)):
+        got = raster.openness(grid(spark, z), "z", 8, 9, 10.0, 30.0, 16, negative, tile).toPandas().set_index(["row_i", "col_i"]).openness
+        sign = -1 if negative else 1
+        for r in range(8):
+            for c in range(9):
+                # Places by the definition: rounded thirds of a cell along each of 16 directions.
+                rises = []
+                for k in range(16):
+                    places = {(round(np.cos(k * np.pi / 8) * d / 3), round(np.sin(k * np.pi / 8) * d / 3)) for d in range(3, 10)}
+                    found = [sign * (padded[r + 3 + i, c + 3 + j] - z[r, c]) / (10 * math.hypot(i, j)) for i, j in places]
+                    rises.append(max([-1000.0, *(x for x in found if not math.isnan(x))]))
+                want = 90 - np.mean(np.degrees(np.arctan(rises)))
+                assert np.isnan(got[r, c]) if np.isnan(z[r, c]) else got[r, c] == pytest.approx(want, abs=1e-4)
+
+
+@pytest.mark.parametrize("tile", [3, 4, 512])
+def test_stencils_do_not_see_tiles(spark, tile):
+    z = np.random.default_rng(6).normal(size=(9, 11)).round(2)
+    cells = grid(spark, z)
+    got = raster.slope(cells, "z", 9, 11, 2.0, tile).toPandas().set_index(["row_i", "col_i"]).slope_deg
+    for r in range(9):
+        for c in range(11):
+            if 0 < r < 8 and 0 < c < 10:
+                n = z[r - 1 : r + 2, c - 1 : c + 2]
+                dx, dy = ((n[:, 2] - n[:, 0]) @ [1, 2, 1]) / 16, ((n[2] - n[0]) @ [1, 2, 1]) / 16
+                assert got[r, c] == pytest.approx(math.degrees(math.atan(math.hypot(dx, dy))), abs=1e-5)
+            else:
+                assert np.isnan(got[r, c])
+    assert sorted(map(tuple, raster.local_relief(cells, "z", 9, 11, 2, tile).collect())) == sorted(map(tuple, raster.local_relief(cells, "z", 9, 11, 2).collect()))
 
 
 @pytest.mark.parametrize("lines", [[(0, 0.0, 0.0, 120.0, -150.0), (1, 40.0, 10.0, 40.0, 10.0), (2, 0.0, 0.0, 120.0, -150.0)], None])
@@ -105,9 +127,10 @@ def test_nearest_segment_has_no_reach(spark, lines):
     assert len(nothing) == len(xy) + 1 and all(r.dist is None and r.o is None for r in nothing)
 
 
-def test_flow_accumulation(spark):
+@pytest.mark.parametrize("tile", [2, 3, 512])
+def test_flow_accumulation(spark, tile):
     z = np.random.default_rng(5).permutation(56).reshape(7, 8).astype(float)
-    got = {(r.row_i, r.col_i): r.cells for r in raster.flow_accumulation(grid(spark, z), "z", 7, 8).collect()}
+    got = {(r.row_i, r.col_i): r.cells for r in raster.flow_accumulation(grid(spark, z), "z", 7, 8, tile).collect()}
     ways = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
     want = {}
     for start in np.ndindex(7, 8):
@@ -123,6 +146,18 @@ def test_flow_accumulation(spark):
     assert got == want
 
 
+def test_height_above_streams(spark):
+    z = np.add.outer(np.arange(6) * 3.0, np.abs(np.arange(7) - 3.0))
+    got = {(r.row_i, r.col_i): r.hand for r in raster.hand(grid(spark, z), "z", 6, 7, 7, 4).collect()}
+    flow = {(r.row_i, r.col_i): r.cells for r in raster.flow_accumulation(grid(spark, z), "z", 6, 7).collect()}
+    ways = {(r.row_i, r.col_i): r.dir for r in raster.flow_direction(grid(spark, z), "z", 6, 7).collect()}
+    for at in np.ndindex(6, 7):
+        here = at
+        while flow[here] < 7 and ways[here] is not None:
+            here = (here[0] + raster.WAYS[ways[here]][0], here[1] + raster.WAYS[ways[here]][1])
+        assert got[at] == (pytest.approx(z[at] - z[here]) if flow[here] >= 7 else None)
+
+
 def flood(mask):
     label = {}
     for start in sorted(zip(*np.nonzero(mask))):
