@@ -11,22 +11,50 @@ from ..storage import durable
 _BUCKETS = 1024
 
 
-def percentile_rank(df: DataFrame, column: str, out: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """Percentile rank in (0, 100] with average ties; null stays null.
+def _ranked(df: DataFrame, column: str, by: list[str], low: float | None, high: float | None) -> DataFrame:
+    """(by, column, __n, __below, __all): of each distinct value how often it is there, how many rows are below it, and all rows.
 
-    Rows shrink to counts of distinct values first. Values fall into buckets of [low, high] in order (beyond it into the
-    outer ones, which costs balance, not correctness); ranks count within a bucket and add the buckets before.
+    Rows shrink to counts first. Values fall into buckets of [low, high] in order, of [least, largest] if not given (beyond it
+    into the outer ones, which costs balance, not correctness); ranks count within a bucket and add the buckets before.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    step = F.floor((F.col(column) - F.lit(low)) * F.lit(_BUCKETS / (high - low)))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("__n"))
+    if low is None:
+        ends = counts.groupBy(*by).agg(F.min(column).alias("__lo"), F.max(column).alias("__hi"))
+        counts = counts.join(ends, by) if by else counts.crossJoin(F.broadcast(ends))
+        lo, width = F.col("__lo"), F.col("__hi") - F.col("__lo")
+    else:
+        lo, width = F.lit(low), F.lit(high - low)
+    step = F.coalesce(F.floor(F.try_divide((F.col(column) - lo) * _BUCKETS, width)), F.lit(0))
     counts = counts.withColumn("__bucket", F.greatest(F.lit(-1), F.least(F.lit(_BUCKETS), step)))
-    ahead = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # One row a bucket: this window sees about a thousand rows, however many cells there are.
-    offsets = counts.groupBy("__bucket").agg(F.sum("__n").alias("__in")).select("__bucket", F.coalesce(F.sum("__in").over(ahead), F.lit(0)).alias("__before"), F.sum("__in").over(Window.partitionBy(F.lit(0))).alias("__all"))
-    within = Window.partitionBy("__bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("__below", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(F.broadcast(offsets), "__bucket")
-    rank = F.col("__before") + F.col("__below") + (F.col("__n") + 1.0) / 2.0
-    return df.join(ranked.select(column, (rank * 100.0 / F.col("__all")).alias(out)), column, "left")
+    ahead = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a bucket: these windows see about a thousand rows a group, however many cells there are.
+    sizes = counts.groupBy(*by, "__bucket").agg(F.sum("__n").alias("__in"))
+    offsets = sizes.select(*by, "__bucket", F.coalesce(F.sum("__in").over(ahead), F.lit(0)).alias("__before"), F.sum("__in").over(Window.partitionBy(*by, F.lit(0))).alias("__all"))
+    inside = Window.partitionBy(*by, "__bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    return within.join(offsets, [*by, "__bucket"]).select(*by, column, "__n", (F.col("__before") + F.col("__in")).alias("__below"), "__all")
+
+
+def percentile_rank(df: DataFrame, column: str, out: str, low: float | None = 0.0, high: float | None = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Percentile rank in (0, 100] with average ties, within each group of `by`; null stays null."""
+    rank = F.col("__below") + (F.col("__n") + 1.0) / 2.0
+    ranked = _ranked(df, column, list(by), low, high).select(*by, column, (rank * 100.0 / F.col("__all")).alias(out))
+    return df.join(ranked, [*by, column], "left")
+
+
+def quantiles(df: DataFrame, column: str, asked: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (a group) of exact quantiles, linear between neighbours: out name -> share. No task holds all values."""
+    ranked = _ranked(df, column, list(by), None, None)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("__below") <= place) & (place < F.col("__below") + F.col("__n")), F.col(column)))
+
+    ends = []
+    for name, p in asked.items():
+        h = F.lit(p) * (F.col("__all") - 1)
+        ends += [at(F.floor(h)).alias(f"__a_{name}"), at(F.ceil(h)).alias(f"__b_{name}"), F.max(h - F.floor(h)).alias(f"__t_{name}")]
+    value = lambda n: F.col(f"__a_{n}") + (F.col(f"__b_{n}") - F.col(f"__a_{n}")) * F.col(f"__t_{n}")
+    return ranked.groupBy(*by).agg(*ends).select(*by, *[value(n).alias(n) for n in asked])
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -66,7 +94,9 @@ def weighted_overlay(cells: DataFrame, features: dict[str, dict]) -> DataFrame:
     for name, v in used.items():
         out = out.withColumn(f"norm_{name}", curves.normalise(v["method"], F.col(v["column"]), **v["params"]))
     score = sum((F.lit(v["weight"] / total) * F.coalesce(F.col(f"norm_{name}"), F.lit(0.0)) for name, v in used.items()), F.lit(0.0))
-    return percentile_rank(out.withColumn("score", F.round(score, 9)), "score", "score_pct")
+    # Scores are ranked as the single precision numbers that are stored: what is equal there is a tie.
+    ranked = percentile_rank(out.withColumn("score", F.round(score, 9)).withColumn("__single", F.col("score").cast("float")), "__single", "score_pct")
+    return ranked.drop("__single")
 
 
 def first_of_each(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

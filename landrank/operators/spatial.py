@@ -78,3 +78,27 @@ def crossings(segments: DataFrame, width: float = 200.0) -> DataFrame:
     met = segments_cross(*({c: F.col(c + s) for c in cols} for s in ("_a", "_b")))
     pairs = a.join(b, ["__tx", "__ty"]).filter((F.col("id_a") < F.col("id_b")) & met)
     return pairs.drop("__tx", "__ty").distinct()
+
+
+def burn(segments: DataFrame, left: float, top: float, resolution: float, rows: int, cols: int) -> DataFrame:
+    """Columns of segments (x1, y1, x2, y2) with row_i and col_i of every cell that each of them touches, row by row."""
+    step, low, high = float(resolution), F.least("y1", "y2"), F.greatest("y1", "y2")
+    row = lambda y: F.floor((F.lit(top) - y) / step).cast("int")
+    first, last = F.greatest(F.lit(0), row(high)), F.least(F.lit(rows - 1), row(low))
+    banded = segments.filter(first <= last).withColumn("row_i", F.explode(F.sequence(first, last)))
+    edge = F.lit(top) - step * F.col("row_i")
+    # Where the segment enters and leaves the row; a level one keeps its ends.
+    at = lambda y, end: F.coalesce(F.col("x1") + (y - F.col("y1")) * F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.col(end))
+    xa, xb = at(F.greatest(edge - step, low), "x1"), at(F.least(edge, high), "x2")
+    col = lambda x: F.floor((x - left) / step).cast("int")
+    spans = banded.withColumn("__a", F.greatest(F.lit(0), col(F.least(xa, xb)))).withColumn("__b", F.least(F.lit(cols - 1), col(F.greatest(xa, xb))))
+    return spans.filter("__a <= __b").withColumn("col_i", F.explode(F.sequence("__a", "__b"))).drop("__a", "__b")
+
+
+def boxes_meet(a: DataFrame, b: DataFrame, width: float = 200.0) -> DataFrame:
+    """All columns of pairs of boxes that overlap: a (xmin..ymax) and b (uxmin..uymax), met once in the tile of their lower corner."""
+    tiled = lambda df, p: df.withColumn("__tx", _tiles(F.col(p + "xmin"), F.col(p + "xmax"), width)).withColumn("__ty", _tiles(F.col(p + "ymin"), F.col(p + "ymax"), width))
+    both = tiled(a, "").join(tiled(b, "u"), ["__tx", "__ty"])
+    over = (F.col("xmin") <= F.col("uxmax")) & (F.col("xmax") >= F.col("uxmin")) & (F.col("ymin") <= F.col("uymax")) & (F.col("ymax") >= F.col("uymin"))
+    once = (F.col("__tx") == tile(F.greatest("xmin", "uxmin"), width)) & (F.col("__ty") == tile(F.greatest("ymin", "uymin"), width))
+    return both.filter(over & once).drop("__tx", "__ty")

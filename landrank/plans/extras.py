@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import stats
-from ..operators import raster, spatial
+from ..operators import ranking, raster, spatial
 from ..sources import fixtures
 from ..sources.fixtures import table
 from . import query
@@ -97,7 +96,7 @@ def hillshade(spark, sf_dir):
 @query("SELECT row_i, col_i, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (elev_m - lo) / (hi - lo))), 6) AS stretched FROM fx_cell, (SELECT quantile_cont(elev_m, 0.02) AS lo, quantile_cont(elev_m, 0.98) AS hi FROM fx_cell)")
 def percentile_stretch(spark, sf_dir):
     cells, _ = surface(spark, sf_dir)
-    cut = cells.agg(stats.quantile("elev_m", 0.02).alias("lo"), stats.quantile("elev_m", 0.98).alias("hi"))
+    cut = ranking.quantiles(cells, "elev_m", {"lo": 0.02, "hi": 0.98})
     x = (F.col("elev_m") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     return cells.crossJoin(F.broadcast(cut)).select("row_i", "col_i", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 6).alias("stretched"))
 
@@ -136,7 +135,14 @@ def sweep(spark, sf_dir, radii: tuple[int, ...]) -> DataFrame:
     return out
 
 
-@query()
+def _sweep_sql(radius: int) -> str:
+    sigma = radius / 2
+    return f"""(SELECT 'radius={radius}' AS variant, round(stddev_pop(relief), 4) AS sd, round(max(relief), 4) AS highest FROM (SELECT b.row_i, b.col_i, round(any_value(b.elev_m) - sum(z.elev_m * w) / sum(w), 6) AS relief FROM (SELECT *,
+CASE WHEN r < 0 THEN -r - 1 WHEN r > last THEN 2 * last + 1 - r ELSE r END AS rr, CASE WHEN c < 0 THEN -c - 1 WHEN c > 99 THEN 199 - c ELSE c END AS cc FROM (SELECT row_i, col_i, elev_m, exp(-(x.range * x.range + y.range * y.range) / {2 * sigma * sigma}::DOUBLE) AS w,
+row_i + x.range AS r, col_i + y.range AS c, (SELECT max(row_i) FROM fx_cell) AS last FROM fx_cell, range({-radius}, {radius + 1}) x, range({-radius}, {radius + 1}) y)) b JOIN fx_cell z ON z.row_i = rr AND z.col_i = cc GROUP BY b.row_i, b.col_i))"""
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM {_sweep_sql(r)}" for r in (1, 2, 4)))
 def relief_sweep(spark, sf_dir):
     """One variant of the local relief a radius; each is the checked local_relief with another parameter."""
     return sweep(spark, sf_dir, (1, 2, 4))

@@ -27,7 +27,7 @@ N_TWI = "greatest(0.0::DOUBLE, 1.0::DOUBLE - greatest(5.0::DOUBLE - twi, twi - 8
 SCORED = f""",
 nrm AS (SELECT *, ({N_HAND})::DOUBLE AS norm_hand, ({N_SLOPE})::DOUBLE AS norm_slope, {N_DRAIN} AS norm_drainage, {N_TWI} AS norm_twi FROM fx_cell),
 scr AS (SELECT *, round(0.0::DOUBLE + 0.375::DOUBLE * coalesce(norm_hand, 0) + 0.25::DOUBLE * coalesce(norm_slope, 0) + 0.25::DOUBLE * coalesce(norm_drainage, 0) + 0.125::DOUBLE * coalesce(norm_twi, 0), 9) AS score FROM nrm),
-pct AS (SELECT *, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE) * 100.0::DOUBLE / count(*) OVER () AS score_pct FROM scr)
+pct AS (SELECT *, (rank() OVER (ORDER BY score::FLOAT) + (count(*) OVER (PARTITION BY score::FLOAT) - 1) / 2.0::DOUBLE) * 100.0::DOUBLE / count(*) OVER () AS score_pct FROM scr)
 """
 
 
@@ -89,7 +89,7 @@ SELECT aoi_id, count(*) AS n, round(avg(score_pct) + 1e-9::DOUBLE, 6) AS pct_mea
 round(avg(CASE WHEN hand_m < 15 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS lowland FROM pct JOIN fx_aoi ON {BOX} GROUP BY aoi_id""")
 def cells_in_footprint(spark, sf_dir):
     cells = scored(spark, sf_dir)
-    cut = cells.agg(stats.quantile("score", 0.95).alias("p95"))
+    cut = ranking.quantiles(cells, "score", {"p95": 0.95})
     return (
         in_areas(cells, spark, sf_dir).crossJoin(F.broadcast(cut)).groupBy("aoi_id")
         .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score_pct") + 1e-9, 6).alias("pct_mean"), F.round(stats.share(F.col("score") >= F.col("p95")) / 0.05, 6).alias("enrichment"), F.round(stats.share(F.col("hand_m") < 15.0), 6).alias("lowland"))
@@ -255,16 +255,20 @@ def _without(name: str) -> str:
 
 
 @query(SCORED + ", a AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, cell_id, easting, northing, round(0.0::DOUBLE + {_without(n)}, 9) AS s FROM nrm" for n in (*NAMES, "none")) + f"""),
-k AS (SELECT *, (rank() OVER (PARTITION BY feature ORDER BY s) + (count(*) OVER (PARTITION BY feature, s) - 1) / 2.0::DOUBLE) * 100.0::DOUBLE / count(*) OVER (PARTITION BY feature) AS pct FROM a)
+k AS (SELECT *, (rank() OVER (PARTITION BY feature ORDER BY s::FLOAT) + (count(*) OVER (PARTITION BY feature, s::FLOAT) - 1) / 2.0::DOUBLE) * 100.0::DOUBLE / count(*) OVER (PARTITION BY feature) AS pct FROM a)
 SELECT feature, round(avg(pct) + 1e-9::DOUBLE, 4) AS control_pct FROM k JOIN fx_aoi ON {BOX} WHERE {CONTROL} GROUP BY feature""")
 def ablation(spark, sf_dir):
-    """Mean control percentile with each feature held out."""
-    out = None
+    """Mean control percentile with each feature held out: one scan, all sets ranked side by side."""
+    cells = fixtures.cells(spark, sf_dir).select("cell_id", "easting", "northing", *[curves.normalise(w["method"], F.col(w["column"]), **w["params"]).alias(f"norm_{n}") for n, w in WEIGHTS.items()])
+    sets = []
     for held in (*NAMES, "none"):
-        cells = ranking.weighted_overlay(fixtures.cells(spark, sf_dir), {k: v for k, v in WEIGHTS.items() if k != held})
-        one = in_areas(cells, spark, sf_dir).filter(CONTROL).agg(F.round(F.avg("score_pct") + 1e-9, 4).alias("control_pct")).select(F.lit(held).alias("feature"), "control_pct")
-        out = one if out is None else out.unionByName(one)
-    return out
+        rest = {n: w["weight"] for n, w in WEIGHTS.items() if n != held}
+        score = sum((F.lit(w / sum(rest.values())) * F.coalesce(F.col(f"norm_{n}"), F.lit(0.0)) for n, w in rest.items()), F.lit(0.0))
+        sets.append(F.struct(F.lit(held).alias("feature"), F.round(score, 9).cast("float").alias("s")))
+    long = cells.select("cell_id", F.explode(F.array(*sets)).alias("a")).select("cell_id", "a.feature", "a.s")
+    control = in_areas(cells, spark, sf_dir).filter(CONTROL).select("cell_id")
+    ranked = ranking.percentile_rank(long, "s", "pct", by=("feature",))
+    return ranked.join(control, "cell_id").groupBy("feature").agg(F.round(F.avg("pct") + 1e-9, 4).alias("control_pct"))
 
 
 @query(SCORED + "SELECT feature, norm, share, round(share * coalesce(norm, 0), 9) AS contribution FROM (SELECT cell_id, unnest(['hand', 'slope', 'drainage', 'twi']) AS feature, unnest([norm_hand, norm_slope, norm_drainage, norm_twi]) AS norm, unnest([0.375::DOUBLE, 0.25, 0.25, 0.125]) AS share FROM nrm WHERE cell_id = (SELECT cell_id FROM nrm ORDER BY (easting - 500423.0) ** 2 + (northing - 3999900.0) ** 2, cell_id LIMIT 1))")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import stats
-from ..operators import raster
+from ..operators import ranking, raster, spatial
 from ..sources import fixtures
+from ..storage import durable
 from . import query
 from .scoring import SCORED, scored
 
@@ -71,23 +71,26 @@ z AS (SELECT key, min(seed) AS zone FROM flood GROUP BY key), zc AS (SELECT row_
 def high_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell_id, row_i, col_i, elev_m, zone): 4-connected zones of the highest fifth."""
     cells, _ = surface(spark, sf_dir)
-    cut = cells.agg(stats.quantile("elev_m", 0.8).alias("cut"))
+    cut = ranking.quantiles(cells, "elev_m", {"cut": 0.8})
     on = cells.crossJoin(F.broadcast(cut)).filter(F.col("elev_m") >= F.col("cut")).drop("cut")
     return raster.components(on.select("row_i", "col_i"), 64).join(on, ["row_i", "col_i"])
 
 
-@query(HIGH + SCORED + """, g AS (SELECT zone, count(*) AS cells, count(*) * 100.0::DOUBLE AS area_m2, round(avg(score), 6) AS score_mean, round(max(score), 6) AS score_max, round(avg(score_pct) + 1e-9::DOUBLE, 6) AS pct_mean, round(avg(hand_m), 6) AS hand_mean
-FROM zc JOIN pct USING (cell_id) GROUP BY zone HAVING count(*) >= 5) SELECT zone, cells, area_m2, score_mean, score_max, pct_mean, hand_mean, (row_number() OVER (ORDER BY pct_mean DESC, area_m2 DESC, zone))::INT AS rank FROM g""")
+TOP = SCORED + """, on_ AS (SELECT row_i, col_i, row_i::BIGINT * 4294967296 + col_i AS key, cell_id, score, score_pct, hand_m FROM pct WHERE score_pct >= 95.0::DOUBLE),
+flood(seed, key) AS (SELECT key, key FROM on_ UNION SELECT f.seed, n.key FROM flood f JOIN on_ n ON n.key IN (f.key + 1, f.key - 1, f.key + 4294967296, f.key - 4294967296) AND n.key > f.seed),
+z AS (SELECT key, min(seed) AS zone FROM flood GROUP BY key)"""
+
+
+@query(TOP + """, g AS (SELECT zone, count(*) AS cells, count(*) * 100.0::DOUBLE AS area_m2, round(avg(score), 6) AS score_mean, round(max(score), 6) AS score_max, round(avg(score_pct) + 1e-9::DOUBLE, 6) AS pct_mean, round(avg(hand_m), 6) AS hand_mean
+FROM on_ JOIN z USING (key) GROUP BY zone HAVING count(*) >= 4) SELECT zone, cells, area_m2, score_mean, score_max, pct_mean, hand_mean, row_number() OVER (ORDER BY pct_mean DESC, area_m2 DESC, zone) AS rank FROM g""")
 def zones_ranked(spark, sf_dir):
-    zones = high_zones(spark, sf_dir).select("cell_id", "zone").join(scored(spark, sf_dir), "cell_id")
-    out = zones.groupBy("zone").agg(
+    """Zones of touching cells of the top 5 percent by score, of at least 4 cells, ranked by their mean percentile."""
+    top = durable(scored(spark, sf_dir).filter("score_pct >= 95").select("row_i", "col_i", "score", "score_pct", "hand_m"))
+    out = raster.components(top.select("row_i", "col_i")).join(top, ["row_i", "col_i"]).groupBy("zone").agg(
         F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * 100.0).alias("area_m2"), F.round(F.avg("score"), 6).alias("score_mean"), F.round(F.max("score"), 6).alias("score_max"),
         F.round(F.avg("score_pct") + 1e-9, 6).alias("pct_mean"), F.round(F.avg("hand_m"), 6).alias("hand_mean"),
     )
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.desc("pct_mean"), F.desc("area_m2"), "zone")
-    return out.filter("cells >= 5").withColumn("rank", F.row_number().over(order))
+    return ranking.numbered(out.filter("cells >= 4"), [F.desc("pct_mean"), F.desc("area_m2"), F.asc("zone")], "rank")
 
 
 @query(HIGH + " SELECT zone, count(*) AS cells, min(row_i) AS row_lo, max(row_i) AS row_hi, min(col_i) AS col_lo, max(col_i) AS col_hi, round(max(elev_m), 6) AS top FROM zc GROUP BY zone HAVING count(*) BETWEEN 4 AND 100000")
@@ -101,8 +104,6 @@ def detect_zones_high(spark, sf_dir):
 SELECT zone, cells, round(covered, 6) AS covered FROM ex WHERE covered <= 0.5""")
 def detect_zones_excluded(spark, sf_dir):
     """Zones without those that lie by more than half under buffered features."""
-    from ..operators import spatial
-
     zones = high_zones(spark, sf_dir)
     grown = fixtures.flowlines(spark, sf_dir).select((F.least("x1", "x2") - 20).alias("xmin"), (F.greatest("x1", "x2") + 20).alias("xmax"), (F.least("y1", "y2") - 20).alias("ymin"), (F.greatest("y1", "y2") + 20).alias("ymax"))
     points = zones.select("cell_id", (500005.0 + 10.0 * F.col("col_i")).alias("x"), (4000005.0 - 10.0 * F.col("row_i")).alias("y"))
@@ -142,15 +143,18 @@ def terrace_labels(spark, sf_dir):
     return cells.crossJoin(F.broadcast(listed)).select("cell_id", F.coalesce(F.when(F.col("slope_deg") <= 8.0, first), F.lit(0)).cast("long").alias("terrace"))
 
 
-@query(", r AS (SELECT row_i, col_i, max(CASE WHEN abs(500005 + 10 * col_i - (x1 + x2) / 2) <= 65 AND 4000005 - 10 * row_i BETWEEN y2 - 5 AND y1 + 5 THEN 1000000 - id END) AS w FROM fx_cell, fx_line GROUP BY row_i, col_i) SELECT row_i, col_i, coalesce(stream_order, 0) AS stream_order FROM r LEFT JOIN fx_line ON id = 1000000 - w")
-def rasterize_lines(spark, sf_dir):
-    """Cells under the box of a line, 0 elsewhere; of lines that overlap the lowest id wins."""
-    from ..operators import spatial
+BURN = """, sr AS (SELECT id, stream_order, x1, y1, x2, y2, unnest(range(greatest(0, floor((4000010.0 - greatest(y1, y2)) / 10.0)::BIGINT), least(last, floor((4000010.0 - least(y1, y2)) / 10.0)::BIGINT) + 1)) AS r FROM fx_line, (SELECT max(row_i) AS last FROM fx_cell)),
+sy AS (SELECT *, greatest(4000000.0 - 10.0 * r, least(y1, y2)) AS ya, least(4000010.0 - 10.0 * r, greatest(y1, y2)) AS yb FROM sr), sx AS (SELECT *, x1 + (ya - y1) * (x2 - x1) / (y2 - y1) AS xa, x1 + (yb - y1) * (x2 - x1) / (y2 - y1) AS xb FROM sy),
+bu AS (SELECT id, stream_order, r AS row_i, unnest(range(greatest(0, floor((least(xa, xb) - 500000.0) / 10.0)::BIGINT), least(99, floor((greatest(xa, xb) - 500000.0) / 10.0)::BIGINT) + 1)) AS col_i FROM sx),
+won AS (SELECT row_i, col_i, arg_max(stream_order, id) AS stream_order FROM bu GROUP BY row_i, col_i)"""
+
 
-    cells = fixtures.cells(spark, sf_dir).select("row_i", "col_i", F.col("easting").alias("x"), F.col("northing").alias("y"))
-    mid = (F.col("x1") + F.col("x2")) / 2.0
-    boxes = fixtures.flowlines(spark, sf_dir).select("id", "stream_order", (mid - 65).alias("xmin"), (mid + 65).alias("xmax"), (F.col("y2") - 5).alias("ymin"), (F.col("y1") + 5).alias("ymax"))
-    won = spatial.points_in_boxes(cells, boxes).groupBy("row_i", "col_i").agg(F.min_by("stream_order", "id").alias("stream_order"))
+@query(BURN + " SELECT row_i, col_i, coalesce(stream_order, 0) AS stream_order FROM fx_cell LEFT JOIN won USING (row_i, col_i)")
+def rasterize_lines(spark, sf_dir):
+    """Cells that a line touches take its order, 0 elsewhere; where lines meet the later one wins."""
+    cells, rows = surface(spark, sf_dir)
+    burnt = spatial.burn(fixtures.flowlines(spark, sf_dir), 500000.0, 4000010.0, 10.0, rows, COLS)
+    won = burnt.groupBy("row_i", "col_i").agg(F.max_by("stream_order", "id").alias("stream_order"))
     return cells.select("row_i", "col_i").join(won, ["row_i", "col_i"], "left").select("row_i", "col_i", F.coalesce("stream_order", F.lit(0)).alias("stream_order"))
 
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import curves, stats
+from ..functions import curves
 from ..functions.geometry import boxes_overlap
-from ..operators import ranking, spatial
+from ..operators import detection, ranking, spatial
 from ..sources import fixtures
-from . import query
+from ..storage import durable
+from . import ORACLE_SQL, query
 from .scoring import SCORED, scored
 
 SEG = """, sd AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM {points} p, fx_line),
 dd AS (SELECT *, sqrt((x - (x1 + t * (x2 - x1))) * (x - (x1 + t * (x2 - x1))) + (y - (y1 + t * (y2 - y1))) * (y - (y1 + t * (y2 - y1)))) AS far FROM sd),
-nn AS (SELECT {key}, min(round(far, 6)) AS dist, (min_by(stream_order, (round(far, 6), id))) AS stream_order FROM dd WHERE far <= 600 GROUP BY {key})"""
+nn AS (SELECT {key}, min(round(far, 6)) AS dist, (min_by(stream_order, (round(far, 6), id))) AS stream_order FROM dd GROUP BY {key})"""
 CELL_POINTS = "(SELECT cell_id, easting AS x, northing AS y FROM fx_cell)"
 
 
@@ -24,7 +25,7 @@ def _cells(spark, sf_dir) -> DataFrame:
 
 @query(SEG.format(points=CELL_POINTS, key="cell_id") + " SELECT cell_id, dist, stream_order FROM fx_cell LEFT JOIN nn USING (cell_id)")
 def dist_to_stream(spark, sf_dir):
-    """Distance and order of the nearest line of every cell; the SQL beside it still stops at 600 m."""
+    """Distance and order of the nearest line of every cell, however far."""
     return spatial.nearest_segment(_cells(spark, sf_dir), fixtures.flowlines(spark, sf_dir), "cell_id", None, "stream_order").select("cell_id", "dist", "stream_order")
 
 
@@ -94,11 +95,11 @@ def cells_in_polygon(spark, sf_dir):
 SELECT round(quantile_cont(dist, 0.5) FILTER (score_pct >= 95), 6) AS top_median, round(quantile_cont(dist, 0.25) FILTER (score_pct >= 95), 6) AS top_q1, round(quantile_cont(dist, 0.5), 6) AS background_median,
 round((quantile_cont(dist, 0.5) FILTER (score_pct >= 95)) / (quantile_cont(dist, 0.5)), 6) AS ratio FROM b""")
 def access_bias(spark, sf_dir):
-    """How near the best cells lie to access lines, against all cells; the SQL beside it still leaves out cells beyond 600 m."""
+    """How near the best cells lie to access lines, against all cells."""
     near = spatial.nearest_segment(_cells(spark, sf_dir), fixtures.flowlines(spark, sf_dir), "cell_id", None, "stream_order")
-    both = near.join(scored(spark, sf_dir).select("cell_id", "score_pct"), "cell_id")
-    top, back = F.when(F.col("score_pct") >= 95.0, F.col("dist")), F.col("dist")
-    out = both.agg(stats.quantile(top, 0.5).alias("t"), stats.quantile(top, 0.25).alias("q"), stats.quantile(back, 0.5).alias("b"))
+    both = durable(near.join(scored(spark, sf_dir).select("cell_id", "score_pct"), "cell_id").select("dist", "score_pct"))
+    top = ranking.quantiles(both.filter("score_pct >= 95"), "dist", {"t": 0.5, "q": 0.25})
+    out = top.crossJoin(F.broadcast(ranking.quantiles(both, "dist", {"b": 0.5})))
     return out.select(F.round("t", 6).alias("top_median"), F.round("q", 6).alias("top_q1"), F.round("b", 6).alias("background_median"), F.round(F.try_divide(F.col("t"), F.col("b")), 6).alias("ratio"))
 
 
@@ -153,40 +154,69 @@ def nmas_confidence(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "nation").select(k.alias("sheet_id"), sheet.alias("sheet_m"), F.greatest(sheet, (35 + k).cast("double")).alias("point_m"))
 
 
-@query(""", h AS (SELECT site_id, class_id, x, y FROM fx_site WHERE review_status = 'confirmed'),
-w AS (SELECT site_id, elev_m, sqrt((easting - x) ** 2 + (northing - y) ** 2) AS d FROM h JOIN fx_cell ON easting BETWEEN x - 60 AND x + 60 AND northing BETWEEN y - 60 AND y + 60),
-t AS (SELECT site_id, count(*) FILTER (d > 30 AND d <= 60) AS n_ring, count(*) FILTER (d <= 30) AS n_disc, quantile_cont(elev_m, 0.9) FILTER (d > 30 AND d <= 60) AS cut FROM w GROUP BY site_id),
-u AS (SELECT site_id, count(*) AS hits FROM w JOIN t USING (site_id) WHERE d <= 30 AND elev_m >= cut GROUP BY site_id)
-SELECT h.site_id, coalesce(n_ring, 0) AS n_ring, coalesce(n_disc, 0) AS n_disc, coalesce(n_ring, 0) >= 40 AND coalesce(n_disc, 0) >= 4 AS evaluable,
-CASE WHEN n_ring >= 40 AND n_disc >= 4 THEN coalesce(hits, 0) >= 4 END AS fired FROM h LEFT JOIN t USING (site_id) LEFT JOIN u USING (site_id)""")
+DISC_M, RING_M = 40.0, 100.0
+FIRE = f""", w AS (SELECT h.id, h.x AS sx, h.y AS sy, row_i, col_i, elev_m, sqrt((easting - h.x) ** 2 + (northing - h.y) ** 2) AS d FROM h JOIN fx_cell ON easting BETWEEN h.x - {RING_M} AND h.x + {RING_M} AND northing BETWEEN h.y - {RING_M} AND h.y + {RING_M}),
+t AS (SELECT id, count(*) FILTER (d > {DISC_M} AND d <= {RING_M}) AS n_ring, count(*) FILTER (d <= {DISC_M}) AS n_disc, quantile_cont(elev_m, 0.9) FILTER (d > {DISC_M} AND d <= {RING_M}) AS hi, quantile_cont(elev_m, 0.1) FILTER (d > {DISC_M} AND d <= {RING_M}) AS lo FROM w GROUP BY id),
+u AS (SELECT id, tail, row_i::BIGINT * 4294967296 + col_i AS key FROM w JOIN t USING (id), (VALUES (0), (1)) v(tail) WHERE d <= {DISC_M} AND CASE WHEN tail = 0 THEN elev_m >= hi ELSE elev_m <= lo END),
+fl(id, tail, seed, key) AS (SELECT id, tail, key, key FROM u UNION SELECT u.id, u.tail, fl.seed, u.key FROM fl JOIN u ON u.id = fl.id AND u.tail = fl.tail AND u.key IN (fl.key + 1, fl.key - 1, fl.key + 4294967296, fl.key - 4294967296) AND u.key > fl.seed),
+cl AS (SELECT id, tail, seed, count(*) AS cells FROM (SELECT id, tail, key, min(seed) AS seed FROM fl GROUP BY id, tail, key) GROUP BY id, tail, seed HAVING count(*) >= 4),
+mo AS (SELECT id, max(cells) FILTER (tail = 0) AS high, max(cells) FILTER (tail = 1) AS low FROM cl GROUP BY id),
+fi AS (SELECT h.id, coalesce(n_ring, 0) AS n_ring, coalesce(n_disc, 0) AS n_disc, coalesce(n_ring, 0) >= 100 AND coalesce(n_disc, 0) >= 4 AS evaluable, high, low FROM h LEFT JOIN t USING (id) LEFT JOIN mo USING (id))"""
+
+
+def _surface(spark, sf_dir) -> DataFrame:
+    return fixtures.cells(spark, sf_dir).select(F.col("easting").alias("x"), F.col("northing").alias("y"), F.col("elev_m").alias("z"))
+
+
+@query(""", h AS (SELECT site_id AS id, x, y FROM fx_site WHERE review_status = 'confirmed')""" + FIRE + """ SELECT id AS site_id, n_ring, n_disc, evaluable, CASE WHEN evaluable THEN high IS NOT NULL END AS fired_high, CASE WHEN evaluable THEN low IS NOT NULL END AS fired_low,
+CASE WHEN evaluable THEN coalesce(high, 0) END AS cluster_high, CASE WHEN evaluable THEN coalesce(low, 0) END AS cluster_low FROM fi""")
 def firing_rule_at_sites(spark, sf_dir):
-    """Whether at least 4 cells of a site's disc rise above the 90th percentile of the ring around it; too few cells are a gap."""
-    sites = fixtures.sites(spark, sf_dir).filter("review_status = 'confirmed'").select("site_id", "x", "y")
-    boxes = sites.select("site_id", F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("x") - 60).alias("xmin"), (F.col("x") + 60).alias("xmax"), (F.col("y") - 60).alias("ymin"), (F.col("y") + 60).alias("ymax"))
-    cells = fixtures.cells(spark, sf_dir).select("elev_m", F.col("easting").alias("x"), F.col("northing").alias("y"))
-    d = F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2)
-    window = spatial.points_in_boxes(cells, boxes, 120.0).withColumn("d", d)
-    ring, disc = (F.col("d") > 30) & (F.col("d") <= 60), F.col("d") <= 30
-    cut = window.groupBy("site_id").agg(F.count(F.when(ring, 1)).alias("n_ring"), F.count(F.when(disc, 1)).alias("n_disc"), stats.quantile(F.when(ring, F.col("elev_m")), 0.9).alias("cut"))
-    hits = window.join(cut.select("site_id", "cut"), "site_id").groupBy("site_id").agg(F.count(F.when(disc & (F.col("elev_m") >= F.col("cut")), 1)).alias("hits"))
-    fine = (F.coalesce("n_ring", F.lit(0)) >= 40) & (F.coalesce("n_disc", F.lit(0)) >= 4)
-    return sites.join(cut, "site_id", "left").join(hits, "site_id", "left").select(
-        "site_id", F.coalesce("n_ring", F.lit(0)).alias("n_ring"), F.coalesce("n_disc", F.lit(0)).alias("n_disc"), fine.alias("evaluable"), F.when(fine, F.col("hits") >= 4).alias("fired")
-    )
+    """Whether a cluster of at least 4 cells of a site's disc lies beyond the upper or lower tenth of its ring; a ring of fewer than
+    100 cells is a gap."""
+    sites = fixtures.sites(spark, sf_dir).filter("review_status = 'confirmed'").select(F.col("site_id").alias("id"), "x", "y")
+    return detection.fire(sites, _surface(spark, sf_dir), 10.0, DISC_M, RING_M).withColumnRenamed("id", "site_id")
 
 
-def recall_vs_background(spark, sf_dir):
-    """Recall over evaluable sites with a Laplace-corrected background rate; gaps count as neither hits nor misses."""
-    fired = firing_rule_at_sites(spark, sf_dir)
-    return fired.agg(
-        F.count(F.when(F.col("evaluable"), 1)).alias("evaluable"), F.count(F.when(~F.col("evaluable"), 1)).alias("gaps"), F.count(F.when(F.col("fired"), 1)).alias("hits"),
-        F.round(F.try_divide(F.count(F.when(F.col("fired"), 1)), F.count(F.when(F.col("evaluable"), 1))), 6).alias("recall"),
-        F.round((F.count(F.when(F.col("fired"), 1)) + 1.0) / (F.count(F.when(F.col("evaluable"), 1)) + 2.0), 6).alias("laplace_rate"),
-    )
+TRIES, CLEAR_M, MARGIN_M = 400, 150.0, 100.0
+NULLS = f""", f AS (SELECT min(easting) + {MARGIN_M} AS x0, max(easting) - min(easting) - {2 * MARGIN_M} AS w, min(northing) + {MARGIN_M} AS y0, max(northing) - min(northing) - {2 * MARGIN_M} AS hh FROM fx_cell),
+tr AS (SELECT range AS id, round(x0 + w * ((range * 7548776662 % 10000000000) / 10000000000.0::DOUBLE), 3) AS x, round(y0 + hh * ((range * 5698402909 % 10000000000) / 10000000000.0::DOUBLE), 3) AS y FROM range(0, {TRIES}), f),
+fa AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM tr WHERE NOT EXISTS (SELECT 1 FROM fx_site s WHERE review_status = 'confirmed' AND class_id = 'BUILDING' AND (s.x - tr.x) ** 2 + (s.y - tr.y) ** 2 < {CLEAR_M * CLEAR_M})),
+gr(n, kept) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[] UNION ALL SELECT fa.n, CASE WHEN len(list_filter(kept, lambda k: (k.x - fa.x) ** 2 + (k.y - fa.y) ** 2 < {4 * DISC_M * DISC_M})) = 0 THEN list_append(kept, {{'id': fa.id, 'x': fa.x, 'y': fa.y}}) ELSE kept END FROM gr JOIN fa ON fa.n = gr.n + 1),
+h AS (SELECT unnest(kept, recursive := true) FROM gr WHERE n = (SELECT max(n) FROM gr))"""
+
 
+def null_discs(spark, sf_dir) -> DataFrame:
+    """Discs by a formula of their number all over the frame, away from the sites and from each other."""
+    cells = fixtures.cells(spark, sf_dir)
+    frame = cells.agg(F.min("easting").alias("xa"), F.max("easting").alias("xb"), F.min("northing").alias("ya"), F.max("northing").alias("yb"))
+    place = lambda a, b, step: F.round(F.col(a) + MARGIN_M + (F.col(b) - F.col(a) - 2 * MARGIN_M) * ((F.col("id") * step % 10000000000) / 1e10), 3)
+    tries = spark.range(TRIES).crossJoin(F.broadcast(frame)).select("id", place("xa", "xb", 7548776662).alias("x"), place("ya", "yb", 5698402909).alias("y"))
+    sites = fixtures.sites(spark, sf_dir).filter("review_status = 'confirmed' and class_id = 'BUILDING'")
+    return detection.null_places(tries, sites, CLEAR_M, 2 * DISC_M)
+
+
+@query(NULLS + " SELECT id, x, y FROM h")
+def null_draws(spark, sf_dir):
+    return null_discs(spark, sf_dir).select("id", "x", "y")
+
+
+SITES_H = ", h AS (SELECT site_id AS id, x, y FROM fx_site WHERE review_status = 'confirmed' AND class_id = 'BUILDING')"
+
+
+@query()
+def recall_vs_background(spark, sf_dir):
+    """Recall over evaluable sites of a class beside the rate at which null discs fire, (fired + 1) / (draws + 1): a rule that fires
+    everywhere has both near 1. Gaps count as neither."""
+    sites = fixtures.sites(spark, sf_dir).filter("review_status = 'confirmed' and class_id = 'BUILDING'").select(F.col("site_id").alias("id"), "x", "y")
+    surface = _surface(spark, sf_dir)
+    count = lambda c: F.count(F.when(c, 1))
+    at_sites = detection.fire(sites, surface, 10.0, DISC_M, RING_M).agg(count(F.col("evaluable")).alias("evaluable"), count(~F.col("evaluable")).alias("gaps"), count(F.col("fired_high")).alias("hits"))
+    at_null = detection.fire(null_discs(spark, sf_dir), surface, 10.0, DISC_M, RING_M).agg(count(F.col("evaluable")).alias("draws"), count(F.col("fired_high")).alias("fired"))
+    return at_sites.crossJoin(F.broadcast(at_null)).select(
+        "evaluable", "gaps", "hits", F.round(F.try_divide("hits", "evaluable"), 6).alias("recall"), "draws", "fired", F.round((F.col("fired") + 1.0) / (F.col("draws") + 1.0), 6).alias("null_rate")
+    )
 
-from . import ORACLE_SQL  # noqa: E402
 
-_fired = ORACLE_SQL["firing_rule_at_sites"]
-query()(recall_vs_background)
-ORACLE_SQL["recall_vs_background"] = f"SELECT count(*) FILTER (evaluable) AS evaluable, count(*) FILTER (NOT evaluable) AS gaps, count(*) FILTER (fired) AS hits, round(count(*) FILTER (fired) / nullif(count(*) FILTER (evaluable), 0)::DOUBLE, 6) AS recall, round((count(*) FILTER (fired) + 1.0::DOUBLE) / (count(*) FILTER (evaluable) + 2.0::DOUBLE), 6) AS laplace_rate FROM ({_fired})"
+_AT_SITES = f"(WITH RECURSIVE {fixtures.SQL}{SITES_H}{FIRE} SELECT count(*) FILTER (evaluable) AS evaluable, count(*) FILTER (NOT evaluable) AS gaps, count(*) FILTER (evaluable AND high IS NOT NULL) AS hits FROM fi)"
+_AT_NULL = f"(WITH RECURSIVE {fixtures.SQL}{NULLS}{FIRE} SELECT count(*) FILTER (evaluable) AS draws, count(*) FILTER (evaluable AND high IS NOT NULL) AS fired FROM fi)"
+ORACLE_SQL["recall_vs_background"] = f"SELECT evaluable, gaps, hits, round(hits / nullif(evaluable, 0)::DOUBLE, 6) AS recall, draws, fired, round((fired + 1.0::DOUBLE) / (draws + 1.0::DOUBLE), 6) AS null_rate FROM {_AT_SITES}, {_AT_NULL}"
