@@ -44,3 +44,31 @@ def segments_cross(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 def tile(v: Column, width: float) -> Column:
     return F.floor(v / F.lit(float(width))).cast("long")
+
+
+def segment_meets_box(x1: Column, y1: Column, x2: Column, y2: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """Whether any point of a segment lies in a box: the parts of it within both pairs of sides have a point in common."""
+
+    def inside(a: Column, b: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+        level = F.when(a.between(lo, hi), 0.0).otherwise(2.0), F.when(a.between(lo, hi), 1.0).otherwise(-1.0)
+        s, t = (lo - a) / F.when(a != b, b - a), (hi - a) / F.when(a != b, b - a)
+        return F.when(a == b, level[0]).otherwise(F.least(s, t)), F.when(a == b, level[1]).otherwise(F.greatest(s, t))
+
+    (xa, xb), (ya, yb) = inside(x1, x2, xmin, xmax), inside(y1, y2, ymin, ymax)
+    return F.greatest(F.lit(0.0), xa, ya) <= F.least(F.lit(1.0), xb, yb)
+
+
+def grown(box: dict[str, Column], by: float) -> dict[str, Column]:
+    return {"xmin": box["xmin"] - by, "ymin": box["ymin"] - by, "xmax": box["xmax"] + by, "ymax": box["ymax"] + by}
+
+
+def moved(box: dict[str, Column], dx: Column, dy: Column) -> dict[str, Column]:
+    return {"xmin": box["xmin"] + dx, "ymin": box["ymin"] + dy, "xmax": box["xmax"] + dx, "ymax": box["ymax"] + dy}
+
+
+def turned(box: dict[str, Column], quarters: Column) -> dict[str, Column]:
+    """A box turned by right angles about its centre."""
+    odd = F.abs(quarters) % 2 == 1
+    cx, cy, w, h = (box["xmin"] + box["xmax"]) / 2, (box["ymin"] + box["ymax"]) / 2, box["xmax"] - box["xmin"], box["ymax"] - box["ymin"]
+    half_w, half_h = F.when(odd, h).otherwise(w) / 2, F.when(odd, w).otherwise(h) / 2
+    return {"xmin": cx - half_w, "ymin": cy - half_h, "xmax": cx + half_w, "ymax": cy + half_h}

@@ -36,3 +36,9 @@ def effective_count(names: Sequence[str], r: dict[tuple[str, str], Column]) -> C
         for b in names[:i]:
             total = total + 2.0 * F.abs(F.coalesce(r[b, a], F.lit(0.0)))
     return F.least(F.lit(float(n)), F.lit(float(n * n)) / total)
+
+
+def combined(indicators: Sequence[Column], effective: Column) -> Column:
+    """Mean of the indicators times effective over named layers."""
+    n = float(len(indicators))
+    return sum(indicators[1:], indicators[0]) / n * (effective / n)
