@@ -177,3 +177,8 @@ b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bangs, n_lines, fail_bits,
        (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 31) = 0 AS kept FROM b
 """
+
+#: The ablation of the policy v2 over the same bits: what each rule rejects, and what only it rejects.
+ABLATION_ORACLE = ORACLE.rsplit("SELECT doc_id, n_words", 1)[0] + """
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & mask = bit) AS n_only FROM b, (VALUES {rules}) r(rule, bit), (SELECT {mask}::BIGINT AS mask) GROUP BY rule
+""".format(rules=", ".join(f"('{r}', {BIT[r]}::BIGINT)" for r in POLICIES["v2"].rules), mask=POLICIES["v2"].mask)

@@ -15,6 +15,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op4_quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects in the ledger of all documents, and what only it rejects."""
+    return quality_rules.ablation(quality_rules.ledger(_table(spark, sf_dir, "documents")), quality_rules.POLICIES["v2"])
+
+
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack_documents(_table(spark, sf_dir, "documents"), vector_packing.default_tokenizer())
 
@@ -62,5 +67,6 @@ QUERIES = {
     "op8_column_bwt": op8_column_bwt,
     "op9_prefix_join": op9_prefix_join,
     "op10_vector_packing": op10_vector_packing,
+    "quality_ablation": quality_ablation,
 }
-ORACLE_SQL = {"op4_quality_rules": quality_rules.ORACLE}
+ORACLE_SQL = {"op4_quality_rules": quality_rules.ORACLE, "quality_ablation": quality_rules.ABLATION_ORACLE}

@@ -48,3 +48,33 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(packed[packed.piece == 0].doc_id) == sorted(mixed)
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_odd_rows_and_columns(spark, tmp_path):
+    """Null ids, repeated rows, null texts and clashing names through all stages; what they lead to is stated in the operators."""
+    rng = random.Random(5)
+    line = lambda n: " ".join(f"w{rng.randint(0, 500)}x" for _ in range(n))
+    texts = [line(rng.randint(25, 50)) for _ in range(30)]
+    rows = [(i if i % 5 else None, t, None if i % 3 else "en", "s" if i % 2 else None, None, i, i, i, "q", "r") for i, t in enumerate(texts)]
+    rows += [rows[6], rows[6], (None, None, None, None, None, 0, 0, 0, None, None), (700, "", "en", "s", 0, 0, 0, 0, "", ""), (701, line(30_000), "en", "s", 1, 1, 1, 1, "", "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, chunk int, size int, carried string, at string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns, counts = docs.columns, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / f"odd{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"odd{k}"))
+        counts.append(docs.count())
+        if k < 4:
+            assert docs.columns == columns
+    # Repeated rows of one id become one, rows without an id all stay, the long text stays whole.
+    assert counts[0] == 33 and counts[1] == 31
+    kept = spark.read.parquet(str(tmp_path / "odd2"))
+    assert kept.filter("doc_id is null").count() == 6
+    assert kept.filter("doc_id = 701").first().text == rows[-1][1]
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
