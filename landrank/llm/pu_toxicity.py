@@ -98,8 +98,9 @@ def slopes(zp: np.ndarray, zu: np.ndarray, prior: float, back: float) -> tuple[n
     return gp + prior * (sigmoid(zp) - 1) / len(zp), gu
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 200, rate: float = 0.05, decay: float = 3e-4, back: float = 0.05) -> Linear:
-    """Adam on the non-negative risk of the whole samples with logistic loss; `back` scales the steps that undo overfitting."""
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 200, rate: float = 0.05, decay: float = 3e-4, back: float = 1.0) -> Linear:
+    """Adam on the non-negative risk of the whole samples with logistic loss; `back` scales the steps that undo overfitting (1 in the
+    published method; small values leave scores of the toxic low)."""
     if not positive:
         return Linear(np.zeros(0, np.int64), np.zeros(0, np.float32), -30.0)
     slots = choose(positive, unlabelled)
