@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import in_box, segment_distance, segments_cross, tile
+from ..storage import durable
 
 
 def _tiles(low, high, width: float):
@@ -102,3 +103,28 @@ def boxes_meet(a: DataFrame, b: DataFrame, width: float = 200.0) -> DataFrame:
     over = (F.col("xmin") <= F.col("uxmax")) & (F.col("xmax") >= F.col("uxmin")) & (F.col("ymin") <= F.col("uymax")) & (F.col("ymax") >= F.col("uymin"))
     once = (F.col("__tx") == tile(F.greatest("xmin", "uxmin"), width)) & (F.col("__ty") == tile(F.greatest("ymin", "uymin"), width))
     return both.filter(over & once).drop("__tx", "__ty")
+
+
+def nearest_other(points: DataFrame, group: str, key: str, width: float = 50.0) -> DataFrame:
+    """(group, key, near): distance from each point (group, key, x, y) to the nearest other one of its group, none if it is alone.
+
+    Points look into the tiles around their own; what they find within a tile's width is proven, and only the others look again
+    in tiles four times as wide, until a tile covers everything.
+    """
+    spread = points.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0]
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    open_, found = durable(points.select(group, key, "x", "y")), None
+    while True:
+        last = spread is None or width > spread
+        looks = open_.withColumn("o", around).select(group, key, "x", "y", (tile(F.col("x"), width) + F.col("o.i")).alias("tx"), (tile(F.col("y"), width) + F.col("o.j")).alias("ty"))
+        others = points.select(group, F.col(key).alias("__k"), F.col("x").alias("u"), F.col("y").alias("v"), tile(F.col("x"), width).alias("tx"), tile(F.col("y"), width).alias("ty"))
+        gap = F.round(F.sqrt((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2), 6)
+        near = durable(looks.join(others, [group, "tx", "ty"]).filter(F.col(key) != F.col("__k")).groupBy(group, key).agg(F.min(gap).alias("near")))
+        proven = near if last else near.filter(F.col("near") <= width)
+        found = proven if found is None else found.unionByName(proven)
+        if last:
+            return found
+        open_ = durable(open_.join(proven.select(group, key), [group, key], "left_anti"))
+        if open_.isEmpty():
+            return found
+        width *= 4

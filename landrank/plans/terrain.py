@@ -121,7 +121,7 @@ def cluster_morphometry(spark, sf_dir):
 
 @query()
 def cluster_boxes(spark, sf_dir):
-    """Span and fill of a zone along its axes, and what it encloses: no SQL, see tests/test_raster.py."""
+    """Span and fill of a zone along its axes, and what it encloses: no SQL, see tests/test_operators.py."""
     zones = high_zones(spark, sf_dir)
     return raster.morphometry(zones).select("zone", "cells", "span", "fill").join(raster.enclosure(zones), "zone")
 

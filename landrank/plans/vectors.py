@@ -81,7 +81,7 @@ EDGES = [(*a, *b) for a, b in zip(RING, RING[1:] + RING[:1])]
 
 @query(", e AS (SELECT * FROM (VALUES " + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for a, b, c, d in EDGES) + ") v(x1, y1, x2, y2)) SELECT cell_id FROM fx_cell, e WHERE (y1 > northing) <> (y2 > northing) AND easting < (x2 - x1) * (northing - y1) / (y2 - y1) + x1 GROUP BY cell_id HAVING count(*) % 2 = 1")
 def cells_in_polygon(spark, sf_dir):
-    """Cells inside a ring by the parity of edges to their right; the box of the ring is a filter on the scan."""
+    """Cells inside a ring by the parity of edges to their right; the box of the ring comes first."""
     xs, ys = [p[0] for p in RING], [p[1] for p in RING]
     x, y = F.col("easting"), F.col("northing")
     from ..functions.geometry import edge_crosses
@@ -121,30 +121,35 @@ def pair_rule(spark, sf_dir):
 d AS (SELECT a.aoi_id, a.site_id, min(round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6)) AS near FROM k a JOIN k b ON a.aoi_id = b.aoi_id AND a.site_id <> b.site_id GROUP BY a.aoi_id, a.site_id)
 SELECT aoi_id, count(*) AS n, round(avg(near), 6) AS mean_gap, round(stddev_pop(near) / nullif(avg(near), 0), 6) AS cv FROM d GROUP BY aoi_id""")
 def multi_element_rule(spark, sf_dir):
-    """Regularity of the sites of an area: variation of the gap to the nearest other one."""
+    """Regularity of the sites of an area: variation of the gap to the nearest other one, found through tiles that widen."""
     inside = spatial.points_in_boxes(fixtures.sites(spark, sf_dir).filter("review_status = 'confirmed'"), fixtures.areas(spark, sf_dir)).select("aoi_id", "site_id", "x", "y")
-    other = inside.select("aoi_id", F.col("site_id").alias("o"), F.col("x").alias("u"), F.col("y").alias("v"))
-    gap = F.round(F.sqrt((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2), 6)
-    near = inside.join(other, "aoi_id").filter("site_id <> o").groupBy("aoi_id", "site_id").agg(F.min(gap).alias("near"))
+    near = spatial.nearest_other(inside, "aoi_id", "site_id")
     cv = F.try_divide(F.stddev_pop("near"), F.avg("near"))
     return near.groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("near"), 6).alias("mean_gap"), F.round(cv, 6).alias("cv"))
 
 
+FIELD_HOURS, CONTROL_SHARE = 16.0, 0.15
+
+
 @query(""", c AS (SELECT n_regionkey AS g, s_suppkey AS id, round(greatest(1.0, round_even((100 + (s_suppkey * 37) % 3000)::DOUBLE / 225.0, 0)) * 20.0 / 60.0 + 0.5, 6)::DOUBLE AS hours,
 round(greatest((90 + (s_suppkey * 13) % 100 / 10.0)::DOUBLE - 95.0, 0.1) * (1.0 - (s_suppkey % 4) / 4.0::DOUBLE * 0.75), 6)::DOUBLE AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 q AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY -(value / hours), id) AS rn FROM c),
-f AS (SELECT g, id, rn, CASE WHEN hours <= 16 THEN hours ELSE 0 END AS spent, hours <= 16 AS taken FROM q WHERE rn = 1
- UNION ALL SELECT q.g, q.id, q.rn, CASE WHEN f.spent + q.hours <= 16 THEN f.spent + q.hours ELSE f.spent END, f.spent + q.hours <= 16 FROM f JOIN q ON q.g = f.g AND q.rn = f.rn + 1)
-SELECT g AS region, c.id, hours, value, CASE WHEN taken THEN (row_number() OVER (PARTITION BY g, taken ORDER BY rn))::INT END AS stop FROM f JOIN c USING (g, id)""")
+f AS (SELECT g, id, rn, CASE WHEN hours <= 13.6::DOUBLE THEN hours ELSE 0 END AS spent, hours <= 13.6::DOUBLE AS taken FROM q WHERE rn = 1
+ UNION ALL SELECT q.g, q.id, q.rn, CASE WHEN f.spent + q.hours <= 13.6::DOUBLE THEN f.spent + q.hours ELSE f.spent END, f.spent + q.hours <= 13.6::DOUBLE FROM f JOIN q ON q.g = f.g AND q.rn = f.rn + 1)
+SELECT g AS region, c.id, hours, value, CASE WHEN taken THEN (row_number() OVER (PARTITION BY g, taken ORDER BY rn))::INT END AS stop, 2.4::DOUBLE AS control_hours FROM f JOIN c USING (g, id)""")
 def survey_plan(spark, sf_dir):
-    """Stops that fit into 16 hours a region, by expected value an hour; what does not fit is skipped, not the end."""
+    """Stops that fit into the hours of a region, by expected value an hour; what does not fit is skipped (no stop), not the end.
+
+    Of 16 hours 15 percent go to control cells of low score, which alone can prove the ranking wrong.
+    """
     supplier, nation = fixtures.table(spark, sf_dir, "supplier"), fixtures.table(spark, sf_dir, "nation")
     k = F.col("s_suppkey")
     sites = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("n_regionkey").alias("region"), k.alias("id"), F.round(curves.effort_hours((100.0 + (k * 37) % 3000), F.lit(False)), 6).alias("hours"),
         F.round(curves.expected_value(90.0 + ((k * 13) % 100) / 10.0, (k % 4) / 4.0), 6).alias("value"),
     )
-    return ranking.budget_fill(sites, "region", 16.0).select("region", "id", "hours", "value", "stop")
+    control = round(FIELD_HOURS * CONTROL_SHARE, 1)
+    return ranking.budget_fill(sites, "region", FIELD_HOURS - control).select("region", "id", "hours", "value", "stop", F.lit(control).alias("control_hours"))
 
 
 @query("SELECT n_nationkey AS sheet_id, round((24000 + 1000 * (n_nationkey % 5))::DOUBLE * (0.0254::DOUBLE / 50) + 20.0, 1) AS sheet_m, greatest(round((24000 + 1000 * (n_nationkey % 5))::DOUBLE * (0.0254::DOUBLE / 50) + 20.0, 1), (35 + n_nationkey)::DOUBLE) AS point_m FROM nation")

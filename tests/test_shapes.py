@@ -101,3 +101,12 @@ def test_gates_of_a_firing_place(spark):
     got = {r.id: r for r in detection.fire(places, cells, 1.0, 4.0, 10.0).collect()}
     assert got[1].evaluable and got[1].fired_high and got[1].cluster_high >= 12 and not got[2].evaluable and got[2].fired_high is None
     assert not {r.id: r for r in detection.fire(places, cells, 1.0, 4.0, 10.0, gate=F.col("elongation") > 50).collect()}[1].fired_high
+
+
+def test_nearest_other(spark):
+    rng = np.random.default_rng(12)
+    rows = [("a", i, *map(float, rng.uniform(0, 5000, 2))) for i in range(80)] + [("b", i, *map(float, rng.uniform(0, 30, 2))) for i in range(60)] + [("c", 1, 0.0, 0.0), ("d", 1, 7.0, 7.0), ("d", 2, 7.0, 7.0)]
+    got = {(r.g, r.k): r.near for r in spatial.nearest_other(spark.createDataFrame(rows, "g string, k int, x double, y double"), "g", "k", 10.0).collect()}
+    for g, k, x, y in rows:
+        far = [np.hypot(x - a, y - b) for h, m, a, b in rows if h == g and m != k]
+        assert (g, k) not in got if not far else got[g, k] == pytest.approx(min(far), abs=1e-5)
