@@ -33,8 +33,8 @@ END_ID = 0
 _PLAIN = regex.compile(r"([a-zß-öø-ÿ]+)([.,;:!?|%&$*#]+)")
 _ONE = regex.compile(r"[a-zß-öø-ÿ]+|[.,;:!?|%&$*#]+")
 #: Words that a worker keeps, some 40 bytes each; beyond that it starts again.
-_WORDS_KEPT = 500_000
-_RECENT = 50_000
+_WORDS_KEPT = 1_000_000
+_RECENT = 200_000
 _SHARD_BYTES = 8 << 20
 _BATCH_BYTES = 1 << 20
 _workers: dict[str, WordCache] = {}
