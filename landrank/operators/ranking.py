@@ -63,18 +63,33 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
-def budget_fill(candidates: DataFrame, group: str, budget: float) -> DataFrame:
-    """Greedy itinerary within hours: by value an hour, each candidate that still fits is taken, others are skipped.
+def budget_fill(candidates: DataFrame, group: str, budget: float, block: int = 512) -> DataFrame:
+    """Greedy itinerary within hours: by value an hour, each candidate that still fits is taken, others are skipped (no stop).
 
-    candidates: (group, id, hours, value), at most a survey's worth a group; the fold runs in the JVM, one row a group.
+    candidates: (group, id, hours, value), ids once a group; equal rates go by id. Without a group, a value or hours above zero a
+    candidate is never taken. A round folds the next `block` candidates of each group that fit into what is left, which Spark cuts
+    out before it shuffles; the first of them always fits, so rounds are few and no task sees a whole group.
     """
-    rate = -(F.col("value") / F.col("hours"))
-    queue = F.array_sort(F.collect_list(F.struct(rate.alias("rate"), F.col("id"), F.col("hours"), F.col("value"))))
-    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<bigint>").alias("ids"))
-    take = lambda a, c: F.when(a["spent"] + c["hours"] <= F.lit(float(budget)), F.struct((a["spent"] + c["hours"]).alias("spent"), F.concat(a["ids"], F.array(c["id"].cast("long"))).alias("ids"))).otherwise(a)
-    filled = candidates.groupBy(group).agg(F.aggregate(queue, start, take).alias("fill"))
-    picked = filled.select(group, F.posexplode("fill.ids").alias("pos", "id"))
-    return candidates.join(picked, [group, "id"], "left").withColumn("stop", (F.col("pos") + 1).cast("int")).drop("pos")
+    pool = candidates.filter(F.col(group).isNotNull() & (F.col("hours") > 0) & F.col("value").isNotNull())
+    queue = pool.select(group, (-(F.col("value") / F.col("hours"))).alias("rate"), "id", F.col("hours").cast("double").alias("hours"))
+    queue = durable(queue.filter(F.col("hours") <= F.lit(float(budget))))
+    item = queue.schema["id"].dataType.simpleString()
+    state = queue.select(group).distinct().select(group, F.lit(0.0).alias("spent"), F.lit(0).alias("taken"))
+    start = F.struct(F.col("spent"), F.array().cast(f"array<{item}>").alias("ids"))
+    take = lambda a, c: F.when(a["spent"] + c["hours"] <= F.lit(float(budget)), F.struct((a["spent"] + c["hours"]).alias("spent"), F.concat(a["ids"], F.array(c["id"])).alias("ids"))).otherwise(a)
+    picked = None
+    while not queue.isEmpty():
+        ahead = first_of_each(queue, [group], [F.asc("rate"), F.asc("id")], block)
+        folded = ahead.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rate", "id", "hours"))).alias("q")).join(state, group)
+        filled = durable(folded.select(group, "taken", F.element_at("q", -1).alias("last"), F.aggregate("q", start, take).alias("fill")))
+        stops = filled.select(group, "taken", F.posexplode("fill.ids").alias("pos", "id")).select(group, "id", (F.col("taken") + F.col("pos") + 1).alias("stop"))
+        picked = stops if picked is None else picked.unionByName(stops)
+        state = filled.select(group, "fill.spent", (F.col("taken") + F.size("fill.ids")).alias("taken"), "last")
+        left = queue.join(state, group).filter((F.struct("rate", "id") > F.struct("last.rate", "last.id")) & (F.col("spent") + F.col("hours") <= F.lit(float(budget))))
+        queue, state = durable(left.select(group, "rate", "id", "hours")), state.drop("last")
+    if picked is None:
+        return candidates.withColumn("stop", F.lit(None).cast("int"))
+    return candidates.join(picked, [group, "id"], "left")
 
 
 def weighted_overlay(cells: DataFrame, features: dict[str, dict]) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import durable
@@ -231,9 +231,11 @@ def morphometry(zones: DataFrame) -> DataFrame:
 
     A second pass turns cells onto the axes for the box they fill. Zones below 4 cells have elongation 1, span 0 and fill 1.
     """
+    # Moments that are equal but for rounding must not decide the axes.
+    moment = lambda m: F.round(F.coalesce(m, F.lit(0.0)), 9)
     base = zones.groupBy("zone").agg(
-        F.count(F.lit(1)).alias("cells"), F.avg("row_i").alias("row_c"), F.avg("col_i").alias("col_c"), F.coalesce(F.var_samp("row_i"), F.lit(0.0)).alias("vr"),
-        F.coalesce(F.var_samp("col_i"), F.lit(0.0)).alias("vc"), F.coalesce(F.covar_samp("row_i", "col_i"), F.lit(0.0)).alias("cov"),
+        F.count(F.lit(1)).alias("cells"), F.avg("row_i").alias("row_c"), F.avg("col_i").alias("col_c"), moment(F.var_samp("row_i")).alias("vr"),
+        moment(F.var_samp("col_i")).alias("vc"), moment(F.covar_samp("row_i", "col_i")).alias("cov"),
     )
     half, root = (F.col("vr") + F.col("vc")) / 2.0, F.sqrt(((F.col("vr") - F.col("vc")) / 2.0) ** 2 + F.col("cov") ** 2)
     base = base.withColumn("big", half + root).withColumn("small", half - root).withColumn("turn", 0.5 * F.atan2(2.0 * F.col("cov"), F.col("vc") - F.col("vr")))
@@ -244,31 +246,32 @@ def morphometry(zones: DataFrame) -> DataFrame:
     few = F.col("cells") < 4
     elongation = F.when(few, 1.0).when(F.col("small") > 1e-9, F.sqrt(F.col("big") / F.when(F.col("small") > 1e-9, F.col("small")))).otherwise(F.col("cells").cast("double"))
     return base.join(box, "zone").select(
-        "zone", "cells", F.round(elongation, 1).alias("elongation"), F.when(few, 0.0).otherwise(F.round("long", 1)).alias("span"),
-        F.when(few, 1.0).otherwise(F.round(F.col("cells") / (F.col("long") * F.col("wide")), 2)).alias("fill"), F.round("row_c", 6).alias("row_c"), F.round("col_c", 6).alias("col_c"),
+        "zone", "cells", F.round(elongation, 1).alias("elongation"), F.when(few, 0.0).otherwise(F.round(F.col("long") + 1e-9, 1)).alias("span"),
+        F.when(few, 1.0).otherwise(F.round(F.col("cells") / (F.col("long") * F.col("wide")) + 1e-9, 2)).alias("fill"), F.round("row_c", 6).alias("row_c"), F.round("col_c", 6).alias("col_c"),
     )
 
 
-def enclosure(zones: DataFrame) -> DataFrame:
-    """(zone, enclosed): cells outside a zone that its own cells cut off from the edge of the zone's box, as a share of the filled zone.
+def enclosure(zones: DataFrame, width: int = 256) -> DataFrame:
+    """(zone, holes, enclosed): cells outside a zone that its own cells cut off from the edge of its box, and their share of the filled zone.
 
-    Each zone's box is labelled alone: complement cells that reach its border are outside, the rest are holes.
+    zones: (zone, row_i, col_i), other zones count as outside. Only the gaps between a zone's cells in a row are looked at, never
+    its box: gaps of neighbouring rows that overlap, met in tiles of `width` columns, are one piece, and a piece is a hole unless
+    some gap of it sees past the ends of a neighbouring row.
     """
-    box = zones.groupBy("zone").agg(F.min("row_i").alias("r0"), F.max("row_i").alias("r1"), F.min("col_i").alias("c0"), F.max("col_i").alias("c1"), F.count(F.lit(1)).alias("cells"))
-
-    def holes(key, table):
-        filled = set(zip(table.column("row_i").to_pylist(), table.column("col_i").to_pylist(), strict=True))
-        r0, r1 = min(r for r, _ in filled) - 1, max(r for r, _ in filled) + 1
-        c0, c1 = min(c for _, c in filled) - 1, max(c for _, c in filled) + 1
-        seen, stack = {(r0, c0)}, [(r0, c0)]
-        while stack:
-            r, c = stack.pop()
-            for p in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
-                if r0 <= p[0] <= r1 and c0 <= p[1] <= c1 and p not in seen and p not in filled:
-                    seen.add(p)
-                    stack.append(p)
-        n = (r1 - r0 + 1) * (c1 - c0 + 1) - len(seen) - len(filled)
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([n], pa.int64())], ["zone", "holes"])
-
-    found = zones.select("zone", "row_i", "col_i").groupBy("zone").applyInArrow(holes, "zone long, holes long")
-    return box.join(found, "zone").select("zone", "holes", F.round(F.col("holes") / (F.col("cells") + F.col("holes")), 2).alias("enclosed"))
+    by_row = Window.partitionBy("zone", "row_i").orderBy("col_i")
+    runs = durable(zones.select("zone", "row_i", "col_i").withColumn("next", F.lead("col_i").over(by_row)))
+    sizes = runs.groupBy("zone").agg(F.count(F.lit(1)).alias("cells"))
+    ends = runs.groupBy("zone", "row_i").agg(F.min("col_i").alias("first"), F.max("col_i").alias("last"))
+    gaps = runs.filter("next > col_i + 1").select("zone", "row_i", (F.col("col_i") + 1).alias("a"), (F.col("next") - 1).alias("b"), F.monotonically_increasing_id().alias("gap"))
+    gaps = durable(gaps)
+    beside = gaps.select("*", F.explode(F.array(F.lit(-1), F.lit(1))).alias("d")).withColumn("row_i", F.col("row_i") + F.col("d"))
+    past = F.col("first").isNull() | (F.col("a") < F.col("first")) | (F.col("b") > F.col("last"))
+    open_ = beside.join(ends, ["zone", "row_i"], "left").groupBy("gap").agg(F.bool_or(past).alias("open"))
+    tiled = gaps.withColumn("t", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))))
+    below = tiled.select("zone", (F.col("row_i") - 1).alias("row_i"), "t", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("gap").alias("other"))
+    meets = tiled.join(below, ["zone", "row_i", "t"]).filter("a <= b2 and a2 <= b").select(F.col("gap").alias("a"), F.col("other").alias("b"))
+    joined = contract(meets.distinct())
+    pieces = gaps.join(joined, gaps.gap == joined.node, "left").join(open_, "gap").groupBy("zone", F.coalesce("least", "gap").alias("piece"))
+    holes = pieces.agg(F.sum(F.col("b") - F.col("a") + 1).alias("n"), F.bool_or("open").alias("open")).filter("not open").groupBy("zone").agg(F.sum("n").alias("holes"))
+    n = F.coalesce("holes", F.lit(0)).cast("long")
+    return sizes.join(holes, "zone", "left").select("zone", n.alias("holes"), F.round(n / (F.col("cells") + n), 2).alias("enclosed"))

@@ -10,7 +10,7 @@ from ..sources import fixtures
 from ..sources.fixtures import table
 from . import query
 from .scoring import BOX, CONTROL, SCORED, in_areas, scored
-from .terrain import COLS, surface
+from .terrain import COLS, DOWN, surface
 
 PAD = 12.0
 
@@ -101,9 +101,9 @@ def percentile_stretch(spark, sf_dir):
     return cells.crossJoin(F.broadcast(cut)).select("row_i", "col_i", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 6).alias("stretched"))
 
 
-@query()
+@query(DOWN + " SELECT row_i, col_i, cells FROM acc")
 def flow_accumulation(spark, sf_dir):
-    """Cells that drain through each cell: SQL walks every path, which takes minutes; tests/test_operators.py has brute force."""
+    """Cells that drain through each cell."""
     cells, rows = surface(spark, sf_dir)
     return raster.flow_accumulation(cells, "elev_m", rows, COLS)
 

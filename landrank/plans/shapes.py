@@ -11,7 +11,7 @@ from ..operators import raster, resample, spatial, stack
 from ..sources import fixtures
 from . import ORACLE_SQL, query
 from .scoring import E_SQL, LAYERS, scored
-from .terrain import BURN, COLS, HIGH, high_zones, surface, terrace_labels
+from .terrain import BURN, COLS, DOWN, HIGH, high_zones, surface, terrace_labels
 from .vectors import SEG
 
 #: Corners of a five-sided ring around an area's centre, in half widths and half heights; every fourth ring crosses itself.
@@ -181,24 +181,30 @@ def sites_on_raster(spark, sf_dir):
     return both.select("site_id", "elev_m", F.round(F.sqrt((F.col("easting") - x) ** 2 + (F.col("northing") - y) ** 2), 6).alias("off_m"))
 
 
-@query()
+@query(DOWN + """, st AS (SELECT row_i, col_i, elev_m AS base FROM acc JOIN fx_cell USING (row_i, col_i) WHERE cells >= 100),
+fst AS (SELECT r0, c0, max(base) AS base FROM walk JOIN st ON st.row_i = walk.r AND st.col_i = walk.c GROUP BY r0, c0)
+SELECT row_i, col_i, round(elev_m - base, 6) AS hand FROM fx_cell LEFT JOIN fst ON r0 = row_i AND c0 = col_i""")
 def height_above_stream(spark, sf_dir):
-    """Height of each cell above the stream cell it drains to: ways are followed, which takes SQL minutes; brute force in tests/test_operators.py."""
+    """Height of each cell above the stream cell it drains to, which is the highest on its way."""
     cells, rows = surface(spark, sf_dir)
     return raster.hand(cells, "elev_m", rows, COLS, 100)
 
 
-@query(""", nb AS (SELECT x.row_i, x.col_i, sum(CASE z.col_i - x.col_i WHEN 1 THEN 1 WHEN -1 THEN -1 ELSE 0 END * CASE WHEN z.row_i = x.row_i THEN 2 ELSE 1 END * z.elev_m) / 80.0 AS dx, sum(CASE z.row_i - x.row_i WHEN 1 THEN 1 WHEN -1 THEN -1 ELSE 0 END * CASE WHEN z.col_i = x.col_i THEN 2 ELSE 1 END * z.elev_m) / 80.0 AS dy, count(*) AS n
-FROM fx_cell x JOIN fx_cell z ON z.row_i BETWEEN x.row_i - 1 AND x.row_i + 1 AND z.col_i BETWEEN x.col_i - 1 AND x.col_i + 1 GROUP BY x.row_i, x.col_i) SELECT row_i, col_i, CASE WHEN n = 9 THEN round(degrees(atan(sqrt(dx * dx + dy * dy))), 6) END AS slope_deg FROM nb""")
+SLOPE = """, nb AS (SELECT x.row_i, x.col_i, sum(CASE z.col_i - x.col_i WHEN 1 THEN 1 WHEN -1 THEN -1 ELSE 0 END * CASE WHEN z.row_i = x.row_i THEN 2 ELSE 1 END * z.elev_m) / 80.0 AS dx, sum(CASE z.row_i - x.row_i WHEN 1 THEN 1 WHEN -1 THEN -1 ELSE 0 END * CASE WHEN z.col_i = x.col_i THEN 2 ELSE 1 END * z.elev_m) / 80.0 AS dy, count(*) AS n
+FROM fx_cell x JOIN fx_cell z ON z.row_i BETWEEN x.row_i - 1 AND x.row_i + 1 AND z.col_i BETWEEN x.col_i - 1 AND x.col_i + 1 GROUP BY x.row_i, x.col_i),
+sl AS (SELECT row_i, col_i, CASE WHEN n = 9 THEN round(degrees(atan(sqrt(dx * dx + dy * dy))), 6) END AS slope_deg FROM nb)"""
+
+
+@query(SLOPE + " SELECT row_i, col_i, slope_deg FROM sl")
 def slope(spark, sf_dir):
     """Slope from the weighted differences of all eight neighbours."""
     cells, rows = surface(spark, sf_dir)
     return raster.slope(cells, "elev_m", rows, COLS, 10.0)
 
 
-@query()
+@query(DOWN + SLOPE + " SELECT row_i, col_i, round(ln(cells * 10.0::DOUBLE / tan(radians(greatest(slope_deg, 0.1::DOUBLE)))), 6) AS twi FROM acc JOIN sl USING (row_i, col_i) WHERE slope_deg IS NOT NULL")
 def topographic_wetness(spark, sf_dir):
-    """Wetness from flow and slope, which have checks of their own."""
+    """Wetness from flow and slope."""
     cells, rows = surface(spark, sf_dir)
     return raster.wetness(raster.flow_accumulation(cells, "elev_m", rows, COLS), raster.slope(cells, "elev_m", rows, COLS, 10.0).filter("slope_deg is not null"), 10.0)
 

@@ -55,9 +55,16 @@ def local_relief(spark, sf_dir):
     return raster.local_relief(cells, "elev_m", rows, COLS, 2)
 
 
-@query(""", o(way, dr, dc, d) AS (VALUES (0, -1, 0, 1.0::DOUBLE), (1, -1, 1, sqrt(2.0)), (2, 0, 1, 1.0), (3, 1, 1, sqrt(2.0)), (4, 1, 0, 1.0), (5, 1, -1, sqrt(2.0)), (6, 0, -1, 1.0), (7, -1, -1, sqrt(2.0))),
-s AS (SELECT x.row_i, x.col_i, way, round((x.elev_m - z.elev_m) / d, 6) AS drop_ FROM fx_cell x, o JOIN fx_cell z ON z.row_i = x.row_i + dr AND z.col_i = x.col_i + dc)
-SELECT row_i, col_i, CASE WHEN max(drop_) > 0 THEN arg_max(way, (drop_, -way)) END AS dir FROM s GROUP BY row_i, col_i""")
+FLOW = """, o(way, dr, dc, d) AS (VALUES (0, -1, 0, 1.0::DOUBLE), (1, -1, 1, sqrt(2.0)), (2, 0, 1, 1.0), (3, 1, 1, sqrt(2.0)), (4, 1, 0, 1.0), (5, 1, -1, sqrt(2.0)), (6, 0, -1, 1.0), (7, -1, -1, sqrt(2.0))),
+s AS (SELECT x.row_i, x.col_i, way, round((x.elev_m - z.elev_m) / d, 6) AS drop_ FROM fx_cell x, o JOIN fx_cell z ON z.row_i = x.row_i + dr AND z.col_i = x.col_i + dc),
+di AS MATERIALIZED (SELECT row_i, col_i, CASE WHEN max(drop_) > 0 THEN arg_max(way, (drop_, -way)) END AS dir FROM s GROUP BY row_i, col_i)"""
+#: Each cell's way down to its end, all cells on it; and cells that drain through each.
+DOWN = FLOW + """, go AS MATERIALIZED (SELECT di.row_i, di.col_i, di.row_i + dr AS r2, di.col_i + dc AS c2 FROM di JOIN o ON o.way = di.dir),
+walk(r0, c0, r, c) AS (SELECT row_i, col_i, row_i, col_i FROM fx_cell UNION ALL SELECT r0, c0, r2, c2 FROM walk JOIN go ON go.row_i = walk.r AND go.col_i = walk.c),
+acc AS MATERIALIZED (SELECT r AS row_i, c AS col_i, count(*) AS cells FROM walk GROUP BY r, c)"""
+
+
+@query(FLOW + " SELECT row_i, col_i, dir FROM di")
 def flow_d8_direction(spark, sf_dir):
     cells, rows = surface(spark, sf_dir)
     return raster.flow_direction(cells, "elev_m", rows, COLS)
@@ -119,10 +126,19 @@ def cluster_morphometry(spark, sf_dir):
     return raster.morphometry(high_zones(spark, sf_dir)).select("zone", "cells", "elongation", "row_c", "col_c")
 
 
-@query()
+@query(HIGH + """, m AS (SELECT zone, count(*) AS cells, round(coalesce(var_samp(row_i), 0), 9) AS vr, round(coalesce(var_samp(col_i), 0), 9) AS vc, round(coalesce(covar_samp(row_i, col_i), 0), 9) AS cov FROM zc GROUP BY zone),
+ax AS (SELECT *, 0.5::DOUBLE * atan2(2 * cov, vc - vr) AS turn FROM m), uv AS (SELECT zone, col_i * cos(turn) + row_i * sin(turn) AS u, row_i * cos(turn) - col_i * sin(turn) AS v FROM zc JOIN ax USING (zone)),
+bx AS (SELECT zone, max(u) - min(u) + 1.0::DOUBLE AS long, max(v) - min(v) + 1.0::DOUBLE AS wide FROM uv GROUP BY zone),
+lim AS (SELECT zone, min(row_i) - 1 AS r0, max(row_i) + 1 AS r1, min(col_i) - 1 AS c0, max(col_i) + 1 AS c1 FROM zc GROUP BY zone),
+gr AS (SELECT zone, r0, c0, r, unnest(range(c0, c1 + 1)) AS c FROM (SELECT zone, r0, c0, c1, unnest(range(r0, r1 + 1)) AS r FROM lim)),
+co AS MATERIALIZED (SELECT zone, r0, c0, r, c FROM gr WHERE NOT EXISTS (SELECT 1 FROM zc WHERE zc.zone = gr.zone AND zc.row_i = gr.r AND zc.col_i = gr.c)),
+outer_(zone, r, c) AS (SELECT zone, r, c FROM co WHERE r = r0 AND c = c0 UNION SELECT co.zone, co.r, co.c FROM (SELECT zone, unnest([r + 1, r - 1, r, r]) AS r, unnest([c, c, c + 1, c - 1]) AS c FROM outer_) n JOIN co USING (zone, r, c)),
+ho AS (SELECT zone, count(*) - (SELECT count(*) FROM outer_ WHERE outer_.zone = co.zone) AS holes FROM co GROUP BY zone)
+SELECT zone, cells, CASE WHEN cells < 4 THEN 0.0::DOUBLE ELSE round(long + 1e-9::DOUBLE, 1) END AS span, CASE WHEN cells < 4 THEN 1.0::DOUBLE ELSE round(cells / (long * wide) + 1e-9::DOUBLE, 2) END AS fill,
+holes, round(holes / (cells + holes)::DOUBLE, 2) AS enclosed FROM m JOIN bx USING (zone) JOIN ho USING (zone)""")
 def cluster_boxes(spark, sf_dir):
-    """Span and fill of a zone along its axes, and what it encloses: no SQL, see tests/test_operators.py."""
-    zones = high_zones(spark, sf_dir)
+    """Span and fill of a zone along its axes, and what it encloses."""
+    zones = durable(high_zones(spark, sf_dir).select("zone", "row_i", "col_i"))
     return raster.morphometry(zones).select("zone", "cells", "span", "fill").join(raster.enclosure(zones), "zone")
 
 

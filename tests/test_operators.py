@@ -190,6 +190,44 @@ def test_enclosure_and_boxes(spark):
     assert shape[2].span == 6.0 and shape[2].fill == 1.0 and shape[1].elongation == 1.0
 
 
+@pytest.mark.parametrize("width", [3, 256])
+def test_enclosure_by_flooding_the_boxes(spark, width):
+    mask = np.random.default_rng(11).random((24, 31)) < 0.7
+    zone = {at: z % 5 for at, z in flood(mask).items()}
+    want = {}
+    for z in set(zone.values()):
+        own = {at for at, other in zone.items() if other == z}
+        r0, r1, c0, c1 = min(r for r, _ in own) - 1, max(r for r, _ in own) + 1, min(c for _, c in own) - 1, max(c for _, c in own) + 1
+        seen, stack = {(r0, c0)}, [(r0, c0)]
+        while stack:
+            r, c = stack.pop()
+            more = {(r + dr, c + dc) for dr, dc in ((1, 0), (-1, 0), (0, 1), (0, -1)) if r0 <= r + dr <= r1 and c0 <= c + dc <= c1} - seen - own
+            seen |= more
+            stack += more
+        want[z] = (r1 - r0 + 1) * (c1 - c0 + 1) - len(seen) - len(own)
+    zones = spark.createDataFrame([(z, r, c) for (r, c), z in zone.items()], "zone long, row_i int, col_i int")
+    assert {r.zone: r.holes for r in raster.enclosure(zones, width).collect()} == want and sum(want.values()) > 20
+    assert raster.enclosure(zones.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_budget_fill_by_a_plain_fold(spark, block):
+    rng = np.random.default_rng(5)
+    rows = [(int(g), i, float(rng.integers(1, 40)) / 4, float(rng.integers(0, 12))) for i, g in enumerate(rng.choice([1, 2, 3], 120, p=[0.8, 0.1, 0.1]))]
+    odd = [(1, 900, None, 3.0), (1, 901, 0.0, 3.0), (2, 902, 1.0, None), (None, 903, 1.0, 9.0), (4, 904, 99.0, 1e6)]
+    want = {}
+    for g in (1, 2, 3):
+        spent = stop = 0
+        for _, i, h in sorted((-(v / h), i, h) for k, i, h, v in rows if k == g):
+            if spent + h <= 20.0:
+                spent, stop = spent + h, stop + 1
+                want[i] = stop
+    df = spark.createDataFrame(rows + odd, "g int, id long, hours double, value double")
+    got = ranking.budget_fill(df, "g", 20.0, block).collect()
+    assert len(got) == len(rows + odd) and {r.id: r.stop for r in got if r.stop} == want
+    assert ranking.budget_fill(df.limit(0), "g", 20.0).collect() == []
+
+
 def test_nearest_is_null_beyond_reach(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 900.0, 0.0)], "k int, x double, y double")
     lines = spark.createDataFrame([(7, 3, 10.0, -5.0, 10.0, 5.0), (6, 2, -10.0, -5.0, -10.0, 5.0)], "id int, o int, x1 double, y1 double, x2 double, y2 double")
