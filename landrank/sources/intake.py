@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import projection
-from . import catalogs
+from . import catalogs, paged, wfs
 
 STEPS = ("reproject", "select", "rename", "filter")
 MODES = ("replace", "append", "upsert")
@@ -174,6 +175,46 @@ def read_keyed(spark: SparkSession, params: Mapping[str, Any], area: Mapping[str
     return rows
 
 
+def _needs(name: str, params: Mapping[str, Any], keys: Sequence[str], area: Mapping[str, float] | None) -> None:
+    if missing := [k for k in keys if k not in params]:
+        raise ValueError(f"{name} needs {', '.join(missing)}")
+    if area is None and params.get("scope", "area") == "area":
+        raise ValueError(f"{name} is for an area; give one, or the scope 'all'")
+
+
+@driver("paged_features")
+def read_paged(spark: SparkSession, params: Mapping[str, Any], area: Mapping[str, float] | None) -> DataFrame:
+    """A paged feature service. With `buffer_m` the server gets the area's box, that much wider; else rows outside the area's own
+    box go here. The scope 'all' takes everything."""
+    _needs("paged_features", params, ("url", "schema"), area)
+    spark.dataSource.register(paged.PagedFeatures)
+    read = spark.read.format("paged_features").schema(params["schema"])
+    scoped, around = area is not None and params.get("scope", "area") == "area", float(params.get("buffer_m", 0))
+    options = {k: params[k] for k in ("url", "page", "where") if k in params}
+    if scoped and around > 0:
+        options["envelope"] = ",".join(repr(float(area[c] + s * around)) for c, s in (("xmin", -1), ("ymin", -1), ("xmax", 1), ("ymax", 1)))
+    df = read.options(**options).load()
+    return df.filter(F.col("x").between(area["xmin"], area["xmax"]) & F.col("y").between(area["ymin"], area["ymax"])) if scoped and around <= 0 else df
+
+
+@driver("feature_service")
+def read_service(spark: SparkSession, params: Mapping[str, Any], area: Mapping[str, float] | None) -> DataFrame:
+    """A web feature service over the area's box in degrees, `buffer_m` wider; `where_in` keeps the named values of columns."""
+    _needs("feature_service", params, ("url", "type", "schema"), area)
+    if area is None:
+        raise ValueError("feature_service has no scope 'all'")
+    spark.dataSource.register(wfs.FeatureService)
+    # Never less than the buffer: the shortest degree of latitude, and of longitude at the latitude farthest from the equator.
+    dy = float(params.get("buffer_m", 0)) / 110_500
+    dx = dy / max(1e-6, math.cos(math.radians(min(90.0, max(abs(area["ymin"]), abs(area["ymax"])) + dy))))
+    box = ",".join(repr(float(v)) for v in (area["xmin"] - dx, area["ymin"] - dy, area["xmax"] + dx, area["ymax"] + dy))
+    read = spark.read.format("feature_service").schema(params["schema"]).options(**{k: params[k] for k in ("url", "type", "version", "tiles") if k in params}, box=box)
+    df = read.load()
+    for column, values in params.get("where_in", {}).items():
+        df = df.filter(F.col(column).isin(list(values)))
+    return df
+
+
 def run(spark: SparkSession, source: Source, target_path: str, area: Mapping[str, float] | None = None, cache: str | None = None) -> DataFrame:
     """Fetch, transform and load into a Parquet folder; returns what is there then. An upsert without a target makes it."""
     df = apply(fetch(spark, source, area, cache), source.transform, check_rows=True)

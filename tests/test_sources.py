@@ -5,16 +5,33 @@ from urllib.parse import parse_qs, urlparse
 
 import pytest
 
-from landrank.sources import labels, paged
+from landrank.sources import intake, labels, paged
 
 ROWS = [{"name": f"n{i}", "kind": "ab"[i % 2], "x": float(i), "y": 2.0 * i} for i in range(25)]
 SEEN = []
 
 
+MINES = [(f"m{i}", "iron" if i % 3 else "lead", -87 + i / 20, 36 + (i * 7 % 20) / 20) for i in range(21)]
+
+
+def gml(q):
+    """Points and one line that meet the asked box, borders included."""
+    x0, y0, x9, y9 = map(float, q["bbox"].split(","))
+    if q["typeName"] == "none":
+        return "<ServiceExceptionReport><ServiceException>no such type</ServiceException></ServiceExceptionReport>"
+    point = "<gml:featureMember><mine><gml:boundedBy><gml:null/></gml:boundedBy><name>{0}</name><ore>{1}</ore><depth/><shape><gml:Point><gml:coordinates>{2},{3}</gml:coordinates></gml:Point></shape></mine></gml:featureMember>"
+    found = [point.format(*m) for m in MINES if x0 <= m[2] <= x9 and y0 <= m[3] <= y9]
+    if x0 <= -86.1 and x9 >= -86.9 and y0 <= 36.9 and y9 >= 36.1:
+        found.append("<gml:featureMember><mine><name>vein</name><ore>iron</ore><depth>7</depth><shape><gml:LineString><gml:posList>-86.9 36.1 -86.1 36.9</gml:posList></gml:LineString></shape></mine></gml:featureMember>")
+    return f'<w:FeatureCollection xmlns:w="http://www.opengis.net/wfs" xmlns:gml="http://www.opengis.net/gml">{"".join(found)}</w:FeatureCollection>'
+
+
 class Service(BaseHTTPRequestHandler):
     def do_GET(self):  # noqa: N802
         q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
-        SEEN.append(q["where"])
+        if q.get("request") == "GetFeature":
+            return self.reply(gml(q))
+        SEEN.append(q["where"] + q.get("geometry", ""))
         rows = [r for r in ROWS if "kind = 'b'" not in q["where"] or r["kind"] == "b"]
         if "bad" in q["where"]:
             body = {"error": {"message": "no such field"}}
@@ -23,9 +40,12 @@ class Service(BaseHTTPRequestHandler):
         else:
             at, n = int(q["resultOffset"]), int(q["resultRecordCount"])
             body = {"features": [{"attributes": {k: r[k] for k in q["outFields"].split(",")}, "geometry": None if "null" in q["where"] else {"x": r["x"], "y": r["y"]}} for r in rows[at : at + n]]}
+        self.reply(json.dumps(body))
+
+    def reply(self, body):
         self.send_response(200)
         self.end_headers()
-        self.wfile.write(json.dumps(body).encode())
+        self.wfile.write(body.encode())
 
     def log_message(self, *args):
         pass
@@ -64,3 +84,38 @@ def test_label_points(spark, tmp_path):
     assert {r.positional_confidence_m for r in labels.confidence(got, 32.2).collect()} == {32.2}
     labels.write_geojson(got, str(tmp_path / "out"))
     assert sorted(json.loads(r.value)["properties"]["name"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def fetch(spark, driver, area=None, **params):
+    load = {"target": "t"}
+    return intake.fetch(spark, intake.Source.parse({"name": "s", "driver": driver, "params": params, "load": load}), area)
+
+
+def test_paged_driver(spark, url):
+    schema, box = "name string, x double, y double", {"xmin": 3.0, "ymin": 0.0, "xmax": 9.5, "ymax": 15.0}
+    read = lambda area=None, **more: fetch(spark, "paged_features", area, url=url, schema=schema, page=10, **more)
+    assert sorted(r.name for r in read(box).collect()) == ["n3", "n4", "n5", "n6", "n7"]
+    assert read(scope="all").count() == 25
+    SEEN.clear()
+    assert read(box, buffer_m=2).count() == 25 and all(w.endswith("1.0,-2.0,11.5,17.0") for w in SEEN)
+    with pytest.raises(ValueError, match="for an area"):
+        read()
+    with pytest.raises(ValueError, match="needs url"):
+        fetch(spark, "paged_features", box, schema=schema)
+    with pytest.raises(ValueError, match="no rows"):
+        read({k: v + 1e6 for k, v in box.items()})
+
+
+@pytest.mark.parametrize("tiles", [1, 3])
+def test_feature_service(spark, url, tiles):
+    box = {"xmin": -87.0, "ymin": 36.0, "xmax": -86.0, "ymax": 37.0}
+    read = lambda **more: fetch(spark, "feature_service", box, **({"url": url, "type": "mines", "tiles": tiles, "schema": "name string, ore string, depth int, lon double, lat double"} | more))
+    got = sorted(map(tuple, read().collect()))
+    assert [r[0] for r in got] == sorted([m[0] for m in MINES] + ["vein"])
+    assert {r[0]: r[3:] for r in got if r[0] != "vein"} == {m[0]: m[2:] for m in MINES}
+    assert next(r for r in got if r[0] == "vein") == ("vein", "iron", 7, -86.5, 36.5)
+    assert read(where_in={"ore": ["lead"]}).count() == 7
+    with pytest.raises(ValueError, match="no rows"):
+        read(where_in={"ore": ["gold"]})
+    with pytest.raises(Exception, match="no such type"):
+        read(type="none").collect()
