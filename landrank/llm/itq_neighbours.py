@@ -38,15 +38,17 @@ SAMPLE = 4096
 PART = 16384
 #: Share of pairs at the threshold that must meet, by the sample.
 RECALL = 0.995
+#: Share of the sample's own links that must meet; without it codes are not centred.
+OWN_RECALL = 0.97
 _TABLES = 48
 _ROUNDS = 20
 _BLOCK = 1024
 
 
-def learn(sample: np.ndarray, rotations: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, stacked projections d x (rotations * d)) by iterative quantisation of the rows of sample."""
+def learn(sample: np.ndarray, rotations: int, seed: int = 1, centred: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, stacked projections d x (rotations * d)) by iterative quantisation of the rows of sample; the mean is 0 if not centred."""
     d = sample.shape[1]
-    mean = sample.mean(0) if len(sample) else np.zeros(d)
+    mean = sample.mean(0) if len(sample) and centred else np.zeros(d)
     x = sample - mean
     axes = np.linalg.eigh(x.T @ x + 1e-9 * np.eye(d))[1][:, ::-1]
     v = x @ axes
@@ -76,25 +78,51 @@ def moved(x: np.ndarray, threshold: float = THRESHOLD, seed: int = 5) -> np.ndar
 def plan(sample: np.ndarray, rows: int, threshold: float = THRESHOLD) -> tuple[int, int, np.ndarray, np.ndarray]:
     """(bits of a chunk, number of tables, mean, projection) for this many rows, from what the sample's codes do.
 
-    Every sample vector is moved to a cosine of just the threshold, and codes are compared: centring widens angles where vectors
+    Every sample vector is moved to a cosine of just the threshold (in several directions where the sample is small, so that
+    `SAMPLE` pairs or more are measured), and codes are compared: centring widens angles where vectors
     share a direction, so the chance to meet is measured, not derived. Tables are as many as bring RECALL of these pairs
     together, over the whole sample and over the quarter of it that is nearest to the mean; where that takes more than
     `_TABLES`, chunks get narrower (at one bit, half of the bits may differ and some ten tables do).
+
+    Links of the sample itself are asked too: where vectors lie so near to each other that pairs have the mean between them, the
+    signs of centred vectors part what links, and codes are taken without centring.
     """
     d = sample.shape[1]
-    mean = sample.mean(0)
-    near = np.argsort(np.linalg.norm(sample - mean, axis=1), kind="stable")[: max(1, len(sample) // 4)]
-    pairs = moved(sample, threshold) if d > 1 else sample
-    bits = bits_for(rows, d)
-    while True:
-        rotations = -(-_TABLES // (d // bits))
-        mean, projection = learn(sample, rotations)
-        met = np.cumsum(_chunks(sample, mean, projection, bits, _TABLES) == _chunks(pairs, mean, projection, bits, _TABLES), axis=1) > 0
-        enough = np.flatnonzero(np.minimum(met.mean(0), met[near].mean(0)) >= RECALL)
-        if len(enough) or bits == 1:
-            tables = int(enough[0]) + 1 if len(enough) else _TABLES
-            return bits, tables, mean, projection[:, : d * -(-tables // (d // bits))]
-        bits = max(1, bits - 2)
+    middle = sample.mean(0)
+    nearest = np.argsort(np.linalg.norm(sample - middle, axis=1), kind="stable")[: max(1, len(sample) // 4)]
+    at = np.tile(np.arange(len(sample)), -(-SAMPLE // len(sample)))
+    near, few = np.isin(at, nearest), sample[at]
+    pairs = moved(few, threshold) if d > 1 else few
+
+    def fit(centred: bool) -> tuple[int, int, np.ndarray, np.ndarray]:
+        bits = bits_for(rows, d)
+        while True:
+            rotations = -(-_TABLES // (d // bits))
+            mean, projection = learn(sample, rotations, centred=centred)
+            met = np.cumsum(_chunks(few, mean, projection, bits, _TABLES) == _chunks(pairs, mean, projection, bits, _TABLES), axis=1) > 0
+            enough = np.flatnonzero(np.minimum(met.mean(0), met[near].mean(0)) >= RECALL)
+            if len(enough) or bits == 1:
+                tables = int(enough[0]) + 1 if len(enough) else _TABLES
+                return bits, tables, mean, projection[:, : d * -(-tables // (d // bits))]
+            bits = max(1, bits - 2)
+
+    bits, tables, mean, projection = fit(True)
+    if _own_recall(sample, _chunks(sample, mean, projection, bits, tables), threshold) < OWN_RECALL:
+        return fit(False)
+    return bits, tables, mean, projection
+
+
+def _own_recall(sample: np.ndarray, keys: np.ndarray, threshold: float) -> float:
+    """Share of the pairs of the sample that link which have a key in common, 1 if none links; a block of rows at a time."""
+    links = met = 0
+    for i in range(0, len(sample), 256):
+        x, y = np.nonzero(np.triu(sample[i : i + 256] @ sample.T >= threshold, i + 1))
+        links += len(x)
+        share = np.zeros(len(x), bool)
+        for k in keys.T:
+            share |= k[x + i] == k[y]
+        met += int(share.sum())
+    return met / links if links else 1.0
 
 
 def _chunks(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, bits: int, tables: int) -> np.ndarray:

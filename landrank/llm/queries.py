@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import column_bwt, cube_mixing, factorisation, itq_neighbours, license_scan, phrase_automata, prefix_join, pu_toxicity, quality_rules, vector_packing
+from . import column_bwt, cube_mixing, factorisation, itq_neighbours, license_scan, oracles, phrase_automata, prefix_join, pu_toxicity, quality_rules, vector_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,4 +69,11 @@ QUERIES = {
     "op10_vector_packing": op10_vector_packing,
     "quality_ablation": quality_ablation,
 }
-ORACLE_SQL = {"op4_quality_rules": quality_rules.ORACLE, "quality_ablation": quality_rules.ABLATION_ORACLE}
+ORACLE_SQL = {
+    "op2_itq_neighbours": oracles.COSINE,
+    "op4_quality_rules": quality_rules.ORACLE,
+    "op5_phrase_automata": oracles.PHRASES,
+    "op8_column_bwt": oracles.BYTES,
+    "op9_prefix_join": oracles.JACCARD,
+    "quality_ablation": quality_rules.ABLATION_ORACLE,
+}

@@ -107,3 +107,11 @@ def test_components_of_links():
     for _ in range(9):
         reach = reach @ reach
     assert (comp == reach.argmax(1)).all()
+
+
+def test_vectors_around_their_mean_keep_their_links():
+    x = np.random.default_rng(0).normal(size=(2000, 64)) * 0.0125 + np.eye(64)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    bits, tables, mean, projection = itq.plan(x, 2000)
+    assert itq._own_recall(x, itq._chunks(x, mean, projection, bits, tables), 0.98) >= 0.97
+    assert itq._own_recall(x[:1], np.zeros((1, tables), np.int32), 0.98) == 1.0
