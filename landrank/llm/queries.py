@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import column_bwt, cube_mixing, factorisation, itq_neighbours, license_scan, oracles, phrase_automata, prefix_join, pu_toxicity, quality_rules, token_files, vector_packing, zone_clusters
+from . import column_bwt, cube_mixing, factorisation, itq_neighbours, license_scan, oracles, pair_alignment, phrase_automata, prefix_join, pu_toxicity, quality_rules, token_files, vector_packing, zone_clusters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op2_itq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq_neighbours.embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_alignment.align(_table(spark, sf_dir, "documents"), *pair_alignment.default_tokenizers())
+
+
 def op12_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone_clusters.cluster_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_column_bwt": op8_column_bwt,
     "op9_prefix_join": op9_prefix_join,
     "op10_vector_packing": op10_vector_packing,
+    "op11_pair_alignment": op11_pair_alignment,
     "op12_zone_clusters": op12_zone_clusters,
     "op13_token_files": op13_token_files,
     "quality_ablation": quality_ablation,
