@@ -46,6 +46,25 @@ def stencil(cells: DataFrame, value: str, rows: int, cols: int, halo: int, work:
     return dealt.groupBy("tr", "tc").applyInArrow(solve, f"row_i int, col_i int, `{out}` {kind}")
 
 
+def dealt(cells: DataFrame, columns: dict[str, str], rows: int, cols: int, halo: int, tile: int = TILE) -> DataFrame:
+    """(tr, tc, row_i, col_i, names): cells dealt to their own tile and to those within `halo` cells. columns: names and what they hold."""
+    span = lambda c, n: F.explode(F.sequence(F.floor((F.greatest(F.col(c) - halo, F.lit(0))) / tile).cast("int"), F.floor(F.least(F.col(c) + halo, F.lit(n - 1)) / tile).cast("int")))
+    out = cells.select(F.col("row_i").cast("int").alias("row_i"), F.col("col_i").cast("int").alias("col_i"), *[F.col(c).cast("double").alias(n) for n, c in columns.items()])
+    return out.withColumn("tr", span("row_i", rows)).withColumn("tc", span("col_i", cols))
+
+
+def grids(key, table: pa.Table, names: list[str], rows: int, cols: int, halo: int, tile: int = TILE) -> tuple[int, int, dict[str, np.ndarray]]:
+    """(first row, first column, grids of a tile with its halo) of what `dealt` gave it; NaN where there is nothing."""
+    r0, c0 = key[0].as_py() * tile, key[1].as_py() * tile
+    shape = min(tile, rows - r0) + 2 * halo, min(tile, cols - c0) + 2 * halo
+    r, c = table.column("row_i").to_numpy() - r0 + halo, table.column("col_i").to_numpy() - c0 + halo
+    out = {}
+    for n in names:
+        out[n] = np.full(shape, np.nan)
+        out[n][r, c] = table.column(n).to_numpy(zero_copy_only=False)
+    return r0, c0, out
+
+
 def seen(grid: np.ndarray, halo: int, dr: int, dc: int) -> np.ndarray:
     """What the cells of a tile see at an offset."""
     h, w = grid.shape[0] - 2 * halo, grid.shape[1] - 2 * halo
