@@ -132,6 +132,8 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.size_a = id_bytes(self.a)
         self.entries_a, self.entries_b = _flat(byte_level_entries(self.a)), _flat(piece_entries(self.b))
+        most = max(len(self.entries_a[2]), len(self.entries_b[2]))
+        self.said = _flat([f"{i}{mark}".encode() for i in range(most) for mark in ",|;"])
         self.cache = PartCache(self.learn)
 
     def _pieces(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray | None]:
@@ -160,35 +162,47 @@ class Aligner:
 
     def learn(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
         """For each part its run: head, then pairs (A's id, B's, links low and high), then the groups' text with a last ';'."""
-        ids_a = [np.frombuffer(x, "<u4").astype(np.int64) for x in byte_level_ids(self.a, raw, first, last, self.size_a)]
+        said_a = byte_level_ids(self.a, raw, first, last, self.size_a)
         ids_b = self._pieces(raw, first, last)
-        text = [raw[i:j].tobytes() for i, j in zip(first.tolist(), last.tolist(), strict=True)]
-        fine = [row for row, (a, b, t) in enumerate(zip(ids_a, ids_b, text, strict=True)) if b is not None and ends_in(a, self.entries_a, t) is not None]
+        length = last - first
+        n_a = np.array([len(x) // 4 for x in said_a], np.int64)
+        a = np.frombuffer(b"".join(said_a), "<u4").astype(np.int64)
+        fits = (np.add.reduceat(self.entries_a[2][a], np.cumsum(n_a) - n_a) == length) & np.array([b is not None for b in ids_b])
+        at, _ = gather(np.arange(len(a)), (np.cumsum(n_a) - n_a)[fits], n_a[fits])
+        same = gather(self.entries_a[0], self.entries_a[1][a[at]], self.entries_a[2][a[at]])[0] == gather(raw, first[fits], length[fits])[0]
+        fine = np.flatnonzero(fits)
+        if len(fine):
+            fine = fine[np.logical_and.reduceat(same, np.cumsum(length[fits]) - length[fits])]
         out = [bytes(4 * _HEAD)] * len(first)
-        if not fine:
+        if not len(fine):
             return out
-        a, b = np.concatenate([ids_a[r] for r in fine]), np.concatenate([ids_b[r] for r in fine])
-        stops = np.cumsum([len(text[r]) for r in fine])
+        at, _ = gather(np.arange(len(a)), (np.cumsum(n_a) - n_a)[fine], n_a[fine])
+        a, b, n = a[at], np.concatenate([ids_b[r] for r in fine.tolist()]), len(fine)
+        stops = np.cumsum(length[fine])
         ends_a, ends_b = np.cumsum(self.entries_a[2][a]), np.cumsum(self.entries_b[2][b])
         common, group_a, group_b = aligned(a, ends_a, b, ends_b)
         part_of = np.searchsorted(stops, common)
         group, pair, links = linked(a, group_a, b, group_b, len(common))
         (part, pair), links = summed((part_of[group].astype(np.uint64), pair), links)
-        n = len(fine)
-        n_a, n_b = (np.bincount(np.searchsorted(stops, e), minlength=n) for e in (ends_a, ends_b))
         n_groups, n_pairs = np.bincount(part_of, minlength=n), np.bincount(part.astype(np.int64), minlength=n)
         per_group = np.bincount(group_a, minlength=len(common)) * np.bincount(group_b, minlength=len(common))
         n_links = np.add.reduceat(per_group, np.cumsum(n_groups) - n_groups)
-        records = np.stack([pair >> _WORD, pair & np.uint64(0xFFFFFFFF), links.astype(np.uint64) & np.uint64(0xFFFFFFFF), links.astype(np.uint64) >> _WORD], 1).astype("<u4")
-        cut_a, cut_b = (np.cumsum(np.bincount(g, minlength=len(common))).tolist() for g in (group_a, group_b))
-        said_a, said_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups = [f"{','.join(said_a[i:j])}|{','.join(said_b[k:m])};" for i, j, k, m in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b, strict=False)]
-        g = r = 0
-        for k, row in enumerate(fine):
-            said = "".join(groups[g : g + n_groups[k]]).encode()
-            head = np.array([1, n_a[k], n_b[k], n_groups[k], n_links[k] & 0xFFFFFFFF, n_links[k] >> 32, n_pairs[k], len(said)], "<u4")
-            out[row] = head.tobytes() + records[r : r + n_pairs[k]].tobytes() + said + b"\0" * (-len(said) % 4)
-            g, r = g + n_groups[k], r + n_pairs[k]
+        records = np.stack([pair >> _WORD, pair & np.uint64(0xFFFFFFFF), links.astype(np.uint64) & np.uint64(0xFFFFFFFF), links.astype(np.uint64) >> _WORD], 1).astype("<u4").tobytes()
+        # The groups' text: A's tokens and then B's of each group, every id with the mark that follows it.
+        of = np.concatenate([group_a * 2, group_b * 2 + 1])
+        order = np.argsort(of, kind="stable")
+        of, ids = of[order], np.concatenate([a, b])[order]
+        more = np.append(of[1:] == of[:-1], False)
+        flat, begin, size = self.said
+        entry = 3 * ids + np.where(more, 0, 1 + of % 2)
+        text = gather(flat, begin[entry], size[entry])[0].tobytes()
+        n_text = np.bincount(part_of[of // 2], weights=size[entry], minlength=n).astype(np.int64)
+        counted = (np.bincount(np.searchsorted(stops, e), minlength=n) for e in (ends_a, ends_b))
+        heads = np.stack([np.ones(n, np.int64), *counted, n_groups, n_links & 0xFFFFFFFF, n_links >> 32, n_pairs, n_text], 1).astype("<u4").tobytes()
+        cut_r, cut_t = (16 * np.append(0, np.cumsum(n_pairs))).tolist(), np.append(0, np.cumsum(n_text)).tolist()
+        for k, row in enumerate(fine.tolist()):
+            i, j = cut_t[k], cut_t[k + 1]
+            out[row] = heads[4 * _HEAD * k : 4 * _HEAD * (k + 1)] + records[cut_r[k] : cut_r[k + 1]] + text[i:j] + b"\0" * ((i - j) % 4)
         return out
 
 
