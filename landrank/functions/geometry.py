@@ -58,6 +58,14 @@ def segment_meets_box(x1: Column, y1: Column, x2: Column, y2: Column, xmin: Colu
     return F.greatest(F.lit(0.0), xa, ya) <= F.least(F.lit(1.0), xb, yb)
 
 
+def segment_box_distance(seg: tuple[Column, Column, Column, Column], xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """Distance between a segment (x1, y1, x2, y2) and a box, 0 where they meet: else an end of the segment or a corner is nearest."""
+    corners = [segment_distance(x, y, *seg) for x in (xmin, xmax) for y in (ymin, ymax)]
+    gap = lambda v, lo, hi: F.greatest(lo - v, v - hi, F.lit(0.0))
+    ends = [F.sqrt(gap(x, xmin, xmax) ** 2 + gap(y, ymin, ymax) ** 2) for x, y in (seg[:2], seg[2:])]
+    return F.when(segment_meets_box(*seg, xmin, ymin, xmax, ymax), F.lit(0.0)).otherwise(F.least(*corners, *ends))
+
+
 def grown(box: dict[str, Column], by: float) -> dict[str, Column]:
     return {"xmin": box["xmin"] - by, "ymin": box["ymin"] - by, "xmax": box["xmax"] + by, "ymax": box["ymax"] + by}
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.geometry import segment_meets_box
 from ..storage import durable
 from . import raster, spatial
+from .resample import Grid
 
 #: Fewest cells of a ring that make a place evaluable.
 LEAST_RING = 100
@@ -80,3 +82,19 @@ def null_places(tries: DataFrame, sites: DataFrame, clear_m: float, apart_m: flo
         out = pairs.join(stay.select(F.col("id").alias("other")), "other", "left_semi").select("id").distinct()
         open_ = durable(open_.join(stay.select("id"), "id", "left_anti").join(out, "id", "left_anti"))
     return kept
+
+
+def exclude_near(zones: DataFrame, segments: DataFrame, distance: float, grid: Grid) -> DataFrame:
+    """(zone, cells, covered): zones of which at most half the cells come within `distance` of a segment; a zone goes whole or stays
+    whole, so no fragment of what is excluded is left.
+
+    zones: (zone, row_i, col_i). Segments that miss the grid altogether are an error: an empty source is a gap in the data, not a
+    reason to keep every zone.
+    """
+    right, bottom = grid.left + grid.resolution * grid.cols, grid.top - grid.resolution * grid.rows
+    here = segment_meets_box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], F.lit(grid.left), F.lit(bottom), F.lit(right), F.lit(grid.top))
+    if segments.filter(here).isEmpty():
+        raise ValueError("the source of the exclusion has nothing in this frame; load it first")
+    under = spatial.cells_near(zones.select("row_i", "col_i"), segments, distance, grid.left, grid.top, grid.resolution).distinct().withColumn("hit", F.lit(1.0))
+    share = zones.join(under, ["row_i", "col_i"], "left").groupBy("zone").agg(F.count(F.lit(1)).alias("cells"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("covered"))
+    return share.filter("covered <= 0.5")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import in_box, segment_distance, segments_cross, tile
+from ..functions.geometry import in_box, segment_box_distance, segment_distance, segments_cross, tile
 from ..storage import durable
 
 
@@ -96,6 +96,21 @@ def burn(segments: DataFrame, left: float, top: float, resolution: float, rows:
     return spans.filter("__a <= __b").withColumn("col_i", F.explode(F.sequence("__a", "__b"))).drop("__a", "__b")
 
 
+def cells_near(cells: DataFrame, segments: DataFrame, distance: float, left: float, top: float, resolution: float, width: float = 200.0) -> DataFrame:
+    """The cells (row_i, col_i, more) whose square comes within `distance` of a segment (x1, y1, x2, y2), each once: what a buffer of
+    that width would touch. Segments are cut into the tiles that their own buffer meets, so a slanting one takes no whole box of them."""
+    seg = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    half, far = resolution / 2.0, float(distance) + resolution
+    lines = segments.select(*seg).withColumn("__tx", _tiles(F.least("x1", "x2") - far, F.greatest("x1", "x2") + far, width)).withColumn("__ty", _tiles(F.least("y1", "y2") - far, F.greatest("y1", "y2") + far, width))
+    x0, y0 = F.col("__tx") * float(width), F.col("__ty") * float(width)
+    lines = lines.filter(segment_box_distance(seg, x0, y0, x0 + float(width), y0 + float(width)) <= far)
+    x, y = F.lit(left) + resolution * (F.col("col_i") + 0.5), F.lit(top) - resolution * (F.col("row_i") + 0.5)
+    keyed = cells.select("row_i", "col_i").distinct().withColumn("__x", x).withColumn("__y", y).withColumn("__tx", tile(F.col("__x"), width)).withColumn("__ty", tile(F.col("__y"), width))
+    near = segment_box_distance(seg, F.col("__x") - half, F.col("__y") - half, F.col("__x") + half, F.col("__y") + half) <= float(distance)
+    hit = keyed.join(lines, ["__tx", "__ty"]).filter(near).select("row_i", "col_i").distinct()
+    return cells.join(hit, ["row_i", "col_i"], "left_semi")
+
+
 def boxes_meet(a: DataFrame, b: DataFrame, width: float = 200.0) -> DataFrame:
     """All columns of pairs of boxes that overlap: a (xmin..ymax) and b (uxmin..uymax), met once in the tile of their lower corner."""
     tiled = lambda df, p: df.withColumn("__tx", _tiles(F.col(p + "xmin"), F.col(p + "xmax"), width)).withColumn("__ty", _tiles(F.col(p + "ymin"), F.col(p + "ymax"), width))

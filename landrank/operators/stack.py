@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import spatial
+from . import distance, spatial
 from .resample import Grid
 
 
@@ -18,12 +18,13 @@ def valid(cells: DataFrame, core: Sequence[str]) -> DataFrame:
     return cells
 
 
-def build(grid: Grid, layers: Mapping[str, DataFrame], core: Sequence[str], burnt: Mapping[str, tuple[DataFrame, str]] | None = None, nearest: Mapping[str, tuple[DataFrame, str, str]] | None = None) -> DataFrame:
-    """(row_i, col_i, easting, northing, layers, burnt, nearest) of the cells that have every core layer.
+def build(grid: Grid, layers: Mapping[str, DataFrame], core: Sequence[str], burnt: Mapping[str, tuple[DataFrame, str]] | None = None, nearest: Mapping[str, tuple[DataFrame, str, str]] | None = None, gridded: Mapping[str, tuple[DataFrame, str, str]] | None = None) -> DataFrame:
+    """(row_i, col_i, easting, northing, layers, nearest, gridded, burnt) of the cells that have every core layer.
 
     layers: (row_i, col_i, value) each, met in one aggregation by position; a cell off the grid, or two values of a layer in one
     cell, is an error of that layer when it is read. burnt: segments and the column that touched cells take, else 0.
-    nearest: segments, the column of the nearest one, and that column's name.
+    nearest: segments, the column of the nearest one, and that column's name. gridded: the same, but measured between centres to
+    the nearest cell that a segment touches, where the later segment wins.
     """
     if missing := [c for c in core if c not in layers]:
         raise ValueError(f"no layer {', '.join(missing)}; there are: {', '.join(layers)}")
@@ -40,7 +41,11 @@ def build(grid: Grid, layers: Mapping[str, DataFrame], core: Sequence[str], burn
         points = cells.withColumn("__key", F.col("row_i").cast("long") * grid.cols + F.col("col_i")).withColumn("x", F.col("easting")).withColumn("y", F.col("northing"))
         found = spatial.nearest_segment(points.select("__key", "x", "y"), segments, "__key", None, value).select("__key", F.col("dist").alias(name), F.col(value).alias(order))
         cells = points.join(found, "__key", "left").drop("__key", "x", "y")
+    touching = lambda segments, value, name: spatial.burn(segments, grid.left, grid.top, grid.resolution, grid.rows, grid.cols).groupBy("row_i", "col_i").agg(F.max_by(value, "id").alias(name))
+    for name, (segments, value, order) in (gridded or {}).items():
+        found = distance.distance_to_marked(touching(segments, value, order), grid.rows, grid.cols, grid.resolution, order)
+        cells = cells.join(found.withColumnRenamed("dist", name), ["row_i", "col_i"], "left")
     for name, (segments, value) in (burnt or {}).items():
-        touched = spatial.burn(segments, grid.left, grid.top, grid.resolution, grid.rows, grid.cols).groupBy("row_i", "col_i").agg(F.max_by(value, "id").alias(name))
+        touched = touching(segments, value, name)
         cells = cells.join(touched, ["row_i", "col_i"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return cells.select("row_i", "col_i", "easting", "northing", *layers, *[c for n, (_, _, o) in (nearest or {}).items() for c in (n, o)], *(burnt or {}))
+    return cells.select("row_i", "col_i", "easting", "northing", *layers, *[c for more in (nearest, gridded) for n, (_, _, o) in (more or {}).items() for c in (n, o)], *(burnt or {}))

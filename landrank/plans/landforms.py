@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import hydrology
+from ..operators import detection, distance, hydrology, outlines, spatial, stack
+from ..operators.resample import Grid
+from ..sources import fixtures
 from . import query
-from .terrain import COLS, DOWN, surface
+from .shapes import _IN, _OUT, MASKED, masked
+from .terrain import BURN, COLS, DOWN, HIGH, high_zones, surface
 
 #: Lowest steps between basins, the tree of Prim's rule over them (a row a basin), ways with the turned ones, and all cells on each way.
 BREACH = DOWN + """, pi AS MATERIALIZED (SELECT r0 AS row_i, c0 AS col_i, r * 100 + c AS pit FROM walk JOIN di ON di.row_i = walk.r AND di.col_i = walk.c WHERE dir IS NULL),
@@ -45,3 +48,73 @@ def height_above_stream_breached(spark, sf_dir):
     cells, rows = surface(spark, sf_dir)
     ways = hydrology.breached(cells, "elev_m", rows, COLS)
     return hydrology.height_above_stream(ways, ways, "breached", COLS, 100)
+
+
+#: Nearest touched cell of each cell, by all pairs.
+ALL_PAIRS = BURN + """, sp AS (SELECT c.row_i, c.col_i, arg_min(struct_pack(d := (c.row_i - w.row_i) ** 2 + (c.col_i - w.col_i) ** 2, o := w.stream_order), struct_pack(d := (c.row_i - w.row_i) ** 2 + (c.col_i - w.col_i) ** 2, r := w.row_i, k := w.col_i)) AS n FROM fx_cell c, won w GROUP BY c.row_i, c.col_i),
+gd AS (SELECT row_i, col_i, round(10.0::DOUBLE * sqrt(n.d), 6) AS dist_m, n.o::DOUBLE AS stream_order FROM sp)"""
+
+
+@query(ALL_PAIRS + " SELECT row_i, col_i, dist_m, stream_order FROM gd")
+def grid_distance(spark, sf_dir):
+    """Distance of each cell to the nearest cell that a line touches, centre to centre, and that cell's order."""
+    _, rows = surface(spark, sf_dir)
+    burnt = spatial.burn(fixtures.flowlines(spark, sf_dir), 500000.0, 4000010.0, 10.0, rows, COLS)
+    won = burnt.groupBy("row_i", "col_i").agg(F.max_by("stream_order", "id").alias("stream_order"))
+    found = distance.distance_to_marked(won, rows, COLS, 10.0, "stream_order")
+    return found.select("row_i", "col_i", F.round("dist", 6).alias("dist_m"), "stream_order")
+
+
+@query(ALL_PAIRS + f" SELECT row_i, col_i, easting, northing, hand, slope, dist_m AS dist_to_stream_m, stream_order AS stream_order_nearest FROM ({MASKED}) JOIN gd USING (row_i, col_i) WHERE hand IS NOT NULL AND NOT isnan(slope)")
+def feature_stack_gridded(spark, sf_dir):
+    """The cell table with distances measured on the grid, to the nearest cell that a line touches."""
+    cells = masked(spark, sf_dir)
+    grid = Grid(500000.0, 4000010.0, 10.0, surface(spark, sf_dir)[1], COLS)
+    layers = {n: cells.select("row_i", "col_i", F.col(n).alias("value")) for n in ("hand", "slope")}
+    out = stack.build(grid, layers, core=("hand", "slope"), gridded={"dist_to_stream_m": (fixtures.flowlines(spark, sf_dir), "stream_order", "stream_order_nearest")})
+    return out.withColumn("dist_to_stream_m", F.round("dist_to_stream_m", 6))
+
+
+#: Distance of a line to a cell's square: 0 where they meet, else that of a corner to the line or of an end to the square.
+_GAP = "sqrt(greatest(xmin - {0}, {0} - xmax, 0) ** 2 + greatest(ymin - {1}, {1} - ymax, 0) ** 2)"
+_PS = "sqrt(({0} - (x1 + greatest(0.0::DOUBLE, least(1.0::DOUBLE, (({0} - x1) * (x2 - x1) + ({1} - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) * (x2 - x1))) ** 2 + ({1} - (y1 + greatest(0.0::DOUBLE, least(1.0::DOUBLE, (({0} - x1) * (x2 - x1) + ({1} - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) * (y2 - y1))) ** 2)"
+_NEAR = f"CASE WHEN {_IN} <= {_OUT} THEN 0.0::DOUBLE ELSE least(" + ", ".join(_PS.format(x, y) for x in ("xmin", "xmax") for y in ("ymin", "ymax")) + ", " + _GAP.format("x1", "y1") + ", " + _GAP.format("x2", "y2") + ") END"
+
+
+@query(HIGH + f""", sq AS (SELECT zone, row_i, col_i, 500000.0::DOUBLE + 10 * col_i AS xmin, 500010.0::DOUBLE + 10 * col_i AS xmax, 4000000.0::DOUBLE - 10 * row_i AS ymin, 4000010.0::DOUBLE - 10 * row_i AS ymax FROM zc),
+un AS (SELECT DISTINCT row_i, col_i FROM sq JOIN fx_line ON xmin <= greatest(x1, x2) + 20 AND xmax >= least(x1, x2) - 20 AND ymin <= greatest(y1, y2) + 20 AND ymax >= least(y1, y2) - 20 WHERE {_NEAR} <= 20)
+SELECT zone, cells, round(c, 6) AS covered FROM (SELECT zone, count(*) AS cells, avg(CASE WHEN un.row_i IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS c FROM zc LEFT JOIN un USING (row_i, col_i) GROUP BY zone) WHERE c <= 0.5""")
+def detect_zones_excluded(spark, sf_dir):
+    """Zones without those of which more than half the cells are touched by a line's buffer of 20 m."""
+    _, rows = surface(spark, sf_dir)
+    zones = high_zones(spark, sf_dir).select("zone", "row_i", "col_i")
+    kept = detection.exclude_near(zones, fixtures.flowlines(spark, sf_dir), 20.0, Grid(500000.0, 4000010.0, 10.0, rows, COLS))
+    return kept.select("zone", "cells", F.round("covered", 6).alias("covered"))
+
+
+#: Edges of zones by cell and side, what follows each, and the smallest edge of its ring.
+RINGS = HIGH + """, sd(s, dr, dc) AS (VALUES (0, -1, 0), (1, 0, 1), (2, 1, 0), (3, 0, -1)),
+ed AS MATERIALIZED (SELECT zc.zone, zc.row_i, zc.col_i, s FROM zc, sd WHERE NOT EXISTS (SELECT 1 FROM zc n WHERE n.zone = zc.zone AND n.row_i = zc.row_i + dr AND n.col_i = zc.col_i + dc)),
+ah AS (SELECT ed.*, a.dr AS ar, a.dc AS ac, sd.dr, sd.dc FROM ed JOIN sd USING (s) JOIN sd a ON a.s = (ed.s + 1) % 4),
+fo AS (SELECT ah.zone, ah.row_i, ah.col_i, ah.s, (ah.row_i * 100 + ah.col_i) * 4 + ah.s AS id, CASE WHEN n.zone IS NULL THEN (ah.row_i * 100 + ah.col_i) * 4 + (ah.s + 1) % 4 WHEN b.zone IS NULL THEN (n.row_i * 100 + n.col_i) * 4 + ah.s ELSE (b.row_i * 100 + b.col_i) * 4 + (ah.s + 3) % 4 END AS next
+FROM ah LEFT JOIN zc n ON n.zone = ah.zone AND n.row_i = ah.row_i + ar AND n.col_i = ah.col_i + ac LEFT JOIN zc b ON b.zone = ah.zone AND b.row_i = ah.row_i + ar + dr AND b.col_i = ah.col_i + ac + dc),
+fm AS MATERIALIZED (SELECT *, next % 4 <> s AS turns FROM fo),
+wk(id, pos, n) AS (SELECT id, next, 1 FROM fm UNION ALL SELECT wk.id, fm.next, n + 1 FROM wk JOIN fm ON fm.id = wk.pos WHERE wk.pos > wk.id),
+rg AS (SELECT wk.id AS ring, wk.pos AS id FROM wk JOIN (SELECT id FROM wk WHERE pos = id) l ON l.id = wk.id)"""
+
+
+@query(RINGS + """ SELECT zone, ring, count(*) FILTER (WHERE turns) AS corners, count(*) AS n_edges, CAST(sum(CASE s WHEN 1 THEN 2 * (col_i + 1) WHEN 3 THEN -2 * col_i ELSE 0 END) AS BIGINT) AS area2, sum(CASE s WHEN 1 THEN 2 * (col_i + 1) WHEN 3 THEN -2 * col_i ELSE 0 END) < 0 AS hole FROM rg JOIN fm USING (id) GROUP BY zone, ring""")
+def zone_rings(spark, sf_dir):
+    """Rings of the zones of the highest fifth: corners, length and area of each, holes negative."""
+    _, rows = surface(spark, sf_dir)
+    return outlines.ring_sums(outlines.rings(high_zones(spark, sf_dir).select("zone", "row_i", "col_i"), rows, COLS)[0])
+
+
+@query(HIGH + " SELECT zone, count(*) * 100.0::DOUBLE AS area_m2, count(*) * 100.0::DOUBLE AS ring_area_m2 FROM zc GROUP BY zone")
+def zone_ring_area(spark, sf_dir):
+    """Area of each zone from its cells and from its rings."""
+    _, rows = surface(spark, sf_dir)
+    zones = high_zones(spark, sf_dir).select("zone", "row_i", "col_i")
+    by_cells = zones.groupBy("zone").agg((F.count(F.lit(1)) * 100.0).alias("area_m2"))
+    by_rings = outlines.ring_sums(outlines.rings(zones, rows, COLS)[0]).groupBy("zone").agg((F.sum("area2") * 50.0).alias("ring_area_m2"))
+    return by_cells.join(by_rings, "zone")

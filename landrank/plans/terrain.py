@@ -107,18 +107,6 @@ def detect_zones_high(spark, sf_dir):
     ).filter(F.col("cells").between(4, 100000))
 
 
-@query(HIGH + """, ex AS (SELECT zone, avg(CASE WHEN EXISTS (SELECT 1 FROM fx_line WHERE 500005 + 10 * col_i BETWEEN least(x1, x2) - 20 AND greatest(x1, x2) + 20 AND 4000005 - 10 * row_i BETWEEN least(y1, y2) - 20 AND greatest(y1, y2) + 20) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS covered, count(*) AS cells FROM zc GROUP BY zone)
-SELECT zone, cells, round(covered, 6) AS covered FROM ex WHERE covered <= 0.5""")
-def detect_zones_excluded(spark, sf_dir):
-    """Zones without those that lie by more than half under buffered features."""
-    zones = high_zones(spark, sf_dir)
-    grown = fixtures.flowlines(spark, sf_dir).select((F.least("x1", "x2") - 20).alias("xmin"), (F.greatest("x1", "x2") + 20).alias("xmax"), (F.least("y1", "y2") - 20).alias("ymin"), (F.greatest("y1", "y2") + 20).alias("ymax"))
-    points = zones.select("cell_id", (500005.0 + 10.0 * F.col("col_i")).alias("x"), (4000005.0 - 10.0 * F.col("row_i")).alias("y"))
-    under = spatial.points_in_boxes(points, grown).select("cell_id").distinct().withColumn("hit", F.lit(1.0))
-    share = zones.join(under, "cell_id", "left").groupBy("zone").agg(F.count(F.lit(1)).alias("cells"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("c"))
-    return share.filter("c <= 0.5").select("zone", "cells", F.round("c", 6).alias("covered"))
-
-
 @query(HIGH + """, b AS (SELECT zone, count(*) AS cells, avg(row_i) AS rc, avg(col_i) AS cc, coalesce(var_samp(row_i), 0) AS vr, coalesce(var_samp(col_i), 0) AS vc, coalesce(covar_samp(row_i, col_i), 0) AS cov FROM zc GROUP BY zone),
 e AS (SELECT *, (vr + vc) / 2 + sqrt(((vr - vc) / 2) ** 2 + cov ** 2) AS big, (vr + vc) / 2 - sqrt(((vr - vc) / 2) ** 2 + cov ** 2) AS small FROM b)
 SELECT zone, cells, round(CASE WHEN cells < 4 THEN 1.0::DOUBLE WHEN small > 1e-9 THEN sqrt(big / small) ELSE cells::DOUBLE END, 1) AS elongation, round(rc, 6) AS row_c, round(cc, 6) AS col_c FROM e""")

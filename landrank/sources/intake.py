@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import projection
+from ..storage import durable
 from . import catalogs, paged, wfs
 
 STEPS = ("reproject", "select", "rename", "filter")
@@ -138,18 +139,32 @@ def swap(spark: SparkSession, df: DataFrame, target: str) -> None:
     fresh, gone = f"{target}.next-{mark}", f"{target}.gone-{mark}"
     df.write.option("compression", "zstd").parquet(fresh)
     fs, at = _files(spark, target)
-    if fs.exists(at):
-        fs.rename(at, _files(spark, gone)[1])
-    fs.rename(_files(spark, fresh)[1], at)
-    fs.delete(_files(spark, gone)[1], True)
+    aside, new = _files(spark, gone)[1], _files(spark, fresh)[1]
+    there = fs.exists(at)
+    if there:
+        _rename(fs, at, aside)
+    try:
+        _rename(fs, new, at)
+    except Exception:
+        if there:
+            _rename(fs, aside, at)
+        raise
+    if there:
+        fs.delete(aside, True)
+
+
+def _rename(fs, old, new) -> None:
+    """A rename that did not happen is told by the answer, not by an error."""
+    if not fs.rename(old, new):
+        raise OSError(f"{old} could not be renamed to {new}")
 
 
 def fetch(spark: SparkSession, source: Source, area: Mapping[str, float] | None = None, cache: str | None = None, refresh: bool = False) -> DataFrame:
-    """What the driver gives. With a cache folder it is written there once, under the digest of what decides the fetch, and read
-    from then on. A fetch of no rows is an error and is not kept."""
+    """What the driver gives, fetched once. With a cache folder it is written there, under the digest of what decides the fetch, and
+    read from then on; without one it is held in the checkpoint folder. A fetch of no rows is an error and is not kept."""
     read = DRIVERS[source.driver]
     if cache is None:
-        df = read(spark, source.params, area)
+        df = durable(read(spark, source.params, area))
     else:
         path = f"{cache}/{source.cache_key(json.dumps(area, sort_keys=True))}"
         if refresh or not exists(spark, path):

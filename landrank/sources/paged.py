@@ -7,6 +7,10 @@
 The service answers `query?where=...&returnCountOnly=true` with {"count": n} and `query?...&resultOffset=k&resultRecordCount=m`
 with {"features": [{"attributes": {...}, "geometry": {"x": ..., "y": ...}}]}. A reply with an "error" member is an error even when its
 HTTP status is 200, and so is a feature without geometry when the schema asks for x or y.
+
+A server may give fewer features than it is asked for: a partition asks on until it has its own, and a reply without any before that is
+an error. Pages are cut from one order, the option `order` or else all attributes of the schema, so features neither repeat nor go
+missing between them. Only comparisons with numbers and texts are pushed; Spark tests the rest.
 """
 
 from __future__ import annotations
@@ -37,13 +41,18 @@ def count(url: str, where: str = "1=1") -> int:
 
 
 def _literal(value: Any) -> str:
-    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
+
+
+def _plain(value: Any) -> bool:
+    """Numbers and texts are written the same way everywhere; dates, booleans and others are not."""
+    return isinstance(value, (int, float, str)) and not isinstance(value, bool) and value == value and value not in (float("inf"), -float("inf"))
 
 
 class _Page(InputPartition):
-    def __init__(self, offset: int):
-        super().__init__(offset)
-        self.offset = offset
+    def __init__(self, first: int, last: int):
+        super().__init__((first, last))
+        self.first, self.last = first, last
 
 
 class PagedFeatures(DataSource):
@@ -62,15 +71,17 @@ class _Reader(DataSourceReader):
     def __init__(self, options: Mapping[str, str], columns: list[str]):
         self.url, self.page = options["url"], int(options.get("page", 1000))
         self.envelope, self.columns, self.where = options.get("envelope"), columns, [options.get("where", "1=1")]
+        self.fields = ",".join(c for c in columns if c not in ("x", "y"))
+        self.order = options.get("order", self.fields)
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
             if column in (None, "x", "y"):
                 yield f
-            elif type(f) in _OPERATORS:
+            elif type(f) in _OPERATORS and _plain(f.value):
                 self.where.append(f"{column} {_OPERATORS[type(f)]} {_literal(f.value)}")
-            elif isinstance(f, In):
+            elif isinstance(f, In) and all(map(_plain, f.value)):
                 self.where.append(f"{column} IN ({', '.join(map(_literal, f.value))})")
             else:
                 yield f
@@ -80,12 +91,20 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         total = int(call(self.url, self._params() | {"returnCountOnly": "true"})["count"])
-        return [_Page(k) for k in range(0, max(1, total), self.page)]
+        return [_Page(k, min(k + self.page, total)) for k in range(0, total, self.page)] or [_Page(0, 0)]
+
+    def _features(self, partition: _Page) -> Iterator[dict]:
+        at = partition.first
+        ordered = {"orderByFields": self.order} if self.order else {}
+        while at < partition.last:
+            found = call(self.url, self._params() | ordered | {"outFields": self.fields, "resultOffset": at, "resultRecordCount": partition.last - at})["features"]
+            if not found:
+                raise OSError(f"{self.url}: no more features after {at}, where {partition.last} were counted")
+            yield from found[: partition.last - at]
+            at += len(found)
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        fields = ",".join(c for c in self.columns if c not in ("x", "y"))
-        body = call(self.url, self._params() | {"outFields": fields, "resultOffset": partition.offset, "resultRecordCount": self.page})
-        for feature in body["features"]:
+        for feature in self._features(partition):
             geometry = feature.get("geometry")
             if geometry is None and {"x", "y"} & set(self.columns):
                 raise OSError(f"{self.url}: a feature has no geometry: {feature['attributes']}")

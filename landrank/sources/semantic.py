@@ -66,7 +66,8 @@ def load(spec: Mapping) -> Model:
 def ask(model: Model, table: DataFrame, dimensions: Sequence[str] = (), measures: Sequence[str] = (), filters: Sequence[str] = (), order_by: str | None = None, descending: bool = False, limit: int | None = DEFAULT_ROWS) -> DataFrame:
     """Rows of a semantic query; without measures the model's first one, without dimensions one row.
 
-    Filters name dimensions; rows come in ascending order unless told otherwise, and at most DEFAULT_ROWS of them.
+    Filters name dimensions; rows come in ascending order of `order_by` unless told otherwise, equal ones and those of no order by the
+    dimensions, and at most `limit` of them: which rows a limit leaves out is never left to chance.
     """
     for kind, asked, known in (("dimension", dimensions, model.dimensions), ("measure", measures, model.measures)):
         if unknown := [x for x in asked if x not in known]:
@@ -79,4 +80,6 @@ def ask(model: Model, table: DataFrame, dimensions: Sequence[str] = (), measures
     out = table.groupBy(*keys).agg(*[model.measure(m) for m in measures or [next(iter(model.measures))]])
     if order_by:
         out = out.orderBy(F.desc(order_by) if descending else F.asc(order_by), *dimensions)
+    elif limit is not None and dimensions:
+        out = out.orderBy(*dimensions)
     return out if limit is None else out.limit(limit)

@@ -9,6 +9,8 @@ from landrank.sources import intake, labels, paged
 
 ROWS = [{"name": f"n{i}", "kind": "ab"[i % 2], "x": float(i), "y": 2.0 * i} for i in range(25)]
 SEEN = []
+#: Most features that the paged service gives at a time.
+CAP = {0: 1000}
 
 
 MINES = [(f"m{i}", "iron" if i % 3 else "lead", -87 + i / 20, 36 + (i * 7 % 20) / 20) for i in range(21)]
@@ -38,7 +40,8 @@ class Service(BaseHTTPRequestHandler):
         elif "returnCountOnly" in q:
             body = {"count": len(rows)}
         else:
-            at, n = int(q["resultOffset"]), int(q["resultRecordCount"])
+            at, n = int(q["resultOffset"]), min(CAP[0], int(q["resultRecordCount"]))
+            rows = sorted(rows, key=lambda r: [r[c] for c in q["orderByFields"].split(",")])
             body = {"features": [{"attributes": {k: r[k] for k in q["outFields"].split(",")}, "geometry": None if "null" in q["where"] else {"x": r["x"], "y": r["y"]}} for r in rows[at : at + n]]}
         self.reply(json.dumps(body))
 
@@ -73,6 +76,60 @@ def test_paged_features(spark, url):
         read.option("where", "null").load().collect()
 
 
+def test_paged_features_of_a_server_with_a_lower_cap(spark, url, monkeypatch):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(paged.PagedFeatures)
+    read = spark.read.format("paged_features").option("url", url).option("page", 10).schema("name string, kind string, x double, y double")
+    for cap in (1, 4, 9):
+        monkeypatch.setitem(CAP, 0, cap)
+        assert sorted(r.name for r in read.load().collect()) == sorted(r["name"] for r in ROWS)
+    monkeypatch.setitem(CAP, 0, 0)
+    with pytest.raises(Exception, match="no more features"):
+        read.load().collect()
+
+
+def test_only_numbers_and_texts_are_pushed():
+    import datetime
+
+    from pyspark.sql.datasource import EqualTo, In
+
+    reader = paged._Reader({"url": "u"}, ["d", "n"])
+    filters = [EqualTo(("d",), datetime.date(2020, 1, 1)), EqualTo(("n",), True), In(("n",), (1, None)), EqualTo(("n",), 5), In(("n",), ("a'b", 2.5)), EqualTo(("x",), 1.0)]
+    assert list(reader.pushFilters(filters)) == [filters[0], filters[1], filters[2], filters[5]]
+    assert reader.where == ["1=1", "n = 5", "n IN ('a''b', 2.5)"]
+
+
+def test_swap_keeps_the_old_table_where_a_rename_fails(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "t")
+    intake.swap(spark, spark.range(3), target)
+    real, calls = intake._rename, []
+
+    def failing(fs, old, new):
+        calls.append(str(old))
+        if len(calls) == 2:
+            raise OSError("no")
+        real(fs, old, new)
+
+    monkeypatch.setattr(intake, "_rename", failing)
+    with pytest.raises(OSError):
+        intake.swap(spark, spark.range(5), target)
+    assert spark.read.parquet(target).count() == 3
+    monkeypatch.setattr(intake, "_rename", real)
+    intake.swap(spark, spark.range(7), target)
+    assert spark.read.parquet(target).count() == 7
+    fs, at = intake._files(spark, str(tmp_path / "nothing"))
+    with pytest.raises(Exception):
+        intake._rename(fs, at, intake._files(spark, str(tmp_path / "else"))[1])
+
+
+def test_a_limit_leaves_out_by_order(spark):
+    from landrank.sources import semantic
+
+    model = semantic.load({"model": "m", "dimensions": {"k": {"expr": "k"}}, "measures": {"n": {"expr": "count(*)"}}})
+    table = spark.range(300).selectExpr("(id * 7919) % 250 AS k").repartition(7)
+    assert [r.k for r in semantic.ask(model, table, ["k"], ["n"]).collect()] == list(range(100))
+
+
 def test_label_points(spark, tmp_path):
     points = [("iron_works", "a", 500010.0, 4000010.0), ("iron_works", "b", -86.5, 36.1), ("nowhere", "c", 600000.0, 4000010.0)]
     features = [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [x, y]}, "properties": {"class_id": k, "name": n}} for k, n, x, y in points]
