@@ -83,6 +83,30 @@ def _trace(z: np.ndarray, r0: int, c0: int, cols: int) -> list[tuple]:
     return rows
 
 
+def linked(links: DataFrame) -> tuple[DataFrame, int]:
+    """((head, ring, left), rounds) of links (head, next, least, n) that form closed lists: ring is the smallest `least` of a list, and
+    left the sum of n from a link to the list's end, the link that holds `ring` coming first.
+
+    All learn their ring by looking twice as far each round, and their place by adding what lies ahead the same way.
+    """
+    state, rounds = durable(links.select("head", "next", "least")), 0
+    while not state.isEmpty():
+        ahead = state.select(F.col("head").alias("next"), F.col("next").alias("after"), F.col("least").alias("other"))
+        state = durable(state.join(ahead, "next").select("head", F.col("after").alias("next"), F.least("least", "other").alias("least"), (F.col("other") < F.col("least")).alias("changed")))
+        rounds += 1
+        if state.filter("changed").isEmpty():
+            break
+        state = state.drop("changed")
+    found = durable(links.join(state.select("head", F.col("least").alias("ring")), "head"))
+    leaders = found.filter("least = ring").select(F.col("head").alias("next"), F.lit(True).alias("first"))
+    left = durable(found.join(leaders, "next", "left").select("head", F.when(F.col("first").isNull(), F.col("next")).alias("next"), "n"))
+    while not left.filter("next is not null").isEmpty():
+        ahead = left.select(F.col("head").alias("next"), F.col("next").alias("after"), F.col("n").alias("more"))
+        left = durable(left.join(ahead, "next", "left").select("head", F.col("after").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        rounds += 1
+    return found.select("head", "ring").join(left.select("head", F.col("n").alias("left")), "head"), rounds
+
+
 def rings(zones: DataFrame, rows: int, cols: int, tile: int = TILE) -> tuple[DataFrame, int]:
     """((zone, ring, seq, x, y, n_edges, area2), rounds): the corners of each ring in order, x and y in columns and rows of corners.
 
@@ -100,28 +124,12 @@ def rings(zones: DataFrame, rows: int, cols: int, tile: int = TILE) -> tuple[Dat
 
     chains = durable(spread.groupBy("tr", "tc").applyInArrow(trace, _CHAIN))
     closed = chains.filter("next is null").select("zone", F.col("least").alias("ring"), F.lit(0).cast("long").alias("before"), "xs", "ys", "n_edges", "area2")
-    # The chain that holds a ring's smallest edge leads it; all learn its number by looking twice as far each round.
-    links = chains.filter("next is not null").select("head", "next", "least")
-    state, rounds = durable(links), 0
-    while not state.isEmpty():
-        ahead = state.select(F.col("head").alias("next"), F.col("next").alias("after"), F.col("least").alias("other"))
-        state = durable(state.join(ahead, "next").select("head", F.col("after").alias("next"), F.least("least", "other").alias("least"), (F.col("other") < F.col("least")).alias("changed")))
-        rounds += 1
-        if state.filter("changed").isEmpty():
-            break
-        state = state.drop("changed")
-    led = state.select("head", F.col("least").alias("ring"))
-    # Places in a ring: corners from a chain to the ring's end, the chain that leads being the first.
-    chain = durable(chains.filter("next is not null").join(led, "head").withColumn("leads", F.col("least") == F.col("ring")))
-    leaders = chain.filter("leads").select(F.col("head").alias("next"), F.lit(True).alias("first"))
-    left = durable(chain.join(leaders, "next", "left").select("head", F.when(F.col("first").isNull(), F.col("next")).alias("next"), F.size("xs").cast("long").alias("n")))
-    while not left.filter("next is not null").isEmpty():
-        ahead = left.select(F.col("head").alias("next"), F.col("next").alias("after"), F.col("n").alias("more"))
-        left = durable(left.join(ahead, "next", "left").select("head", F.col("after").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
-        rounds += 1
+    chain = durable(chains.filter("next is not null"))
+    placed, rounds = linked(chain.select("head", "next", "least", F.size("xs").cast("long").alias("n")))
+    chain = durable(chain.join(placed, "head"))
     sums = chain.groupBy("ring").agg(F.sum("n_edges").alias("n_edges"), F.sum("area2").alias("area2"), F.sum(F.size("xs")).alias("total"))
-    opened = chain.select("head", "zone", "ring", "xs", "ys").join(left.select("head", "n"), "head").join(sums, "ring")
-    opened = opened.select("zone", "ring", (F.col("total") - F.col("n")).alias("before"), "xs", "ys", "n_edges", "area2")
+    opened = chain.select("zone", "ring", "xs", "ys", "left").join(sums, "ring")
+    opened = opened.select("zone", "ring", (F.col("total") - F.col("left")).alias("before"), "xs", "ys", "n_edges", "area2")
     each = closed.unionByName(opened).select("zone", "ring", "before", "n_edges", "area2", F.posexplode(F.arrays_zip("xs", "ys")).alias("i", "p"))
     return each.select("zone", "ring", (F.col("before") + F.col("i")).alias("seq"), F.col("p.xs").alias("x"), F.col("p.ys").alias("y"), "n_edges", "area2"), rounds
 

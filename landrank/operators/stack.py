@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import distance, spatial
+from . import distance, polygons, spatial
 from .resample import Grid
 
 
@@ -18,13 +18,14 @@ def valid(cells: DataFrame, core: Sequence[str]) -> DataFrame:
     return cells
 
 
-def build(grid: Grid, layers: Mapping[str, DataFrame], core: Sequence[str], burnt: Mapping[str, tuple[DataFrame, str]] | None = None, nearest: Mapping[str, tuple[DataFrame, str, str]] | None = None, gridded: Mapping[str, tuple[DataFrame, str, str]] | None = None) -> DataFrame:
+def build(grid: Grid, layers: Mapping[str, DataFrame], core: Sequence[str], burnt: Mapping[str, tuple[DataFrame, str]] | None = None, nearest: Mapping[str, tuple[DataFrame, str, str]] | None = None, gridded: Mapping[str, tuple[DataFrame, str, str]] | None = None, area: DataFrame | None = None) -> DataFrame:
     """(row_i, col_i, easting, northing, layers, nearest, gridded, burnt) of the cells that have every core layer.
 
     layers: (row_i, col_i, value) each, met in one aggregation by position; a cell off the grid, or two values of a layer in one
     cell, is an error of that layer when it is read. burnt: segments and the column that touched cells take, else 0.
     nearest: segments, the column of the nearest one, and that column's name. gridded: the same, but measured between centres to
-    the nearest cell that a segment touches, where the later segment wins.
+    the nearest cell that a segment touches, where the later segment wins. area: polygons as edges (poly, x1, y1, x2, y2); cells whose
+    centre lies in none of them go, distances are still to everything.
     """
     if missing := [c for c in core if c not in layers]:
         raise ValueError(f"no layer {', '.join(missing)}; there are: {', '.join(layers)}")
@@ -37,6 +38,9 @@ def build(grid: Grid, layers: Mapping[str, DataFrame], core: Sequence[str], burn
     once = [F.when(F.count(F.when(at(n), 1)) > 1, F.raise_error(F.lit(f"{n} has two values in one cell"))).otherwise(F.max(F.when(at(n), F.col("value")))).alias(n) for n in layers]
     cells = valid(long.groupBy("row_i", "col_i").agg(*once), core)
     cells = cells.withColumn("easting", F.lit(grid.left) + grid.resolution * (F.col("col_i") + 0.5)).withColumn("northing", F.lit(grid.top) - grid.resolution * (F.col("row_i") + 0.5))
+    if area is not None:
+        centres = cells.select("row_i", "col_i", F.col("easting").alias("x"), F.col("northing").alias("y"))
+        cells = cells.join(polygons.points_inside(centres, area, 16 * grid.resolution).select("row_i", "col_i").distinct(), ["row_i", "col_i"], "left_semi")
     for name, (segments, value, order) in (nearest or {}).items():
         points = cells.withColumn("__key", F.col("row_i").cast("long") * grid.cols + F.col("col_i")).withColumn("x", F.col("easting")).withColumn("y", F.col("northing"))
         found = spatial.nearest_segment(points.select("__key", "x", "y"), segments, "__key", None, value).select("__key", F.col("dist").alias(name), F.col(value).alias(order))

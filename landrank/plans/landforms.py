@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detection, distance, hydrology, outlines, spatial, stack
+from ..operators import detection, distance, hydrology, outlines, polygons, spatial, stack
 from ..operators.resample import Grid
 from ..sources import fixtures
 from . import query
-from .shapes import _IN, _OUT, MASKED, masked
+from .shapes import _IN, _OUT, CORNERS, MASKED, masked, ring_edges
+from .shapes import RINGS as AREA_RINGS
 from .terrain import BURN, COLS, DOWN, HIGH, high_zones, surface
 
 #: Lowest steps between basins, the tree of Prim's rule over them (a row a basin), ways with the turned ones, and all cells on each way.
@@ -118,3 +120,62 @@ def zone_ring_area(spark, sf_dir):
     by_cells = zones.groupBy("zone").agg((F.count(F.lit(1)) * 100.0).alias("area_m2"))
     by_rings = outlines.ring_sums(outlines.rings(zones, rows, COLS)[0]).groupBy("zone").agg((F.sum("area2") * 50.0).alias("ring_area_m2"))
     return by_cells.join(by_rings, "zone")
+
+
+#: A hole of two fifths in every other ring of an area, and a triangle beside each, in half widths and half heights.
+TRIANGLE = [(1.5, 1.5), (1.9, 1.5), (1.7, 1.9)]
+PARTS = AREA_RINGS + ", ct(k, a, b) AS (VALUES " + ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(TRIANGLE)) + """),
+vh AS (SELECT aoi_id, 5 AS n, k, round(cx + 0.4::DOUBLE * a * hw, 3) AS x, round(cy + 0.4::DOUBLE * b * hh, 3) AS y FROM rc, cn WHERE aoi_id % 2 = 0 UNION ALL SELECT aoi_id, 3, k, round(cx + a * hw, 3), round(cy + b * hh, 3) FROM rc, ct),
+mp AS MATERIALIZED (SELECT aoi_id AS poly, x1, y1, x2, y2 FROM ed UNION ALL SELECT p.aoi_id, p.x, p.y, q.x, q.y FROM vh p JOIN vh q ON p.aoi_id = q.aoi_id AND p.n = q.n AND q.k = (p.k + 1) % p.n)"""
+_CROSS = "sign(({2} - {0}) * ({5} - {1}) - ({3} - {1}) * ({4} - {0}))"
+
+
+def area_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(poly, x1, y1, x2, y2): polygons of several rings for each area; some cross themselves, some have a hole, all have two parts."""
+    a = fixtures.areas(spark, sf_dir)
+    cx, cy, hw, hh = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2, (F.col("xmax") - F.col("xmin")) / 2, (F.col("ymax") - F.col("ymin")) / 2
+    out = ring_edges(spark, sf_dir).select(F.col("aoi_id").alias("poly"), "x1", "y1", "x2", "y2")
+    for scale, corners, only in ((0.4, CORNERS, "aoi_id % 2 = 0"), (1.0, TRIANGLE, "true")):
+        points = [(F.round(cx + scale * x * hw, 3), F.round(cy + scale * y * hh, 3)) for x, y in corners]
+        sides = [F.struct(p[0].alias("x1"), p[1].alias("y1"), q[0].alias("x2"), q[1].alias("y2")) for p, q in zip(points, points[1:] + points[:1], strict=True)]
+        out = out.unionByName(a.filter(only).select(F.col("aoi_id").alias("poly"), F.explode(F.array(*sides)).alias("s")).select("poly", "s.*"))
+    return out
+
+
+@query(PARTS + """, ic AS (SELECT poly, cell_id, any_value(elev_m) AS elev_m FROM fx_cell JOIN mp ON (y1 > northing) <> (y2 > northing) AND easting < (x2 - x1) * (northing - y1) / (y2 - y1) + x1 GROUP BY poly, cell_id HAVING count(*) % 2 = 1)
+SELECT poly, count(*) AS cells, round(avg(elev_m), 6) AS mean_elev, min(elev_m) AS least, max(elev_m) AS most FROM ic GROUP BY poly""")
+def zonal_stats_by_polygon(spark, sf_dir):
+    """Raster statistics of each polygon, holes and parts included: whole tiles of cells are taken without a look at edges."""
+    cells = fixtures.cells(spark, sf_dir).select("cell_id", "elev_m", F.col("easting").alias("x"), F.col("northing").alias("y"))
+    inside = polygons.points_inside(cells, area_parts(spark, sf_dir), 40.0)
+    return inside.groupBy("poly").agg(F.count(F.lit(1)).alias("cells"), F.round(F.avg("elev_m"), 6).alias("mean_elev"), F.min("elev_m").alias("least"), F.max("elev_m").alias("most"))
+
+
+@query(PARTS + f""", cr AS (SELECT id, poly FROM fx_line l JOIN mp e ON {_CROSS.format("e.x1", "e.y1", "e.x2", "e.y2", "l.x1", "l.y1")} * {_CROSS.format("e.x1", "e.y1", "e.x2", "e.y2", "l.x2", "l.y2")} <= 0 AND {_CROSS.format("l.x1", "l.y1", "l.x2", "l.y2", "e.x1", "e.y1")} * {_CROSS.format("l.x1", "l.y1", "l.x2", "l.y2", "e.x2", "e.y2")} <= 0 AND NOT ({_CROSS.format("e.x1", "e.y1", "e.x2", "e.y2", "l.x1", "l.y1")} = 0 AND {_CROSS.format("e.x1", "e.y1", "e.x2", "e.y2", "l.x2", "l.y2")} = 0)),
+bg AS (SELECT id, poly FROM fx_line l JOIN mp e ON (e.y1 > l.y1) <> (e.y2 > l.y1) AND l.x1 < (e.x2 - e.x1) * (l.y1 - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY id, poly HAVING count(*) % 2 = 1)
+SELECT id, poly FROM cr UNION SELECT id, poly FROM bg""")
+def lines_in_polygons(spark, sf_dir):
+    """Lines that have a point in a polygon, and which one."""
+    return polygons.segments_meeting(fixtures.flowlines(spark, sf_dir), area_parts(spark, sf_dir), "id", 40.0)
+
+
+@query(PARTS + """, pr AS (SELECT p.poly, p.y1 + ((p.x1 - q.x1) * (q.y1 - q.y2) - (p.y1 - q.y1) * (q.x1 - q.x2)) / ((p.x1 - p.x2) * (q.y1 - q.y2) - (p.y1 - p.y2) * (q.x1 - q.x2)) * (p.y2 - p.y1) AS y FROM mp p JOIN mp q ON p.poly = q.poly AND abs((p.x1 - p.x2) * (q.y1 - q.y2) - (p.y1 - p.y2) * (q.x1 - q.x2)) > 1e-9
+WHERE ((p.x1 - q.x1) * (q.y1 - q.y2) - (p.y1 - q.y1) * (q.x1 - q.x2)) / ((p.x1 - p.x2) * (q.y1 - q.y2) - (p.y1 - p.y2) * (q.x1 - q.x2)) BETWEEN 0 AND 1 AND -((p.x1 - p.x2) * (p.y1 - q.y1) - (p.y1 - p.y2) * (p.x1 - q.x1)) / ((p.x1 - p.x2) * (q.y1 - q.y2) - (p.y1 - p.y2) * (q.x1 - q.x2)) BETWEEN 0 AND 1),
+ys AS (SELECT poly, y1 AS y FROM mp UNION SELECT poly, y FROM pr), sb AS (SELECT poly, y AS lo, lead(y) OVER (PARTITION BY poly ORDER BY y) AS hi FROM ys),
+xs AS (SELECT sb.poly, lo, hi, x1 + ((lo + hi) / 2 - y1) * (x2 - x1) / (y2 - y1) AS x FROM sb JOIN mp ON mp.poly = sb.poly AND (y1 > (lo + hi) / 2) <> (y2 > (lo + hi) / 2) WHERE hi > lo),
+nm AS (SELECT *, row_number() OVER (PARTITION BY poly, lo ORDER BY x) AS k FROM xs)
+SELECT poly, round(sum((hi - lo) * x * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END), 2) AS area_m2 FROM nm GROUP BY poly""")
+def ring_repair(spark, sf_dir):
+    """Area of each polygon after its rings are cut where they cross and joined anew: that of the even-odd inside."""
+    corners, _ = polygons.repaired(area_parts(spark, sf_dir))
+    return polygons.ring_areas(corners).groupBy("poly").agg(F.round(F.sum("area"), 2).alias("area_m2"))
+
+
+@query(PARTS + f""", ic AS (SELECT DISTINCT cell_id FROM (SELECT poly, cell_id FROM fx_cell JOIN mp ON (y1 > northing) <> (y2 > northing) AND easting < (x2 - x1) * (northing - y1) / (y2 - y1) + x1 WHERE poly % 4 = 2 GROUP BY poly, cell_id HAVING count(*) % 2 = 1))
+SELECT row_i, col_i, easting, northing, hand, slope FROM ({MASKED}) JOIN ic USING (cell_id) WHERE hand IS NOT NULL AND NOT isnan(slope)""")
+def feature_stack_clipped(spark, sf_dir):
+    """The cell table of the prospects' polygons."""
+    cells = masked(spark, sf_dir)
+    grid = Grid(500000.0, 4000010.0, 10.0, surface(spark, sf_dir)[1], COLS)
+    layers = {n: cells.select("row_i", "col_i", F.col(n).alias("value")) for n in ("hand", "slope")}
+    return stack.build(grid, layers, core=("hand", "slope"), area=area_parts(spark, sf_dir).filter("poly % 4 = 2"))
