@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import detection, distance, hydrology, outlines, polygons, spatial, stack
 from ..operators.resample import Grid
-from ..sources import fixtures
+from ..sources import fixtures, rasters
+from ..storage import shared_folder
 from . import query
 from .shapes import _IN, _OUT, CORNERS, MASKED, masked, ring_edges
 from .shapes import RINGS as AREA_RINGS
@@ -179,3 +180,26 @@ def feature_stack_clipped(spark, sf_dir):
     grid = Grid(500000.0, 4000010.0, 10.0, surface(spark, sf_dir)[1], COLS)
     layers = {n: cells.select("row_i", "col_i", F.col(n).alias("value")) for n in ("hand", "slope")}
     return stack.build(grid, layers, core=("hand", "slope"), area=area_parts(spark, sf_dir).filter("poly % 4 = 2"))
+
+
+def elevation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surface written as tiled raster files, and what reads them."""
+    cells, rows = surface(spark, sf_dir)
+    folder = shared_folder(spark, "elevation")
+    rasters.write(cells, folder, Grid(500000.0, 4000010.0, 10.0, rows, COLS), "elev_m", "float64", tile=32, block=4)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(rasters.TiledRaster)
+    return spark.read.format("tiled_raster").load(folder)
+
+
+@query("SELECT row_i, col_i, easting AS x, northing AS y, elev_m AS value FROM fx_cell")
+def raster_round_trip(spark, sf_dir):
+    """Cells from the files that they were written to."""
+    return elevation_files(spark, sf_dir)
+
+
+@query("SELECT count(*) AS cells, round(avg(elev_m), 6) AS mean_elev FROM fx_cell WHERE easting BETWEEN 500300 AND 500500 AND northing >= 3999800 AND (easting - 500400) ** 2 + (northing - 3999900) ** 2 <= 10000")
+def raster_window(spark, sf_dir):
+    """A disc of the surface: only the file tiles that its box meets are read."""
+    disc = (F.col("x") - 500400) ** 2 + (F.col("y") - 3999900) ** 2 <= 10000
+    return elevation_files(spark, sf_dir).filter(F.col("x").between(500300, 500500) & (F.col("y") >= 3999800) & disc).agg(F.count(F.lit(1)).alias("cells"), F.round(F.avg("value"), 6).alias("mean_elev"))
