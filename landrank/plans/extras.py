@@ -60,14 +60,6 @@ def registry_param_merge(spark, sf_dir):
     return merged.select("p_partkey", F.col("m")["size"].cast("int").alias("size"), F.col("m")["brand"].alias("brand"), F.col("m")["kind"].alias("kind"))
 
 
-@query("SELECT (l_partkey % 100)::INT AS row_i, (l_suppkey % 50)::INT AS col_i, count(*) AS ground, round(sum(l_extendedprice * w) / sum(w), 4) AS idw FROM (SELECT *, 1.0::DOUBLE / (l_quantity + 0.5) AS w FROM lineitem WHERE l_returnflag <> 'R') GROUP BY 1, 2")
-def point_grid(spark, sf_dir):
-    """Points of the ground class gridded by inverse distance, with their number."""
-    w = 1.0 / (F.col("l_quantity") + 0.5)
-    points = table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'").select((F.col("l_partkey") % 100).cast("int").alias("row_i"), (F.col("l_suppkey") % 50).cast("int").alias("col_i"), F.col("l_extendedprice").alias("z"), w.alias("w"))
-    return points.groupBy("row_i", "col_i").agg(F.count(F.lit(1)).alias("ground"), F.round(F.sum(F.col("z") * F.col("w")) / F.sum("w"), 4).alias("idw"))
-
-
 @query(SCORED + ", g AS (SELECT r.range AS row_i, c.range AS col_i FROM range(0, (SELECT max(row_i) + 2 FROM fx_cell)) r, range(0, 100) c) SELECT g.row_i::INT AS row_i, g.col_i::INT AS col_i, score FROM g LEFT JOIN scr ON scr.row_i = g.row_i AND scr.col_i = g.col_i")
 def score_raster(spark, sf_dir):
     """The score on the full grid, one row of it beyond the data: cells without a score are null."""

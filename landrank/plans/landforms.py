@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detection, distance, hydrology, outlines, polygons, spatial, stack
+from ..operators import detection, discs, distance, gridding, hydrology, outlines, polygons, spatial, stack
 from ..operators.resample import Grid
 from ..sources import fixtures, rasters
 from ..storage import shared_folder
@@ -13,6 +13,7 @@ from . import query
 from .shapes import _IN, _OUT, CORNERS, MASKED, masked, ring_edges
 from .shapes import RINGS as AREA_RINGS
 from .terrain import BURN, COLS, DOWN, HIGH, high_zones, surface
+from .vectors import DISC_M, RING_M
 
 #: Lowest steps between basins, the tree of Prim's rule over them (a row a basin), ways with the turned ones, and all cells on each way.
 BREACH = DOWN + """, pi AS MATERIALIZED (SELECT r0 AS row_i, c0 AS col_i, r * 100 + c AS pit FROM walk JOIN di ON di.row_i = walk.r AND di.col_i = walk.c WHERE dir IS NULL),
@@ -203,3 +204,62 @@ def raster_window(spark, sf_dir):
     """A disc of the surface: only the file tiles that its box meets are read."""
     disc = (F.col("x") - 500400) ** 2 + (F.col("y") - 3999900) ** 2 <= 10000
     return elevation_files(spark, sf_dir).filter(F.col("x").between(500300, 500500) & (F.col("y") >= 3999800) & disc).agg(F.count(F.lit(1)).alias("cells"), F.round(F.avg("value"), 6).alias("mean_elev"))
+
+
+_PX = "(500000.0::DOUBLE + (l_partkey * 37 + l_suppkey * 11) % 1000 + l_linenumber / 8.0::DOUBLE)"
+_PY = "(4000010.0::DOUBLE - (l_orderkey * 13 + l_partkey) % greatest(10, last * 10) - l_quantity / 64.0::DOUBLE)"
+
+
+@query(f""", pt AS (SELECT {_PX} AS x, {_PY} AS y, l_extendedprice AS z FROM lineitem, (SELECT max(row_i) AS last FROM fx_cell) WHERE l_returnflag <> 'R'),
+ne AS (SELECT c.row_i, c.col_i, z, sqrt((x - easting) ** 2 + (y - northing) ** 2) AS d FROM pt, range(-2, 3) i, range(-2, 3) j JOIN fx_cell c ON c.row_i = floor((4000010.0 - y) / 10.0)::INT + i.range AND c.col_i = floor((x - 500000.0) / 10.0)::INT + j.range),
+su AS (SELECT row_i, col_i, count(*) AS points, sum(z / d) FILTER (d > 0) / sum(1 / d) FILTER (d > 0) AS idw, avg(z) FILTER (d = 0) AS exact FROM ne WHERE d <= 10.0::DOUBLE * sqrt(2.0::DOUBLE) GROUP BY row_i, col_i)
+SELECT row_i, col_i, coalesce(points, 0) AS ground, round(coalesce(exact, idw), 4) AS idw FROM fx_cell LEFT JOIN su USING (row_i, col_i)""")
+def point_grid(spark, sf_dir):
+    """Points of the ground class gridded by inverse distance from their coordinates, with the number in reach of each cell's centre."""
+    _, rows = surface(spark, sf_dir)
+    k = {c: F.col("l_" + c) for c in ("partkey", "suppkey", "orderkey", "linenumber", "quantity", "extendedprice")}
+    x = 500000.0 + (k["partkey"] * 37 + k["suppkey"] * 11) % 1000 + k["linenumber"] / 8.0
+    y = 4000010.0 - (k["orderkey"] * 13 + k["partkey"]) % max(10, (rows - 1) * 10) - k["quantity"] / 64.0
+    points = fixtures.table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'").select(x.alias("x"), y.alias("y"), k["extendedprice"].alias("z"))
+    out = gridding.inverse_distance(points, Grid(500000.0, 4000010.0, 10.0, rows, COLS))
+    return out.select("row_i", "col_i", F.col("points").alias("ground"), F.round("value", 4).alias("idw"))
+
+
+#: Clusters of a disc's cells beyond a fifth of the ring, high in height and low above drainage, with their centres and shapes.
+CLUSTERS = f""", h AS (SELECT site_id AS id, x, y FROM fx_site WHERE review_status = 'confirmed'),
+w AS (SELECT h.id, k.range AS k, row_i, col_i, CASE k.range WHEN 0 THEN elev_m ELSE hand_m END AS v, sqrt((easting - h.x) ** 2 + (northing - h.y) ** 2) AS d FROM h JOIN fx_cell ON easting BETWEEN h.x - {RING_M} AND h.x + {RING_M} AND northing BETWEEN h.y - {RING_M} AND h.y + {RING_M}, range(0, 2) k),
+t AS (SELECT id, k, count(*) FILTER (d > {DISC_M} AND d <= {RING_M}) AS n_ring, count(*) FILTER (d <= {DISC_M}) AS n_disc, CASE k WHEN 0 THEN quantile_cont(v, 0.8) FILTER (d > {DISC_M} AND d <= {RING_M}) ELSE quantile_cont(v, 0.2) FILTER (d > {DISC_M} AND d <= {RING_M}) END AS cut FROM w GROUP BY id, k),
+va AS (SELECT h.id, k.range AS k, coalesce(n_ring >= 100 AND n_disc >= 3, false) AS valid FROM h CROSS JOIN range(0, 2) k LEFT JOIN t ON t.id = h.id AND t.k = k.range),
+u AS MATERIALIZED (SELECT id, k, row_i, col_i, row_i::BIGINT * 4294967296 + col_i AS key FROM w JOIN t USING (id, k) WHERE d <= {DISC_M} AND n_ring >= 100 AND n_disc >= 3 AND CASE k WHEN 0 THEN v >= cut ELSE v <= cut END),
+fl(id, k, seed, key) AS (SELECT id, k, key, key FROM u UNION SELECT u.id, u.k, fl.seed, u.key FROM fl JOIN u ON u.id = fl.id AND u.k = fl.k AND u.key IN (fl.key + 1, fl.key - 1, fl.key + 4294967296, fl.key - 4294967296) AND u.key > fl.seed),
+ce AS (SELECT id, k, key, min(seed) AS seed FROM fl GROUP BY id, k, key),
+mo AS (SELECT id, k, seed, count(*) AS cells, avg(row_i) AS rc, avg(col_i) AS cc, round(coalesce(var_samp(row_i), 0), 9) AS vr, round(coalesce(var_samp(col_i), 0), 9) AS vc, round(coalesce(covar_samp(row_i, col_i), 0), 9) AS cov FROM ce JOIN u USING (id, k, key) GROUP BY id, k, seed),
+cl AS MATERIALIZED (SELECT id, k, seed, cells, rc, cc, CASE WHEN cells < 4 THEN 1.0::DOUBLE WHEN (vr + vc) / 2 - sqrt(((vr - vc) / 2) ** 2 + cov ** 2) > 1e-9 THEN round(sqrt(((vr + vc) / 2 + sqrt(((vr - vc) / 2) ** 2 + cov ** 2)) / ((vr + vc) / 2 - sqrt(((vr - vc) / 2) ** 2 + cov ** 2))), 1) ELSE cells::DOUBLE END AS elongation FROM mo)"""
+
+
+def site_clusters_in_discs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = fixtures.sites(spark, sf_dir).filter("review_status = 'confirmed'").select(F.col("site_id").alias("id"), "x", "y")
+    cells = fixtures.cells(spark, sf_dir).select(F.col("easting").alias("x"), F.col("northing").alias("y"), "elev_m", "hand_m")
+    return discs.clusters(sites, cells, {"elev_m": "high", "hand_m": "low"}, 10.0, DISC_M, RING_M, 0.8, 3)
+
+
+@query(CLUSTERS + """, qu AS (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY seed) AS n FROM cl WHERE cells >= 3 AND elongation <= 4.0),
+pr AS (SELECT DISTINCT a.id FROM qu a JOIN qu b ON a.id = b.id AND a.k = 0 AND b.k = 1 AND a.n <= 5 AND b.n <= 5 AND sqrt((a.rc - b.rc) ** 2 + (a.cc - b.cc) ** 2) <= 3.0)
+SELECT site_id, valid, fired_high, fired_low, paired, (fired_high OR fired_low) AND paired AS hit FROM (SELECT va.id AS site_id, bool_or(valid) AS valid, EXISTS (SELECT 1 FROM qu WHERE qu.id = va.id AND qu.k = 0) AS fired_high, EXISTS (SELECT 1 FROM qu WHERE qu.id = va.id AND qu.k = 1) AS fired_low, va.id IN (SELECT id FROM pr) AS paired FROM va GROUP BY va.id)""")
+def pair_rule(spark, sf_dir):
+    """Sites whose disc holds a high cluster of one surface and a low one of another, at most 30 m apart."""
+    gate = (F.col("cells") >= 3) & (F.col("elongation") <= 4.0)
+    out = discs.paired(site_clusters_in_discs(spark, sf_dir), "elev_m", "hand_m", 30.0, 10.0, gate)
+    return out.select(F.col("id").alias("site_id"), "valid", F.col("fired_a").alias("fired_high"), F.col("fired_b").alias("fired_low"), "paired", "hit")
+
+
+@query(CLUSTERS + """, el AS (SELECT * FROM cl WHERE k = 1 AND cells BETWEEN 1 AND 6 AND elongation <= 3.0),
+nn AS (SELECT a.id, a.seed, min(sqrt((a.rc - b.rc) ** 2 + (a.cc - b.cc) ** 2)) * 10.0::DOUBLE AS near FROM el a JOIN el b ON a.id = b.id AND a.seed <> b.seed GROUP BY a.id, a.seed),
+sp AS (SELECT id, round(avg(near) + 1e-9::DOUBLE, 1) AS nn_mean_m, round(stddev_pop(near) / greatest(avg(near), 1e-9::DOUBLE) + 1e-9::DOUBLE, 2) AS nn_cv FROM nn GROUP BY id),
+co AS (SELECT va.id, valid, (SELECT count(*) FROM el WHERE el.id = va.id) AS elements FROM va WHERE k = 1)
+SELECT co.id AS site_id, valid, elements, CASE WHEN elements >= 3 THEN nn_mean_m END AS nn_mean_m, CASE WHEN elements >= 3 THEN nn_cv END AS nn_cv, coalesce(elements >= 3 AND nn_mean_m <= 30.0 AND nn_cv <= 0.3, false) AS satisfied FROM co LEFT JOIN sp USING (id)""")
+def multi_element_rule(spark, sf_dir):
+    """Sites whose disc holds three or more small low clusters at regular distances."""
+    element = F.col("cells").between(1, 6) & (F.col("elongation") <= 3.0)
+    out = discs.several(site_clusters_in_discs(spark, sf_dir), "hand_m", 3, 30.0, 0.3, 10.0, element)
+    return out.withColumnRenamed("id", "site_id")

@@ -104,7 +104,7 @@ def access_bias(spark, sf_dir):
 
 
 @query("SELECT a.site_id, bool_or(b.site_id IS NOT NULL) AS satisfied FROM (SELECT * FROM fx_site WHERE class_id = 'BUILDING') a LEFT JOIN (SELECT * FROM fx_site WHERE class_id = 'MACHINERY') b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2500 GROUP BY a.site_id")
-def pair_rule(spark, sf_dir):
+def sites_paired(spark, sf_dir):
     """Sites of one class with one of another within 50 m, met through tiles of that width."""
     sites, gap = fixtures.sites(spark, sf_dir), 50.0
     from ..functions.geometry import tile
@@ -120,7 +120,7 @@ def pair_rule(spark, sf_dir):
 @query(""", k AS (SELECT aoi_id, site_id, x, y FROM fx_site JOIN fx_aoi ON x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax WHERE review_status = 'confirmed'),
 d AS (SELECT a.aoi_id, a.site_id, min(round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6)) AS near FROM k a JOIN k b ON a.aoi_id = b.aoi_id AND a.site_id <> b.site_id GROUP BY a.aoi_id, a.site_id)
 SELECT aoi_id, count(*) AS n, round(avg(near), 6) AS mean_gap, round(stddev_pop(near) / nullif(avg(near), 0), 6) AS cv FROM d GROUP BY aoi_id""")
-def multi_element_rule(spark, sf_dir):
+def sites_regularity(spark, sf_dir):
     """Regularity of the sites of an area: variation of the gap to the nearest other one, found through tiles that widen."""
     inside = spatial.points_in_boxes(fixtures.sites(spark, sf_dir).filter("review_status = 'confirmed'"), fixtures.areas(spark, sf_dir)).select("aoi_id", "site_id", "x", "y")
     near = spatial.nearest_other(inside, "aoi_id", "site_id")
