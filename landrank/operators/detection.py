@@ -2,66 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import stats
 from ..functions.geometry import segment_meets_box
 from ..storage import durable
-from . import raster, spatial
+from . import discs, spatial
+from .discs import LEAST_RING
 from .resample import Grid
 
-#: Fewest cells of a ring that make a place evaluable.
-LEAST_RING = 100
-
 
 def fire(places: DataFrame, cells: DataFrame, resolution: float, disc_m: float, ring_m: float, percentile: float = 0.9, min_cells: int = 4, gate: Column | None = None, least_ring: int = LEAST_RING) -> DataFrame:
     """(id, n_ring, n_disc, evaluable, fired_high, fired_low, cluster_high, cluster_low) of places (id, x, y).
 
     cells: (x, y, z). A place fires on a tail when a connected cluster of at least min_cells of its disc's cells lies beyond the
-    percentile of its ring, and the cluster passes the gate (over the columns of raster.morphometry). Places without enough
-    cells are gaps: fired is null. cluster_*: cells of the largest cluster.
+    percentile of its ring, and the cluster passes the gate (over the columns of discs.clusters). Places without enough
+    cells are gaps: fired is null. cluster_*: cells of the largest cluster. One shuffle: a disc and its ring meet in one group.
     """
-    boxes = places.select("id", F.col("x").alias("sx"), F.col("y").alias("sy"), *[(F.col(c) + s * ring_m).alias(n) for n, c, s in (("xmin", "x", -1), ("xmax", "x", 1), ("ymin", "y", -1), ("ymax", "y", 1))])
-    window = spatial.points_in_boxes(cells.select("x", "y", "z"), boxes, 2 * ring_m)
-    d = F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2)
-    across = int(2 * disc_m // resolution) + 3
-    # Each disc gets rows of its own, so that one labelling serves all of them.
-    row = F.floor((F.col("y") - F.col("sy") + disc_m) / resolution) + 1
-    col = F.floor((F.col("x") - F.col("sx") + disc_m) / resolution) + 1
-    window = durable(window.withColumn("d", d).filter(F.col("d") <= ring_m).select("id", "z", (F.col("d") > disc_m).alias("ring"), row.cast("int").alias("row"), col.cast("int").alias("col")))
-    of_ring = F.when(F.col("ring"), F.col("z"))
-    cut = window.groupBy("id").agg(
-        F.count(of_ring).alias("n_ring"), F.count(F.when(~F.col("ring"), F.col("z"))).alias("n_disc"), stats.quantile(of_ring, percentile).alias("hi"), stats.quantile(of_ring, 1 - percentile).alias("lo")
-    )
-    tails = F.explode(F.array(F.struct(F.lit(0).alias("tail"), (F.col("z") >= F.col("hi")).alias("on")), F.struct(F.lit(1).alias("tail"), (F.col("z") <= F.col("lo")).alias("on"))))
-    beyond = window.filter("not ring").join(cut, "id").select("id", "row", "col", tails.alias("t")).filter("t.on")
-    lane = beyond.select((F.col("id") * 2 + F.col("t.tail")).alias("lane")).distinct()
-    lanes = durable(lane.withColumn("at", F.monotonically_increasing_id()))
-    spread = beyond.withColumn("lane", F.col("id") * 2 + F.col("t.tail")).join(dense(lanes, across), "lane")
-    zones = raster.components(spread.select((F.col("base") + F.col("row")).alias("row_i"), F.col("col").alias("col_i")), 1 << 10)
-    shapes = raster.morphometry(zones).filter(F.col("cells") >= min_cells)
-    shapes = shapes.filter(gate) if gate is not None else shapes
-    owner = spread.select("id", "t.tail", (F.col("base") + F.col("row")).alias("row_i"), F.col("col").alias("col_i")).join(zones, ["row_i", "col_i"]).select("zone", "id", "tail").distinct()
-    most = shapes.join(owner, "zone").groupBy("id").agg(F.max(F.when(F.col("tail") == 0, F.col("cells"))).alias("high"), F.max(F.when(F.col("tail") == 1, F.col("cells"))).alias("low"))
-    fine = (F.coalesce("n_ring", F.lit(0)) >= least_ring) & (F.coalesce("n_disc", F.lit(0)) >= min_cells)
-    return places.select("id").join(cut, "id", "left").join(most, "id", "left").select(
-        "id", F.coalesce("n_ring", F.lit(0)).alias("n_ring"), F.coalesce("n_disc", F.lit(0)).alias("n_disc"), fine.alias("evaluable"),
-        F.when(fine, F.col("high").isNotNull()).alias("fired_high"), F.when(fine, F.col("low").isNotNull()).alias("fired_low"),
-        F.when(fine, F.coalesce("high", F.lit(0))).alias("cluster_high"), F.when(fine, F.coalesce("low", F.lit(0))).alias("cluster_low"),
+    tails = {"high": "high", "low": "low"}
+    found = discs.clusters(places, cells.select("x", "y", F.col("z").alias("high"), F.col("z").alias("low")), tails, resolution, disc_m, ring_m, percentile, min_cells, least_ring)
+    passes = F.col("cells") >= min_cells if gate is None else (F.col("cells") >= min_cells) & gate
+    most = lambda tail: F.max(F.when((F.col("surface") == tail) & passes, F.col("cells")))
+    of = found.groupBy("id").agg(F.max("n_ring").alias("n_ring"), F.max("n_disc").alias("n_disc"), F.bool_or("valid").alias("evaluable"), most("high").alias("high"), most("low").alias("low"))
+    fine = F.col("evaluable")
+    return of.select(
+        "id", "n_ring", "n_disc", "evaluable", F.when(fine, F.col("high").isNotNull()).alias("fired_high"), F.when(fine, F.col("low").isNotNull()).alias("fired_low"),
+        F.when(fine, F.coalesce("high", F.lit(0).cast("long"))).alias("cluster_high"), F.when(fine, F.coalesce("low", F.lit(0).cast("long"))).alias("cluster_low"),
     )
 
 
-def dense(lanes: DataFrame, across: int) -> DataFrame:
-    """(lane, base): a row offset of its own for each lane, `across` apart; numbers of a partition follow those before it."""
-    part = F.shiftright("at", 33)
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row a partition.
-    before = lanes.groupBy(part.alias("part")).count().select("part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
-    place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return lanes.withColumn("part", part).join(F.broadcast(before), "part").select("lane", (place * across).cast("int").alias("base"))
-
-
 def within(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
     """Pairs (all columns) of places a (id, x, y) and b (other, u, v) at most `reach` apart."""
     boxes = b.select("other", "u", "v", (F.col("u") - reach).alias("xmin"), (F.col("u") + reach).alias("xmax"), (F.col("v") - reach).alias("ymin"), (F.col("v") + reach).alias("ymax"))

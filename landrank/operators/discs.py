@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spatial
-from .detection import LEAST_RING
 
-_SCHEMA = "id long, surface string, n_ring long, n_disc long, valid boolean, extreme_pct double, cluster int, cells long, row_c double, col_c double, elongation double"
+#: Fewest cells of a ring that make a place evaluable.
+LEAST_RING = 100
+_SCHEMA = "id long, surface string, n_ring long, n_disc long, valid boolean, extreme_pct double, cluster int, cells long, row_c double, col_c double, elongation double, span double, fill double, enclosed double"
 
 
 def labelled(on: np.ndarray) -> np.ndarray:
@@ -39,17 +40,32 @@ def labelled(on: np.ndarray) -> np.ndarray:
     return out.reshape(on.shape)
 
 
-def elongation(row: np.ndarray, col: np.ndarray) -> float:
-    """Ratio of the principal axes of a cluster's cells, to one digit; 1 below 4 cells, the number of cells for a line."""
+def shape(row: np.ndarray, col: np.ndarray) -> tuple[float, float, float]:
+    """(elongation, span, fill) of a cluster's cells: ratio of its principal axes, length along the longer one, share of the box along
+    both that it fills. Below 4 cells 1, 0 and 1; a line is as elongated as it has cells."""
     if len(row) < 4:
-        return 1.0
+        return 1.0, 0.0, 1.0
+    # Moments that are equal but for rounding must not decide the axes.
     (vr, cov), (_, vc) = np.round(np.cov(row, col), 9)
-    half, root = (vr + vc) / 2, np.hypot((vr - vc) / 2, cov)
-    return float(np.round(np.sqrt((half + root) / (half - root)) if half - root > 1e-9 else len(row), 1))
+    half, root = (vr + vc) / 2, np.sqrt(((vr - vc) / 2) ** 2 + cov**2)
+    turn = 0.5 * np.arctan2(2 * cov, vc - vr)
+    u, v = col * np.cos(turn) + row * np.sin(turn), row * np.cos(turn) - col * np.sin(turn)
+    long, wide = np.ptp(u) + 1.0, np.ptp(v) + 1.0
+    ratio = np.sqrt((half + root) / (half - root)) if half - root > 1e-9 else len(row)
+    return float(np.round(ratio, 1)), float(np.round(long + 1e-9, 1)), float(np.round(len(row) / (long * wide) + 1e-9, 2))
+
+
+def enclosed(row: np.ndarray, col: np.ndarray) -> float:
+    """Share of the filled cluster that it only encloses: cells that its own cells cut off from outside."""
+    free = np.ones((np.ptp(row) + 3, np.ptp(col) + 3), bool)
+    free[row - row.min() + 1, col - col.min() + 1] = False
+    of = labelled(free)
+    holes = int((of > 1).sum())  # the first component holds the corner, which is outside
+    return float(np.round(holes / (len(row) + holes), 2))
 
 
 def clusters(places: DataFrame, cells: DataFrame, surfaces: Mapping[str, str], resolution: float, disc_m: float, ring_m: float, percentile: float = 0.9, min_cells: int = 4, least_ring: int = LEAST_RING) -> DataFrame:
-    """(id, surface, n_ring, n_disc, valid, extreme_pct, cluster, cells, row_c, col_c, elongation) of places (id, x, y).
+    """(id, surface, n_ring, n_disc, valid, extreme_pct, cluster, cells, row_c, col_c, elongation, span, fill, enclosed) of places (id, x, y).
 
     cells: (x, y, a column a surface); surfaces: their tails, 'high' or 'low'. A cluster is a connected set of a disc's cells at or
     beyond the percentile of its ring; clusters are numbered in the order of their first cells, from the north-west. A surface
@@ -73,7 +89,7 @@ def clusters(places: DataFrame, cells: DataFrame, surfaces: Mapping[str, str], r
             ring, disc = z[there & (d > disc_m) & (d <= ring_m)], there & (d <= disc_m)
             about = [key[0].as_py(), name, len(ring), int(disc.sum())]
             if len(ring) < least_ring or disc.sum() < min_cells:
-                out.append((*about, False, *[None] * 6))
+                out.append((*about, False, *[None] * 9))
                 continue
             high = tail == "high"
             cut = np.quantile(ring, percentile if high else round(1 - percentile, 12))
@@ -85,9 +101,9 @@ def clusters(places: DataFrame, cells: DataFrame, surfaces: Mapping[str, str], r
             of = labelled(on)
             for k in range(1, of.max() + 1):
                 r, c = np.nonzero(of == k)
-                out.append((*about, k, len(r), float(r.mean()), float(c.mean()), elongation(r, c)))
+                out.append((*about, k, len(r), float(r.mean()), float(c.mean()), *shape(r, c), enclosed(r, c)))
             if not of.any():
-                out.append((*about, *[None] * 5))
+                out.append((*about, *[None] * 8))
         names, kinds = zip(*(f.split(" ") for f in _SCHEMA.split(", ")), strict=True)
         types = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32()}
         return pa.table([pa.array(list(v), types[k]) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
@@ -95,7 +111,7 @@ def clusters(places: DataFrame, cells: DataFrame, surfaces: Mapping[str, str], r
     found = window.groupBy("id").applyInArrow(look, _SCHEMA)
     # Places without a single cell around them are gaps on every surface.
     every = places.select("id", F.explode(F.array(*[F.lit(n) for n in surfaces])).alias("surface"))
-    return every.join(found, ["id", "surface"], "left").select("id", "surface", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_ring", "n_disc")], F.coalesce("valid", F.lit(False)).alias("valid"), "extreme_pct", "cluster", "cells", "row_c", "col_c", "elongation")
+    return every.join(found, ["id", "surface"], "left").select("id", "surface", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_ring", "n_disc")], F.coalesce("valid", F.lit(False)).alias("valid"), "extreme_pct", "cluster", "cells", "row_c", "col_c", "elongation", "span", "fill", "enclosed")
 
 
 def paired(found: DataFrame, a: str, b: str, max_gap_m: float, resolution: float, gate: Column, most: int | None = 5) -> DataFrame:

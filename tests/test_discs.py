@@ -37,6 +37,19 @@ def test_labels_of_random_masks():
             assert all(got[c] == k for c in part)
 
 
+def test_shapes_of_clusters():
+    """As the shapes of zones have them; a frame encloses its inside."""
+    line = np.array([(2, c) for c in range(9)])
+    assert discs.shape(line[:, 0], line[:, 1]) == (9.0, 9.0, 1.0) and discs.enclosed(line[:, 0], line[:, 1]) == 0.0
+    frame = np.array([(r, c) for r in range(5) for c in range(4) if r in (0, 4) or c in (0, 3)])
+    assert discs.enclosed(frame[:, 0], frame[:, 1]) == round(6 / 20, 2) and discs.shape(frame[:, 0], frame[:, 1])[1:] == (5.0, 0.7)
+    gap = frame[1:]
+    assert discs.enclosed(gap[:, 0], gap[:, 1]) == round(6 / 19, 2)
+    open_ = np.array([c for c in frame.tolist() if c != [2, 0]])
+    assert discs.enclosed(open_[:, 0], open_[:, 1]) == 0.0
+    assert discs.shape(frame[:3, 0], frame[:3, 1]) == (1.0, 0.0, 1.0)
+
+
 def test_clusters_against_plain_python(spark):
     rng = np.random.default_rng(2)
     z = {n: rng.normal(size=(40, 40)) for n in ("a", "b")}
