@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .plans import ORACLE_SQL, QUERIES, catalogs, extras, landforms, relational, scoring, shapes, terrain, vectors
+from .plans import ORACLE_SQL, QUERIES, catalogs, extras, landforms, nulls, relational, scoring, shapes, terrain, vectors
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalogs", "extras", "landforms", "relational", "scoring", "shapes", "terrain", "vectors"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalogs", "extras", "landforms", "nulls", "relational", "scoring", "shapes", "terrain", "vectors"]
