@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detection, discs, distance, gridding, hydrology, outlines, polygons, spatial, stack
 from ..operators.resample import Grid
-from ..sources import fixtures, rasters
+from ..sources import fixtures, layout, rasters
 from ..storage import shared_folder
 from . import query
 from .shapes import _IN, _OUT, CORNERS, MASKED, masked, ring_edges
@@ -263,3 +263,21 @@ def multi_element_rule(spark, sf_dir):
     element = F.col("cells").between(1, 6) & (F.col("elongation") <= 3.0)
     out = discs.several(site_clusters_in_discs(spark, sf_dir), "hand_m", 3, 30.0, 0.3, 10.0, element)
     return out.withColumnRenamed("id", "site_id")
+
+
+@query("SELECT cell_id, row_i, col_i, elev_m FROM fx_cell WHERE easting + 5 >= 500310 AND easting - 5 <= 500480 AND northing + 5 >= 3999700 AND northing - 5 <= 3999850")
+def box_scan_cells(spark, sf_dir):
+    """Cells whose square meets a box, from a table laid out by tiles: ranges of tile numbers and the box reach the scan."""
+    path = shared_folder(spark, "cells")
+    e, n = F.col("easting"), F.col("northing")
+    layout.write(fixtures.cells(spark, sf_dir).select("cell_id", "row_i", "col_i", "elev_m", "easting", "northing"), path, (e - 5, n - 5, e + 5, n + 5), 80.0)
+    return layout.read(spark, path, 500310.0, 3999700.0, 500480.0, 3999850.0).select("cell_id", "row_i", "col_i", "elev_m")
+
+
+@query("SELECT id, stream_order FROM fx_line WHERE greatest(x1, x2) >= 500310 AND least(x1, x2) <= 500480 AND greatest(y1, y2) >= 3999700 AND least(y1, y2) <= 3999850")
+def box_scan_lines(spark, sf_dir):
+    """Lines whose box meets a box, from a table laid out by tiles."""
+    path = shared_folder(spark, "lines")
+    lines = fixtures.flowlines(spark, sf_dir)
+    layout.write(lines, path, (F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2")), 80.0)
+    return layout.read(spark, path, 500310.0, 3999700.0, 500480.0, 3999850.0).select("id", "stream_order")
