@@ -2,9 +2,10 @@
 
 Every source gets a target in words; target / size of the source is the expected number of copies of each of its
 documents. Whole copies are taken outright. The fraction left over is an inclusion probability, and the cube method's
-flight phase moves all probabilities of a block through the null space of two constraints, words and documents, until
-at most two of a block are still between 0 and 1. These few of all blocks meet in blocks of the next level, and only
-the last level of a source lands: its at most two documents are settled so that the words miss the target least.
+flight phase moves the probabilities of a block through the null space of two constraints, words and documents, until
+at most two of a block are still between 0 and 1, beside twelve that are held back. These few of all blocks meet in
+blocks of the next level, and only the last level of a source lands: all choices for its at most fourteen documents are weighed by
+how near words and documents come to what is expected.
 
 Blocks have bounded size and the hot source has many, so no task sees a source whole; they hold sizes, never texts.
 Randomness comes from hashes of doc_ids, texts and block numbers: reruns agree, whatever the partitioning (for `mix`, rows
@@ -32,6 +33,9 @@ WEIGHTS = (5, 2, 1)
 CAP = 3.0
 BLOCK = 1024
 _FAN = 256
+#: Units of a source that land beside the two that flight leaves, and the share of its target by which words may give way to documents.
+HELD = 12
+SLACK = 0.003
 _EPS = 1e-9
 
 
@@ -99,14 +103,37 @@ def flight(prob: list[float], size: list[float], rng: random.Random) -> list[flo
         live = [i for i in live if 0 < out[i] < 1]
 
 
-def land(prob: list[float], size: list[float]) -> list[float]:
-    """Settle the few that flight leaves: of all choices for them, the one whose size misses the expected one least."""
+def land(prob: list[float], size: list[float], slack: float = 0.0) -> list[float]:
+    """Settle the few that are left: of the choices for them whose size comes near the expected one, the one whose count does.
+
+    Near is within `slack`, or else as near as any choice comes; equal ones go by the first.
+    """
     left = [i for i, p in enumerate(prob) if 0 < p < 1]
-    want = sum(prob[i] * size[i] for i in left)
-    best = min(range(1 << len(left)), key=lambda m: (abs(sum(size[i] for k, i in enumerate(left) if m >> k & 1) - want), m))
+    sizes, chance = np.array([size[i] for i in left]), np.array([prob[i] for i in left])
+    choice = np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1
+    words, docs = np.abs(choice @ sizes - chance @ sizes), np.abs(choice.sum(1) - chance.sum())
+    near = np.flatnonzero(words <= max(words.min(), slack))
+    best = near[np.lexsort((near, words[near], docs[near]))[0]]
     out = list(prob)
     for k, i in enumerate(left):
-        out[i] = float(best >> k & 1)
+        out[i] = float(choice[best, k])
+    return out
+
+
+def fly(prob: list[float], size: list[float], rng: random.Random) -> list[float]:
+    """Flight for all open units but HELD, which stay open beside the two that it leaves: the largest four, and some of every size.
+
+    A large unit hardly moves beside small ones, so flight would leave it to the end, with one other to make up for it; beside
+    others of its kind it can be settled either way, and small ones make up for what is left.
+    """
+    open_ = sorted((i for i, p in enumerate(prob) if _EPS < p < 1 - _EPS), key=lambda i: (-size[i], i))
+    held = set(open_)
+    if len(open_) > HELD:
+        held = {*open_[:4], *(open_[4 + (len(open_) - 5) * k // (HELD - 5)] for k in range(HELD - 4))}
+    free = [i for i in range(len(prob)) if i not in held]
+    out = list(prob)
+    for i, p in zip(free, flight([prob[i] for i in free], [size[i] for i in free], rng), strict=True):
+        out[i] = p
     return out
 
 
@@ -116,9 +143,9 @@ def _fly(schema: str, last: bool):
         frame = pd.DataFrame({c: table.column(c).to_numpy(zero_copy_only=False) for c in ("order", "size", "row", "prob")})
         at = frame.sort_values(["order", "size", "row"], kind="stable").index.to_numpy()
         size, prob = frame["size"].to_numpy(float)[at].tolist(), frame["prob"].to_numpy(float)[at].tolist()
-        got = flight(prob, size, random.Random(rank * 1_000_003 + block * 2 + last))
+        got = fly(prob, size, random.Random(rank * 1_000_003 + block * 2 + last))
         if last:
-            got = land(got, size)
+            got = land(got, size, SLACK * table.column("target")[0].as_py())
         out = np.empty(len(at))
         out[at] = got
         return table.set_column(table.schema.get_field_index("prob"), "prob", pa.array(out))

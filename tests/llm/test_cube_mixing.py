@@ -17,6 +17,26 @@ def test_flight_keeps_both_totals(seed):
     assert all(p in (0, 1) for p in cm.land(out, size))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_landing_with_a_few_large_units(seed):
+    """A document of thousands of words in a source of some thousand: words come within a hundredth, documents give way a little."""
+    rng = random.Random(seed)
+    size = [5184.0, 900.0, 700.0, *[float(int(rng.lognormvariate(4.5, 1.0)) + 1) for _ in range(60)]]
+    prob = [rng.uniform(0.2, 0.8)] * len(size)
+    out = cm.land(cm.fly(prob, size, random.Random(2)), size)
+    want = sum(p * s for p, s in zip(prob, size))
+    assert all(p in (0, 1) for p in out) and abs(sum(out) - sum(prob)) <= 10
+    reach = max(0.0, prob[0] * 5184 - sum((1 - prob[0]) * s for s in sorted(size[1:])[-12:])) if out[0] == 0 else max(0.0, (1 - prob[0]) * 5184 - sum(prob[0] * s for s in sorted(size[1:])[-12:]))
+    assert abs(sum(o * s for o, s in zip(out, size)) - want) <= 0.01 * want + reach
+
+
+def test_every_source_comes_near_its_target(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = cm.mix_documents(docs).toPandas()
+    by = got.groupby(["source_size", "target"]).taken.sum().reset_index()
+    assert ((by.taken - by.target).abs() <= 0.01 * by.target).all()
+
+
 def water_fill(sizes, weights, cap=3.0):
     total, target, capped = sum(sizes), [0.0] * len(sizes), set()
     while True:
