@@ -178,10 +178,13 @@ def diagonal_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: in
     # Diagonals speak for themselves only where their run does not.
     merged = F.max(F.col("one").isNull()).over(Window.partitionBy(*doc, "run"))
     spans = spans.withColumn("merged", merged).filter(F.col("one").isNull() | ~F.col("merged"))
-    told = F.collect_list(F.when(F.col("tell") >= 0, F.struct("start", "end"))).over(Window.partitionBy("doc_id", "text_key", "template"))
-    touches = F.exists("told", lambda t: (t["start"] < F.col("end")) & (t["end"] > F.col("start")))
+    # A name touches a span if it begins before the span's end and ends after its start: of the names that begin before each end, in
+    # order, the one that reaches farthest says it.
+    tell = F.col("tell") >= 0
+    sweep = Window.partitionBy("doc_id", "text_key", "template").orderBy(F.when(tell, F.col("start")).otherwise(F.col("end")), F.when(tell, 1).otherwise(0)).rowsBetween(Window.unboundedPreceding, 0)
+    touches = F.coalesce(F.col("reach") > F.col("start"), F.lit(False))
     named = F.col("template").isin([name for name in templates if tells.get(name)])
-    spans = spans.withColumn("told", told).filter((F.col("tell") < 0) & (~named | touches))
+    spans = spans.withColumn("reach", F.max(F.when(tell, F.col("end"))).over(sweep)).filter((F.col("tell") < 0) & (~named | touches))
     return spans.select("doc_id", "text_key", "template", "start", "end", "covered", "share")
 
 

@@ -32,3 +32,18 @@ def test_names_and_versions_tell_licences_apart(spark):
     got = {r.doc_id: (r.labels, r.score) for r in ls.scan_licenses(docs).collect()}
     assert [(text, got[i][0]) for i, (text, _) in enumerate(CASES)] == CASES
     assert got[0][1] == 0.0 and got[2][1] == 0.5 and got[11][1] == 1.0
+
+
+def test_a_text_of_many_notices_takes_time_in_proportion(spark):
+    import time
+
+    def took(n: int) -> float:
+        docs = spark.createDataFrame([(1, "released under the mit license\n" * n), (2, "released under the new rules\n" * n)], "doc_id long, text string")
+        began = time.time()
+        got = {r.doc_id: (r.labels, r.score, r.n_base) for r in ls.scan_licenses(docs).collect()}
+        assert got == {1: ("mit,mit-release", 1.0, n), 2: ("", 0.0, 0)}
+        return time.time() - began
+
+    took(10)
+    few, many = took(10_000), took(100_000)
+    assert many < 20 * max(few, 1.0)
