@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Metres beyond an area by which each grid is computed before it is cut back.
+#: Metres beyond an area by which each grid is computed before it is cut back.
 GRID_BUFFER_M = {"model": 2000.0, "detection": 50.0}
 #: Largest area of a detection grid, and its cell.
 MOST_KM2, DETECTION_CELL_M = 25.0, 0.5
