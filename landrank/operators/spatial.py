@@ -23,52 +23,103 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, width: float = 200.0) -
     return keyed.join(tiled, ["__tx", "__ty"]).filter(inside).drop("__tx", "__ty")
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, key: str, reach: float | None, value: str, width: float = 80.0) -> DataFrame:
-    """points with dist and the value of the nearest segment (id, x1..y2, value), however far; ties go to the lowest id.
-
-    Tiles of points meet tiles of segments from one tile over everything down to tiles of `width`, a quarter as wide each time;
-    a pair goes on while the circles around its tiles can hold the nearest segment of some point. The bound is a proof, so
-    nothing is cut off by distance. With a reach, what lies beyond it is null.
+def nearest_candidates(points: DataFrame, segments: DataFrame, key: str, value: str, width: float = 80.0) -> tuple[DataFrame, DataFrame] | None:
+    """((key, x, y, px, py), (px, py, x1..y2, s)): points with their tiles, and the segments that can be the nearest one of some point
+    of a tile, s being the lowest id and its value. None without a place.
+
+    Tiles of points meet tiles of segments from one tile over everything down to tiles of `width`, a quarter as wide each time.
+    A pair goes on unless a point of some segment is nearer to all four corners of the tile of points than anything in the other
+    tile: what is nearer to that point than to another place is convex, so then no point of the tile can be nearest there. The
+    bound is a proof, so nothing is cut off by distance, and far tiles keep few pairs.
     """
     coords = ("x1", "y1", "x2", "y2")
     low, high = {"x": F.least("x1", "x2"), "y": F.least("y1", "y2")}, {"x": F.greatest("x1", "x2"), "y": F.greatest("y1", "y2")}
-    ends = [points.select("x", "y"), segments.select(*[low[c].alias(c) for c in "xy"]), segments.select(*[high[c].alias(c) for c in "xy"])]
+    # Segments that lie on each other are one: the lowest id wins every tie.
+    distinct = durable(segments.groupBy(*coords).agg(F.min(F.struct(F.col("id"), F.col(value).alias("v"))).alias("s")))
+    ends = [points.select("x", "y"), distinct.select(*[low[c].alias(c) for c in "xy"]), distinct.select(*[high[c].alias(c) for c in "xy"])]
     x0, x9, y0, y9 = ends[0].unionByName(ends[1]).unionByName(ends[2]).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if x0 is None or y0 is None:
-        return points.withColumn("dist", F.lit(None).cast("double")).withColumn(value, F.lit(None).cast(segments.schema[value].dataType))
-    levels = 0
+        return None
+    levels, tasks = 0, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while width * 4**levels <= max(x9 - x0, y9 - y0):
         levels += 1
     half, slack = math.sqrt(0.5) * width, 1e-5
-    # Segments that lie on each other are one: the lowest id wins every tie.
-    distinct = segments.groupBy(*coords).agg(F.min(F.struct(F.col("id"), F.col(value).alias("v"))).alias("s"))
     laid = distinct.withColumn("qx", _tiles(low["x"] - x0, high["x"] - x0, width)).withColumn("qy", _tiles(low["y"] - y0, high["y"] - y0, width))
     centre = lambda at, zero: zero + (F.col(at) + 0.5) * width
-    laid = laid.filter(segment_distance(centre("qx", x0), centre("qy", y0), *[F.col(c) for c in coords]) <= half + slack)
+    laid = durable(laid.filter(segment_distance(centre("qx", x0), centre("qy", y0), *[F.col(c) for c in coords]) <= half + slack))
     keyed = points.withColumn("px", tile(F.col("x") - x0, width)).withColumn("py", tile(F.col("y") - y0, width)).select(key, "x", "y", "px", "py")
+    # Of each tile of segments the ends furthest to the west, south, east and north: places that a segment has for certain.
+    end = [F.struct(F.col("x" + n).alias("x"), F.col("y" + n).alias("y")) for n in "12"]
+    turned = [F.struct(F.col("y" + n).alias("y"), F.col("x" + n).alias("x")) for n in "12"]
+    marks = {"w": (F.min, F.least(*end)), "s": (F.min, F.least(*turned)), "e": (F.max, F.greatest(*end)), "n": (F.max, F.greatest(*turned))}
+    # And the box of what they have in the tile.
+    tile_side = {"x": (x0 + F.col("qx") * width, x0 + (F.col("qx") + 1) * width), "y": (y0 + F.col("qy") * width, y0 + (F.col("qy") + 1) * width)}
+    for c in "xy":
+        marks["lo" + c], marks["hi" + c] = (F.min, F.greatest(low[c], tile_side[c][0])), (F.max, F.least(high[c], tile_side[c][1]))
+    places = [(F.col(n + ".x"), F.col(n + ".y")) for n in "wsen"]
+    tiles_p = durable(keyed.select("px", "py").distinct().filter("px is not null and py is not null"))
+    tiles_q = durable(laid.groupBy("qx", "qy").agg(*[how(c).alias(n) for n, (how, c) in marks.items()]))
+    up = lambda c, n: F.shiftright(c, 2 * n)
+
+    def tiles(of: DataFrame, a: str, b: str, level: int) -> DataFrame:
+        """Tiles of a level with the tile above each, and the marks of those of segments."""
+        above = of.groupBy(up(a, level).alias(a), up(b, level).alias(b)).agg(F.count(F.lit(1)).alias("tiles"), *[how(n).alias(n) for n, (how, _) in marks.items() if n in of.columns])
+        return above.drop("tiles").withColumns({a + "_up": up(a, 1), b + "_up": up(b, 1)})
+
+    def corners(size: float) -> list[tuple]:
+        return [(x0 + (F.col("px") + i) * size, y0 + (F.col("py") + j) * size) for i in (0, 1) for j in (0, 1)]
+
+    def gap(x, y, u, v):
+        return F.sqrt((x - u) * (x - u) + (y - v) * (y - v))
+
+    def best(found: DataFrame, size: float, places: list[tuple]) -> DataFrame:
+        """With bx and by, of the places of a tile's pairs the one nearest to its middle."""
+        mx, my = x0 + (F.col("px") + 0.5) * size, y0 + (F.col("py") + 0.5) * size
+        near = F.least(*[F.struct(gap(mx, my, u, v).alias("d"), u.alias("bx"), v.alias("by")) for u, v in places]) if len(places) > 1 else F.struct(gap(mx, my, *places[0]).alias("d"), places[0][0].alias("bx"), places[0][1].alias("by"))
+        return found.withColumn("b", F.min(near).over(Window.partitionBy("px", "py"))).withColumns({"bx": F.col("b.bx"), "by": F.col("b.by")}).drop("b")
+
+    def open_(size: float, apart):
+        """Whether a corner of the tile of points is no nearer to its best place than to what is `apart`(corner) away."""
+        return F.greatest(*[gap(x, y, F.col("bx"), F.col("by")) - apart(x, y) for x, y in corners(size)]) >= -slack
+
+    def box_open(size: float, lo: dict, hi: dict):
+        side = lambda v, c: F.greatest(lo[c] - v, v - hi[c], F.lit(0.0))
+        return open_(size, lambda x, y: F.sqrt(side(x, "x") * side(x, "x") + side(y, "y") * side(y, "y")))
+
+    def kept(met: DataFrame, size: float) -> DataFrame:
+        return best(met, size, places).filter(box_open(size, *[{c: F.col(n + c) for c in "xy"} for n in ("lo", "hi")])).select("px", "py", "qx", "qy", "bx", "by", *marks)
+
+    pairs = tiles(tiles_p, "px", "py", levels).select("px", "py").crossJoin(tiles(tiles_q, "qx", "qy", levels).select("qx", "qy", *marks))
+    for level in range(levels - 1, -1, -1):
+        size = width * 4**level
+        above = pairs.select(F.col("px").alias("px_up"), F.col("py").alias("py_up"), "qx", "qy", *marks)
+        met = kept(above.join(tiles(tiles_p, "px", "py", level), ["px_up", "py_up"]).drop("px_up", "py_up"), size)
+        above = met.select("px", "py", F.col("qx").alias("qx_up"), F.col("qy").alias("qy_up"))
+        pairs = kept(above.join(tiles(tiles_q, "qx", "qy", level), ["qx_up", "qy_up"]).drop("qx_up", "qy_up"), size)
+    seg = [F.col(c) for c in coords]
+    to_segment = lambda x, y: segment_distance(x, y, *seg)
+    # Few bytes but much to compute: not to be merged into few tasks.
+    pairs = (pairs if levels else best(pairs, width, places)).select("px", "py", "qx", "qy", "bx", "by").repartition(tasks, "px", "py", "qx", "qy")
+    met = pairs.join(laid, ["qx", "qy"]).filter(box_open(width, low, high) & open_(width, to_segment)).select("px", "py", *coords, "s").distinct()
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    squared = dx * dx + dy * dy
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(((centre("px", x0) - F.col("x1")) * dx + (centre("py", y0) - F.col("y1")) * dy) / F.when(squared > 0, squared), F.lit(0.0))))
+    met = best(met, width, [(F.col("x1") + t * dx, F.col("y1") + t * dy)]).filter(open_(width, to_segment))
+    return keyed, met.select("px", "py", *coords, "s")
 
-    def parents(tiles: DataFrame, a: str, b: str, level: int) -> DataFrame:
-        """Tiles of a level with the tile above each."""
-        up = lambda c, n: F.shiftright(c, 2 * n)
-        return tiles.select(up(a, level).alias(a), up(b, level).alias(b)).distinct().withColumns({a + "_up": up(a, 1), b + "_up": up(b, 1)})
 
-    pairs = parents(keyed, "px", "py", levels).select("px", "py").crossJoin(parents(laid, "qx", "qy", levels).select("qx", "qy"))
-    for level in range(levels - 1, -1, -1):
-        above = pairs.select(*[F.col(c).alias(c + "_up") for c in ("px", "py", "qx", "qy")])
-        met = above.join(parents(keyed, "px", "py", level), ["px_up", "py_up"]).join(parents(laid, "qx", "qy", level), ["qx_up", "qy_up"])
-        apart = F.sqrt((F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2) * (width * 4**level)
-        met = met.select("px", "py", "qx", "qy", apart.alias("apart"))
-        best = F.min("apart").over(Window.partitionBy("px", "py"))
-        pairs = met.withColumn("best", best).filter(F.col("apart") <= F.col("best") + 4 * half * 4**level + slack).select("px", "py", "qx", "qy")
-    met = pairs.join(laid, ["qx", "qy"]).select("px", "py", *coords, "s").distinct()
-    met = met.withColumn("apart", segment_distance(centre("px", x0), centre("py", y0), *[F.col(c) for c in coords]))
-    met = met.withColumn("best", F.min("apart").over(Window.partitionBy("px", "py"))).filter(F.col("apart") <= F.col("best") + 2 * half + slack)
-    far = segment_distance(*[F.col(c) for c in ("x", "y", *coords)])
-    near = keyed.join(met.select("px", "py", *coords, "s"), ["px", "py"]).withColumn("__d", far)
+def nearest_segment(points: DataFrame, segments: DataFrame, key: str, reach: float | None, value: str, width: float = 80.0) -> DataFrame:
+    """points with dist and the value of the nearest segment (id, x1..y2, value), however far; ties go to the lowest id. With a reach,
+    what lies beyond it is null."""
+    found = nearest_candidates(points, segments, key, value, width)
+    if found is None:
+        return points.withColumn("dist", F.lit(None).cast("double")).withColumn(value, F.lit(None).cast(segments.schema[value].dataType))
+    keyed, met = found
+    near = keyed.join(met, ["px", "py"]).withColumn("__d", segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]))
     if reach is not None:
         near = near.filter(F.col("__d") <= reach)
-    best = near.groupBy(key).agg(F.min(F.struct(F.round("__d", 6).alias("d"), F.col("s.id"), F.col("s.v"))).alias("b"))
-    return points.join(best.select(key, F.col("b.d").alias("dist"), F.col("b.v").alias(value)), key, "left")
+    best_of = near.groupBy(key).agg(F.min(F.struct(F.round("__d", 6).alias("d"), F.col("s.id"), F.col("s.v"))).alias("b"))
+    return points.join(best_of.select(key, F.col("b.d").alias("dist"), F.col("b.v").alias(value)), key, "left")
 
 
 def crossings(segments: DataFrame, width: float = 200.0) -> DataFrame:

@@ -228,6 +228,17 @@ def test_budget_fill_by_a_plain_fold(spark, block):
     assert ranking.budget_fill(df.limit(0), "g", 20.0).collect() == []
 
 
+def test_far_tiles_keep_few_segments(spark):
+    """Tiles far from all lines keep the few that can be nearest there, not a band of them."""
+    rng = np.random.default_rng(4)
+    lines = [(i, *map(float, xy), float(xy[0] + 120), float(xy[1] - 150)) for i, xy in enumerate(rng.uniform(0, 1000, (400, 2)))]
+    segments = spark.createDataFrame([(*s, s[0]) for s in lines], "id int, x1 double, y1 double, x2 double, y2 double, o int")
+    points = spark.createDataFrame([(i, float(x), -20000.0 - 500.0 * i) for i, x in enumerate(rng.uniform(0, 1000, 60))], "k int, x double, y double")
+    _, kept = spatial.nearest_candidates(points, segments, "k", "o")
+    each = [r["count"] for r in kept.groupBy("px", "py").count().collect()]
+    assert len(each) == 60 and sum(each) <= 3 * 60
+
+
 def test_nearest_is_null_beyond_reach(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 900.0, 0.0)], "k int, x double, y double")
     lines = spark.createDataFrame([(7, 3, 10.0, -5.0, 10.0, 5.0), (6, 2, -10.0, -5.0, -10.0, 5.0)], "id int, o int, x1 double, y1 double, x2 double, y2 double")
