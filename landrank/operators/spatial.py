@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import in_box, segment_box_distance, segment_distance, segments_cross, tile
 from ..storage import durable
 
+#: Ids that a row holds while pairs of places become pairs of ids.
+BLOCK = 64
+
 
 def _tiles(low, high, width: float):
     return F.explode(F.sequence(tile(low, width), tile(high, width)))
@@ -122,14 +126,28 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: str, reach: flo
     return points.join(best_of.select(key, F.col("b.d").alias("dist"), F.col("b.v").alias(value)), key, "left")
 
 
-def crossings(segments: DataFrame, width: float = 200.0) -> DataFrame:
-    """Pairs of segments a < b that touch, met through shared tiles of their boxes."""
+def crossings(segments: DataFrame, keep: Callable[[Column, Column], Column] | None = None, width: float = 200.0) -> DataFrame:
+    """(id, stream_order and ends of _a and _b): pairs of segments a < b that touch, and whose orders pass `keep`.
+
+    Segments that lie on each other with one order meet others once, through shared tiles of their boxes; only then do their ids
+    pair, block by block, so what is sorted and told apart grows with the places of segments and not with pairs of ids.
+    """
     cols = ("x1", "y1", "x2", "y2")
-    tiled = segments.withColumn("__tx", _tiles(F.least("x1", "x2"), F.greatest("x1", "x2"), width)).withColumn("__ty", _tiles(F.least("y1", "y2"), F.greatest("y1", "y2"), width))
-    a, b = (tiled.select("__tx", "__ty", *[F.col(c).alias(c + s) for c in ("id", "stream_order", *cols)]) for s in ("_a", "_b"))
+    own = ("stream_order", *cols)
+    ids = durable(segments.groupBy(*own).agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("place", F.monotonically_increasing_id()))
+    tiled = ids.select("place", *own).withColumn("__tx", _tiles(F.least("x1", "x2"), F.greatest("x1", "x2"), width)).withColumn("__ty", _tiles(F.least("y1", "y2"), F.greatest("y1", "y2"), width))
+    a, b = (tiled.select("__tx", "__ty", *[F.col(c).alias(c + s) for c in ("place", *own)]) for s in ("_a", "_b"))
     met = segments_cross(*({c: F.col(c + s) for c in cols} for s in ("_a", "_b")))
-    pairs = a.join(b, ["__tx", "__ty"]).filter((F.col("id_a") < F.col("id_b")) & met)
-    return pairs.drop("__tx", "__ty").distinct()
+    if keep is not None:
+        met = met & keep(F.col("stream_order_a"), F.col("stream_order_b"))
+    places = a.join(b, ["__tx", "__ty"]).filter(met).drop("__tx", "__ty").distinct()
+    blocks = ids.select("place", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / BLOCK).cast("int")), lambda i: F.slice("ids", i * BLOCK + 1, BLOCK))).alias("block", "ids"))
+    for s in ("_a", "_b"):
+        places = places.join(blocks.select(*[F.col(c).alias(c + s) for c in ("place", "block", "ids")]), "place" + s)
+    # Few bytes but many pairs: not to be merged into few tasks.
+    spread = places.repartition(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place_a", "place_b", "block_a", "block_b")
+    pairs = spread.withColumn("id_a", F.explode("ids_a")).withColumn("id_b", F.explode(F.filter("ids_b", lambda i: i > F.col("id_a"))))
+    return pairs.select(*[c + s for s in ("_a", "_b") for c in ("id", *own)])
 
 
 def burn(segments: DataFrame, left: float, top: float, resolution: float, rows: int, cols: int) -> DataFrame:

@@ -46,9 +46,9 @@ FROM fx_line a JOIN fx_line b ON a.id < b.id AND least(a.x1, a.x2) <= greatest(b
 @query(CROSS + " SELECT id_a, id_b, least(order_a, order_b) AS order_minor, greatest(order_a, order_b) AS order_major FROM cx WHERE d1 * d2 <= 0 AND d3 * d4 <= 0 AND NOT (d1 = 0 AND d2 = 0) AND least(order_a, order_b) >= 2 AND order_a <> order_b")
 def confluences(spark, sf_dir):
     """Junctions of streams of different order, the smaller at least 2."""
-    pairs = spatial.crossings(fixtures.flowlines(spark, sf_dir))
+    pairs = spatial.crossings(fixtures.flowlines(spark, sf_dir), lambda a, b: (F.least(a, b) >= 2) & (a != b))
     minor, major = F.least("stream_order_a", "stream_order_b"), F.greatest("stream_order_a", "stream_order_b")
-    return pairs.select("id_a", "id_b", minor.alias("order_minor"), major.alias("order_major")).filter("order_minor >= 2 and order_minor < order_major")
+    return pairs.select("id_a", "id_b", minor.alias("order_minor"), major.alias("order_major"))
 
 
 @query("SELECT aoi_id, site_id, class_id FROM fx_site JOIN fx_aoi ON x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax")

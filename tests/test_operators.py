@@ -291,3 +291,19 @@ def test_ledger_and_stream(spark, tmp_path):
         assert spark.table("ops").agg(F.sum("n")).first()[0] == 4
     finally:
         q.stop()
+
+
+def test_copies_of_segments_pair_all_their_ids(spark, monkeypatch):
+    """Segments at one place meet others once, yet every pair of ids comes out, in blocks of any size."""
+    monkeypatch.setattr(spatial, "BLOCK", 3)
+    places = [(0.0, 0.0, 100.0, 100.0), (0.0, 100.0, 100.0, 0.0), (50.0, 50.0, 50.0, 50.0), (300.0, 0.0, 310.0, 0.0)]
+    rows = [(i, 1 + i % 2, *places[i % 4]) for i in range(30)]
+    lines = spark.createDataFrame(rows, "id long, stream_order int, x1 double, y1 double, x2 double, y2 double")
+    got = sorted((r.id_a, r.id_b) for r in spatial.crossings(lines).collect())
+    # The point lies on both lines: a line that crosses it as the later one counts, as the rule of SQL has it.
+    side = lambda s, x, y: (s[2] - s[0]) * (y - s[1]) - (s[3] - s[1]) * (x - s[0])
+    ends = lambda s, o: (side(s, *o[:2]), side(s, *o[2:]))
+    meets = lambda a, b: ends(b, a)[0] * ends(b, a)[1] <= 0 and ends(a, b)[0] * ends(a, b)[1] <= 0 and ends(b, a) != (0, 0)
+    near = lambda a, b: min(a[0], a[2]) <= max(b[0], b[2]) and max(a[0], a[2]) >= min(b[0], b[2])
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a[2:], b[2:]) and meets(a[2:], b[2:])) and len(got) > 40
+    assert spatial.crossings(lines, lambda a, b: a > b + 5).isEmpty()
