@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import ranking, raster, spatial
 from ..sources import fixtures
 from ..sources.fixtures import table
+from ..storage import durable
 from . import query
 from .scoring import BOX, CONTROL, SCORED, in_areas, scored
 from .terrain import COLS, DOWN, surface
@@ -19,14 +20,16 @@ PAD = 12.0
 w(seed, node) AS (SELECT site_id, site_id FROM p UNION SELECT w.seed, e.b FROM w JOIN e ON e.a = w.node AND e.b > w.seed), c AS (SELECT node AS site_id, min(seed) AS cluster FROM w GROUP BY node)
 SELECT cluster, count(*) AS sites, min(x) - {PAD} AS xmin, max(x) + {PAD} AS xmax, min(y) - {PAD} AS ymin, max(y) + {PAD} AS ymax FROM c JOIN p USING (site_id) GROUP BY cluster""")
 def site_clusters(spark, sf_dir):
-    """Sites whose padded discs overlap are one cluster with one frame; near pairs meet through tiles."""
+    """Sites whose padded discs overlap are one cluster with one frame; near places, each once, meet through tiles."""
     sites = fixtures.sites(spark, sf_dir).filter("review_status = 'confirmed'").select("site_id", "x", "y")
     reach = 2 * PAD
-    boxes = sites.select(F.col("site_id").alias("other"), F.col("x").alias("u"), F.col("y").alias("v"), (F.col("x") - reach).alias("xmin"), (F.col("x") + reach).alias("xmax"), (F.col("y") - reach).alias("ymin"), (F.col("y") + reach).alias("ymax"))
-    pairs = spatial.points_in_boxes(sites, boxes, 100.0).filter((F.col("site_id") != F.col("other")) & ((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2 <= reach * reach))
+    # Sites at one place are one node, of the smallest id.
+    places = durable(sites.groupBy("x", "y").agg(F.min("site_id").alias("site_id"), F.count(F.lit(1)).alias("sites")))
+    boxes = places.select(F.col("site_id").alias("other"), F.col("x").alias("u"), F.col("y").alias("v"), (F.col("x") - reach).alias("xmin"), (F.col("x") + reach).alias("xmax"), (F.col("y") - reach).alias("ymin"), (F.col("y") + reach).alias("ymax"))
+    pairs = spatial.points_in_boxes(places, boxes, 100.0).filter((F.col("site_id") < F.col("other")) & ((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2 <= reach * reach))
     label = raster.contract(pairs.select(F.col("site_id").alias("a"), F.col("other").alias("b")))
-    placed = sites.join(label, sites.site_id == label.node, "left").withColumn("cluster", F.coalesce("least", "site_id"))
-    return placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("sites"), (F.min("x") - PAD).alias("xmin"), (F.max("x") + PAD).alias("xmax"), (F.min("y") - PAD).alias("ymin"), (F.max("y") + PAD).alias("ymax"))
+    placed = places.join(label, places.site_id == label.node, "left").withColumn("cluster", F.coalesce("least", "site_id"))
+    return placed.groupBy("cluster").agg(F.sum("sites").alias("sites"), (F.min("x") - PAD).alias("xmin"), (F.max("x") + PAD).alias("xmax"), (F.min("y") - PAD).alias("ymin"), (F.max("y") + PAD).alias("ymax"))
 
 
 @query("SELECT p_partkey AS sheet_id, r.t::INT AS tile_row, c.t::INT AS tile_col, (r.t * 1300)::INT AS top, (c.t * 1300)::INT AS left_, least(1400, p_size * 200 - r.t * 1300)::INT AS height, least(1400, p_size * 150 - c.t * 1300)::INT AS width FROM part, LATERAL (SELECT unnest(range(0, greatest(1, ceil((p_size * 200 - 100) / 1300.0)::BIGINT))) AS t) r, LATERAL (SELECT unnest(range(0, greatest(1, ceil((p_size * 150 - 100) / 1300.0)::BIGINT))) AS t) c")
