@@ -105,16 +105,16 @@ def access_bias(spark, sf_dir):
 
 @query("SELECT a.site_id, bool_or(b.site_id IS NOT NULL) AS satisfied FROM (SELECT * FROM fx_site WHERE class_id = 'BUILDING') a LEFT JOIN (SELECT * FROM fx_site WHERE class_id = 'MACHINERY') b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2500 GROUP BY a.site_id")
 def sites_paired(spark, sf_dir):
-    """Sites of one class with one of another within 50 m, met through tiles of that width."""
+    """Sites of one class with one of another within 50 m: places of sites, each once, meet through tiles of that width."""
     sites, gap = fixtures.sites(spark, sf_dir), 50.0
     from ..functions.geometry import tile
 
-    a = sites.filter("class_id = 'BUILDING'")
+    a = sites.filter("class_id = 'BUILDING'").select("site_id", "x", "y")
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = a.select("site_id", "x", "y", around.alias("o")).select("site_id", "x", "y", (tile(F.col("x"), gap) + F.col("o.i")).alias("tx"), (tile(F.col("y"), gap) + F.col("o.j")).alias("ty"))
-    right = sites.filter("class_id = 'MACHINERY'").select(F.col("x").alias("u"), F.col("y").alias("v"), tile(F.col("x"), gap).alias("tx"), tile(F.col("y"), gap).alias("ty"))
-    near = left.join(right, ["tx", "ty"]).filter((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2 <= gap * gap).select("site_id").distinct().withColumn("hit", F.lit(True))
-    return a.select("site_id").join(near, "site_id", "left").select("site_id", F.coalesce("hit", F.lit(False)).alias("satisfied"))
+    left = a.select("x", "y").distinct().select("x", "y", around.alias("o")).select("x", "y", (tile(F.col("x"), gap) + F.col("o.i")).alias("tx"), (tile(F.col("y"), gap) + F.col("o.j")).alias("ty"))
+    right = sites.filter("class_id = 'MACHINERY'").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct().withColumns({"tx": tile(F.col("u"), gap), "ty": tile(F.col("v"), gap)})
+    near = left.join(right, ["tx", "ty"]).filter((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2 <= gap * gap).select("x", "y").distinct().withColumn("hit", F.lit(True))
+    return a.join(near, ["x", "y"], "left").select("site_id", F.coalesce("hit", F.lit(False)).alias("satisfied"))
 
 
 @query(""", k AS (SELECT aoi_id, site_id, x, y FROM fx_site JOIN fx_aoi ON x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax WHERE review_status = 'confirmed'),
