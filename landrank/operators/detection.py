@@ -20,7 +20,10 @@ def fire(places: DataFrame, cells: DataFrame, resolution: float, disc_m: float,
     cells are gaps: fired is null. cluster_*: cells of the largest cluster. One shuffle: a disc and its ring meet in one group.
     """
     tails = {"high": "high", "low": "low"}
-    found = discs.clusters(places, cells.select("x", "y", F.col("z").alias("high"), F.col("z").alias("low")), tails, resolution, disc_m, ring_m, percentile, min_cells, least_ring)
+    return discs.each_place(places.select("id", "x", "y"), lambda one: _fired(discs.clusters(one, cells.select("x", "y", F.col("z").alias("high"), F.col("z").alias("low")), tails, resolution, disc_m, ring_m, percentile, min_cells, least_ring), min_cells, gate))
+
+
+def _fired(found: DataFrame, min_cells: int, gate: Column | None) -> DataFrame:
     passes = F.col("cells") >= min_cells if gate is None else (F.col("cells") >= min_cells) & gate
     most = lambda tail: F.max(F.when((F.col("surface") == tail) & passes, F.col("cells")))
     of = found.groupBy("id").agg(F.max("n_ring").alias("n_ring"), F.max("n_disc").alias("n_disc"), F.bool_or("valid").alias("evaluable"), most("high").alias("high"), most("low").alias("low"))

@@ -6,13 +6,14 @@ one shuffle and no round. Rules between clusters join the clusters of a place wi
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import durable
 from . import spatial
 
 #: Fewest cells of a ring that make a place evaluable.
@@ -114,6 +115,14 @@ def clusters(places: DataFrame, cells: DataFrame, surfaces: Mapping[str, str], r
     return every.join(found, ["id", "surface"], "left").select("id", "surface", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_ring", "n_disc")], F.coalesce("valid", F.lit(False)).alias("valid"), "extreme_pct", "cluster", "cells", "row_c", "col_c", "elongation", "span", "fill", "enclosed")
 
 
+def each_place(places: DataFrame, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `rule` gives by id for places (id, x, y), asked once where several have the same coordinates and told to all of them."""
+    first = durable(places.groupBy("x", "y").agg(F.min("id").alias("place")))
+    found = rule(first.select(F.col("place").alias("id"), "x", "y"))
+    same = places.select("id", F.col("x").alias("u"), F.col("y").alias("v")).join(first, F.col("u").eqNullSafe(F.col("x")) & F.col("v").eqNullSafe(F.col("y"))).select("id", "place")
+    return same.join(found.withColumnRenamed("id", "place"), "place").select(found.columns)
+
+
 def paired(found: DataFrame, a: str, b: str, max_gap_m: float, resolution: float, gate: Column, most: int | None = 5) -> DataFrame:
     """(id, valid, fired_a, fired_b, paired, hit): whether clusters that pass the gate lie on both surfaces at most max_gap_m apart, centre
     to centre. A place is hit if a surface fired and the pair holds. Of a surface the first `most` clusters that pass count."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -237,10 +239,11 @@ mo AS (SELECT id, k, seed, count(*) AS cells, avg(row_i) AS rc, avg(col_i) AS cc
 cl AS MATERIALIZED (SELECT id, k, seed, cells, rc, cc, CASE WHEN cells < 4 THEN 1.0::DOUBLE WHEN (vr + vc) / 2 - sqrt(((vr - vc) / 2) ** 2 + cov ** 2) > 1e-9 THEN round(sqrt(((vr + vc) / 2 + sqrt(((vr - vc) / 2) ** 2 + cov ** 2)) / ((vr + vc) / 2 - sqrt(((vr - vc) / 2) ** 2 + cov ** 2))), 1) ELSE cells::DOUBLE END AS elongation FROM mo)"""
 
 
-def site_clusters_in_discs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def site_rule(spark: SparkSession, sf_dir: str, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A rule over the clusters in the discs of confirmed sites, each place looked at once."""
     sites = fixtures.sites(spark, sf_dir).filter("review_status = 'confirmed'").select(F.col("site_id").alias("id"), "x", "y")
     cells = fixtures.cells(spark, sf_dir).select(F.col("easting").alias("x"), F.col("northing").alias("y"), "elev_m", "hand_m")
-    return discs.clusters(sites, cells, {"elev_m": "high", "hand_m": "low"}, 10.0, DISC_M, RING_M, 0.8, 3)
+    return discs.each_place(sites, lambda one: rule(discs.clusters(one, cells, {"elev_m": "high", "hand_m": "low"}, 10.0, DISC_M, RING_M, 0.8, 3)))
 
 
 @query(CLUSTERS + """, qu AS (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY seed) AS n FROM cl WHERE cells >= 3 AND elongation <= 4.0),
@@ -249,7 +252,7 @@ SELECT site_id, valid, fired_high, fired_low, paired, (fired_high OR fired_low)
 def pair_rule(spark, sf_dir):
     """Sites whose disc holds a high cluster of one surface and a low one of another, at most 30 m apart."""
     gate = (F.col("cells") >= 3) & (F.col("elongation") <= 4.0)
-    out = discs.paired(site_clusters_in_discs(spark, sf_dir), "elev_m", "hand_m", 30.0, 10.0, gate)
+    out = site_rule(spark, sf_dir, lambda found: discs.paired(found, "elev_m", "hand_m", 30.0, 10.0, gate))
     return out.select(F.col("id").alias("site_id"), "valid", F.col("fired_a").alias("fired_high"), F.col("fired_b").alias("fired_low"), "paired", "hit")
 
 
@@ -261,7 +264,7 @@ SELECT co.id AS site_id, valid, elements, CASE WHEN elements >= 3 THEN nn_mean_m
 def multi_element_rule(spark, sf_dir):
     """Sites whose disc holds three or more small low clusters at regular distances."""
     element = F.col("cells").between(1, 6) & (F.col("elongation") <= 3.0)
-    out = discs.several(site_clusters_in_discs(spark, sf_dir), "hand_m", 3, 30.0, 0.3, 10.0, element)
+    out = site_rule(spark, sf_dir, lambda found: discs.several(found, "hand_m", 3, 30.0, 0.3, 10.0, element))
     return out.withColumnRenamed("id", "site_id")
 
 

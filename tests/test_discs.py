@@ -123,3 +123,15 @@ def test_gridding_by_inverse_distance(spark):
             exact = [v for d, v in near if d == 0]
             want = np.mean(exact) if exact else sum(v / d**power for d, v in near) / sum(d**-power for d, _ in near) if near else None
             assert value == (pytest.approx(want) if near else None)
+
+
+def test_places_with_the_same_coordinates_are_looked_at_once(spark):
+    places = spark.createDataFrame([(5, 1.0, 2.0), (3, 1.0, 2.0), (4, 1.0, 2.0), (9, 0.0, 0.0), (7, None, 1.0)], "id long, x double, y double")
+    asked = []
+
+    def rule(one):
+        asked.append(one.count())
+        return one.select("id", F.col("x").alias("seen"))
+
+    got = discs.each_place(places, rule)
+    assert asked == [3] and sorted(map(tuple, got.collect())) == [(3, 1.0), (4, 1.0), (5, 1.0), (7, None), (9, 0.0)]
