@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import durable
 from . import distance, polygons, spatial
 from .resample import Grid
 
@@ -41,6 +42,9 @@ def build(grid: Grid, layers: Mapping[str, DataFrame], core: Sequence[str], burn
     if area is not None:
         centres = cells.select("row_i", "col_i", F.col("easting").alias("x"), F.col("northing").alias("y"))
         cells = cells.join(polygons.points_inside(centres, area, 16 * grid.resolution).select("row_i", "col_i").distinct(), ["row_i", "col_i"], "left_semi")
+    if nearest:
+        # Read several times below; made once.
+        cells = durable(cells)
     for name, (segments, value, order) in (nearest or {}).items():
         points = cells.withColumn("__key", F.col("row_i").cast("long") * grid.cols + F.col("col_i")).withColumn("x", F.col("easting")).withColumn("y", F.col("northing"))
         found = spatial.nearest_segment(points.select("__key", "x", "y"), segments, "__key", None, value).select("__key", F.col("dist").alias(name), F.col(value).alias(order))
