@@ -170,7 +170,7 @@ def cells_near(cells: DataFrame, segments: DataFrame, distance: float, left: flo
     that width would touch. Segments are cut into the tiles that their own buffer meets, so a slanting one takes no whole box of them."""
     seg = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
     half, far = resolution / 2.0, float(distance) + resolution
-    lines = segments.select(*seg).withColumn("__tx", _tiles(F.least("x1", "x2") - far, F.greatest("x1", "x2") + far, width)).withColumn("__ty", _tiles(F.least("y1", "y2") - far, F.greatest("y1", "y2") + far, width))
+    lines = segments.select(*seg).distinct().withColumn("__tx", _tiles(F.least("x1", "x2") - far, F.greatest("x1", "x2") + far, width)).withColumn("__ty", _tiles(F.least("y1", "y2") - far, F.greatest("y1", "y2") + far, width))
     x0, y0 = F.col("__tx") * float(width), F.col("__ty") * float(width)
     lines = lines.filter(segment_box_distance(seg, x0, y0, x0 + float(width), y0 + float(width)) <= far)
     x, y = F.lit(left) + resolution * (F.col("col_i") + 0.5), F.lit(top) - resolution * (F.col("row_i") + 0.5)
