@@ -14,11 +14,11 @@ found from the largest group back to the tiles. Neither the tree nor the result
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import durable
@@ -172,11 +172,11 @@ class TileFlow:
     def turned(self, exits: list[tuple[int, int]]) -> np.ndarray:
         """Ways after breaching, `_PIT` where a cell leaves the raster. exits: the step (a, b) of each set that meets other tiles."""
         _, tree, _ = self.joined()
-        where = {int(k): i for i, k in enumerate(self.key.tolist())}
+        where = lambda a: (a // self.cols - self.r0) * self.shape[1] + a % self.cols - self.c0
         way = self.way.copy()
-        leave = leaving(tree, {int(self.last[where[a]]): (a, b) for a, b in exits})
+        leave = leaving(tree, {int(self.last[where(a)]): (a, b) for a, b in exits})
         for end, (a, b) in leave.items():
-            i = where[a]
+            i = where(a)
             if b != OUTSIDE and end == i and self.way[i] < _PIT and int(self.to[i]) == b:
                 continue
             path = [i]
@@ -252,48 +252,72 @@ def set_exits(edges: DataFrame, rows: int, cols: int, tile: int = TILE, fan: int
     return exits
 
 
-def breached(cells: DataFrame, value: str, rows: int, cols: int, tile: int = TILE) -> DataFrame:
-    """(row_i, col_i, dir, breached): the way of each cell, 0 = north and clockwise, null where it leaves the raster, and its height
-    after breaching: no higher than anything that flows through it. Cells beside the border or a missing cell may leave."""
-    spread = durable(dealt(cells, {"z": value}, rows, cols, 1, tile))
+def _turned(cells: DataFrame, value: str, rows: int, cols: int, tile: int, sums: dict[str, str]) -> DataFrame:
+    """A row a tile (`_packed`): the ways of its cells after breaching, z and `sums`, of which cells are 1 each.
+
+    Cells are dealt to tiles once; from then on a tile is a row that holds its grids, and only what lies on borders travels.
+    """
 
     def local(key, table):
         r0, c0, got = grids(key, table, ["z"], rows, cols, 1, tile)
         flow = TileFlow(got["z"], r0, c0, cols)
         sets, _, apart = flow.joined()
         name = {end: OUTSIDE if s == OUTSIDE else int(flow.key[s]) for end, s in sets.items()}
-        return _table([(name[u], name[v], h, a, b) for u, v, h, a, b in apart] + [(name[e], None, h, a, b) for e, h, a, b in flow.across()])
+        steps = _table([(name[u], name[v], h, a, b) for u, v, h, a, b in apart] + [(name[e], None, h, a, b) for e, h, a, b in flow.across()])
+        return pa.table([*_key(key), pa.array([got["z"].tobytes()], pa.binary()), _listed(dict(zip(steps.column_names, steps.columns, strict=True)))], ["tr", "tc", "z", "steps"])
 
-    edges = durable(spread.groupBy("tr", "tc").applyInArrow(local, _ROWS))
-    exits = _grouped(set_exits(edges, rows, cols, tile), cols, tile).select(F.col("tr").cast("int"), F.col("tc").cast("int"), "a", "b")
+    dealt_once = dealt(cells, {"z": value}, rows, cols, 1, tile)
+    tiles = durable(dealt_once.groupBy("tr", "tc").applyInArrow(local, "tr int, tc int, z binary, steps array<struct<u:bigint,v:bigint,height:double,a:bigint,b:bigint>>"))
+    exits = set_exits(tiles.select(F.explode("steps").alias("s")).select("s.*"), rows, cols, tile)
+    exits = _grouped(exits, cols, tile).select(F.col("tr").cast("int"), F.col("tc").cast("int"), "a", "b")
 
     def turn(key, left, right):
-        r0, c0, got = grids(key, left, ["z"], rows, cols, 1, tile)
-        flow = TileFlow(got["z"], r0, c0, cols)
+        if not left.num_rows:
+            return _nothing(["z"], sums)
+        r0, c0 = (k.as_py() * tile for k in key)
+        z = np.frombuffer(left.column("z")[0].as_py()).reshape(min(tile, rows - r0) + 2, -1)
+        flow = TileFlow(z, r0, c0, cols)
         way = flow.turned(list(zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True)))
-        at = np.flatnonzero(flow.there)
-        row, col = np.divmod(flow.key[at], cols)
-        return pa.table([pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), pa.array(way[at].astype(np.int32), mask=way[at] == _PIT), pa.array(flow.z[at])], ["row_i", "col_i", "dir", "z"])
+        found = WayTile(np.where(flow.there, way, -1).reshape(flow.shape), r0, c0, cols)
+        return _packed(key, found, {"z": flow.z} | ({"cells": np.ones(len(way))} if "cells" in sums else {}), sums)
+
+    return durable(tiles.select("tr", "tc", "z").groupBy("tr", "tc").cogroup(exits.groupBy("tr", "tc")).applyInArrow(turn, _schema(["z"], sums)))
 
-    ways = durable(spread.groupBy("tr", "tc").cogroup(exits.groupBy("tr", "tc")).applyInArrow(turn, "row_i int, col_i int, dir int, z double"))
-    lowest, _ = accumulate(ways, "z", "min", cols, tile)
-    return ways.select("row_i", "col_i", "dir").join(lowest.withColumnRenamed("z", "breached"), ["row_i", "col_i"])
+
+def breached(cells: DataFrame, value: str, rows: int, cols: int, tile: int = TILE) -> DataFrame:
+    """(row_i, col_i, dir, breached): the way of each cell, 0 = north and clockwise, null where it leaves the raster, and its height
+    after breaching: no higher than anything that flows through it. Cells beside the border or a missing cell may leave."""
+    sums = {"z": "min"}
+    coming, _ = _coming(tiles := _turned(cells, value, rows, cols, tile, sums), sums, cols, tile)
+
+    def gather(key, left, right):
+        found, got = _gathered_tile(left, right, sums, cols)
+        if found is None:
+            return _cells(None, {"dir": None, "breached": None})
+        way = found.way[found.there].astype(np.int32)
+        return _cells(found, {"dir": pa.array(way, mask=way == _PIT), "breached": pa.array(got["z"][found.there])})
+
+    return tiles.groupBy("tr", "tc").cogroup(coming.groupBy("tr", "tc")).applyInArrow(gather, "row_i int, col_i int, dir int, breached double")
+
+
+def breached_accumulation(cells: DataFrame, value: str, rows: int, cols: int, tile: int = TILE) -> DataFrame:
+    """(row_i, col_i, cells): how many cells drain through each cell of the breached surface."""
+    return _summed(_turned(cells, value, rows, cols, tile, {"cells": "sum"}), "cells", "cells", "sum", cols, tile)[0]
+
+
+def breached_above_stream(cells: DataFrame, value: str, rows: int, cols: int, least_cells: int, tile: int = TILE) -> DataFrame:
+    """(row_i, col_i, hand) as `height_above_stream` over the breached surface; heights and cells are gathered together."""
+    sums = {"z": "min", "cells": "sum"}
+    return _above_stream(_turned(cells, value, rows, cols, tile, sums), sums, cols, least_cells, tile)
 
 
 # --- along flow --------------------------------------------------------------------------------------------------------
 
 
-def _ways_of(table: pa.Table, tile: int, key) -> tuple[np.ndarray, ...]:
-    """(row, col, next cell inside the tile or itself, whether the way leaves the tile, row and column it goes to)."""
-    row, col = (table.column(n).to_numpy() for n in ("row_i", "col_i"))
-    way = table.column("dir").fill_null(_PIT).to_numpy()
-    place = np.full((tile, tile), -1)
-    place[row % tile, col % tile] = np.arange(len(row))
-    step = np.vstack([_STEP, [0, 0]])[way]
-    to_r, to_c = row + step[:, 0], col + step[:, 1]
-    inside = (to_r // tile == key[0].as_py()) & (to_c // tile == key[1].as_py())
-    down = np.where(inside, place[to_r % tile, to_c % tile], np.arange(len(row)))
-    return row, col, down, ~inside, to_r, to_c
+def _ends(down: np.ndarray) -> np.ndarray:
+    while (down[down] != down).any():
+        down = down[down]
+    return down
 
 
 def _gathered(down: np.ndarray, value: np.ndarray, how: np.ufunc) -> np.ndarray:
@@ -311,53 +335,180 @@ def _gathered(down: np.ndarray, value: np.ndarray, how: np.ufunc) -> np.ndarray:
     return total
 
 
-def _ends(down: np.ndarray) -> np.ndarray:
-    while (down[down] != down).any():
-        down = down[down]
-    return down
+class WayTile:
+    """Ways of a tile's cells in a rectangle that holds them, -1 where there is no cell, and where each leads inside."""
+
+    def __init__(self, way: np.ndarray, r0: int, c0: int, cols: int):
+        h, w = way.shape
+        self.r0, self.c0, self.shape, self.way, self.cols = r0, c0, (h, w), way.astype(np.int8).ravel(), cols
+        row, col = np.divmod(np.arange(h * w), w)
+        step = np.vstack([_STEP, [0, 0], [0, 0]])[self.way]
+        to_r, to_c = row + step[:, 0], col + step[:, 1]
+        inside = (to_r >= 0) & (to_r < h) & (to_c >= 0) & (to_c < w)
+        self.there = self.way >= 0
+        to = np.where(inside, to_r * w + to_c, 0)
+        self.down = np.where(inside & self.there[to], to, np.arange(h * w))
+        self.last, self.leaves = _ends(self.down), ~inside
+        self.row, self.col = row + r0, col + c0
+        self.key, self.to = self.row * cols + self.col, (to_r + r0) * cols + to_c + c0
+        self.edge = self.there & ((row == 0) | (row == h - 1) | (col == 0) | (col == w - 1))
 
+    def at(self, cell: np.ndarray) -> np.ndarray:
+        """Places in the rectangle of cell numbers."""
+        return (cell // self.cols - self.r0) * self.shape[1] + cell % self.cols - self.c0
 
-def _tiled(ways: DataFrame, tile: int) -> DataFrame:
-    return ways.withColumn("tr", F.expr(f"row_i div {tile}")).withColumn("tc", F.expr(f"col_i div {tile}"))
+    def border(self, at: np.ndarray, more: dict[str, pa.Array]) -> pa.Array:
+        """The cells `at`, where each leaves the tile and, of those that do so themselves, the cell that they go to."""
+        last = self.last[at]
+        out, goes = pa.array(self.key[last], mask=~self.leaves[last]), pa.array(self.to[at], mask=~self.leaves[at])
+        return _listed({"cell": pa.array(self.key[at]), "out": out, "goes": goes} | more)
 
 
-def accumulate(ways: DataFrame, value: str, how: str, cols: int, tile: int = TILE) -> tuple[DataFrame, int]:
-    """((row_i, col_i, value), rounds): the sum or the least of `value` over each cell and all cells that flow through it.
+#: How values gather: inside a tile, and between tiles.
+_HOW = {"sum": (np.add, F.sum), "min": (np.minimum, F.min)}
 
-    ways: (row_i, col_i, dir, value). Tiles gather their own flow; the cells where flow leaves a tile form a forest that is
-    contracted by doubling, so rounds grow with the logarithm of the tiles on the longest way; then tiles gather once more.
-    """
-    ufunc, agg, kind = (np.add, F.sum, "double") if how == "sum" else (np.minimum, F.min, "double")
-    keyed = _tiled(ways.select("row_i", "col_i", "dir", F.col(value).cast("double").alias("x")), tile)
-
-    def border(key, table):
-        row, col, down, leaves, to_r, to_c = _ways_of(table, tile, key)
-        total, last = _gathered(down, table.column("x").to_numpy(), ufunc), _ends(down)
-        edge = (row % tile == 0) | (row % tile == tile - 1) | (col % tile == 0) | (col % tile == tile - 1)
-        at = np.flatnonzero(edge & leaves[last])
-        goes = leaves[at]
-        number = lambda r, c: r.astype(np.int64) * cols + c
-        return pa.table([pa.array(number(row[at], col[at])), pa.array(number(row[last[at]], col[last[at]])), pa.array(number(to_r[at], to_c[at]), mask=~goes), pa.array(total[at])], ["cell", "out", "goes", "x"])
-
-    edges = durable(keyed.groupBy("tr", "tc").applyInArrow(border, "cell long, out long, goes long, x double"))
-    outlets = edges.filter("goes is not null").select("cell", "goes", "x")
-    state = durable(outlets.join(edges.select(F.col("cell").alias("goes"), F.col("out").alias("next")), "goes", "left").select("cell", "next", "x"))
-    both = lambda a, b: F.when(F.col(b).isNull(), F.col(a)).otherwise(F.col(a) + F.col(b) if how == "sum" else F.least(a, b))
+
+def _listed(columns: dict[str, pa.Array]) -> pa.Array:
+    """One row that holds a list of structs."""
+    flat = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns.values()]
+    return pa.ListArray.from_arrays(pa.array([0, len(flat[0])], pa.int32()), pa.StructArray.from_arrays(flat, list(columns)))
+
+
+def _key(key) -> list[pa.Array]:
+    return [pa.array([k.as_py()], pa.int32()) for k in key]
+
+
+def _schema(kept: Iterable[str], border: Iterable[str]) -> str:
+    """What `_packed` gives: grids as bytes, and cells of the border with their values."""
+    names = list(dict.fromkeys([*kept, *border]))
+    return "tr int, tc int, r0 int, c0 int, w int, way binary, " + "".join(f"`{n}` binary, " for n in names) + "border array<struct<cell:bigint,out:bigint,goes:bigint" + "".join(f",`{n}`:double" for n in border) + ">>"
+
+
+def _nothing(kept: Iterable[str], border: Iterable[str]) -> pa.Table:
+    names = list(dict.fromkeys([*kept, *border]))
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("cell", "out", "goes")] + [(n, pa.float64()) for n in border]))
+    fields = [(n, pa.int32()) for n in ("tr", "tc", "r0", "c0", "w")] + [(n, pa.binary()) for n in ("way", *names)] + [("border", kind)]
+    return pa.schema(fields).empty_table()
+
+
+def _packed(key, found: WayTile, grids_: dict[str, np.ndarray], sums: dict[str, str], border: pa.Array | None = None) -> pa.Table:
+    """A tile as a row: its rectangle, ways and grids, and the cells of its border whose way leaves it, with what gathers there."""
+    if border is None:
+        at = np.flatnonzero(found.edge & found.leaves[found.last])
+        border = found.border(at, {n: pa.array(_gathered(found.down, grids_[n], _HOW[how][0])[at]) for n, how in sums.items()})
+    where = [pa.array([v], pa.int32()) for v in (found.r0, found.c0, found.shape[1])]
+    values = [pa.array([v.tobytes()], pa.binary()) for v in (found.way, *grids_.values())]
+    return pa.table([*_key(key), *where, *values, border], ["tr", "tc", "r0", "c0", "w", "way", *grids_, "border"])
+
+
+def _unpacked(table: pa.Table, names: Iterable[str], cols: int) -> tuple[WayTile, dict[str, np.ndarray]]:
+    r0, c0, w = (table.column(n)[0].as_py() for n in ("r0", "c0", "w"))
+    way = np.frombuffer(table.column("way")[0].as_py(), np.int8).reshape(-1, w)
+    return WayTile(way, r0, c0, cols), {n: np.frombuffer(table.column(n)[0].as_py()).copy() for n in names}
+
+
+def _gathered_tile(left: pa.Table, right: pa.Table, sums: dict[str, str], cols: int, more: Iterable[str] = ()) -> tuple[WayTile | None, dict[str, np.ndarray]]:
+    """A tile with what gathers in its cells, of which `right` comes from other tiles."""
+    if not left.num_rows:
+        return None, {}
+    found, got = _unpacked(left, dict.fromkeys([*sums, *more]), cols)
+    at = found.at(right.column("goes").to_numpy())
+    # A way may lead to where no cell is.
+    held = (at >= 0) & (at < len(found.way)) if len(at) else np.zeros(0, bool)
+    held[held] = found.key[at[held]] == right.column("goes").to_numpy()[held]
+    for n, how in sums.items():
+        _HOW[how][0].at(got[n], at[held], right.column(n).to_numpy()[held])
+        got[n] = _gathered(found.down, got[n], _HOW[how][0])
+    return found, got
+
+
+def _cells(found: WayTile | None, columns: dict[str, pa.Array | None]) -> pa.Table:
+    """A row a cell of the tile."""
+    if found is None:
+        kinds = {n: pa.int32() if n == "dir" else pa.int64() if n == "end" else pa.float64() for n in columns}
+        return pa.schema([("row_i", pa.int32()), ("col_i", pa.int32()), *kinds.items()]).empty_table()
+    row, col = (pa.array(v[found.there].astype(np.int32)) for v in (found.row, found.col))
+    return pa.table([row, col, *columns.values()], ["row_i", "col_i", *columns])
+
+
+def _ways_packed(ways: DataFrame, values: dict[str, Column], sums: dict[str, str], cols: int, tile: int, border: Callable[[WayTile], pa.Array] | None = None) -> DataFrame:
+    """Tiles as `_packed` of ways in rows (row_i, col_i, dir), a null dir being an end."""
+
+    names = list(values)
+
+    def pack(key, table):
+        row, col = (table.column(n).to_numpy() for n in ("row_i", "col_i"))
+        r0, c0 = int(row.min()), int(col.min())
+        shape = int(row.max()) - r0 + 1, int(col.max()) - c0 + 1
+        way = np.full(shape, -1, np.int8)
+        way[row - r0, col - c0] = table.column("dir").fill_null(_PIT).to_numpy()
+        got = {n: np.full(shape, np.nan) for n in names}
+        for n, grid in got.items():
+            grid[row - r0, col - c0] = table.column(n).to_numpy(zero_copy_only=False)
+        found = WayTile(way, r0, c0, cols)
+        return _packed(key, found, {n: g.ravel() for n, g in got.items()}, sums, border and border(found))
+
+    rows = ways.select(F.col("row_i").cast("int").alias("row_i"), F.col("col_i").cast("int").alias("col_i"), F.col("dir").cast("int").alias("dir"), *[c.cast("double").alias(n) for n, c in values.items()])
+    rows = rows.withColumn("tr", F.expr(f"cast(row_i div {tile} as int)")).withColumn("tc", F.expr(f"cast(col_i div {tile} as int)"))
+    return durable(rows.groupBy("tr", "tc").applyInArrow(pack, _schema(values, sums)))
+
+
+def _borders(tiles: DataFrame) -> DataFrame:
+    return tiles.select(F.explode("border").alias("b")).select("b.*")
+
+
+def _by_tile(rows: DataFrame, cell: str, cols: int, tile: int) -> DataFrame:
+    """Rows with the tile of a cell number."""
+    return rows.withColumn("tr", F.expr(f"cast(({cell} div {cols}) div {tile} as int)")).withColumn("tc", F.expr(f"cast(({cell} % {cols}) div {tile} as int)"))
+
+
+def _coming(tiles: DataFrame, sums: dict[str, str], cols: int, tile: int) -> tuple[DataFrame, int]:
+    """((tr, tc, goes, sums), rounds): what comes to each cell from other tiles. The cells where flow leaves a tile form a forest that
+    is contracted by doubling, so rounds grow with the logarithm of the tiles on the longest way."""
+    edges = _borders(tiles)
+    outlets = edges.filter("goes is not null").select("cell", "goes", *sums)
+    state = durable(outlets.join(edges.select(F.col("cell").alias("goes"), F.col("out").alias("next")), "goes", "left").select("cell", "next", *sums))
+    told = {n: f"more_{n}" for n in sums}
+    both = [F.when(F.col(m).isNull(), F.col(n)).otherwise(F.col(n) + F.col(m) if sums[n] == "sum" else F.least(n, m)).alias(n) for n, m in told.items()]
     rounds = 0
     while not state.filter("next is not null").isEmpty():
-        more = state.filter("next is not null").groupBy(F.col("next").alias("cell")).agg(agg("x").alias("more"))
+        more = state.filter("next is not null").groupBy(F.col("next").alias("cell")).agg(*[_HOW[sums[n]][1](n).alias(m) for n, m in told.items()])
         hop = state.select(F.col("cell").alias("next"), F.col("next").alias("after"))
-        state = durable(state.join(more, "cell", "left").join(hop, "next", "left").select("cell", F.col("after").alias("next"), both("x", "more").alias("x")))
+        state = durable(state.join(more, "cell", "left").join(hop, "next", "left").select("cell", F.col("after").alias("next"), *both))
         rounds += 1
-    coming = state.join(outlets.select("cell", "goes"), "cell").groupBy("goes").agg(agg("x").alias("more"))
-    coming = coming.select(F.expr(f"cast(goes div {cols} as int)").alias("row_i"), F.expr(f"cast(goes % {cols} as int)").alias("col_i"), "more")
+    coming = state.join(outlets.select("cell", "goes"), "cell").groupBy("goes").agg(*[_HOW[how][1](n).alias(n) for n, how in sums.items()])
+    return _by_tile(coming, "goes", cols, tile), rounds
+
+
+def _summed(tiles: DataFrame, value: str, named: str, how: str, cols: int, tile: int) -> tuple[DataFrame, int]:
+    coming, rounds = _coming(tiles, {value: how}, cols, tile)
+
+    def gather(key, left, right):
+        found, got = _gathered_tile(left, right, {value: how}, cols)
+        return _cells(found, {named: None if found is None else pa.array(got[value][found.there])})
+
+    return tiles.groupBy("tr", "tc").cogroup(coming.groupBy("tr", "tc")).applyInArrow(gather, f"row_i int, col_i int, `{named}` double"), rounds
+
+
+def accumulate(ways: DataFrame, value: str, how: str, cols: int, tile: int = TILE) -> tuple[DataFrame, int]:
+    """((row_i, col_i, value), rounds): the sum or the least of `value` over each cell and all cells that flow through it.
 
-    def gather(key, table):
-        _, _, down, _, _, _ = _ways_of(table, tile, key)
-        return pa.table([table.column("row_i"), table.column("col_i"), pa.array(_gathered(down, table.column("x").to_numpy(), ufunc))], ["row_i", "col_i", value])
+    ways: (row_i, col_i, dir, value). Tiles gather their own flow, then what comes from other tiles (`_coming`), then once more.
+    """
+    return _summed(_ways_packed(ways, {"x": F.col(value)}, {"x": how}, cols, tile), "x", value, how, cols, tile)
 
-    fed = keyed.join(coming, ["row_i", "col_i"], "left").withColumn("x", both("x", "more")).drop("more")
-    return fed.groupBy("tr", "tc").applyInArrow(gather, f"row_i int, col_i int, `{value}` {kind}"), rounds
+
+def _followed(tiles: DataFrame, told: str) -> tuple[DataFrame, int]:
+    """((cell, told), rounds): for each cell where a way leaves a tile, what the borders say of the end of its way."""
+    edges = _borders(tiles)
+    entered = edges.select(F.col("cell").alias("goes"), F.col("out").alias("next"), told)
+    state = durable(edges.filter("goes is not null").select("cell", "goes").join(entered, "goes", "left").select("cell", "next", told))
+    rounds = 0
+    while not state.filter("next is not null").isEmpty():
+        hop = state.select(F.col("cell").alias("next"), F.col("next").alias("after"), F.col(told).alias("there"))
+        state = durable(state.join(hop, "next", "left").select("cell", F.col("after").alias("next"), F.coalesce(told, "there").alias(told)))
+        rounds += 1
+    return state.select("cell", told), rounds
 
 
 def way_ends(ways: DataFrame, cols: int, tile: int = TILE) -> tuple[DataFrame, int]:
@@ -366,33 +517,62 @@ def way_ends(ways: DataFrame, cols: int, tile: int = TILE) -> tuple[DataFrame, i
     Ways are followed inside tiles first; only the cells where they leave a tile are followed further, by doubling.
     """
 
-    def inside(key, table):
-        row, col, down, leaves, to_r, to_c = _ways_of(table, tile, key)
-        last = _ends(down)
-        goes = leaves[last]
-        number = to_r.astype(np.int64) * cols + to_c
-        return pa.table([table.column("row_i"), table.column("col_i"), pa.array(row[last].astype(np.int64) * cols + col[last]), pa.array(number[last], mask=~goes)], ["row_i", "col_i", "last", "goes"])
-
-    cells = durable(_tiled(ways.select("row_i", "col_i", "dir"), tile).groupBy("tr", "tc").applyInArrow(inside, "row_i int, col_i int, last long, goes long"))
-    # What enters a tile at a cell leaves it at that cell's last one: only outlets are nodes.
-    entered = cells.select((F.col("row_i").cast("long") * cols + F.col("col_i")).alias("goes"), F.col("last").alias("next"), F.col("goes").isNotNull().alias("open"))
-    state = durable(cells.filter("goes is not null").select("last", "goes").distinct().join(entered, "goes").select("last", "next", "open"))
-    rounds = 0
-    while not state.filter("open").isEmpty():
-        hop = state.select(F.col("last").alias("next"), F.col("next").alias("after"), F.col("open").alias("on"))
-        state = durable(state.join(hop, "next", "left").select("last", F.coalesce("after", "next").alias("next"), F.coalesce("on", F.lit(False)).alias("open")))
-        rounds += 1
-    end = F.coalesce("next", "last")
-    out = cells.join(state.select("last", "next"), "last", "left")
-    return out.select("row_i", "col_i", F.expr(f"cast(coalesce(next, last) div {cols} as int)").alias("end_r"), (end % cols).cast("int").alias("end_c")), rounds
+    def border(found):
+        at = np.flatnonzero(found.edge)
+        last = found.last[at]
+        return found.border(at, {"end": pa.array(found.key[last].astype(float), mask=found.leaves[last])})
+
+    tiles = _ways_packed(ways, {"end": F.lit(None)}, {"end": "min"}, cols, tile, border)
+    after, rounds = _followed(tiles, "end")
+
+    def ends(key, left, right):
+        if not left.num_rows:
+            return _cells(None, {"end": None})
+        found, _ = _unpacked(left, (), cols)
+        end = found.key.copy()
+        known = right.filter(right.column("end").is_valid())
+        end[found.at(known.column("cell").to_numpy())] = known.column("end").to_numpy().astype(np.int64)
+        return _cells(found, {"end": pa.array(end[found.last][found.there])})
+
+    out = tiles.groupBy("tr", "tc").cogroup(_by_tile(after, "cell", cols, tile).groupBy("tr", "tc")).applyInArrow(ends, "row_i int, col_i int, end long")
+    return out.select("row_i", "col_i", F.expr(f"cast(end div {cols} as int)").alias("end_r"), F.expr(f"cast(end % {cols} as int)").alias("end_c")), rounds
+
+
+def _above_stream(tiles: DataFrame, sums: dict[str, str], cols: int, least_cells: int, tile: int) -> DataFrame:
+    """height_above_stream over tiles with heights z and `sums`, cells among them."""
+    coming, _ = _coming(tiles, sums, cols, tile)
+
+    def cut(key, left, right):
+        """Ways that end at streams, and the heights of streams where ways enter the tile."""
+        found, got = _gathered_tile(left, right, sums, cols, ["z"])
+        if found is None:
+            return _nothing(["z"], ["base"])
+        stream = found.there & (got["cells"] >= least_cells)
+        found = WayTile(np.where(stream, _PIT, found.way).reshape(found.shape), found.r0, found.c0, cols)
+        base = np.where(stream, got["z"], np.nan)
+        at = np.flatnonzero(found.edge)
+        ends = base[found.last[at]]
+        return _packed(key, found, {"z": got["z"], "base": base}, {}, found.border(at, {"base": pa.array(ends, mask=np.isnan(ends))}))
+
+    streams = durable(tiles.drop("border").groupBy("tr", "tc").cogroup(coming.groupBy("tr", "tc")).applyInArrow(cut, _schema(["z"], ["base"])))
+    bases, _ = _followed(streams, "base")
+
+    def above(key, left, right):
+        if not left.num_rows:
+            return _cells(None, {"hand": None})
+        found, got = _unpacked(left, ["z", "base"], cols)
+        got["base"][found.at(right.column("cell").to_numpy())] = right.column("base").to_numpy(zero_copy_only=False)
+        hand = (got["z"] - got["base"][found.last])[found.there]
+        return _cells(found, {"hand": pa.array(hand, mask=np.isnan(hand))})
+
+    out = streams.drop("border").groupBy("tr", "tc").cogroup(_by_tile(bases, "cell", cols, tile).groupBy("tr", "tc")).applyInArrow(above, "row_i int, col_i int, hand double")
+    return out.withColumn("hand", F.round("hand", 6))
 
 
 def height_above_stream(ways: DataFrame, heights: DataFrame, value: str, cols: int, least_cells: int, tile: int = TILE) -> DataFrame:
     """(row_i, col_i, hand): height above the stream cell that each cell drains to, a stream being where at least `least_cells`
-    drain through; null where a way ends before one. ways: (row_i, col_i, dir); heights: (row_i, col_i, value)."""
-    flow, _ = accumulate(ways.withColumn("cells", F.lit(1)), "cells", "sum", cols, tile)
-    streams = durable(ways.select("row_i", "col_i", "dir").join(flow, ["row_i", "col_i"]).withColumn("stream", F.col("cells") >= least_cells))
-    ends, _ = way_ends(streams.withColumn("dir", F.when(~F.col("stream"), F.col("dir"))), cols, tile)
+    drain through; null where a way ends before one. ways: (row_i, col_i, dir); heights: (row_i, col_i, value), NaN as null."""
     z = heights.select(F.col("row_i").cast("int").alias("row_i"), F.col("col_i").cast("int").alias("col_i"), F.col(value).alias("z"))
-    base = z.join(streams.filter("stream").select("row_i", "col_i"), ["row_i", "col_i"]).select(F.col("row_i").alias("end_r"), F.col("col_i").alias("end_c"), F.col("z").alias("base"))
-    return ends.join(z, ["row_i", "col_i"]).join(base, ["end_r", "end_c"], "left").select("row_i", "col_i", F.round(F.col("z") - F.col("base"), 6).alias("hand"))
+    both = ways.select("row_i", "col_i", "dir").join(z, ["row_i", "col_i"], "left")
+    out = _above_stream(_ways_packed(both, {"z": F.col("z"), "cells": F.lit(1)}, {"cells": "sum"}, cols, tile), {"cells": "sum"}, cols, least_cells, tile)
+    return out.join(z.select("row_i", "col_i"), ["row_i", "col_i"], "left_semi")

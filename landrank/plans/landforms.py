@@ -43,8 +43,7 @@ def flow_breached(spark, sf_dir):
 def flow_accumulation_breached(spark, sf_dir):
     """Cells that drain through each cell of the breached surface: ways go on to the border."""
     cells, rows = surface(spark, sf_dir)
-    ways = hydrology.breached(cells, "elev_m", rows, COLS).withColumn("cells", F.lit(1))
-    return hydrology.accumulate(ways, "cells", "sum", COLS)[0].withColumn("cells", F.col("cells").cast("long"))
+    return hydrology.breached_accumulation(cells, "elev_m", rows, COLS).withColumn("cells", F.col("cells").cast("long"))
 
 
 @query(BREACH + """, ft AS (SELECT r0, c0, max(breached) AS base FROM fl JOIN br ON br.row_i = fl.r AND br.col_i = fl.c WHERE br.cells >= 100 GROUP BY r0, c0)
@@ -52,8 +51,7 @@ SELECT row_i, col_i, round(breached - base, 6) AS hand FROM br LEFT JOIN ft ON r
 def height_above_stream_breached(spark, sf_dir):
     """Height of each cell of the breached surface above the stream cell that it drains to."""
     cells, rows = surface(spark, sf_dir)
-    ways = hydrology.breached(cells, "elev_m", rows, COLS)
-    return hydrology.height_above_stream(ways, ways, "breached", COLS, 100)
+    return hydrology.breached_above_stream(cells, "elev_m", rows, COLS, 100)
 
 
 #: Nearest touched cell of each cell, by all pairs.

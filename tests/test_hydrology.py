@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pytest
 
+from landrank import catalog
 from landrank.operators import hydrology as hy
 from landrank.operators.raster import WAYS
 
@@ -135,3 +136,26 @@ def test_one_cell_and_no_cells(spark):
     one = frame(spark, np.array([[4.0]]))
     assert [tuple(r) for r in hy.breached(one, "z", 1, 1).collect()] == [(0, 0, None, 4.0)]
     assert hy.breached(one.filter("false"), "z", 1, 1).count() == 0
+
+
+def shuffled(spark, job):
+    """Rows that a job writes to shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().stageList(None, False, False, quantiles, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+    before = written()
+    job()
+    return sum(n for k, n in written().items() if k not in before)
+
+
+@pytest.mark.parametrize("name", ["height_above_stream_breached", "flow_accumulation_breached", "flow_breached"])
+def test_cells_are_shuffled_once(spark, name):
+    """Between the deal to tiles and the result only what lies on borders travels."""
+    cells = 15000
+    job = lambda: catalog.QUERIES[name](spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
+    assert cells <= shuffled(spark, job) < 2 * cells
