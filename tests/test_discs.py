@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from landrank.operators import discs, gridding
 from landrank.operators.resample import Grid
 
+from .test_hydrology import shuffled
+
 
 def flood(on):
     """Components of a set of cells, by their first cells."""
@@ -125,6 +127,14 @@ def test_gridding_by_inverse_distance(spark):
             assert value == (pytest.approx(want) if near else None)
 
 
+def test_gridding_sums_cells_in_one_part(spark):
+    """Points in any order: what leaves the sums is a row a cell, not one for every task that saw it."""
+    grid = Grid(0.0, 1280.0, 10.0, 128, 128)
+    table = spark.range(0, 60000, 1, 16).select((F.rand(1) * 1280).alias("x"), (F.rand(2) * 1280).alias("y"), F.col("id").cast("double").alias("z"))
+    rows = shuffled(spark, lambda: gridding.inverse_distance(table, grid).write.format("noop").mode("overwrite").save())
+    assert 60000 < rows < 60000 + 4 * 128 * 128
+
+
 def test_places_with_the_same_coordinates_are_looked_at_once(spark):
     places = spark.createDataFrame([(5, 1.0, 2.0), (3, 1.0, 2.0), (4, 1.0, 2.0), (9, 0.0, 0.0), (7, None, 1.0)], "id long, x double, y double")
     asked = []
