@@ -125,11 +125,11 @@ def each_place(places: DataFrame, rule: Callable[[DataFrame], DataFrame]) -> Dat
 
 def paired(found: DataFrame, a: str, b: str, max_gap_m: float, resolution: float, gate: Column, most: int | None = 5) -> DataFrame:
     """(id, valid, fired_a, fired_b, paired, hit): whether clusters that pass the gate lie on both surfaces at most max_gap_m apart, centre
-    to centre. A place is hit if a surface fired and the pair holds. Of a surface the first `most` clusters that pass count."""
+    to centre. A place is hit if a surface fired and the pair holds. Of a surface the first `most` clusters that pass count, all with None."""
     passes = found.withColumn("passes", F.coalesce(gate, F.lit(False)))
-    order = Window.partitionBy("id", "surface").orderBy("cluster")
-    some = passes.filter("passes").withColumn("k", F.row_number().over(order))
-    some = some.filter(F.col("k") <= most) if most is not None else some
+    some = passes.filter("passes")
+    if most is not None:
+        some = some.withColumn("k", F.row_number().over(Window.partitionBy("id", "surface").orderBy("cluster"))).filter(F.col("k") <= most)
     p, q = (some.filter(F.col("surface") == s).select("id", F.col("row_c").alias(f"r{n}"), F.col("col_c").alias(f"c{n}")) for s, n in ((a, 1), (b, 2)))
     near = F.sqrt((F.col("r1") - F.col("r2")) ** 2 + (F.col("c1") - F.col("c2")) ** 2) <= max_gap_m / resolution
     both = p.join(q, "id").filter(near).select("id").distinct().withColumn("paired", F.lit(True))

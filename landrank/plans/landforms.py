@@ -244,13 +244,13 @@ def site_rule(spark: SparkSession, sf_dir: str, rule: Callable[[DataFrame], Data
     return discs.each_place(sites, lambda one: rule(discs.clusters(one, cells, {"elev_m": "high", "hand_m": "low"}, 10.0, DISC_M, RING_M, 0.8, 3)))
 
 
-@query(CLUSTERS + """, qu AS (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY seed) AS n FROM cl WHERE cells >= 3 AND elongation <= 4.0),
-pr AS (SELECT DISTINCT a.id FROM qu a JOIN qu b ON a.id = b.id AND a.k = 0 AND b.k = 1 AND a.n <= 5 AND b.n <= 5 AND sqrt((a.rc - b.rc) ** 2 + (a.cc - b.cc) ** 2) <= 3.0)
+@query(CLUSTERS + """, qu AS (SELECT * FROM cl WHERE cells >= 3 AND elongation <= 4.0),
+pr AS (SELECT DISTINCT a.id FROM qu a JOIN qu b ON a.id = b.id AND a.k = 0 AND b.k = 1 AND sqrt((a.rc - b.rc) ** 2 + (a.cc - b.cc) ** 2) <= 3.0)
 SELECT site_id, valid, fired_high, fired_low, paired, (fired_high OR fired_low) AND paired AS hit FROM (SELECT va.id AS site_id, bool_or(valid) AS valid, EXISTS (SELECT 1 FROM qu WHERE qu.id = va.id AND qu.k = 0) AS fired_high, EXISTS (SELECT 1 FROM qu WHERE qu.id = va.id AND qu.k = 1) AS fired_low, va.id IN (SELECT id FROM pr) AS paired FROM va GROUP BY va.id)""")
 def pair_rule(spark, sf_dir):
-    """Sites whose disc holds a high cluster of one surface and a low one of another, at most 30 m apart."""
+    """Sites whose disc holds a high cluster of one surface and a low one of another, at most 30 m apart: all clusters that pass are compared."""
     gate = (F.col("cells") >= 3) & (F.col("elongation") <= 4.0)
-    out = site_rule(spark, sf_dir, lambda found: discs.paired(found, "elev_m", "hand_m", 30.0, 10.0, gate))
+    out = site_rule(spark, sf_dir, lambda found: discs.paired(found, "elev_m", "hand_m", 30.0, 10.0, gate, most=None))
     return out.select(F.col("id").alias("site_id"), "valid", F.col("fired_a").alias("fired_high"), F.col("fired_b").alias("fired_low"), "paired", "hit")
 
 

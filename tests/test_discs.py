@@ -1,9 +1,11 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from landrank import catalog
 from landrank.operators import discs, gridding
 from landrank.operators.resample import Grid
 
@@ -145,3 +147,28 @@ def test_places_with_the_same_coordinates_are_looked_at_once(spark):
 
     got = discs.each_place(places, rule)
     assert asked == [3] and sorted(map(tuple, got.collect())) == [(3, 1.0), (4, 1.0), (5, 1.0), (7, None), (9, 0.0)]
+
+
+def test_pair_rule_compares_all_clusters(spark, tmp_path):
+    """A disc with six high clusters, of which only the last is near the low one; SQL says the same, and of another site at its place."""
+    high, low = [(7, 4), (9, 2), (9, 6), (11, 1), (11, 5), (13, 3)], (14, 3)  # first cells of runs of three
+    rows = []
+    for key in range(3000):
+        row, col = divmod(key, 100)
+        disc = math.hypot(500005.0 + 10 * col - 500053.0, 4000005.0 - 10 * row - 3999899.0) <= 40
+        run = lambda r, c: row == r and c <= col < c + 3
+        elev = 220.0 if not disc else 230.0 if any(run(*h) for h in high) else 210.0
+        price = (elev - (150.0 + 20.0 * math.sin(col / 9.0) + 15.0 * math.cos(row / 11.0))) * 500000.0
+        rows.append((key, 20 if not disc else 0 if run(*low) else 30, price, "O", "1-URGENT"))
+    tables = {
+        "orders": spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, o_orderpriority string"),
+        "customer": spark.createDataFrame([(1, "BUILDING"), (3001, "BUILDING"), (2, "BUILDING")], "c_custkey long, c_mktsegment string"),
+    }
+    con = duckdb.connect()
+    for name, table in tables.items():
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    columns = ["site_id", "valid", "fired_high", "fired_low", "paired", "hit"]
+    want = [(1, True, True, True, True, True), (3001, True, True, True, True, True)]
+    assert sorted(map(tuple, catalog.QUERIES["pair_rule"](spark, str(tmp_path)).select(columns).collect())) == want
+    assert sorted(con.sql(catalog.ORACLE_SQL["pair_rule"]).select(*columns).fetchall()) == want
